@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .decontaminate import ORACLE as OP2_SQL
+from .decontaminate import op2_decontaminate
 from .quality import ORACLE as OP5_SQL
 from .quality import op5_quality_rules
 from .secrets import op8_secret_scan
@@ -9,11 +11,13 @@ from .url_filter import ORACLE as OP4_SQL
 from .url_filter import op4_url_filter
 
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
     "op4_url_filter": op4_url_filter,
     "op5_quality_rules": op5_quality_rules,
     "op8_secret_scan": op8_secret_scan,
 }
 ORACLE_SQL = {
+    "op2_decontaminate": OP2_SQL,
     "op4_url_filter": OP4_SQL,
     "op5_quality_rules": OP5_SQL,
 }
