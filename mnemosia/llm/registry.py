@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import ORACLE as OP2_SQL
 from .decontaminate import op2_decontaminate
+from .minhash import op9_minhash
 from .quality import ORACLE as OP5_SQL
 from .quality import op5_quality_rules
 from .secrets import op8_secret_scan
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op5_quality_rules": op5_quality_rules,
     "op8_secret_scan": op8_secret_scan,
+    "op9_minhash": op9_minhash,
 }
 ORACLE_SQL = {
     "op2_decontaminate": OP2_SQL,
