@@ -51,6 +51,7 @@ class Texts:
     def __init__(self, buf: np.ndarray, offsets: np.ndarray, lower: bool = False):
         self.buf, self.offsets = (_LOWER[buf] if lower else buf), offsets
         self.n = len(offsets) - 1
+        self._sums: np.ndarray | None = None
 
     @staticmethod
     def slices(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, "Texts"]]:
@@ -86,9 +87,10 @@ class Texts:
         if not len(starts):
             return np.zeros(0, _U)
         up, down = powers(len(self.buf) + 1)
-        total = np.zeros(len(self.buf) + 1, _U)
-        np.cumsum(_BYTES[self.buf] * up[: len(self.buf)], out=total[1:])
-        return mix((total[ends] - total[starts]) * down[starts] + _STEP * (ends - starts).astype(_U))
+        if self._sums is None:
+            self._sums = np.zeros(len(self.buf) + 1, _U)
+            np.cumsum(_BYTES[self.buf] * up[: len(self.buf)], out=self._sums[1:])
+        return mix((self._sums[ends] - self._sums[starts]) * down[starts] + _STEP * (ends - starts).astype(_U))
 
 
 def ngrams(words: np.ndarray, n: int) -> np.ndarray:
