@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op6_bpe
 from .decontaminate import ORACLE as OP2_SQL
 from .decontaminate import op2_decontaminate
 from .minhash import op9_minhash
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op4_url_filter": op4_url_filter,
     "op5_quality_rules": op5_quality_rules,
+    "op6_bpe": op6_bpe,
     "op8_secret_scan": op8_secret_scan,
     "op9_minhash": op9_minhash,
 }
