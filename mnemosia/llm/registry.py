@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op6_bpe
 from .decontaminate import ORACLE as OP2_SQL
 from .decontaminate import op2_decontaminate
+from .html_text import op1_html_text
 from .minhash import op9_minhash
 from .quality import ORACLE as OP5_SQL
 from .quality import op5_quality_rules
@@ -13,6 +14,7 @@ from .url_filter import ORACLE as OP4_SQL
 from .url_filter import op4_url_filter
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_decontaminate": op2_decontaminate,
     "op4_url_filter": op4_url_filter,
     "op5_quality_rules": op5_quality_rules,
