@@ -16,7 +16,7 @@ def test_main_text():
 @pytest.mark.parametrize(
     ("page", "text"),
     [
-        (None, ""), ("", ""), ("no markup", "no markup"), ("<p>a<p>b", "a\n\nb"), ("<", ""), ("<p>x <b", "x"),
+        (None, ""), ("", ""), ("no markup", "no markup"), ("<p>a<p>b", "a\n\nb"), ("<", "<"), ("<p>x <b", "x"),
         ("<article><h1>T</h1><p><b>x<br>y<p>z</article><div class=ad>buy</div>", "T\n\nx y\n\nz"),
         ("<main><p hidden>n</p><p style='display: none'>n</p><p>y &eacute;&#x41;&#66;</p></main>", "y éAB"),
         ("<article><p>a</p><aside>no</aside><style>p{}</style><!-- c --><p>b</p></article>", "a\n\nb"),
