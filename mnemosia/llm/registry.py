@@ -6,6 +6,7 @@ from .bpe import op6_bpe
 from .decontaminate import ORACLE as OP2_SQL
 from .decontaminate import op2_decontaminate
 from .html_text import op1_html_text
+from .maxent import op10_maxent
 from .minhash import op9_minhash
 from .quality import ORACLE as OP5_SQL
 from .quality import op5_quality_rules
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op8_secret_scan": op8_secret_scan,
     "op9_minhash": op9_minhash,
+    "op10_maxent": op10_maxent,
 }
 ORACLE_SQL = {
     "op2_decontaminate": OP2_SQL,
