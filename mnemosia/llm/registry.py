@@ -6,6 +6,8 @@ from .bpe import op6_bpe
 from .decontaminate import ORACLE as OP2_SQL
 from .decontaminate import op2_decontaminate
 from .html_text import op1_html_text
+from .licences import ORACLE as OP7_SQL
+from .licences import op7_license_scan
 from .maxent import op10_maxent
 from .minhash import op9_minhash
 from .quality import ORACLE as OP5_SQL
@@ -20,6 +22,7 @@ QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op5_quality_rules": op5_quality_rules,
     "op6_bpe": op6_bpe,
+    "op7_license_scan": op7_license_scan,
     "op8_secret_scan": op8_secret_scan,
     "op9_minhash": op9_minhash,
     "op10_maxent": op10_maxent,
@@ -28,4 +31,5 @@ ORACLE_SQL = {
     "op2_decontaminate": OP2_SQL,
     "op4_url_filter": OP4_SQL,
     "op5_quality_rules": OP5_SQL,
+    "op7_license_scan": OP7_SQL,
 }
