@@ -13,12 +13,14 @@ from .minhash import op9_minhash
 from .quality import ORACLE as OP5_SQL
 from .quality import op5_quality_rules
 from .secrets import op8_secret_scan
+from .substrings import op3_substring_dedup
 from .url_filter import ORACLE as OP4_SQL
 from .url_filter import op4_url_filter
 
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_decontaminate": op2_decontaminate,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_quality_rules": op5_quality_rules,
     "op6_bpe": op6_bpe,
