@@ -4,13 +4,15 @@ Every text's set of word shingles gets a signature of K minima. Equal sets are
 one class. A class is posted under each (coordinate, value) pair. Two classes
 can share T or more of the K pairs only if they share one within their first
 K - T + 1 pairs in order of rising frequency (prefix merging), and a class with
-fewer than T pairs that any other class has cannot be linked at all (skipped).
+fewer than T pairs that any other class has cannot be linked at all (skipped). The full sets then
+tell how many of a class's shingles any other such class has; that bounds its
+intersections, exactly, and takes out classes and pairs that cannot reach 0.8.
 
 Pairs are not enumerated within a group. First, classes are offered one link
 each to a class they share postings with, links are confirmed on the full
 shingle sets, and connected components are formed; this repeats a few times.
-Then all pairs that share a prefix posting and still lie in different components
-are counted against T and confirmed. A pair within one component needs no look,
+Then the classes that still share postings with other components are compared on
+their full sets, rarest shingles first, without a probability. A pair within one component needs no look,
 since it cannot change the components, so nothing is lost by this order.
 
 With K = 64 and T = 36, a pair of similarity 0.8 is missed with probability 2e-6.
@@ -33,7 +35,7 @@ K, T = 64, 36
 SHINGLE = 4
 SIMILAR = (80, 100)
 #: Rounds in which a class is offered one link; what remains is compared pair by pair.
-ROUNDS = 3
+ROUNDS = 2
 _U = np.uint64
 
 
@@ -94,6 +96,24 @@ def prefix_postings(classes: DataFrame, k: int, t: int) -> DataFrame:
     return ranked.where(F.col("rank") <= F.col("shared") - t + 1).select("node", "n", "key")
 
 
+def _spread(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, end, texts in Texts.slices(batch.column(1), lower=True):
+                sets = list(shingle_sets(texts, n))
+                nodes = np.repeat(batch.column(0).slice(at, end - at).to_numpy(), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(sets).astype(np.int64))], ["node", "h"])
+
+    return run
+
+
+def shared_counts(texts: DataFrame, n: int = SHINGLE) -> DataFrame:
+    """node, s: how many of its shingles any other text of texts (node, text) has too."""
+    rows = texts.select("node", "text").mapInArrow(_spread(n), "node long, h long")
+    often = rows.groupBy("h").agg(F.count("*").alias("freq")).where("freq > 1").select("h")
+    return rows.join(often, "h").groupBy("node").agg(F.count("*").alias("s"))
+
+
 def _confirm(n: int):
     need, of = SIMILAR
 
@@ -143,37 +163,49 @@ def _relabel(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
     return postings.join(small(labels), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def _fits(a: str, b: str):
-    """Sizes that allow the similarity."""
+def _fits(n: str, s: str, m: str, r: str):
+    """Whether sets of n and m shingles, of which s and r are shared with anyone, can be similar
+    enough: their intersection must reach need / (need + of) of n + m, and is at most s and r."""
     need, of = SIMILAR
-    return (F.col(a) * of >= F.col(b) * need) & (F.col(b) * of >= F.col(a) * need)
+    return F.least(s, r) * (need + of) >= need * (F.col(n) + F.col(m))
 
 
 def _offers(postings: DataFrame) -> DataFrame:
     """a, b: for each class at most one class of another component with which it shares the most lists.
 
     A list offers its members of the least and the greatest component."""
-    ends = postings.groupBy("key").agg(F.min(F.struct("comp", "node", "n")).alias("lo"), F.max(F.struct("comp", "node", "n")).alias("hi")).where("lo.comp <> hi.comp")
+    ends = postings.groupBy("key").agg(F.min(F.struct("comp", "node", "n", "s")).alias("lo"), F.max(F.struct("comp", "node", "n", "s")).alias("hi")).where("lo.comp <> hi.comp")
     met = postings.join(ends, "key").withColumn("other", F.when(F.col("comp") != F.col("lo.comp"), F.col("lo")).otherwise(F.col("hi")))
-    met = met.select("node", "n", F.col("other.node").alias("b"), F.col("other.n").alias("m")).where(_fits("n", "m"))
+    met = met.select("node", "n", "s", F.col("other.node").alias("b"), F.col("other.n").alias("m"), F.col("other.s").alias("r")).where(_fits("n", "s", "m", "r"))
     votes = met.groupBy("node", "b").agg(F.count("*").alias("votes"))
     return votes.groupBy("node").agg(F.max(F.struct("votes", (-F.col("b")).alias("b"))).alias("best")).select(F.col("node").alias("a"), (-F.col("best.b")).alias("b"))
 
 
-def _rest(postings: DataFrame, sigs: DataFrame, t: int) -> DataFrame:
-    """a, b: every pair of classes in different components that shares a list and t pairs of signatures.
+def _rest(postings: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """a, b: every pair of classes in different components that may still be similar enough.
 
-    In each list the members outside its largest component meet all the members."""
-    sizes = postings.groupBy("key", "comp").agg(F.count("*").alias("size"))
-    major = sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("key", F.col("top.comp").alias("major"))
-    live = stored(postings.join(major, "key"), "live")
-    minor = live.where("comp <> major").select("key", F.col("node").alias("a"), F.col("n").alias("n"), F.col("comp").alias("own"))
-    other = live.select("key", F.col("node").alias("b"), F.col("n").alias("m"), "comp", "major")
-    pairs = minor.join(other, "key").where((F.col("own") != F.col("comp")) & ((F.col("comp") == F.col("major")) | (F.col("a") < F.col("b"))) & _fits("n", "m"))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    met = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
-    same = F.aggregate(F.zip_with("x", "y", lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, v: acc + v)
-    return met.where(same >= t).select("a", "b")
+    Classes whose lists hold several components are compared on their full sets, in order of
+    rising frequency: two similar sets share a shingle within the first n - ceil(0.8 n) + 1, and
+    what follows it bounds their intersection. In each list the members outside its largest
+    component meet all members."""
+    need, of = SIMILAR
+    lists = postings.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    nodes = stored(postings.join(lists, "key").select("node", "n", "comp").distinct(), "residue")
+    rows = texts.join(small(nodes.select("node")), "node", "left_semi").select("node", "text").mapInArrow(_spread(n), "node long, h long")
+    rows = stored(rows, "sets")
+    often = rows.groupBy("h").agg(F.count("*").alias("freq")).where("freq > 1")
+    ranked = rows.join(often, "h").join(small(nodes), "node")
+    own = Window.partitionBy("node")
+    # shingles that no other class has come first in the order
+    ranked = ranked.withColumn("rank", F.row_number().over(own.orderBy("freq", "h")) + F.col("n") - F.count("*").over(own))
+    prefix = stored(ranked.where(F.col("rank") <= F.floor(F.col("n") * (of - need) / of) + 1).select("h", "node", "n", "comp", (F.col("n") - F.col("rank") + 1).alias("s")), "prefix")
+    sizes = prefix.groupBy("h", "comp").agg(F.count("*").alias("size"))
+    major = sizes.groupBy("h").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("h", F.col("top.comp").alias("major"))
+    live = stored(prefix.join(major, "h"), "lists")
+    minor = live.where("comp <> major").select("h", F.col("node").alias("a"), "n", "s", F.col("comp").alias("own"))
+    other = live.select("h", F.col("node").alias("b"), F.col("n").alias("m"), F.col("s").alias("r"), "comp", "major")
+    pairs = minor.join(other, "h").where((F.col("own") != F.col("comp")) & ((F.col("comp") == F.col("major")) | (F.col("a") < F.col("b"))) & _fits("n", "s", "m", "r"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = K, t: int = T, n: int = SHINGLE) -> DataFrame:
@@ -194,12 +226,14 @@ def near_duplicates(docs: DataFrame, k: int = K, t: int = T, n: int = SHINGLE) -
     live = stored(postings.select("node").distinct(), "live")
     labels = None
     if not live.isEmpty():
-        sigs = stored(heads.join(small(live), "node", "left_semi").dropDuplicates(["node"]), "sigs")
         texts = stored(docs.withColumnRenamed("doc_id", "node").join(small(live), "node", "left_semi").dropDuplicates(["node"]), "texts")
+        need, of = SIMILAR
+        shared = stored(shared_counts(texts, n), "shared")
+        postings = stored(postings.join(small(shared), "node").where(F.col("s") * of >= F.col("n") * need), "postings")
         links = None
         for turn in range(ROUNDS + 1):
             marked = _relabel(postings, labels)
-            offered = _offers(marked) if turn < ROUNDS else _rest(marked, sigs, t)
+            offered = _offers(marked) if turn < ROUNDS else _rest(marked, texts, n)
             new = stored(confirmed(offered, texts, n), "links")
             if new.isEmpty():
                 if turn < ROUNDS:
