@@ -29,6 +29,10 @@ def _qualified(s: Column) -> tuple[Column, Column, Column]:
 
 def parse(s: Column) -> Column:
     """struct<raw, lower, upper, qualifier, valid>; the empty string and null are valid and have nothing."""
+    return F.element_at(F.transform(F.array(s), lambda x: _parse(x)), 1)
+
+
+def _parse(s: Column) -> Column:
     left, right = F.split_part(s, F.lit("/"), F.lit(1)), F.regexp_replace(s, r"^[^/]*/", "")
     open_left, open_right = left.isin("..", ""), right.isin("..", "")
     l, r, q = _qualified(left), _qualified(right), _qualified(s)

@@ -202,7 +202,8 @@ def finalize(entities: DataFrame, relationships: DataFrame, facts: DataFrame, kn
     kinds = kept.groupBy("doc", F.lower("name").alias("low")).agg(F.min_by("type", "seq").alias("kind"))
     rels = _renamed(_renamed(relationships, names, "source"), names, "target").withColumn("relation", aliased(F.col("relation"), RELATION_ALIASES))
     for side in ("source", "target"):
-        rels = rels.join(kinds.select("doc", F.col("low").alias(f"{side}_low"), F.col("kind").alias(f"{side}_kind")), (rels.doc == kinds.doc) & (F.lower(side) == F.col(f"{side}_low"))).drop(kinds.doc).drop(f"{side}_low")
+        named = kinds.select("doc", F.col("low").alias("_low"), F.col("kind").alias(f"{side}_kind"))
+        rels = rels.withColumn("_low", F.lower(side)).join(named, ["doc", "_low"]).drop("_low")
     current = F.col("is_current") if "is_current" in relationships.columns else F.lit(None).cast("boolean")
     rels = rels.withColumn(
         "relation",
@@ -215,7 +216,7 @@ def finalize(entities: DataFrame, relationships: DataFrame, facts: DataFrame, kn
     key = F.when(F.col("relation").isin(SYMMETRIC_RELATIONS), F.concat_ws("|", low, "relation", high)).otherwise(F.concat_ws("|", F.lower("source"), "relation", F.lower("target")))
     rels = first_by(rels.where(~bad), [F.col("doc"), key]).drop("source_kind", "target_kind")
     own = _renamed(facts, names, "subject").withColumn("property", aliased(F.col("property"), FACT_ALIASES)).where("subject <> ''")
-    own = own.join(kinds.select("doc", "low"), (own.doc == kinds.doc) & (F.lower("subject") == F.col("low")), "left_semi")
+    own = own.withColumn("low", F.lower("subject")).join(kinds.select("doc", "low"), ["doc", "low"], "left_semi").drop("low")
     return kept, rels.select(*relationships.columns), first_by(own, [F.col("doc"), F.lower("subject"), F.col("property")]).select(*facts.columns)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ COMPANY_SUFFIXES = [
 def normalize_label(c: Column) -> Column:
     out = F.lower(F.trim(c))
     for suffix in COMPANY_SUFFIXES:
-        out = F.when(out.endswith(suffix), out.substr(F.lit(1), F.length(out) - len(suffix))).otherwise(out)
+        out = F.regexp_replace(out, re.escape(suffix) + "$", "")
     return F.trim(out)
 
 

@@ -140,7 +140,7 @@ def graph_stats(spark, d):
 
 # --- search ------------------------------------------------------------------
 
-_QUERIES_SQL = """bq AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: strlen(x) >= 2))[1:2] AS q FROM benchmark),
+_QUERIES_SQL = """bq AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: strlen(x) >= 2)[1:2]) AS q FROM benchmark),
 dl AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: strlen(x) >= 2)) AS l FROM documents),
 dx AS (SELECT doc_id, len(l) AS size, unnest(l) AS lexeme FROM dl), qx AS (SELECT query_id, len(q) AS need, unnest(q) AS lexeme FROM bq),
 hits AS (SELECT query_id, doc_id, max(need)::DOUBLE / max(size) AS match FROM dx JOIN qx USING (lexeme) GROUP BY 1, 2 HAVING count(*) = max(need)),
@@ -152,7 +152,7 @@ def _doc_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bench_queries(spark: SparkSession, d: str) -> DataFrame:
-    words = text.tokens(F.col("text"))
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: F.octet_length(x) >= 2)
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, 1, 2), " ").alias("text"))
 
 
@@ -205,7 +205,7 @@ def hybrid_search(spark, d):
 
 @query(
     f"""WITH {_QUERIES_SQL}, c AS (SELECT * FROM ranked WHERE rank <= 20), b AS (SELECT doc_id, quality, toxic FROM labels),
-    s AS (SELECT c.query_id, c.doc_id, least(greatest(0.35 / c.rank + coalesce(CASE WHEN quality = 1 THEN 0.32 ELSE -0.18 END + least(1 + toxic, 4) * 0.05 + 0.5 * 0.08 + CASE WHEN toxic = 0 THEN 0.08 ELSE 0.0 END + 0.08, 0.0), -0.8), 0.8) AS belief FROM c LEFT JOIN b USING (doc_id))
+    s AS (SELECT c.query_id, c.doc_id, least(greatest(0.35 / c.rank + coalesce(CASE WHEN quality = 1 THEN 0.32 WHEN quality = 0 THEN -0.18 END + least(1 + toxic, 4) * 0.05 + 0.5 * 0.08 + CASE WHEN toxic = 0 THEN 0.08 ELSE 0.0 END + 0.08, 0.0), -0.8), 0.8) AS belief FROM c LEFT JOIN b USING (doc_id))
     SELECT query_id, doc_id, round(belief, 6) AS belief FROM s"""
 )
 def belief_aware_ranking(spark, d):
@@ -438,11 +438,11 @@ def _episodes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
 
 
 _EPISODES_SQL = """ev AS (SELECT 'ev:' || conv_id || ':' || turn AS id, 'ep:' || conv_id AS episode_id, CASE turn % 4 WHEN 0 THEN 'message' WHEN 1 THEN 'decision' WHEN 2 THEN 'task' ELSE 'outcome' END AS kind, turn % 3 = 0 AS pending,
-  TIMESTAMP '2024-01-01' + to_days(conv_id::INTEGER) + to_minutes(turn) AS at, 'customer:' || (conv_id % 20) AS node_id, role FROM conversations),
+  TIMESTAMP '2024-01-01' + to_days(conv_id::INTEGER) + to_minutes(turn) AS "at", 'customer:' || (conv_id % 20) AS node_id, role FROM conversations),
 ep AS (SELECT 'ep:' || conv_id AS episode_id, count(*) % 2 = 0 AS is_open FROM conversations GROUP BY 1)"""
 
 
-@query(f"WITH {_EPISODES_SQL} SELECT id, kind, at, node_id AS linked, string_agg(DISTINCT role, ',' ORDER BY role) AS roles FROM ev WHERE node_id IN ('customer:1', 'customer:3') GROUP BY 1, 2, 3, 4")
+@query(f"""WITH {_EPISODES_SQL} SELECT id, kind, "at", node_id AS linked, string_agg(DISTINCT role, ',' ORDER BY role) AS roles FROM ev WHERE node_id IN ('customer:1', 'customer:3') GROUP BY 1, 2, 3, 4""")
 def event_contexts(spark, d):
     ev, links, ep = _episodes(spark, d)
     ids = spark.createDataFrame([("customer:1",), ("customer:3",), ("customer:3",)], "id string")
@@ -450,13 +450,13 @@ def event_contexts(spark, d):
     return found.select("id", "kind", "at", F.array_join("linked_ids", ",").alias("linked"), F.array_join("roles", ",").alias("roles"))
 
 
-@query(f"WITH {_EPISODES_SQL}, c AS (SELECT DISTINCT ev.id, kind, at, CASE WHEN pending THEN 'pending' WHEN is_open THEN 'open' END AS s FROM ev JOIN ep USING (episode_id) WHERE node_id = 'customer:1' AND kind IN ('decision', 'task')) SELECT id, kind, s AS open_status FROM c WHERE s IS NOT NULL ORDER BY at DESC, id LIMIT 10")
+@query(f"""WITH {_EPISODES_SQL}, c AS (SELECT DISTINCT ev.id, kind, "at", CASE WHEN pending THEN 'pending' WHEN is_open THEN 'open' END AS s FROM ev JOIN ep USING (episode_id) WHERE node_id = 'customer:1' AND kind IN ('decision', 'task')) SELECT id, kind, s AS open_status FROM c WHERE s IS NOT NULL ORDER BY "at" DESC, id LIMIT 10""")
 def open_decisions(spark, d):
     ids = spark.createDataFrame([("customer:1",)], "id string")
     return recall.open_decisions(recall.event_contexts(*_episodes(spark, d), ids), 10).select("id", "kind", "open_status")
 
 
-@query(f"WITH {_EPISODES_SQL}, c AS (SELECT DISTINCT id, episode_id, kind, at, pending FROM ev WHERE node_id = 'customer:1') SELECT episode_id AS key, count(*) AS n_events, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, count(*) FILTER (kind IN ('decision', 'task') AND pending) AS n_open, arg_max(id, {{'a': at, 'i': id}}) AS latest_event FROM c GROUP BY 1 ORDER BY max(at) DESC, key LIMIT 10")
+@query(f"""WITH {_EPISODES_SQL}, c AS (SELECT DISTINCT id, episode_id, kind, "at", pending FROM ev WHERE node_id = 'customer:1') SELECT episode_id AS key, count(*) AS n_events, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, count(*) FILTER (kind IN ('decision', 'task') AND pending) AS n_open, arg_max(id, {{'a': "at", 'i': id}}) AS latest_event FROM c GROUP BY 1 ORDER BY max("at") DESC, key LIMIT 10""")
 def recent_episodes(spark, d):
     ids = spark.createDataFrame([("customer:1",)], "id string")
     found = recall.recent_episodes(recall.event_contexts(*_episodes(spark, d), ids), 10)
@@ -591,13 +591,13 @@ def node_search_text(spark, d):
     return nodes(spark, d).where("type = 'customer'").select("id", text.search_text(F.col("label"), F.col("type"), F.col("properties")).alias("search_text"))
 
 
-@query("SELECT o_orderkey, o_orderdate::DATE - INTERVAL 1 YEAR < TIMESTAMP '1995-01-01' AS early, CASE o_orderkey % 3 WHEN 0 THEN 'approximate' WHEN 1 THEN 'exact' ELSE 'range' END AS qualifier, CASE o_orderkey % 3 WHEN 0 THEN (o_orderdate - INTERVAL 1 YEAR)::DATE WHEN 1 THEN o_orderdate::DATE ELSE make_date(year(o_orderdate), 1, 1) END AS lower FROM orders WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)")
+@query("SELECT o_orderkey, o_orderdate::DATE - INTERVAL 1 YEAR < TIMESTAMP '1995-01-01' AS early, CASE o_orderkey % 3 WHEN 0 THEN 'approximate' WHEN 1 THEN 'exact' ELSE 'range' END AS qualifier, CASE o_orderkey % 3 WHEN 0 THEN (o_orderdate - INTERVAL 1 YEAR)::DATE WHEN 1 THEN o_orderdate::DATE ELSE make_date(year(o_orderdate), 1, 1) END::VARCHAR AS lower FROM orders WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)")
 def fuzzy_dates(spark, d):
     o = table(spark, d, "orders").where("NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)")
     day, year = F.date_format("o_orderdate", "yyyy-MM-dd"), F.date_format("o_orderdate", "yyyy")
     raw = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("~"), day)).when(F.col("o_orderkey") % 3 == 1, day).otherwise(F.concat(year, F.lit("/..")))
     p = o.withColumn("e", edtf.parse(raw))
-    return p.select("o_orderkey", (F.add_months(F.col("o_orderdate").cast("date"), -12) < F.lit("1995-01-01").cast("date")).alias("early"), "e.qualifier", "e.lower")
+    return p.select("o_orderkey", (F.add_months(F.col("o_orderdate").cast("date"), -12) < F.lit("1995-01-01").cast("date")).alias("early"), "e.qualifier", F.col("e.lower").cast("string").alias("lower"))
 
 
 @query("WITH s AS (SELECT user_id::VARCHAR AS tenant, event_id AS change_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, count(*) OVER (PARTITION BY user_id) AS last FROM events) SELECT tenant, change_id, seq FROM s WHERE seq > last - 5 AND ts >= TIMESTAMP '2024-01-31' - INTERVAL 10 DAY")
