@@ -79,12 +79,13 @@ def candidates(index: DataFrame, probes: DataFrame) -> DataFrame:
     first = small(probes.where("rank = 1").drop("rank"))
     found = index.join(first, "term").select("doc_key", (F.col("pos") - F.col("offset")).alias("start"), "window_id", "width").where("start >= 0")
     # a document has as many starts of a window as of its rarest term; further lists only thin them out
-    second = probes.where("rank > 1").select("window_id", F.col("term").alias("t2"), F.col("offset").alias("o2"))
+    # each further list sets its own bit, so that equal rows, whose postings repeat, count once
+    second = probes.where("rank > 1").select("window_id", F.col("term").alias("t2"), F.col("offset").alias("o2"), F.expr("shiftleft(1L, rank)").alias("bit"))
     thin = found.join(small(second), "window_id", "left")
     there = index.select(F.col("term").alias("t2"), "doc_key", F.col("pos").alias("p2"))
     ok = thin.where("t2 IS NOT NULL").withColumn("p2", F.col("start") + F.col("o2")).join(there, ["t2", "doc_key", "p2"], "left_semi")
-    need = second.groupBy("window_id").agg(F.count("*").alias("need"))
-    checked = ok.groupBy("doc_key", "start", "window_id", "width").agg(F.count("*").alias("got")).join(small(need), "window_id").where("got = need").drop("got", "need")
+    need = second.groupBy("window_id").agg(F.bit_or("bit").alias("need"))
+    checked = ok.groupBy("doc_key", "start", "window_id", "width").agg(F.bit_or("bit").alias("got")).join(small(need), "window_id").where("got = need").drop("got", "need")
     return thin.where("t2 IS NULL").select(*checked.columns).unionByName(checked)
 
 
