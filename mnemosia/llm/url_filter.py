@@ -52,7 +52,7 @@ def host_rule(verdict: str, host: str, path: str) -> tuple:
 
 def label_rule(label: str) -> tuple:
     """Blocks hosts that have the label; comes after every host rule."""
-    return (f"label:{label}", "block", rf"^(?:[^/?#\n]*\.)?{re.escape(label)}\.", [label], 0)
+    return (f"label:{label}", "block", rf"^(?:[^/?#\n]*\.)?{re.escape(label)}[.\n]", [label], 0)
 
 
 def host_of(url: Column) -> Column:
