@@ -143,30 +143,43 @@ def features(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.stack([(mix(k) & _U(BUCKETS - 1)).astype(np.uint16) for k in keys])
 
 
-def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """tokens x CLASSES natural logs."""
-    z = weights[rows[0]]
+def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """tokens x CLASSES sums of the features' weights, less each token's largest."""
+    z, other = np.take(weights, rows[0], axis=0), np.empty((rows.shape[1], CLASSES), np.float32)
     for r in rows[1:]:
-        z += weights[r]
+        z += np.take(weights, r, axis=0, out=other, mode="clip")
     z += bias
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    z -= z.T.copy().max(axis=0)[:, None]
     return z
 
 
+_ONES = np.ones(CLASSES, np.float32)
+
+
+def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The natural log of each token's own class's probability."""
+    z = _logits(weights, bias, rows)
+    own = z[np.arange(len(y)), y]
+    return own - np.log(np.exp(z, out=z) @ _ONES)
+
+
 def _step(weights, bias, seen, rows, y) -> None:
     """One AdaGrad step; `seen` sums each row's mean squared gradient."""
-    grad = np.exp(log_softmax(weights, bias, rows))
+    grad = _logits(weights, bias, rows)
+    np.exp(grad, out=grad)
+    grad /= (grad @ _ONES)[:, None]
     grad[np.arange(len(y)), y] -= 1
     bias -= RATE * grad.mean(axis=0)
+    sorted_grad = np.empty_like(grad)
     for r in rows:
         order = np.argsort(r, kind="stable")
         own = r[order]
         at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        g = np.add.reduceat(grad[order], at, axis=0)
+        g = np.add.reduceat(np.take(grad, order, axis=0, out=sorted_grad, mode="clip"), at, axis=0)
         u = own[at]
-        seen[u] += (g * g).mean(axis=1)
-        weights[u] -= (RATE / FEATURES) * g * np.sqrt(CLASSES / 8.0) / np.sqrt(seen[u] * CLASSES / 8.0 + 1.0)[:, None]
+        seen[u] += np.einsum("ij,ij->i", g, g) / np.float32(CLASSES)
+        g *= (RATE / FEATURES * math.sqrt(CLASSES / 8) / np.sqrt(seen[u] * np.float32(CLASSES / 8) + np.float32(1)))[:, None].astype(np.float32)
+        weights[u] -= g
 
 
 def _unpack(model: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -238,8 +251,7 @@ def _score(shared):
                 y, rows, c = vocab.classes(h, ending), features(h, bounds), vocab.known(h)
                 p = np.empty(len(h))
                 for k in range(0, len(h), BATCH):
-                    z = log_softmax(weights, bias, rows[:, k : k + BATCH])
-                    p[k : k + BATCH] = z[np.arange(len(z)), y[k : k + BATCH]]
+                    p[k : k + BATCH] = log_softmax(weights, bias, rows[:, k : k + BATCH], y[k : k + BATCH])
                 p = p / math.log(10) - vocab.log_mass[y]
                 hot = c > 0
                 sums = np.add.reduceat(np.where(hot, np.log10(c + 0.5), 0.0), bounds[:-1])
