@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import arrow_map, table
 
 TOKENIZER = "word_bpe_49k.json"
 #: Characters of a run, and of a word's leaf, that are encoded in one piece.
@@ -256,7 +256,7 @@ def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> DataFr
         spec = docs.sparkSession.sparkContext.broadcast(file.read())  # as large as the vocabulary
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     long = F.coalesce(F.col("text").rlike(rf"[^\x20\x09-\x0D]{{{leaf + 1}}}"), F.lit(False))
-    short = docs.where(~long).mapInArrow(_encode_short(spec), "doc_id long, ids string, decoded string")
+    short = arrow_map(docs.where(~long), _encode_short(spec), "doc_id long, ids string, decoded string")
     whole = docs.where(long).groupBy("doc_id", "text").agg(F.count("*").alias("times")).withColumn("doc_key", F.sha2(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text"), 256))
     pieces = whole.select("doc_key", "text").mapInPandas(_cut(spec, leaf), "doc_key string, seq long, part long, parts long, piece string, ids array<int>")
     leaves = pieces.repartition("doc_key", "seq").mapInPandas(_encode_leaves(spec), "doc_key string, seq long, part long, parts long, ids array<int>")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 #: Rows up to which a narrow table (a few longs a row) is broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 
+#: Rows of whole texts that Spark hands to Python at once; a task holds one such batch, and its copy in Arrow.
+ARROW_ROWS = 1_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,6 +49,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def arrow_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow with batches of whole texts that stay small: sets the session's limit where it is larger."""
+    conf = df.sparkSession.conf
+    limit = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if limit <= 0 or limit > ARROW_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    return df.mapInArrow(function, schema)
+
+
 def lower_ascii(c):
     """A-Z to a-z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

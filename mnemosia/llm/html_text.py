@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import arrow_map, table
 
 _TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|([^<]+|<)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -253,7 +253,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) of every row of pages (page_id, url, html; other columns are ignored).
 
     Rows are independent, so nothing is shuffled; repeated rows stay repeated."""
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_extract_batches, "page_id long, url string, text string, n_chars long")
+    return arrow_map(pages.select(F.col("page_id").cast("long"), "url", "html"), _extract_batches, "page_id long, url string, text string, n_chars long")
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

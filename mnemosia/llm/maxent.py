@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import arrow_map, stored, table
 from .textnp import Texts, mix
 
 _U = np.uint64
@@ -78,7 +78,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def token_counts(docs: DataFrame) -> DataFrame:
     """h, ending, c: every token's count over the texts of docs; tasks sum their own first."""
-    return docs.select("text").mapInArrow(_count, "h long, ending int, c long").groupBy("h", "ending").agg(F.sum("c").alias("c"))
+    return arrow_map(docs.select("text"), _count, "h long, ending int, c long").groupBy("h", "ending").agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -229,7 +229,7 @@ def train(docs: DataFrame, vocab: Vocabulary, epochs: int = EPOCHS) -> bytes:
     for _ in range(epochs):
         shared = spark.sparkContext.broadcast((vocab, model))
         schema = "block int, part int, tokens long, weights binary"
-        own = docs.select("text").mapInArrow(_train(shared), schema)
+        own = arrow_map(docs.select("text"), _train(shared), schema)
         some = own.groupBy("block", "part").applyInPandas(_add(["block", "part"]), schema)
         done = some.groupBy("block").applyInPandas(_add(["block"]), "block int, tokens long, weights binary").orderBy("block").collect()
         if not done:
@@ -278,7 +278,7 @@ def lm_score(docs: DataFrame, epochs: int = EPOCHS, hot: int = HOT) -> DataFrame
     vocab = vocabulary(counts, hot)
     shared = spark.sparkContext.broadcast((vocab, train(learned, vocab, epochs)))
     schema = "doc_id long, held_out boolean, n_tokens long, n_hot long, hot_sum double, class_sum double, cold array<long>"
-    rows = stored(docs.mapInArrow(_score(shared), schema).withColumn("row", F.monotonically_increasing_id()), "rows")
+    rows = stored(arrow_map(docs, _score(shared), schema).withColumn("row", F.monotonically_increasing_id()), "rows")
     # the other tokens meet their counts in a shuffle; a text's repeats of one go as one row
     cold = rows.select("row", F.explode("cold").alias("h")).groupBy("row", "h").agg(F.count("*").alias("n"))
     met = cold.join(counts.select("h", "c"), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))

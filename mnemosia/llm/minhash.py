@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small, stored, table
+from .common import arrow_map, small, stored, table
 from .textnp import Texts, mix, ngrams
 
 K, T = 64, 36
@@ -82,7 +82,7 @@ def _signatures(k: int, n: int):
 
 def signatures(docs: DataFrame, k: int = K, n: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, f1, f2 (together a 128-bit fingerprint of the set), sig, for each row of docs (doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_signatures(k, n), "doc_id long, n_shingles long, f1 long, f2 long, sig array<int>")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), _signatures(k, n), "doc_id long, n_shingles long, f1 long, f2 long, sig array<int>")
 
 
 def prefix_postings(classes: DataFrame, k: int, t: int) -> DataFrame:
@@ -109,7 +109,7 @@ def _spread(n: int):
 
 def shared_counts(texts: DataFrame, n: int = SHINGLE) -> DataFrame:
     """node, s: how many of its shingles any other text of texts (node, text) has too."""
-    rows = texts.select("node", "text").mapInArrow(_spread(n), "node long, h long")
+    rows = arrow_map(texts.select("node", "text"), _spread(n), "node long, h long")
     often = rows.groupBy("h").agg(F.count("*").alias("freq")).where("freq > 1").select("h")
     return rows.join(often, "h").groupBy("node").agg(F.count("*").alias("s"))
 
@@ -137,7 +137,7 @@ def _confirm(n: int):
 def confirmed(pairs: DataFrame, texts: DataFrame, n: int = SHINGLE) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough; texts has node, text of every class in pairs."""
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
-    return both.select("a", "left", "b", "right").mapInArrow(_confirm(n), "a long, b long, ok boolean").where("ok").select("a", "b")
+    return arrow_map(both.select("a", "left", "b", "right"), _confirm(n), "a long, b long, ok boolean").where("ok").select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def _rest(postings: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     need, of = SIMILAR
     lists = postings.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     nodes = stored(postings.join(lists, "key").select("node", "n", "comp").distinct(), "residue")
-    rows = texts.join(small(nodes.select("node")), "node", "left_semi").select("node", "text").mapInArrow(_spread(n), "node long, h long")
+    rows = arrow_map(texts.join(small(nodes.select("node")), "node", "left_semi").select("node", "text"), _spread(n), "node long, h long")
     rows = stored(rows, "sets")
     often = rows.groupBy("h").agg(F.count("*").alias("freq")).where("freq > 1")
     ranked = rows.join(often, "h").join(small(nodes), "node")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import arrow_map, table
 from .textnp import Texts, ngrams
 
 WINDOW = 8
@@ -81,14 +81,20 @@ def _measure(texts: Texts) -> dict[str, list[int]]:
 
 
 def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> doc_id and the measures."""
     for batch in batches:
-        text = batch.schema.get_field_index("text")
-        for at, end, texts in Texts.slices(batch.column(text)):
-            rows = batch.slice(at, end - at)
-            columns = [c for k, c in enumerate(rows.columns) if k != text]
-            names = [x for x in batch.schema.names if x != "text"]
+        for at, end, texts in Texts.slices(batch.column(1)):
             measures = _measure(texts)
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(measures[m], pa.int64()) for m in MEASURES], names + MEASURES)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), *[pa.array(measures[m], pa.int64()) for m in MEASURES]], ["doc_id", *MEASURES])
+
+
+def _measure_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row with a field text) -> row and the measures."""
+    for batch in batches:
+        rows = batch.column(0)
+        for at, end, texts in Texts.slices(rows.field("text")):
+            measures = _measure(texts)
+            yield pa.RecordBatch.from_arrays([rows.slice(at, end - at), *[pa.array(measures[m], pa.int64()) for m in MEASURES]], ["row", *MEASURES])
 
 
 def rule_ledger(docs: DataFrame) -> DataFrame:
@@ -96,7 +102,7 @@ def rule_ledger(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no words. Repeated rows stay repeated."""
     schema = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
-    measured = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_measure_batches, schema)
+    measured = arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), _measure_batches, schema)
     bits = F.lit(0).cast("long")
     for name, failed in RULES:
         bits = bits.bitwiseOR(F.when(F.expr(failed), F.lit(BIT[name]).cast("long")).otherwise(F.lit(0).cast("long")))
@@ -138,9 +144,9 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str, policy: str = "v1") -> D
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, policy: str = "v1") -> DataFrame:
     """The rows of docs that the policy keeps, with their columns; each row is judged on its own text."""
     names = [f for f in docs.columns]
-    packed = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.col("text"))
+    packed = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"))
     schema = f"row {packed.schema['row'].dataType.simpleString()}, " + ", ".join(f"{m} long" for m in MEASURES)
-    measured = packed.mapInArrow(_measure_batches, schema)
+    measured = arrow_map(packed, _measure_rows, schema)
     bits = F.lit(0).cast("long")
     for name, failed in RULES:
         bits = bits.bitwiseOR(F.when(F.expr(failed), F.lit(BIT[name]).cast("long")).otherwise(F.lit(0).cast("long")))

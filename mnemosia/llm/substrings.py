@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small, stored, table
+from .common import arrow_map, small, stored, table
 from .textnp import Texts, mix, ngrams
 
 K, W = 8, 12
@@ -204,12 +204,12 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_equal: fl
     is its length, at least min_words. Null and empty texts and rows with a null doc_id
     have none; rows that repeat a doc_id with the same text count once."""
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    prints = stored(docs.mapInArrow(_fingerprints, "doc_id long, n_words long, f1 long, f2 long").where("n_words > 0").distinct(), "prints")
+    prints = stored(arrow_map(docs, _fingerprints, "doc_id long, n_words long, f1 long, f2 long").where("n_words > 0").distinct(), "prints")
     classes = prints.groupBy("f1", "f2", "n_words").agg(F.min("doc_id").alias("node"), F.count("*").alias("size"))
     copied = stored(prints.join(classes.where("size > 1"), ["f1", "f2", "n_words"]).where("doc_id <> node").select("doc_id", "node", "n_words"), "copies")
     # the others' texts go on; a copy's doc_id may stand in another class only if doc_ids repeat
     heads = docs.join(small(copied.select("doc_id").distinct()), "doc_id", "left_anti").withColumnRenamed("doc_id", "node")
-    seeds = stored(heads.mapInArrow(_seeds, "seed long, node long, pos int"), "seeds")
+    seeds = stored(arrow_map(heads, _seeds, "seed long, node long, pos int"), "seeds")
     hubs = seeds.groupBy("seed").agg(F.min(F.struct("node", "pos")).alias("first"), F.max("node").alias("last")).where("first.node < last")
     matches = seeds.join(hubs.select("seed", F.col("first.node").alias("hub"), F.col("first.pos").alias("hub_pos")), "seed").where("node <> hub")
     grouped = matches.groupBy("node", "hub").agg(F.collect_list(F.struct("pos", "hub_pos")).alias("places"))
@@ -221,7 +221,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_equal: fl
     )
     wanted = stored(ask.select("node").distinct(), "wanted")
     texts = stored(heads.join(small(wanted), "node", "left_semi").dropDuplicates(["node"]), "texts")
-    sides = ask.join(texts, "node").mapInArrow(_cut, "chain long, side int, start int, words binary")
+    sides = arrow_map(ask.join(texts, "node"), _cut, "chain long, side int, start int, words binary")
     a = sides.where("side = 0").select("chain", F.col("start").alias("a0"), F.col("words").alias("a"))
     b = sides.where("side = 1").select("chain", F.col("start").alias("b0"), F.col("words").alias("b"))
     both = chained.join(a, "chain").join(b, "chain")
