@@ -211,7 +211,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_equal: fl
     heads = docs.join(small(copied.select("doc_id").distinct()), "doc_id", "left_anti").withColumnRenamed("doc_id", "node")
     seeds = stored(arrow_map(heads, _seeds, "seed long, node long, pos int"), "seeds")
     hubs = seeds.groupBy("seed").agg(F.min(F.struct("node", "pos")).alias("first"), F.max("node").alias("last")).where("first.node < last")
-    matches = seeds.join(hubs.select("seed", F.col("first.node").alias("hub"), F.col("first.pos").alias("hub_pos")), "seed").where("node <> hub")
+    # stored, so that tasks sum their own seeds first and the join can split a seed that very many texts have
+    hubs = stored(hubs.select("seed", F.col("first.node").alias("hub"), F.col("first.pos").alias("hub_pos")), "hubs")
+    matches = seeds.join(hubs, "seed").where("node <> hub")
     grouped = matches.groupBy("node", "hub").agg(F.collect_list(F.struct("pos", "hub_pos")).alias("places"))
     chained = grouped.mapInArrow(_chain_batches, "node long, hub long, pos array<int>, hub_pos array<int>")
     chained = stored(chained.withColumn("chain", F.monotonically_increasing_id()), "chains")
