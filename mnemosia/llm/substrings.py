@@ -7,7 +7,8 @@ occurrence, its hub, which is linear in the number of occurrences however common
 the seed is. The matches of one text with one hub text are chained: both
 positions rise along a chain, each seed earns K, and skipped words cost; a
 Fenwick tree over the hub's positions finds each match's best predecessor. The
-words of both sides of a chain are then aligned and extended at the ends.
+words of both sides of a chain are then aligned and extended at the ends, and every
+stretch of it with enough equal words is kept.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from .common import arrow_map, small, stored, table
 from .textnp import Texts, mix, ngrams
 
 K, W = 8, 12
-#: Cost of a skipped word on either side; a chain ends where a gap costs more than a seed earns.
+#: Cost of a skipped word on either side; a chain ends where a gap costs more than the chain has earned, and is split after alignment.
 GAP_COST = 0.05
 #: Least words of a repeated passage, and share of them that must be equal.
 MIN_WORDS, MIN_EQUAL = 50, 0.8
@@ -31,6 +32,8 @@ MIN_WORDS, MIN_EQUAL = 50, 0.8
 MIN_PIECE = 20
 #: Words by which a chain may grow at each end: what lies before its first seed or after its last.
 REACH = K + W
+#: Cells of an alignment that are held at once.
+CELLS = 1 << 20
 _U = np.uint64
 
 
@@ -141,45 +144,132 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(cols["chain"], pa.int64()), pa.array(cols["side"], pa.int32()), pa.array(start, pa.int32()), pa.array(cut, pa.binary())], ["chain", "side", "start", "words"])
 
 
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    """Words in a longest common subsequence."""
-    if len(a) == len(b) and (a == b).all():
-        return len(a)
+def _last_row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Words in longest common subsequences of a and every prefix of b."""
     row = np.zeros(len(b) + 1, np.int64)
     for x in a:
-        up = np.maximum(row[1:], row[:-1] + (b == x))
-        row[1:] = np.maximum.accumulate(up)
-    return int(row[-1])
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))
+    return row
+
+
+def matched(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """The places in a and b of a longest common subsequence's words."""
+    n = min(len(a), len(b))
+    same = a[:n] == b[:n]
+    head = n if same.all() else int(same.argmin())
+    same = a[head:][::-1][: n - head] == b[head:][::-1][: n - head]
+    tail = n - head if same.all() else int(same.argmin())
+    out = [(k, k) for k in range(head)]
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    if len(x) > 1 and len(x) * len(y) > CELLS:  # halves of x with their shares of y, so that memory is linear
+        m = len(x) // 2
+        cut = int((_last_row(x[:m], y) + _last_row(x[m:][::-1], y[::-1])[::-1]).argmax())
+        out += [(head + i, head + j) for i, j in matched(x[:m], y[:cut])] + [(head + m + i, head + cut + j) for i, j in matched(x[m:], y[cut:])]
+    elif len(x) and len(y):
+        rows = np.zeros((len(x) + 1, len(y) + 1), np.int32)
+        for i, w in enumerate(x):
+            rows[i + 1, 1:] = np.maximum.accumulate(np.maximum(rows[i, 1:], rows[i, :-1] + (y == w)))
+        inner, i, j = [], len(x), len(y)
+        while rows[i, j]:
+            if rows[i, j] == rows[i - 1, j]:
+                i -= 1
+            elif rows[i, j] == rows[i, j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                inner.append((head + i, head + j))
+        out += inner[::-1]
+    return out + [(len(a) - tail + k, len(b) - tail + k) for k in range(tail)]
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Words in a longest common subsequence."""
+    return len(matched(a, b))
 
 
-def align(a: np.ndarray, b: np.ndarray, pos: list[int], there: list[int]) -> tuple[int, int, int, int, int]:
-    """(a from, a to, b from, b to, equal words) of a chain whose seeds stand at pos in a and at there in b.
+def equal_runs(a: np.ndarray, b: np.ndarray, pos: list[int], there: list[int], skips: bool) -> np.ndarray:
+    """Rows (a from, b from, words, seeds): the runs of equal words along a chain whose seeds stand at pos in a and at there in b.
 
-    Between seeds the words are aligned; at the ends, equal words are added, and a
-    changed word is passed over while three or more of the next four are equal."""
-    equal, i, j = 0, pos[0], there[0]
+    Between seeds the words are aligned. Before the first seed and after the last, a word
+    meets the one at the same distance, or with `skips` they are aligned too."""
+    out: list[list[int]] = []
+
+    def add(p: int, q: int, n: int, seeds: int) -> None:
+        if n and out and out[-1][0] + out[-1][2] == p and out[-1][1] + out[-1][2] == q:
+            out[-1][2] += n
+            out[-1][3] += seeds
+        elif n:
+            out.append([p, q, n, seeds])
+
+    def meet(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+        if skips:
+            return matched(x, y)
+        n = min(len(x), len(y))
+        return [(k, k) for k in np.flatnonzero(x[:n] == y[:n]).tolist()]
+
+    i, j = pos[0], there[0]
+    for x, y in reversed(meet(a[:i][::-1], b[:j][::-1])):
+        add(i - 1 - x, j - 1 - y, 1, 0)
     for p, q in zip(pos, there):
         if p >= i and q >= j:
-            equal += common(a[i:p], b[j:q]) + K
-            i, j = p + K, q + K
+            for x, y in matched(a[i:p], b[j:q]):
+                add(i + x, j + y, 1, 0)
+            n = K
         else:  # it overlaps the seed before
-            step = max(0, min(p + K - i, q + K - j))
-            equal += step
-            i, j = i + step, j + step
-    lo, lo2 = pos[0], there[0]
+            n = max(0, min(p + K - i, q + K - j))
+        add(p + K - n, q + K - n, n, 1)
+        i, j = max(i, p + K), max(j, q + K)
+    for x, y in meet(a[i:], b[j:]):
+        add(i + x, j + y, 1, 0)
+    return np.array(out, np.int64)
+
+
+def passing(runs: np.ndarray, min_equal: float) -> list[tuple[int, int]]:
+    """(first run, last run) of every stretch with enough equal words on both sides that is in no longer one."""
+    p, q, n = runs[:, 0], runs[:, 1], runs[:, 2]
+    done = np.cumsum(n)
+    # a stretch passes if neither side's surplus of equal words falls along it
+    from_a, from_b = done - n - min_equal * p - 1e-6, done - n - min_equal * q - 1e-6
+    to_a, to_b = done - min_equal * (p + n), done - min_equal * (q + n)
+    out, best = [], -1
+    for i in range(len(runs)):
+        at = max(best + 1, i)
+        ends = np.flatnonzero((to_a[at:] >= from_a[i]) & (to_b[at:] >= from_b[i]))
+        if len(ends):
+            best = at + int(ends[-1])
+            out.append((i, best))
+            if best == len(runs) - 1:
+                break
+    return out
 
-    def grow(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
-        n = min(len(x), len(y))
-        same = x[:n] == y[:n]
-        t = 0
-        while t < n and (same[t] or same[t + 1 : t + 5].sum() >= 3):
-            t += 1
-        return t, int(same[:t].sum())
 
-    t, e = grow(a[i:], b[j:])
-    i, j, equal = i + t, j + t, equal + e
-    t, e = grow(a[:lo][::-1], b[:lo2][::-1])
-    return lo - t, i, lo2 - t, j, equal + e
+def align(a: np.ndarray, b: np.ndarray, pos: list[int], there: list[int], min_words: int = MIN_WORDS, min_equal: float = MIN_EQUAL) -> list[tuple[int, int, int, int, int, int]]:
+    """(a from, a to, b from, b to, equal words, seeds) of every piece of a chain that has enough equal words by itself.
+
+    A chain over two passages with other words between gives both. What lies outside a
+    piece's seeds is left off where it lowers the share of equal words, unless the piece
+    needs it to have min_words. Pieces may overlap."""
+    found: list[tuple[int, int, int, int, int, int]] = []
+    for skips in (False, True):
+        runs = equal_runs(a, b, pos, there, skips)
+        p, q, n = runs[:, 0], runs[:, 1], runs[:, 2]
+        done = np.concatenate([[0], np.cumsum(n)])
+        pieces = set()
+        for i, j in passing(runs, min_equal):
+            seeded = i + np.flatnonzero(runs[i : j + 1, 3])
+            u, v = i, j
+            if len(seeded):
+                s, e = int(seeded[0]), int(seeded[-1])
+                left, right = np.arange(i, s + 1), np.arange(e, j + 1)
+                u = i + int((done[s] - done[left] - min_equal * np.maximum(p[s] - p[left], q[s] - q[left])).argmax())
+                v = e + int((done[right + 1] - done[e + 1] - min_equal * np.maximum(p[right] + n[right] - p[e] - n[e], q[right] + n[right] - q[e] - n[e])).argmax())
+            if p[v] + n[v] - p[u] < min_words <= p[j] + n[j] - p[i]:
+                u, v = i, j
+            pieces.add((int(p[u]), int(p[v] + n[v]), int(q[u]), int(q[v] + n[v]), int(done[v + 1] - done[u]), int(runs[u : v + 1, 3].sum())))
+        found = sorted(pieces)
+        if any(x[1] - x[0] >= min_words for x in found):
+            break
+    return found
 
 
 def _align_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,8 +279,8 @@ def _align_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             out = []
             for node, hub, pos, there, a0, a, b0, b in zip(*(d[n] for n in ("node", "hub", "pos", "hub_pos", "a0", "a", "b0", "b"))):
                 x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-                lo, hi, lo2, hi2, equal = align(x, y, [p - a0 for p in pos], [q - b0 for q in there])
-                out.append((node, hub, a0 + lo, a0 + hi, b0 + lo2, b0 + hi2, equal, len(pos)))
+                for lo, hi, lo2, hi2, equal, seeds in align(x, y, [p - a0 for p in pos], [q - b0 for q in there]):
+                    out.append((node, hub, a0 + lo, a0 + hi, b0 + lo2, b0 + hi2, equal, seeds))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(8)], ["node", "hub", "start", "end", "hub_start", "hub_end", "n_equal", "n_seeds"])
 
 

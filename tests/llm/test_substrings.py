@@ -81,6 +81,28 @@ def test_a_passage_that_many_texts_share(spark):
     assert all(r.source_doc < r.doc_id for r in got)
 
 
+def test_two_passages_in_the_same_two_texts(spark):
+    for between in (40, 90, 300):
+        rng = random.Random(between)
+        one, two = words(rng, 60, "p"), words(rng, 60, "q")
+        rows = [(k, " ".join(one + words(rng, between, "x") + two + words(rng, 30, "y"))) for k in (1, 2)]
+        got = S.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id, r.start, r.end, r.source_start, r.n_equal) for r in got) == [(2, 0, 60, 0, 60), (2, 60 + between, 120 + between, 60 + between, 60)]
+
+
+def test_stretches_with_enough_equal_words():
+    rng = random.Random(6)
+    for _ in range(300):
+        p, q, runs = 0, 0, []
+        for _ in range(rng.randrange(1, 9)):
+            n = rng.randrange(1, 20)
+            runs.append((p, q, n, 1))
+            p, q = p + n + rng.randrange(8), q + n + rng.randrange(8)
+        good = [(i, j) for i in range(len(runs)) for j in range(i, len(runs)) if 5 * sum(r[2] for r in runs[i : j + 1]) >= 4 * max(runs[j][k] + runs[j][2] - runs[i][k] for k in (0, 1))]
+        longest = [x for x in good if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in good)]
+        assert S.passing(np.array(runs), 0.8) == longest
+
+
 def test_empty_table_and_other_columns(spark):
     text = " ".join(f"w{k}" for k in range(70))
     docs = spark.createDataFrame([(1, text, 1, "x"), (1, text, 1, "x"), (None, text, 1, "x"), (2, text, 1, "x")], "doc_id long, text string, seed int, node string")
