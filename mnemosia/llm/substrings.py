@@ -1,8 +1,7 @@
 """Substring dedup: fuzzy passages by collinear chaining of shared seeds.
 
-Seeds are hashes of K consecutive words, thinned by winnowing: of every W
-consecutive ones the least is taken, so that a run of K + W - 1 equal words
-always shares one. Every seed that several texts have is joined with its first
+Seeds are hashes of all K consecutive words, so that a run of K equal words always
+shares one. Every seed that several texts have is joined with its first
 occurrence, its hub, which is linear in the number of occurrences however common
 the seed is. The matches of one text with one hub text are chained: both
 positions rise along a chain, each seed earns K, and skipped words cost; a
@@ -23,28 +22,21 @@ from pyspark.sql import functions as F
 from .common import arrow_map, small, stored, table
 from .textnp import Texts, mix, ngrams
 
-K, W = 8, 12
+K = 8
 #: Cost of a skipped word on either side; a chain ends where a gap costs more than the chain has earned, and is split after alignment.
 GAP_COST = 0.05
 #: Least words of a repeated passage, and share of them that must be equal.
 MIN_WORDS, MIN_EQUAL = 50, 0.8
 #: Least words of a piece of a passage whose pieces have different hubs.
 MIN_PIECE = 20
-#: Words by which a chain may grow at each end: what lies before its first seed or after its last.
-REACH = K + W
+#: Words by which a chain may grow at each end at first: what lies before its first seed or after its last.
+#: A chain that grows to NEAR words from there gets FURTHER times as many.
+REACH, NEAR, FURTHER = 64, 32, 8
 #: Cells of an alignment that are held at once.
 CELLS = 1 << 20
 _U = np.uint64
 
 
-def winnow(grams: np.ndarray, w: int = W) -> np.ndarray:
-    """Positions of the least of every w consecutive values (of all, if they are fewer)."""
-    if len(grams) <= w:
-        return np.array([grams.argmin()]) if len(grams) else np.zeros(0, np.int64)
-    least = np.lib.stride_tricks.sliding_window_view(grams, w).argmin(axis=1) + np.arange(len(grams) - w + 1)
-    return np.unique(least)
-
-
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, end, texts in Texts.slices(batch.column(1), lower=True):
@@ -66,8 +58,7 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = []
             for i in range(texts.n):
                 grams = ngrams(h[first[i] : first[i + 1]], K)
-                pos = winnow(grams)
-                found.append((np.full(len(pos), nodes[i], np.int64), pos, grams[pos]))
+                found.append((np.full(len(grams), nodes[i], np.int64), np.arange(len(grams)), grams))
             a, b, c = (np.concatenate([x[k] for x in found]) for k in range(3))
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)), pa.array(a), pa.array(b.astype(np.int32))], ["seed", "node", "pos"])
 
@@ -106,15 +97,31 @@ def chains(pos: list[int], hub: list[int], k: int = K, cost: float = GAP_COST) -
     return out
 
 
+def thinned(pos: np.ndarray, hub: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Matches enough to cover the words of all, sorted: of each run of matches at consecutive words every K-th and the last."""
+    order = np.unique((hub - pos) * (1 << 32) + pos)
+    first = np.diff(order, prepend=order[:1] - 2) != 1
+    start = np.flatnonzero(first)
+    place = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+    kept = order[(place % K == 0) | np.append(first[1:], True)]
+    pos = kept % (1 << 32)
+    hub = (kept - pos) // (1 << 32) + pos
+    order = np.lexsort((hub, pos))
+    return pos[order], hub[order]
+
+
 def _chain_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, hub, places) -> node, hub, pos, hub_pos: a row a chain, with its seeds' positions."""
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500).to_pydict()
+            part = batch.slice(at, 500)
+            nodes, hubs, places = part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)
+            bounds = places.offsets.to_numpy()
+            here, other = (places.values.field(k).to_numpy().astype(np.int64) for k in (0, 1))
             out = []
-            for node, hub, places in zip(part["node"], part["hub"], part["places"]):
-                places = sorted({(p["pos"], p["hub_pos"]) for p in places})
-                pos, there = [p for p, _ in places], [q for _, q in places]
+            for i, (node, hub) in enumerate(zip(nodes, hubs)):
+                own = slice(bounds[i], bounds[i + 1])
+                pos, there = (x.tolist() for x in thinned(here[own], other[own]))
                 steps = range(1, len(pos))
                 if all(there[i] > there[i - 1] and pos[i] > pos[i - 1] and pos[i] - pos[i - 1] + there[i] - there[i - 1] < K / GAP_COST for i in steps):
                     found = [list(range(len(pos)))]  # one chain as it stands
@@ -272,16 +279,26 @@ def align(a: np.ndarray, b: np.ndarray, pos: list[int], there: list[int], min_wo
     return found
 
 
-def _align_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            d = batch.slice(at, 500).to_pydict()
-            out = []
-            for node, hub, pos, there, a0, a, b0, b in zip(*(d[n] for n in ("node", "hub", "pos", "hub_pos", "a0", "a", "b0", "b"))):
-                x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-                for lo, hi, lo2, hi2, equal, seeds in align(x, y, [p - a0 for p in pos], [q - b0 for q in there]):
-                    out.append((node, hub, a0 + lo, a0 + hi, b0 + lo2, b0 + hi2, equal, seeds))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(8)], ["node", "hub", "start", "end", "hub_start", "hub_end", "n_equal", "n_seeds"])
+def _align_batches(reach: int):
+    """Rows (chain, node, hub, start, end, hub_start, hub_end, n_equal, n_seeds): a row a piece, or for a chain
+    with a piece near the end of the words at hand that is not that of the text, one with nulls from node on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                d = batch.slice(at, 500).to_pydict()
+                out = []
+                for chain, node, hub, pos, there, a0, a, b0, b in zip(*(d[n] for n in ("chain", "node", "hub", "pos", "hub_pos", "a0", "a", "b0", "b"))):
+                    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+                    found = align(x, y, [p - a0 for p in pos], [q - b0 for q in there])
+                    more = [a0 > 0, b0 > 0, a0 + len(x) == pos[-1] + K + reach, b0 + len(y) == there[-1] + K + reach]
+                    if any(more[0] and lo < NEAR or more[1] and lo2 < NEAR or more[2] and len(x) - hi < NEAR or more[3] and len(y) - hi2 < NEAR for lo, hi, lo2, hi2, _, _ in found):
+                        out.append((chain, *[None] * 8))
+                    else:
+                        out += [(chain, node, hub, a0 + lo, a0 + hi, b0 + lo2, b0 + hi2, equal, seeds) for lo, hi, lo2, hi2, equal, seeds in found]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(9)], ["chain", "node", "hub", "start", "end", "hub_start", "hub_end", "n_equal", "n_seeds"])
+
+    return run
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_equal: float = MIN_EQUAL) -> DataFrame:
@@ -307,18 +324,27 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_equal: fl
     grouped = matches.groupBy("node", "hub").agg(F.collect_list(F.struct("pos", "hub_pos")).alias("places"))
     chained = grouped.mapInArrow(_chain_batches, "node long, hub long, pos array<int>, hub_pos array<int>")
     chained = stored(chained.withColumn("chain", F.monotonically_increasing_id()), "chains")
-    span = lambda c: (F.element_at(c, 1) - REACH, F.element_at(c, -1) + K + REACH)
-    ask = chained.select("chain", F.lit(0).alias("side"), "node", *[x.alias(n) for x, n in zip(span("pos"), ("lo", "hi"))]).unionByName(
-        chained.select("chain", F.lit(1).alias("side"), F.col("hub").alias("node"), *[x.alias(n) for x, n in zip(span("hub_pos"), ("lo", "hi"))])
-    )
-    wanted = stored(ask.select("node").distinct(), "wanted")
-    texts = stored(heads.join(small(wanted), "node", "left_semi").dropDuplicates(["node"]), "texts")
-    sides = arrow_map(ask.join(texts, "node"), _cut, "chain long, side int, start int, words binary")
-    a = sides.where("side = 0").select("chain", F.col("start").alias("a0"), F.col("words").alias("a"))
-    b = sides.where("side = 1").select("chain", F.col("start").alias("b0"), F.col("words").alias("b"))
-    both = chained.join(a, "chain").join(b, "chain")
-    schema = "node long, hub long, start long, `end` long, hub_start long, hub_end long, n_equal long, n_seeds long"
-    aligned = both.select("node", "hub", "pos", "hub_pos", "a0", "a", "b0", "b").mapInArrow(_align_batches, schema)
+    texts, aligned, reach = None, None, REACH
+    while True:
+        span = lambda c: (F.element_at(c, 1) - reach, F.element_at(c, -1) + K + reach)  # noqa: B023, E731
+        ask = chained.select("chain", F.lit(0).alias("side"), "node", *[x.alias(n) for x, n in zip(span("pos"), ("lo", "hi"))]).unionByName(
+            chained.select("chain", F.lit(1).alias("side"), F.col("hub").alias("node"), *[x.alias(n) for x, n in zip(span("hub_pos"), ("lo", "hi"))])
+        )
+        wanted = stored(ask.select("node").distinct(), "wanted")
+        texts = stored((heads if texts is None else texts).join(small(wanted), "node", "left_semi").dropDuplicates(["node"]), "texts")
+        sides = arrow_map(ask.join(texts, "node"), _cut, "chain long, side int, start int, words binary")
+        a = sides.where("side = 0").select("chain", F.col("start").alias("a0"), F.col("words").alias("a"))
+        b = sides.where("side = 1").select("chain", F.col("start").alias("b0"), F.col("words").alias("b"))
+        both = chained.join(a, "chain").join(b, "chain")
+        schema = "chain long, node long, hub long, start long, `end` long, hub_start long, hub_end long, n_equal long, n_seeds long"
+        new = stored(both.select("chain", "node", "hub", "pos", "hub_pos", "a0", "a", "b0", "b").mapInArrow(_align_batches(reach), schema), "aligned")
+        done = new.where("node IS NOT NULL").drop("chain")
+        aligned = done if aligned is None else aligned.unionByName(done)
+        left = new.where("node IS NULL").select("chain")
+        if left.isEmpty():
+            break
+        # the few chains that grow on get more words, in the end whole texts
+        chained, reach = stored(chained.join(small(left), "chain", "left_semi"), "chains"), reach * FURTHER
     pieces = aligned.where((F.col("end") - F.col("start") >= MIN_PIECE) & (F.col("n_equal") >= min_equal * F.greatest(F.col("end") - F.col("start"), F.col("hub_end") - F.col("hub_start"))))
     # pieces that touch are one passage
     by = Window.partitionBy("node").orderBy("start", "end", "hub", "hub_start")

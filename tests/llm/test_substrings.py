@@ -103,6 +103,35 @@ def test_stretches_with_enough_equal_words():
         assert S.passing(np.array(runs), 0.8) == longest
 
 
+def test_changed_words_anywhere(spark):
+    """Recall on passages of 60 and 100 words with 15 and 18 of 100 words changed, where a search along the passage finds 50 words with 0.8 equal."""
+    rng = random.Random(7)
+    rows, want, seeded = [], set(), set()
+    for k in range(400):
+        n, rate = rng.choice([60, 100]), rng.choice([0.15, 0.18])
+        one = words(rng, n, "p")
+        two = [f"z{rng.randrange(10**6)}" if rng.random() < rate else w for w in one]
+        rows += [(2 * k, " ".join(words(rng, 30, "a") + one + words(rng, 30, "b"))), (2 * k + 1, " ".join(words(rng, 9, "c") + two + words(rng, 80, "d")))]
+        same = [x == y for x, y in zip(one, two)]
+        grams = [all(same[i : i + 8]) for i in range(n - 7)]
+        if any(same[i] and same[j - 1] and 5 * sum(same[i:j]) >= 4 * (j - i) for i in range(n) for j in range(i + 50, n + 1)):
+            want.add(2 * k + 1)
+            if any(5 * sum(same[i:j]) >= 4 * (j - i) and any(grams[i : j - 7]) and same[i] and same[j - 1] for i in range(n) for j in range(i + 50, n + 1)):
+                seeded.add(2 * k + 1)
+    got = {r.doc_id for r in S.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert len(want) > 250 and seeded <= got <= want
+    assert len(got & want) >= 0.99 * len(want)
+
+
+def test_a_passage_grows_until_identity_fails(spark):
+    rng = random.Random(8)
+    one = words(rng, 700, "p")
+    two = [f"z{k}" if k % 7 == 3 and k > 8 else w for k, w in enumerate(one)]
+    rows = [(1, " ".join(words(rng, 700, "a") + one + words(rng, 700, "b"))), (2, " ".join(words(rng, 700, "c") + two + words(rng, 700, "d")))]
+    got = S.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.start, r.source_start) for r in got] == [(2, 700, 700)] and got[0].end in range(1396, 1401)
+
+
 def test_empty_table_and_other_columns(spark):
     text = " ".join(f"w{k}" for k in range(70))
     docs = spark.createDataFrame([(1, text, 1, "x"), (1, text, 1, "x"), (None, text, 1, "x"), (2, text, 1, "x")], "doc_id long, text string, seed int, node string")
