@@ -21,8 +21,13 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, table
 
-_TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|([^<]+|<)""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+# a quote opens a value only after '=': elsewhere it is a character like others, and an unquoted value ends at white space or '>'
+_TOKEN = re.compile(
+    r"""<!--(?:-?>|.*?--!?>|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</(?![a-zA-Z]|\Z)[^>]*(?:>|\Z)"""
+    r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]*+[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*"|'[^']*'|(?!["'])[^\s>]*+)|(?!\s*+=)))*+[\s/]*+)>|([^<]+|<)""",
+    re.S,
+)
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|((?!["'])[^\s>]+)))?""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())

@@ -27,6 +27,19 @@ def test_cases(page, text):
     assert H.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>I </3 this</p>x > y<p>after</p>", "I x > y\n\nafter"), ("<p>a</ p>b</p><p>after</p>", "ab\n\nafter"), ("<p>a</>b</p>", "ab"),
+        ("<p>a<img alt=Bob's photo>b<p>it's after", "ab\n\nit's after"), ("<p>a<img alt=Bob's photo>b<p>after", "ab\n\nafter"), ('<p>a<img alt=5" width=3>b<p>after', "ab\n\nafter"),
+        ("<p>a<b \"x>y</b> z<p>after", "ay z\n\nafter"), ("<p>a<a href=x?a=b'c/>link</a><p>after", "alink\n\nafter"), ("<p>a<img alt='x > y'>b", "ab"), ("<p>a<b alt = \"x > y\" c>b", "ab"),
+        ("<p>a<img alt=\"open>b<p>after", "a"), ("<p>a<b c", "a"), ("<p>a</b", "a"), ("<p>a</3", "a"),
+    ],
+)
+def test_text_after_malformed_tags(page, text):
+    assert H.extract(page) == text
+
+
 def test_table(spark):
     rows = [(1, "u", "<p>a</p>", "x"), (1, "u", "<p>a</p>", "x"), (None, None, None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
