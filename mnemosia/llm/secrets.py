@@ -13,6 +13,17 @@ from pyspark.sql import functions as F
 
 from .common import stored, table, work_dir
 
+#: A private key from its BEGIN line through the next END line or, if there is none before another begins or the
+#: text ends, through the headers and base64 lines that follow. Line breaks may be written as \\n. Possessive, so that
+#: long texts take no stack.
+_BREAKS = r"(?:[ \t>\r\n]|\\[rn])*+"
+PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    r"(?:(?:(?!-----(?:BEGIN|END) )[\s\S])*+-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_BREAKS}(?:(?:Proc-Type|DEK-Info|Key-Info|Content-Domain|Comment|Version):[^\r\n\\]*+|[A-Za-z0-9+/]{{16,}}+={{0,2}}))++"
+    r"(?:[ \t]*+(?:\r?\n|\\r\\n|\\n)[ \t>]*+[A-Za-z0-9+/]{1,15}+={0,2}(?![^\s\\\"',]))?+"
+    rf"|{_BREAKS}[A-Za-z0-9+/]{{1,15}}+={{0,2}}\s*+(?![\s\S]))?+"
+)
 #: kind: (version, pattern, group whose length counts, least length, literal gate).
 #: The first three are the base kinds, in the order in which ties are listed.
 RULES = {
@@ -21,7 +32,8 @@ RULES = {
     "hex": (1, r"[0-9a-f]{16,}", 0, 16, "[0-9a-f]{16}"),
     "github": (1, r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40, "gh[pousr]_"),
     "jwt": (1, r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30, "eyJ"),
-    "pem": (1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 27, "-----BEGIN"),
+    # through the END line of the same kind; without one, through the header and base64 lines that follow
+    "pem": (2, PEM, 0, 27, "-----BEGIN"),
 }
 BASE = ["assign", "access", "hex"]
 LEDGER = "blob string, checked array<string>, found array<struct<start:long,kind:int,name:string,end:long>>"
