@@ -8,6 +8,9 @@ with a word that every known licence has one of are put into that form at all.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +49,71 @@ Licensed under the Apache License, Version 2.0 (the "License"); you may not use
 http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
 
+#: File of licence_texts: license. The GNU texts do not say whether later versions may be chosen; their notices do.
+_FULL = {
+    "Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "MPL-2.0": "MPL-2.0",
+    "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2": "LGPL-2.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only",
+}
+_MPL_NOTICE = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at {}://mozilla.org/MPL/2.0/."
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """Whole licences: with and without what follows their terms, as they are wrapped and with each paragraph on one line."""
+    out = []
+    for name, license in _FULL.items():
+        whole = (Path(__file__).parent / "licence_texts" / f"{name}.txt").read_text(encoding="utf-8").replace("\f", "\n")
+        end = re.search(r"END OF TERMS AND CONDITIONS|Exhibit A - Source Code Form License Notice", whole)
+        for text in [whole, whole[: end.start()], whole[: end.end()]] if end else [whole]:
+            out += [(license, text), (license, "\n\n".join(" ".join(x.split()) for x in re.split(r"\n[ \t]*\n", text)))]
+    return out
+
+
+def gnu_notices() -> list[tuple[str, str]]:
+    """The notices of the GNU licences for program files, in their usual wordings."""
+    out = []
+    for family, title, versions in (("GPL", "General", ("2", "3")), ("LGPL", "Library General", ("2",)), ("LGPL", "Lesser General", ("2", "2.1", "3"))):
+        for version in versions:
+            name = f"{family}-{version if '.' in version else version + '.0'}"
+            for thing in ("program", "library", "software", "file"):
+                for mark in (";", ":"):
+                    for later in (", or (at your option) any later version", "", " only"):
+                        which = f"either version {version} of the License{later}" if later.startswith(",") else f"version {version} of the License{later}"
+                        head = f"This {thing} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {title} Public License as published by the Free Software Foundation; {which}."
+                        hope = f"This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {title} Public License for more details."
+                        got = f"You should have received a copy of the GNU {title} Public License along with this {thing}"
+                        ends = ["", *(f"{got}. If not, see <{u}://www.gnu.org/licenses/>." for u in ("http", "https"))]
+                        ends += [f"{got}; if not, write to the Free Software Foundation, Inc., {x}" for x in ("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.", "51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "675 Mass Ave, Cambridge, MA 02139, USA.")]
+                        out += [(name + ("-or-later" if later.startswith(",") else "-only"), f"{head}\n\n{hope}\n\n{x}") for x in ends]
+    return out
+
+
+def statements() -> list[tuple[str, str]]:
+    """One-sentence statements and SPDX lines of the licences by their usual names."""
+    names = {
+        "MIT": ["MIT License", "MIT license", "MIT"], "ISC": ["ISC License", "ISC"], "0BSD": ["Zero-Clause BSD License", "BSD Zero Clause License", "0BSD"],
+        "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"], "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License"],
+        "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"],
+        "MPL-2.0": ["Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "Mozilla Public License, v. 2.0", "MPL 2.0"],
+        "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal", "CC0 1.0 Universal License", "Creative Commons Zero v1.0 Universal License"],
+    }
+    for family, title, versions in (("GPL", "General", ("2", "3")), ("LGPL", "Lesser General", ("2.1", "3"))):
+        for v in versions:
+            spdx = f"{family}-{v if '.' in v else v + '.0'}"
+            own = [f"GNU {title} Public License{x}" for x in (f", version {v}", f" version {v}", f" v{v}", f" v{v}.0")] + [f"{family} v{v}", f"{family}v{v}", f"GNU {family} v{v}"]
+            names[spdx + "-only"] = own + [f"{x} only" for x in own]
+            names[spdx + "-or-later"] = [f"{x}{y}" for x in own for y in (" or later", " or any later version", ", or (at your option) any later version")]
+    kinds = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}
+    for parts in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND"):
+        for v in ("2.0", "2.5", "3.0", "4.0"):
+            title = "Creative Commons " + "-".join(kinds[x] for x in parts.split("-"))
+            realm = "International" if v == "4.0" else "Unported" if v == "3.0" else "Generic"
+            names[f"CC-{parts}-{v}"] = [f"CC {parts} {v}", f"CC {parts} {v} License", f"{title} {v} License", f"{title} {v} {realm} License"]
+    out = [(n, f"SPDX-License-Identifier: {n}") for n in names]
+    for n, own in names.items():
+        out += [(n, f"{a}icensed under {b}{x}.") for x in own for a in ("L", "This work is l", "This software is l", "This project is l") for b in ("", "the ", "a ")]
+    return out
+
+
 #: Short texts that the corpus at hand uses as whole license statements come with the full ones.
 KNOWN = [
     ("MIT", _MIT), ("MIT", _MIT.removeprefix("MIT License\n")),
@@ -59,6 +127,8 @@ KNOWN = [
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("MPL-2.0", _MPL_NOTICE.format("http")), ("MPL-2.0", _MPL_NOTICE.format("https")),
+    *full_texts(), *gnu_notices(), *statements(),
 ]
 
 
@@ -82,8 +152,8 @@ def scan_licenses(docs: DataFrame, known: list[tuple[str, str]] = KNOWN) -> Data
 
     license is that of the known text with the same canonical form, else null.
     digest is null where the gate shows that no known text can agree. Null and
-    empty texts have neither. The registry is a given list of short texts, so it
-    is broadcast; documents are not shuffled. Every known text must pass the gate."""
+    empty texts have neither. The registry is a given list of texts, of which a
+    digest each is broadcast; documents are not shuffled. Every known text must pass the gate."""
     spark = docs.sparkSession
     gated = F.col("text").rlike(GATE)
     rows = docs.select("doc_id", F.when(gated, F.sha2(canonical(F.col("text")), 256)).alias("digest"))

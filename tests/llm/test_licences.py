@@ -1,6 +1,7 @@
 """Whole texts and lines looked up by canonical digest."""
 
 import re
+from pathlib import Path
 
 from mnemosia.llm import licences as L
 
@@ -30,6 +31,18 @@ def test_the_gate_loses_no_known_text():
     assert all(re.search(L.GATE, t) for _, t in L.KNOWN)
 
 
+def test_whole_licences_notices_and_statements(spark):
+    folder = Path(L.__file__).parent / "licence_texts"
+    whole = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "MPL-2.0": "MPL-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2": "LGPL-2.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only"}
+    rows = [(license, (folder / f"{name}.txt").read_text()) for name, license in whole.items()]
+    gpl = rows[4][1]
+    rows += [("GPL-3.0-only", gpl[: gpl.index("END OF TERMS")]), ("GPL-3.0-only", "\n\n".join(" ".join(p.split()) for p in gpl.split("\n\n"))), (None, gpl[:-2000]), (None, "Licensed under the BSD License.")]
+    rows += [("GPL-3.0-or-later", gpl[gpl.index("    This program is free software: you") : gpl.index("Also add information")]), ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."), ("GPL-2.0-or-later", "SPDX-License-Identifier: GPL-2.0-or-later")]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    assert {r.doc_id: r.license for r in L.scan_licenses(docs).collect()} == {i: license for i, (license, _) in enumerate(rows)}
+    assert all(len({n for n, y in L.KNOWN if y == t}) == 1 for _, t in L.KNOWN)
+
+
 def test_lines(spark):
     docs = spark.createDataFrame([(1, "prose\nLicensed under CC BY 4.0.\nmore\nlicensed under CC-BY 4.0"), (2, "Licensed under CC BY 4.0. Really."), (3, None)], "doc_id long, text string")
     assert [tuple(r) for r in L.license_lines(docs).collect()] == [(1, "CC-BY-4.0", 2)]
