@@ -258,4 +258,10 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     names = [F.col(f"`{c}`") for c in docs.columns]
     whole = docs.withColumn("_id", F.col("doc_id").cast("long"))
     unique = whole.join(small(drop), "_id", "left_anti")
-    return unique.select(*names)
+    again = stored(found.where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"), "repeated")
+    if again.isEmpty():
+        return unique.select(*names)
+    again = small(again)
+    # tasks choose among their own rows first: the least text of each doc_id
+    one = unique.join(again, "_id", "left_semi").groupBy("_id").agg(F.min_by(F.struct(*names), F.coalesce("text", F.lit(""))).alias("_row"))
+    return unique.join(again, "_id", "left_anti").select(*names).unionByName(one.select("_row.*"))

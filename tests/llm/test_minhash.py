@@ -84,3 +84,9 @@ def test_defined_cases(spark):
     assert got == sorted(["(7, 2, 7, True)", "(7, 2, 7, True)", "(None, 2, 7, False)", "(None, 0, None, False)"])
     kept = M.near_dedup_stage(spark, docs, "")
     assert kept.columns == docs.columns
+
+
+def test_one_row_of_equal_doc_ids_stays(spark):
+    rows = [(7, "a b c d e"), (7, "a b c d e"), (7, "z y x w v"), (8, "a b c d e"), (9, "k l m n o"), (10, None), (10, ""), (None, "a b c d e"), (None, "a b c d e")]
+    kept = M.near_dedup_stage(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, "a b c d e"), (0, "a b c d e"), (7, "a b c d e"), (9, "k l m n o"), (10, "")]
