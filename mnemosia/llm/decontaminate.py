@@ -112,7 +112,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> tu
 def near_matches(docs: DataFrame, term_sets: DataFrame, span: int) -> DataFrame:
     """set_id, doc_id, start, end of the places where all terms of a set (set_id, terms array of
     lower-case words) stand within `span` words: for each posting of a set's rarest term, the least
-    stretch around it with every other term's nearest posting, if it is at most span words long."""
+    stretch that holds it and every other term, if it is at most span words long."""
     own = keyed(docs)
     spread = term_sets.select("set_id", F.explode(F.array_distinct("terms")).alias("term"))
     spread = stored(spread, "sets")
@@ -126,10 +126,17 @@ def near_matches(docs: DataFrame, term_sets: DataFrame, span: int) -> DataFrame:
     # positions in blocks of span words: a term near an anchor is in the anchor's block or a neighbour
     blocks = anchors.withColumn("block", F.explode(F.array(*[(F.col("anchor") / span).cast("long") + d for d in (-1, 0, 1)])))
     near = blocks.join(others.withColumn("block", (F.col("pos") / span).cast("long")), ["set_id", "doc_key", "block"]).where(F.abs(F.col("pos") - F.col("anchor")) < span)
-    best = near.groupBy("set_id", "size", "doc_key", "anchor", "term").agg(F.min_by("pos", F.abs(F.col("pos") - F.col("anchor"))).alias("pos"))
-    whole = best.groupBy("set_id", "size", "doc_key", "anchor").agg(F.count("*").alias("got"), F.min("pos").alias("lo"), F.max("pos").alias("hi")).where("got = size - 1")
+    places = near.groupBy("set_id", "size", "doc_key", "anchor", "term").agg(F.collect_set(F.col("pos").cast("long")).alias("pos"))
+    whole = places.groupBy("set_id", "size", "doc_key", "anchor").agg(F.collect_list("pos").alias("pos")).where(F.size("pos") == F.col("size") - 1)
+    anchor = F.col("anchor").cast("long")
+    # a stretch starts at the anchor or a posting before it and goes to the last of every term's first posting from there
+    starts = F.array_distinct(F.concat(F.array(anchor), F.filter(F.flatten("pos"), lambda s: s < anchor)))
+    firsts = lambda s: F.transform("pos", lambda term: F.array_min(F.filter(term, lambda p: p >= s)))
+    ends = F.transform(starts, lambda s: F.struct(s.alias("start"), firsts(s).alias("firsts")))
+    fits = F.transform(F.filter(ends, lambda x: F.forall(x.firsts, lambda p: p.isNotNull())), lambda x: F.struct((F.greatest(anchor, F.array_max(x.firsts)) - x.start).alias("length"), x.start.alias("start")))
+    whole = whole.select("set_id", "doc_key", F.array_min(fits).alias("best")).where("best IS NOT NULL")
     single = anchors.where("size = 1").select("set_id", "doc_key", F.col("anchor").alias("start"), F.col("anchor").alias("end"))
-    found = whole.select("set_id", "doc_key", F.least("anchor", "lo").alias("start"), F.greatest("anchor", "hi").alias("end")).unionByName(single).where(F.col("end") - F.col("start") < span)
+    found = whole.select("set_id", "doc_key", F.col("best.start").alias("start"), (F.col("best.start") + F.col("best.length")).alias("end")).unionByName(single).where(F.col("end") - F.col("start") < span)
     return found.join(own.select("doc_key", "doc_id").distinct(), "doc_key").select("set_id", "doc_id", "start", "end").distinct()
 
 

@@ -68,3 +68,21 @@ def test_near_matches(spark):
     sets = spark.createDataFrame([(1, ["a", "b"]), (2, ["q"]), (3, ["a", "nowhere"])], "set_id long, terms array<string>")
     got = sorted(tuple(r) for r in D.near_matches(docs, sets, 5).collect())
     assert got == [(1, 1, 1, 4), (2, 1, 2, 2), (2, 1, 3, 3)]
+
+
+def test_near_matches_of_three_terms(spark):
+    rng = random.Random(4)
+    texts = ["x " * 7 + "b x x a x x x b x c", *(" ".join(rng.choices(["a", "b", "b", "c", "c", "d", "x"], weights=[1, 3, 3, 3, 3, 4, 6], k=40)) for _ in range(30))]
+    terms, span, want = ["a", "b", "c"], 8, set()
+    rows = list(enumerate(texts))
+    freq = {t: sum(x.split().count(t) for _, x in rows) for t in terms}
+    rare = min(terms, key=lambda t: (freq[t], t))
+    for i, x in rows:
+        w = x.split()
+        for k in [k for k, t in enumerate(w) if t == rare]:
+            good = [(e - s, s) for s in range(max(0, k - span + 1), k + 1) for e in range(k, min(len(w), s + span)) if set(terms) <= set(w[s : e + 1])]
+            if good:
+                n, s = min(good)
+                want.add((1, i, s, s + n))
+    got = D.near_matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, terms)], "set_id long, terms array<string>"), span).collect()
+    assert {tuple(r) for r in got} == want and (1, 0, 10, 16) in want
