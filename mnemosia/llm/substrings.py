@@ -1,13 +1,15 @@
 """Substring dedup: fuzzy passages by collinear chaining of shared seeds.
 
-Seeds are hashes of all K consecutive words, so that a run of K equal words always
-shares one. Every seed that several texts have is joined with its first
-occurrence, its hub, which is linear in the number of occurrences however common
-the seed is. The matches of one text with one hub text are chained: both
-positions rise along a chain, each seed earns K, and skipped words cost; a
-Fenwick tree over the hub's positions finds each match's best predecessor. The
-words of both sides of a chain are then aligned and extended at the ends, and every
-stretch of it with enough equal words is kept.
+Seeds are K-word grams: of every W neighbouring ones the one with the least hash, so
+that a run of K + W - 1 equal words always shares one. Every later occurrence of a
+seed is joined with an earlier one, its hub: in its own text with the one before,
+else with the first of its task, and the tasks' firsts with the first of all. This is linear in the number of occurrences,
+and a seed that very many texts have is one row a task when it is shuffled. The
+matches of one text with one hub text are chained: both positions rise along a
+chain, equal words earn, and skipped words cost; a Fenwick tree over the hub's
+positions finds each match's best predecessor. The words of both sides of a chain
+are then aligned and extended at the ends, and every stretch of it with enough
+equal words is kept.
 """
 
 from __future__ import annotations
@@ -22,9 +24,12 @@ from pyspark.sql import functions as F
 from .common import arrow_map, small, stored, table
 from .textnp import Texts, mix, ngrams
 
-K = 8
+#: Words of a seed, and grams of which one is a seed.
+K, W = 6, 3
+#: Seeds of a task that are held to find their first occurrences.
+HELD = 2_000_000
 #: Cost of a skipped word on either side; a chain ends where a gap costs more than the chain has earned, and is split after alignment.
-GAP_COST = 0.05
+GAP_COST = K / 160
 #: Least words of a repeated passage, and share of them that must be equal.
 MIN_WORDS, MIN_EQUAL = 50, 0.8
 #: Least words of a piece of a passage whose pieces have different hubs.
@@ -37,38 +42,89 @@ CELLS = 1 << 20
 _U = np.uint64
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at, end, texts in Texts.slices(batch.column(1), lower=True):
-            starts, ends, first = texts.words()
-            h = texts.hashes(starts, ends)
-            place = np.arange(len(h), dtype=_U) - np.repeat(first[:-1], np.diff(first)).astype(_U)
-            own = np.append(mix(h + place * _U(0x9E3779B97F4A7C15)), _U(0))
-            n = np.diff(first)
-            add = lambda x: np.where(n > 0, np.add.reduceat(x, np.minimum(first[:-1], len(h))), 0).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(n.astype(np.int64)), pa.array(add(own)), pa.array(add(mix(own)))], ["doc_id", "n_words", "f1", "f2"])
+def _fingerprints(with_text: bool):
+    """(doc_id, text) -> doc_id, the text if asked for, n_words, f1, f2."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _prints_of(batch, with_text)
+
+    return run
+
+
+def _prints_of(batch: pa.RecordBatch, with_text: bool) -> Iterator[pa.RecordBatch]:
+    for at, end, texts in Texts.slices(batch.column(1), lower=True):
+        starts, ends, first = texts.words()
+        h = texts.hashes(starts, ends)
+        place = np.arange(len(h), dtype=_U) - np.repeat(first[:-1], np.diff(first)).astype(_U)
+        own = np.append(mix(h + place * _U(0x9E3779B97F4A7C15)), _U(0))
+        n = np.diff(first)
+        add = lambda x: np.where(n > 0, np.add.reduceat(x, np.minimum(first[:-1], len(h))), 0).astype(np.int64)
+        given = [batch.column(k).slice(at, end - at) for k in ((0, 1) if with_text else (0,))]
+        yield pa.RecordBatch.from_arrays([*given, pa.array(n.astype(np.int64)), pa.array(add(own)), pa.array(add(mix(own)))], [*("doc_id", "text")[: len(given)], "n_words", "f1", "f2"])
+
+
+def minimizers(h: np.ndarray, first: np.ndarray, k: int = K, w: int = W) -> tuple[np.ndarray, np.ndarray]:
+    """(places, seeds): of the k-grams of word hashes, the least of any w neighbouring ones; texts start at first[:-1]."""
+    grams = ngrams(h, k)
+    if not len(grams):
+        return np.zeros(0, np.int64), grams
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    whole = text[: len(grams)] == text[k - 1 :]
+    keys = np.where(whole, grams, _U(2**64 - 1))
+    n = max(1, len(keys) - w + 1)
+    best, at = keys[:n].copy(), np.arange(n)
+    for shift in range(1, min(w, len(keys))):
+        less = keys[shift : n + shift] < best
+        best[less], at[less] = keys[shift : n + shift][less], (np.arange(n) + shift)[less]
+    at = np.unique(at)
+    at = at[whole[at]]
+    return at, grams[at]
 
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, text) -> seed, node, pos, hub, hub_pos: the task's first occurrences of seeds, without a hub, and the
+    later ones with a hub: in the same text the occurrence before, in another the first. These have another key, so
+    that they are dealt evenly."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        seed, node, pos = (np.concatenate([x[k] for x in held]) for k in range(3))
+        held.clear()
+        order = np.lexsort((pos, node, seed))
+        seed, node, pos = seed[order], node[order], pos[order]
+        later = np.append(False, seed[1:] == seed[:-1])
+        again = later & np.append(False, node[1:] == node[:-1])
+        hub = np.where(again, np.arange(len(seed)) - 1, np.maximum.accumulate(np.where(later, 0, np.arange(len(seed)))))
+        key = np.where(later, mix(seed ^ mix(node.astype(_U)) ^ pos.astype(_U)), seed).astype(np.int64)
+        for at in range(0, len(seed), 50_000):
+            to = slice(at, at + 50_000)
+            none = ~later[to]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[to]), pa.array(node[to]), pa.array(pos[to]), pa.array(node[hub[to]], mask=none), pa.array(pos[hub[to]], mask=none)],
+                ["seed", "node", "pos", "hub", "hub_pos"],
+            )
+
     for batch in batches:
         for at, _, texts in Texts.slices(batch.column(1), lower=True):
             starts, ends, first = texts.words()
-            h = texts.hashes(starts, ends)
-            nodes = batch.column(0).slice(at, texts.n).to_pylist()
-            found = []
-            for i in range(texts.n):
-                grams = ngrams(h[first[i] : first[i + 1]], K)
-                found.append((np.full(len(grams), nodes[i], np.int64), np.arange(len(grams)), grams))
-            a, b, c = (np.concatenate([x[k] for x in found]) for k in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)), pa.array(a), pa.array(b.astype(np.int32))], ["seed", "node", "pos"])
-
-
-def chains(pos: list[int], hub: list[int], k: int = K, cost: float = GAP_COST) -> list[list[int]]:
-    """Collinear chains of matches (pos[i], hub[i]), best first, as lists of indices; no match is in two."""
+            place, seed = minimizers(texts.hashes(starts, ends), first)
+            text = np.searchsorted(first, place, "right") - 1
+            nodes = batch.column(0).slice(at, texts.n).to_numpy()
+            held.append((seed, nodes[text], (place - first[text]).astype(np.int32)))
+            if sum(len(x[0]) for x in held) > HELD:
+                yield from rows()
+    if held:
+        yield from rows()
+
+
+def chains(pos: list[int], hub: list[int], k: int = K, cost: float = GAP_COST, length: list[int] | None = None) -> list[list[int]]:
+    """Collinear chains of matches (pos[i], hub[i]) of length[i] words (k if not given), best first, as lists of indices; no match is in two."""
+    length = [k] * len(pos) if length is None else length
     order = sorted(range(len(pos)), key=lambda i: (pos[i], -hub[i]))
     rank = {h: r + 1 for r, h in enumerate(sorted(set(hub)))}
     size = len(rank) + 1
-    tree: list[tuple[float, int]] = [(-1e300, -1)] * size  # prefix maxima of score + cost * (pos + hub)
+    tree: list[tuple[float, int]] = [(-1e300, -1)] * size  # prefix maxima of score + cost * (pos + hub), of the last k words
     score, back = [0.0] * len(pos), [-1] * len(pos)
     for i in order:
         best, at = (-1e300, -1), rank[hub[i]] - 1
@@ -76,10 +132,9 @@ def chains(pos: list[int], hub: list[int], k: int = K, cost: float = GAP_COST) -
             if tree[at] > best:
                 best = tree[at]
             at -= at & -at
-        here = cost * (pos[i] + hub[i])
-        gain = best[0] - here
-        score[i], back[i] = (k + gain, best[1]) if gain > 0 else (float(k), -1)
-        entry, at = (score[i] + here, i), rank[hub[i]]
+        gain = best[0] - cost * (pos[i] + hub[i])
+        score[i], back[i] = (length[i] + gain, best[1]) if gain > 0 else (float(length[i]), -1)
+        entry, at = (score[i] + cost * (pos[i] + hub[i] + 2 * (length[i] - k)), i), rank[hub[i]]
         while at < size:
             if entry > tree[at]:
                 tree[at] = entry
@@ -97,21 +152,20 @@ def chains(pos: list[int], hub: list[int], k: int = K, cost: float = GAP_COST) -
     return out
 
 
-def thinned(pos: np.ndarray, hub: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Matches enough to cover the words of all, sorted: of each run of matches at consecutive words every K-th and the last."""
+def merged(pos: np.ndarray, hub: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pos, hub, words, seeds) of the stretches that matches at one distance cover without a gap, sorted."""
     order = np.unique((hub - pos) * (1 << 32) + pos)
-    first = np.diff(order, prepend=order[:1] - 2) != 1
-    start = np.flatnonzero(first)
-    place = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
-    kept = order[(place % K == 0) | np.append(first[1:], True)]
-    pos = kept % (1 << 32)
-    hub = (kept - pos) // (1 << 32) + pos
-    order = np.lexsort((hub, pos))
-    return pos[order], hub[order]
+    at, far = order % (1 << 32), order // (1 << 32)
+    start = np.flatnonzero(np.append(True, (far[1:] != far[:-1]) | (at[1:] > at[:-1] + K)))
+    end = np.append(start[1:], len(order)) - 1
+    pos, hub, n = at[start], at[start] + far[start], at[end] + K - at[start]
+    by = np.lexsort((hub, pos))
+    return pos[by], hub[by], n[by], (end - start + 1)[by]
 
 
 def _chain_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, hub, places) -> node, hub, pos, hub_pos: a row a chain, with its seeds' positions."""
+    """(node, hub, places) -> node, hub, pos, hub_pos, n, seeds: a row a chain, with its stretches' positions, lengths and seeds."""
+    ints = pa.list_(pa.int32())
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
@@ -121,14 +175,10 @@ def _chain_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             out = []
             for i, (node, hub) in enumerate(zip(nodes, hubs)):
                 own = slice(bounds[i], bounds[i + 1])
-                pos, there = (x.tolist() for x in thinned(here[own], other[own]))
-                steps = range(1, len(pos))
-                if all(there[i] > there[i - 1] and pos[i] > pos[i - 1] and pos[i] - pos[i - 1] + there[i] - there[i - 1] < K / GAP_COST for i in steps):
-                    found = [list(range(len(pos)))]  # one chain as it stands
-                else:
-                    found = chains(pos, there)
-                out += [(node, hub, [pos[i] for i in c], [there[i] for i in c]) for c in found]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())))], ["node", "hub", "pos", "hub_pos"])
+                pos, there, n, seeds = (x.tolist() for x in merged(here[own], other[own]))
+                found = [[0]] if len(pos) == 1 else chains(pos, there, length=n)
+                out += [(node, hub, *([x[i] for i in c] for x in (pos, there, n, seeds))) for c in found]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), ints, ints, ints, ints))], ["node", "hub", "pos", "hub_pos", "n", "seeds"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,10 +244,10 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return len(matched(a, b))
 
 
-def equal_runs(a: np.ndarray, b: np.ndarray, pos: list[int], there: list[int], skips: bool) -> np.ndarray:
-    """Rows (a from, b from, words, seeds): the runs of equal words along a chain whose seeds stand at pos in a and at there in b.
+def equal_runs(a: np.ndarray, b: np.ndarray, pos: list[int], there: list[int], length: list[int], n_seeds: list[int], skips: bool) -> np.ndarray:
+    """Rows (a from, b from, words, seeds): the runs of equal words along a chain whose stretches stand at pos in a and at there in b.
 
-    Between seeds the words are aligned. Before the first seed and after the last, a word
+    Between them the words are aligned. Before the first and after the last, a word
     meets the one at the same distance, or with `skips` they are aligned too."""
     out: list[list[int]] = []
 
@@ -217,15 +267,15 @@ def equal_runs(a: np.ndarray, b: np.ndarray, pos: list[int], there: list[int], s
     i, j = pos[0], there[0]
     for x, y in reversed(meet(a[:i][::-1], b[:j][::-1])):
         add(i - 1 - x, j - 1 - y, 1, 0)
-    for p, q in zip(pos, there):
+    for p, q, size, seeds in zip(pos, there, length, n_seeds):
         if p >= i and q >= j:
             for x, y in matched(a[i:p], b[j:q]):
                 add(i + x, j + y, 1, 0)
-            n = K
-        else:  # it overlaps the seed before
-            n = max(0, min(p + K - i, q + K - j))
-        add(p + K - n, q + K - n, n, 1)
-        i, j = max(i, p + K), max(j, q + K)
+            n = size
+        else:  # it overlaps the one before
+            n = max(0, min(p + size - i, q + size - j))
+        add(p + size - n, q + size - n, n, seeds)
+        i, j = max(i, p + size), max(j, q + size)
     for x, y in meet(a[i:], b[j:]):
         add(i + x, j + y, 1, 0)
     return np.array(out, np.int64)
@@ -250,7 +300,7 @@ def passing(runs: np.ndarray, min_equal: float) -> list[tuple[int, int]]:
     return out
 
 
-def align(a: np.ndarray, b: np.ndarray, pos: list[int], there: list[int], min_words: int = MIN_WORDS, min_equal: float = MIN_EQUAL) -> list[tuple[int, int, int, int, int, int]]:
+def align(a: np.ndarray, b: np.ndarray, pos: list[int], there: list[int], length: list[int], n_seeds: list[int], min_words: int = MIN_WORDS, min_equal: float = MIN_EQUAL) -> list[tuple[int, int, int, int, int, int]]:
     """(a from, a to, b from, b to, equal words, seeds) of every piece of a chain that has enough equal words by itself.
 
     A chain over two passages with other words between gives both. What lies outside a
@@ -258,7 +308,7 @@ def align(a: np.ndarray, b: np.ndarray, pos: list[int], there: list[int], min_wo
     needs it to have min_words. Pieces may overlap."""
     found: list[tuple[int, int, int, int, int, int]] = []
     for skips in (False, True):
-        runs = equal_runs(a, b, pos, there, skips)
+        runs = equal_runs(a, b, pos, there, length, n_seeds, skips)
         p, q, n = runs[:, 0], runs[:, 1], runs[:, 2]
         done = np.concatenate([[0], np.cumsum(n)])
         pieces = set()
@@ -280,53 +330,68 @@ def align(a: np.ndarray, b: np.ndarray, pos: list[int], there: list[int], min_wo
 
 
 def _align_batches(reach: int):
-    """Rows (chain, node, hub, start, end, hub_start, hub_end, n_equal, n_seeds): a row a piece, or for a chain
-    with a piece near the end of the words at hand that is not that of the text, one with nulls from node on."""
+    """Rows (chain, node, hub, start, end, hub_start, hub_end, n_equal, n_seeds): a row a piece of MIN_PIECE words, or for a chain
+    with such a piece near the end of the words at hand that is not that of the text, one with nulls from node on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 d = batch.slice(at, 500).to_pydict()
                 out = []
-                for chain, node, hub, pos, there, a0, a, b0, b in zip(*(d[n] for n in ("chain", "node", "hub", "pos", "hub_pos", "a0", "a", "b0", "b"))):
+                for chain, node, hub, pos, there, length, seeds, a0, a, b0, b in zip(*(d[n] for n in ("chain", "node", "hub", "pos", "hub_pos", "n", "seeds", "a0", "a", "b0", "b"))):
                     x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-                    found = align(x, y, [p - a0 for p in pos], [q - b0 for q in there])
-                    more = [a0 > 0, b0 > 0, a0 + len(x) == pos[-1] + K + reach, b0 + len(y) == there[-1] + K + reach]
+                    found = align(x, y, [p - a0 for p in pos], [q - b0 for q in there], length, seeds)
+                    found = [x for x in found if x[1] - x[0] >= MIN_PIECE]
+                    more = [a0 > 0, b0 > 0, a0 + len(x) == pos[-1] + length[-1] + reach, b0 + len(y) == there[-1] + length[-1] + reach]
                     if any(more[0] and lo < NEAR or more[1] and lo2 < NEAR or more[2] and len(x) - hi < NEAR or more[3] and len(y) - hi2 < NEAR for lo, hi, lo2, hi2, _, _ in found):
                         out.append((chain, *[None] * 8))
                     else:
-                        out += [(chain, node, hub, a0 + lo, a0 + hi, b0 + lo2, b0 + hi2, equal, seeds) for lo, hi, lo2, hi2, equal, seeds in found]
+                        out += [(chain, node, hub, a0 + lo, a0 + hi, b0 + lo2, b0 + hi2, equal, of) for lo, hi, lo2, hi2, equal, of in found]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(9)], ["chain", "node", "hub", "start", "end", "hub_start", "hub_end", "n_equal", "n_seeds"])
 
     return run
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_equal: float = MIN_EQUAL) -> DataFrame:
-    """doc_id, start, end, source_doc, source_start, source_end, n_equal, n_seeds, passage_words, kind for the passages of docs (doc_id, text) that stand in an earlier text too.
+    """doc_id, start, end, source_doc, source_start, source_end, n_equal, n_seeds, passage_words, kind for the passages of docs (doc_id, text) that stand in another text or earlier in their own too.
 
     Positions count words (split at space and \\x09-\\x0D, A-Z lower-cased), ends are
-    exclusive. kind is `passage`, or `copy` for a whole text that equals that of the
-    smaller doc_id source_doc; passages are given for one document of each class of
-    equal texts. A passage may consist of pieces with different sources; passage_words
-    is its length, at least min_words. Null and empty texts and rows with a null doc_id
-    have none; rows that repeat a doc_id with the same text count once."""
+    exclusive. kind is `passage`, `within` for one whose source is the text itself, or
+    `copy` for a whole text that equals that of the smaller doc_id source_doc; passages
+    are given for one document of each class of equal texts. Every occurrence has a row
+    but the first. A passage may consist of pieces with different sources;
+    passage_words is its length, at least min_words. Which earlier occurrence is named as
+    source may depend on how rows are dealt over tasks. Null and empty texts and rows with a null
+    doc_id have none; rows that repeat a doc_id with the same text count once, and each
+    text of a doc_id that has several is searched by itself, as if it came after the others."""
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    prints = stored(arrow_map(docs, _fingerprints, "doc_id long, n_words long, f1 long, f2 long").where("n_words > 0").distinct(), "prints")
-    classes = prints.groupBy("f1", "f2", "n_words").agg(F.min("doc_id").alias("node"), F.count("*").alias("size"))
-    copied = stored(prints.join(classes.where("size > 1"), ["f1", "f2", "n_words"]).where("doc_id <> node").select("doc_id", "node", "n_words"), "copies")
-    # the others' texts go on; a copy's doc_id may stand in another class only if doc_ids repeat
+    prints = stored(arrow_map(docs, _fingerprints(False), "doc_id long, n_words long, f1 long, f2 long").where("n_words > 0").distinct(), "prints")
+    key = ["f1", "f2", "n_words"]
+    classes = prints.groupBy(*key).agg(F.min("doc_id").alias("node"), F.count("*").alias("size"))
+    several = stored(prints.groupBy("doc_id").count().where("count > 1").select("doc_id"), "several")
+    copied = stored(prints.join(classes.where("size > 1"), key).where("doc_id <> node").select("doc_id", "node", "n_words"), "copies")
     heads = docs.join(small(copied.select("doc_id").distinct()), "doc_id", "left_anti").withColumnRenamed("doc_id", "node")
-    seeds = stored(arrow_map(heads, _seeds, "seed long, node long, pos int"), "seeds")
-    hubs = seeds.groupBy("seed").agg(F.min(F.struct("node", "pos")).alias("first"), F.max("node").alias("last")).where("first.node < last")
-    # stored, so that tasks sum their own seeds first and the join can split a seed that very many texts have
-    hubs = stored(hubs.select("seed", F.col("first.node").alias("hub"), F.col("first.pos").alias("hub_pos")), "hubs")
-    matches = seeds.join(hubs, "seed").where("node <> hub")
+    names = None
+    if not several.isEmpty():
+        # each text of a doc_id that has several is a node of its own, numbered after all doc_ids
+        least = prints.agg(F.max("doc_id")).first()[0] + 1
+        own = classes.withColumnRenamed("node", "doc_id").join(small(several), "doc_id", "left_semi")
+        own = stored(own.select("doc_id", *key, (F.monotonically_increasing_id() + least).alias("node")), "own")
+        texts = arrow_map(docs.join(small(several), "doc_id", "left_semi"), _fingerprints(True), "doc_id long, text string, n_words long, f1 long, f2 long")
+        texts = texts.join(own, ["doc_id", *key]).dropDuplicates(["node"]).select("node", "text")
+        heads = stored(heads.join(small(several), F.col("node") == F.col("doc_id"), "left_anti").unionByName(texts), "heads")
+        names = small(own.select("node", "doc_id"))
+    seeds = heads.mapInArrow(_seeds, "seed long, node long, pos int, hub long, hub_pos int")
+    # one shuffle: the first of each seed over all tasks is the hub of the tasks' firsts
+    first = Window.partitionBy("seed").orderBy("hub", "node", "pos")
+    matches = seeds.select("node", "pos", *[F.coalesce(F.col(h), F.first(n).over(first)).alias(h) for h, n in (("hub", "node"), ("hub_pos", "pos"))])
+    matches = matches.where("node <> hub OR pos > hub_pos")
     grouped = matches.groupBy("node", "hub").agg(F.collect_list(F.struct("pos", "hub_pos")).alias("places"))
-    chained = grouped.mapInArrow(_chain_batches, "node long, hub long, pos array<int>, hub_pos array<int>")
+    chained = grouped.mapInArrow(_chain_batches, "node long, hub long, pos array<int>, hub_pos array<int>, n array<int>, seeds array<int>")
     chained = stored(chained.withColumn("chain", F.monotonically_increasing_id()), "chains")
     texts, aligned, reach = None, None, REACH
     while True:
-        span = lambda c: (F.element_at(c, 1) - reach, F.element_at(c, -1) + K + reach)  # noqa: B023, E731
+        span = lambda c: (F.element_at(c, 1) - reach, F.element_at(c, -1) + F.element_at("n", -1) + reach)  # noqa: B023, E731
         ask = chained.select("chain", F.lit(0).alias("side"), "node", *[x.alias(n) for x, n in zip(span("pos"), ("lo", "hi"))]).unionByName(
             chained.select("chain", F.lit(1).alias("side"), F.col("hub").alias("node"), *[x.alias(n) for x, n in zip(span("hub_pos"), ("lo", "hi"))])
         )
@@ -337,7 +402,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_equal: fl
         b = sides.where("side = 1").select("chain", F.col("start").alias("b0"), F.col("words").alias("b"))
         both = chained.join(a, "chain").join(b, "chain")
         schema = "chain long, node long, hub long, start long, `end` long, hub_start long, hub_end long, n_equal long, n_seeds long"
-        new = stored(both.select("chain", "node", "hub", "pos", "hub_pos", "a0", "a", "b0", "b").mapInArrow(_align_batches(reach), schema), "aligned")
+        new = stored(both.select("chain", "node", "hub", "pos", "hub_pos", "n", "seeds", "a0", "a", "b0", "b").mapInArrow(_align_batches(reach), schema), "aligned")
         done = new.where("node IS NOT NULL").drop("chain")
         aligned = done if aligned is None else aligned.unionByName(done)
         left = new.where("node IS NULL").select("chain")
@@ -355,8 +420,13 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_equal: fl
     passages = island.withColumn("passage_words", F.max("end").over(whole) - F.min("start").over(whole)).where(F.col("passage_words") >= min_words)
     rows = passages.select(
         F.col("node").alias("doc_id"), "start", "end", F.col("hub").alias("source_doc"), F.col("hub_start").alias("source_start"), F.col("hub_end").alias("source_end"),
-        "n_equal", "n_seeds", "passage_words", F.lit("passage").alias("kind"),
+        "n_equal", "n_seeds", "passage_words", F.when(F.col("node") == F.col("hub"), "within").otherwise("passage").alias("kind"),
     )
+    columns = rows.columns
+    if names is not None:
+        for c in ("doc_id", "source_doc"):
+            rows = rows.join(names.select(F.col("node").alias(c), F.col("doc_id").alias("_name")), c, "left").withColumn(c, F.coalesce("_name", c)).drop("_name")
+        rows = rows.select(*columns)
     zero = F.lit(0).cast("long")
     copies = copied.where(F.col("n_words") >= min_words).select(
         "doc_id", zero.alias("start"), F.col("n_words").alias("end"), F.col("node").alias("source_doc"), zero.alias("source_start"), F.col("n_words").alias("source_end"),

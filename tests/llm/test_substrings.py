@@ -1,11 +1,20 @@
 """Fuzzy passages: chaining against an exhaustive search, planted passages against the result."""
 
 import random
+import re
+import zlib
 
 import numpy as np
 
 from mnemosia.llm import substrings as S
 
+S_WORDS = re.compile(r"[\x20\x09-\x0D]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def numbers(w):
+    return np.array([zlib.crc32(x.encode()) for x in w], np.uint32)
+
 
 def words(rng, n, prefix):
     return [f"{prefix}{rng.randrange(10**6)}" for _ in range(n)]
@@ -137,3 +146,43 @@ def test_empty_table_and_other_columns(spark):
     docs = spark.createDataFrame([(1, text, 1, "x"), (1, text, 1, "x"), (None, text, 1, "x"), (2, text, 1, "x")], "doc_id long, text string, seed int, node string")
     assert [(r.doc_id, r.kind) for r in S.repeated_passages(docs).collect()] == [(2, "copy")]
     assert S.repeated_passages(docs.where("false")).collect() == []
+
+
+def test_passages_within_one_text(spark):
+    rng = random.Random(9)
+    one, line = words(rng, 60, "p"), words(rng, 12, "l")
+    rows = [(1, " ".join(words(rng, 40, "a") + one + words(rng, 90, "b") + one + words(rng, 20, "c"))), (2, " ".join(line * 40)), (3, " ".join(words(rng, 200, "d")))]
+    got = {(r.doc_id, r.kind, r.start, r.end, r.source_start) for r in S.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, "within", 190, 250, 40), (2, "within", 12, 480, 0)}
+
+
+def test_a_doc_id_with_two_texts(spark):
+    rng = random.Random(10)
+    one, two = words(rng, 70, "p"), words(rng, 70, "q")
+    rows = [(1, " ".join(one)), (2, " ".join(two)), (5, " ".join(words(rng, 30, "a") + one)), (5, " ".join(words(rng, 30, "b") + two)), (5, " ".join(one))]
+    got = {(r.doc_id, r.kind, r.start, r.end, r.source_doc) for r in S.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, "passage", 30, 100, 1), (5, "passage", 30, 100, 2), (5, "copy", 0, 70, 1)}
+
+
+def test_every_exact_passage_of_a_table_is_covered(spark):
+    """The query on a whole table against brute force: words in runs of 60 words that stand elsewhere before are in passages."""
+    docs = {r.doc_id: (r.text or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    split = {i: [w for w in S_WORDS.split(t.translate(LOWER)) if w] for i, t in docs.items()}
+    seen: set = set()
+    must = {}
+    for i in sorted(split):
+        w = split[i]
+        hits = set()
+        for k in range(len(w) - 59):
+            g = tuple(w[k : k + 60])
+            if g in seen:
+                hits |= set(range(k, k + 60))
+            seen.add(g)
+        if hits:
+            must[i] = hits
+    found: dict = {}
+    for r in S.op3_substring_dedup(spark, "/root/testdata/sf0.001").collect():
+        found.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+        a, b = split[r.doc_id][r.start : r.end], split[r.source_doc][r.source_start : r.source_end]
+        assert S.common(numbers(a), numbers(b)) >= r.n_equal >= 0.8 * max(len(a), len(b))
+    assert len(must) > 10 and all(len(h & found.get(i, set())) >= 0.99 * len(h) for i, h in must.items())
