@@ -1,11 +1,13 @@
 """HTML extraction by composite text density.
 
-Every page becomes a small tree. For each node, the characters and tags of its
+Every page becomes a small tree, without the parts whose tags or names say that they
+are menus, adverts and the like. For each node, the characters and tags of its
 subtree, and those within links, give a density: characters per tag, lowered by
 the share of link text. The node whose children's densities sum to the most
-holds the main text. The least density on its path to the body is the
-threshold: ancestors below the body that reach it are taken in, so that a page
-whose text is dealt over several boxes is not cut short.
+holds the main text. The least density on its path to the body is the threshold:
+beside the path, boxes that stay below it are cut, and those that reach it are
+parts of a text that is dealt over several boxes. What stands in the chosen node
+itself stays whole.
 """
 
 from __future__ import annotations
@@ -47,6 +49,8 @@ NOISE = frozenset(
 )
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 KEPT = frozenset("html body article main".split())
+#: Blocks that hold one piece of text; beside the path they are cut only if they are mostly links.
+PIECES = frozenset("address blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 hgroup p pre".split())
 #: An opening tag closes an open element of these kinds, looking no further up than their containers.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _CLOSES |= {x: ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}) for x in ("thead", "tbody", "tfoot")}
@@ -186,24 +190,21 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
-def main_node(root: Node) -> Node:
-    """The subtree with the main text."""
+def choose(root: Node) -> tuple[Node, Node]:
+    """(the body, the chosen node): the node with the largest sum, after boxes beside its path to the body are marked as dropped."""
     order = measure(root)
     body = next((n for n in order if n.tag == "body"), root)
     best = max((n for n in order if n.chars and n is not root), key=lambda n: n.total, default=body)
     path = [best]
     while path[-1].parent is not None and path[-1] is not body:
         path.append(path[-1].parent)
-    # an article or main element around it is its natural bound
-    for node in reversed(path):
-        if node.tag in ("article", "main"):
-            return node
     threshold = min(n.density for n in path)
-    for node in path[1:]:
-        if node is body or node.density < threshold:
-            break
-        best = node
-    return best
+    # the body is not a box of its own: if it is chosen, its boxes are judged too
+    for node in path[1:] if len(path) > 1 else path:
+        for x in node.items:
+            if isinstance(x, Node) and not x.dropped and x not in path and x.density < threshold:
+                x.dropped = 2 * x.link_chars > x.chars or x.tag in BLOCK and x.tag not in PIECES
+    return body, best
 
 
 def block_texts(node: Node) -> list[str]:
@@ -243,7 +244,8 @@ def extract(page: str | None) -> str:
     """The page's main text, its blocks joined by two line breaks; '' for null and for pages without text."""
     if not page:
         return ""
-    return "\n\n".join(block_texts(main_node(parse(page))))
+    root = parse(page)
+    return "\n\n".join(block_texts(choose(root)[0]))
 
 
 def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 
 from mnemosia.llm import html_text as H
@@ -46,3 +49,82 @@ def test_table(spark):
     assert sorted(map(str, H.extract_text(pages).collect())) == sorted(map(str, [*[r for r in H.extract_text(pages.limit(2)).collect()], H.extract_text(pages.where("page_id IS NULL")).first()]))
     assert [tuple(r) for r in H.extract_text(pages.where("page_id IS NULL")).collect()] == [(None, None, "", 0)]
     assert H.extract_text(pages.where("false")).collect() == []
+
+
+def content(rng, n):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+
+
+def neutral(rng, paragraphs, links=8):
+    """A page in which every element is a div without a telling name."""
+    menu = "<div>" + "".join(f"<div><a href=/{k}>{content(rng, 1)}</a></div>" for k in range(links)) + "</div>"
+    post = "<div class=k>" + "".join(f"<div>{p}</div>" for p in paragraphs) + "</div>"
+    return f"<html><body><div class=a><div class=b>{menu}{post}{menu}</div></div><div>{content(rng, 2)} <a href=/a>{content(rng, 2)}</a> <a href=/b>{content(rng, 1)}</a></div></body></html>"
+
+
+def test_density_alone_finds_the_text():
+    rng = random.Random(1)
+    for _ in range(100):
+        paragraphs = [content(rng, rng.randrange(25, 80)) for _ in range(rng.randrange(3, 12))]
+        paragraphs.insert(1, "Short.")
+        assert H.extract(neutral(rng, paragraphs)).split("\n\n") == paragraphs
+
+
+def test_a_text_over_two_boxes_beside_plain_links():
+    rng = random.Random(2)
+    one, two = [content(rng, 50) for _ in range(4)], [content(rng, 60) for _ in range(3)]
+    box = lambda t: "<div>" + "".join(f"<p>{p}</p>" for p in t) + "</div>"
+    page = f"<body><div>{box(one)}<div><a>One</a> <a>Two</a> <a>Three</a> <a>Four</a></div>{box(two)}</div><p>Between.</p><div>Buy now</div>"
+    assert H.extract(page).split("\n\n") == [*one, *two, "Between."]
+
+
+def test_measures_against_the_formulas():
+    rng = random.Random(3)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return content(rng, rng.randrange(1, 6))
+        return (rng.choice(["div", "a", "p", "b"]) if depth < 4 else "div", [tree(depth - 1) for _ in range(rng.randrange(1, 4))])
+
+    def page(t):
+        return t if isinstance(t, str) else f"<{t[0]}>" + "".join(map(page, t[1])) + f"</{t[0]}>"
+
+    def counts(t, link=False):
+        """characters, tags, link characters, link tags below a node"""
+        if isinstance(t, str):
+            n = len(t.replace(" ", ""))
+            return n, 0, n if link else 0, 0
+        inner = [counts(x, link or t[0] == "a") for x in t[1]]
+        c, g, lc, lg = (sum(x[k] for x in inner) for k in range(4))
+        g += sum(not isinstance(x, str) for x in t[1])
+        return c, g, lc, lg
+
+    def links(node):
+        """characters within links and link tags, by walking the parsed tree"""
+        if node.tag == "a":
+            return node.chars, 1 + sum(links(x)[1] for x in node.items if isinstance(x, H.Node))
+        return tuple(sum(links(x)[k] for x in node.items if isinstance(x, H.Node)) for k in (0, 1))
+
+    for _ in range(200):
+        t = ("div", [tree(4) for _ in range(3)])
+        if "<p>" in page(t) or "<a>" in page(t) and page(t).count("<a>") > 1:
+            continue  # nested paragraphs and links are mended by the parser
+        order = H.measure(H.parse(f"<body>{page(t)}</body>"))
+        body = next(n for n in order if n.tag == "body")
+        c, g, lc, lg = counts(t)
+        top = next(n for n in order if n.parent is body)
+        assert (top.chars, top.tags) == (c, g)
+        for n in order:
+            if n.chars and n.tag not in ("html",):
+                lc, lg = links(n)
+                assert (n.link_chars, n.link_tags) == (lc, lg)
+                base = math.log(n.chars * max(1, lc) / max(1, n.chars - lc) + body.link_chars * n.chars / body.chars + math.e)
+                want = n.chars / max(1, n.tags) * math.log(max(1.0, n.chars * max(1, n.tags) / max(1, lc) / max(1, lg))) / math.log(base)
+                assert n.density == pytest.approx(want) and n.total == pytest.approx(sum(x.density for x in n.items if isinstance(x, H.Node)))
+
+
+def test_the_density_node_holds_the_text(spark):
+    """On whole pages, cut by density with every name of a tag or class taken away, and as they are."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(200).collect()
+    right = sum(H.choose(H.parse(r.html))[1].tag not in ("body", "html") for r in rows)
+    assert right >= 0.9 * len(rows)
