@@ -36,7 +36,7 @@ MIN_WORDS, MIN_EQUAL = 50, 0.8
 MIN_PIECE = 20
 #: Words by which a chain may grow at each end at first: what lies before its first seed or after its last.
 #: A chain that grows to NEAR words from there gets FURTHER times as many.
-REACH, NEAR, FURTHER = 64, 32, 8
+REACH, NEAR, FURTHER = 40, 20, 8
 #: Cells of an alignment that are held at once.
 CELLS = 1 << 20
 _U = np.uint64
@@ -300,6 +300,35 @@ def passing(runs: np.ndarray, min_equal: float) -> list[tuple[int, int]]:
     return out
 
 
+def shared_by_prefix(x: list[int], y: list[int]) -> list[int]:
+    """Words in a longest common subsequence of y and each prefix of x, the empty one first (columns as the bits of one number)."""
+    masks: dict[int, int] = {}
+    for j, w in enumerate(y):
+        masks[w] = masks.get(w, 0) | 1 << j
+    full = (1 << len(y)) - 1
+    v, out, n = full, [0], 0
+    for w in x:
+        m = masks.get(w)
+        if m is not None:
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+            n = len(y) - v.bit_count()
+        out.append(n)
+    return out
+
+
+def hopeless(a: np.ndarray, b: np.ndarray, p: int, q: int, n: int, min_equal: float = MIN_EQUAL) -> bool:
+    """Whether no piece of MIN_PIECE words around the n equal words at p in a and q in b can have enough equal words."""
+    left = shared_by_prefix(a[:p][::-1].tolist(), b[:q][::-1].tolist())
+    right = shared_by_prefix(a[p + n :].tolist(), b[q + n :].tolist())
+    # the most surplus of equal words with so many words or more on the right
+    best, most = [0.0] * len(right), -1e300
+    for i in range(len(right) - 1, -1, -1):
+        best[i] = most = max(most, right[i] - min_equal * i)
+    need = MIN_PIECE - n
+    return all(left[i] - min_equal * i + best[max(0, need - i)] + n * (1 - min_equal) < -1e-6 for i in range(len(left)) if need - i < len(right))
+
+
 def align(a: np.ndarray, b: np.ndarray, pos: list[int], there: list[int], length: list[int], n_seeds: list[int], min_words: int = MIN_WORDS, min_equal: float = MIN_EQUAL) -> list[tuple[int, int, int, int, int, int]]:
     """(a from, a to, b from, b to, equal words, seeds) of every piece of a chain that has enough equal words by itself.
 
@@ -340,6 +369,8 @@ def _align_batches(reach: int):
                 out = []
                 for chain, node, hub, pos, there, length, seeds, a0, a, b0, b in zip(*(d[n] for n in ("chain", "node", "hub", "pos", "hub_pos", "n", "seeds", "a0", "a", "b0", "b"))):
                     x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+                    if len(pos) == 1 and length[0] < MIN_PIECE and hopeless(x, y, pos[0] - a0, there[0] - b0, length[0]):
+                        continue
                     found = align(x, y, [p - a0 for p in pos], [q - b0 for q in there], length, seeds)
                     found = [x for x in found if x[1] - x[0] >= MIN_PIECE]
                     more = [a0 > 0, b0 > 0, a0 + len(x) == pos[-1] + length[-1] + reach, b0 + len(y) == there[-1] + length[-1] + reach]
@@ -392,14 +423,13 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_equal: fl
     texts, aligned, reach = None, None, REACH
     while True:
         span = lambda c: (F.element_at(c, 1) - reach, F.element_at(c, -1) + F.element_at("n", -1) + reach)  # noqa: B023, E731
-        ask = chained.select("chain", F.lit(0).alias("side"), "node", *[x.alias(n) for x, n in zip(span("pos"), ("lo", "hi"))]).unionByName(
-            chained.select("chain", F.lit(1).alias("side"), F.col("hub").alias("node"), *[x.alias(n) for x, n in zip(span("hub_pos"), ("lo", "hi"))])
-        )
-        wanted = stored(ask.select("node").distinct(), "wanted")
+        sides = [chained.select("chain", F.lit(k).alias("side"), F.col(n).alias("node"), *[x.alias(c) for x, c in zip(span(at), ("lo", "hi"))]) for k, (n, at) in enumerate((("node", "pos"), ("hub", "hub_pos")))]
+        wanted = stored(sides[0].select("node").union(sides[1].select("node")).distinct(), "wanted")
         texts = stored((heads if texts is None else texts).join(small(wanted), "node", "left_semi").dropDuplicates(["node"]), "texts")
-        sides = arrow_map(ask.join(texts, "node"), _cut, "chain long, side int, start int, words binary")
-        a = sides.where("side = 0").select("chain", F.col("start").alias("a0"), F.col("words").alias("a"))
-        b = sides.where("side = 1").select("chain", F.col("start").alias("b0"), F.col("words").alias("b"))
+        a, b = (
+            arrow_map(ask.join(texts, "node"), _cut, "chain long, side int, start int, words binary").select("chain", F.col("start").alias(f"{c}0"), F.col("words").alias(c))
+            for ask, c in zip(sides, "ab")
+        )
         both = chained.join(a, "chain").join(b, "chain")
         schema = "chain long, node long, hub long, start long, `end` long, hub_start long, hub_end long, n_equal long, n_seeds long"
         new = stored(both.select("chain", "node", "hub", "pos", "hub_pos", "n", "seeds", "a0", "a", "b0", "b").mapInArrow(_align_batches(reach), schema), "aligned")

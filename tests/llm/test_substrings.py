@@ -186,3 +186,24 @@ def test_every_exact_passage_of_a_table_is_covered(spark):
         a, b = split[r.doc_id][r.start : r.end], split[r.source_doc][r.source_start : r.source_end]
         assert S.common(numbers(a), numbers(b)) >= r.n_equal >= 0.8 * max(len(a), len(b))
     assert len(must) > 10 and all(len(h & found.get(i, set())) >= 0.99 * len(h) for i, h in must.items())
+
+
+def test_what_is_hopeless_has_no_piece():
+    rng = random.Random(11)
+    n_hopeless = 0
+    for _ in range(400):
+        one = [rng.randrange(40) for _ in range(70)]
+        two = [w if rng.random() < rng.choice([0.2, 0.6, 0.8]) else rng.randrange(40) for w in one]
+        if rng.random() < 0.5:
+            del two[rng.randrange(20)]
+        p = 30
+        q = rng.randrange(25, 35)
+        two[q : q + 6] = one[p : p + 6]
+        a, b = np.array(one, np.uint32), np.array(two, np.uint32)
+        for i in range(0, 60, 7):
+            assert S.shared_by_prefix(one[:20], two)[len(one[:20])] == S.common(a[:20], b)
+        if S.hopeless(a, b, p, q, 6):
+            n_hopeless += 1
+            for x in S.align(a, b, [p], [q], [6], [1]):
+                assert x[1] - x[0] < S.MIN_PIECE or x[4] < 0.8 * max(x[1] - x[0], x[3] - x[2]) or not x[0] <= p < x[1]
+    assert n_hopeless > 50
