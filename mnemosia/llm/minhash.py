@@ -36,6 +36,8 @@ SHINGLE = 4
 SIMILAR = (80, 100)
 #: Rounds in which a class is offered one link; what remains is compared pair by pair.
 ROUNDS = 2
+#: Postings of a common shingle that meet the others in one task.
+DEALT = 2_000
 _U = np.uint64
 
 
@@ -80,6 +82,20 @@ def _signatures(k: int, n: int):
     return run
 
 
+def _marked(n: int):
+    """(doc_id, text) -> both, n_shingles, f1, f2."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for signed in _signatures(1, n)([batch]):
+                text = batch.column(1).slice(at, signed.num_rows)
+                yield pa.RecordBatch.from_arrays([signed.column(0), text, *signed.columns[1:4]], ["doc_id", "text", *signed.schema.names[1:4]])
+                at += signed.num_rows
+
+    return run
+
+
 def signatures(docs: DataFrame, k: int = K, n: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, f1, f2 (together a 128-bit fingerprint of the set), sig, for each row of docs (doc_id, text)."""
     return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), _signatures(k, n), "doc_id long, n_shingles long, f1 long, f2 long, sig array<int>")
@@ -185,9 +201,11 @@ def _rest(postings: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """a, b: every pair of classes in different components that may still be similar enough.
 
     Classes whose lists hold several components are compared on their full sets, in order of
-    rising frequency: two similar sets share a shingle within the first n - ceil(0.8 n) + 1, and
-    what follows it bounds their intersection. In each list the members outside its largest
-    component meet all members."""
+    rising frequency. What follows the first shingle that two sets share, with it, is at least
+    their intersection: 0.8 of the larger set, and 8/9 of the smaller. So the smaller set is
+    posted under its first ninth only (`index`), the larger under its first fifth, and texts that
+    are a little less alike than 0.8 do not meet in the lists of what all of them share. In each
+    list the members outside its largest component meet all members; long lists are dealt in blocks."""
     need, of = SIMILAR
     lists = postings.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     nodes = stored(postings.join(lists, "key").select("node", "n", "comp").distinct(), "residue")
@@ -197,14 +215,18 @@ def _rest(postings: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     ranked = rows.join(often, "h").join(small(nodes), "node")
     own = Window.partitionBy("node")
     # shingles that no other class has come first in the order
-    ranked = ranked.withColumn("rank", F.row_number().over(own.orderBy("freq", "h")) + F.col("n") - F.count("*").over(own))
-    prefix = stored(ranked.where(F.col("rank") <= F.floor(F.col("n") * (of - need) / of) + 1).select("h", "node", "n", "comp", (F.col("n") - F.col("rank") + 1).alias("s")), "prefix")
-    sizes = prefix.groupBy("h", "comp").agg(F.count("*").alias("size"))
-    major = sizes.groupBy("h").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("h", F.col("top.comp").alias("major"))
-    live = stored(prefix.join(major, "h"), "lists")
-    minor = live.where("comp <> major").select("h", F.col("node").alias("a"), "n", "s", F.col("comp").alias("own"))
-    other = live.select("h", F.col("node").alias("b"), F.col("n").alias("m"), F.col("s").alias("r"), "comp", "major")
-    pairs = minor.join(other, "h").where((F.col("own") != F.col("comp")) & ((F.col("comp") == F.col("major")) | (F.col("a") < F.col("b"))) & _fits("n", "s", "m", "r"))
+    ranked = ranked.withColumn("s", F.count("*").over(own) - F.row_number().over(own.orderBy("freq", "h")) + 1)
+    index = F.col("s") * (need + of) >= F.col("n") * 2 * need
+    prefix = stored(ranked.where(F.col("s") * of >= F.col("n") * need).select("h", "node", "n", "comp", "s", index.alias("index")), "prefix")
+    sizes = prefix.groupBy("h", "comp").agg(F.count("*").alias("size"), F.count_if("index").alias("posted"))
+    major = sizes.groupBy("h").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("posted").alias("posted")).where("comps > 1 AND posted > 0")
+    live = stored(prefix.join(major.select("h", F.col("top.comp").alias("major"), F.ceil(F.col("posted") / DEALT).cast("long").alias("blocks")), "h"), "lists")
+    small_side = live.where("index").select("h", F.pmod(F.xxhash64("node"), "blocks").alias("block"), F.col("node").alias("a"), "n", "s", F.col("comp").alias("own"), (F.col("comp") == F.col("major")).alias("mine"))
+    large_side = live.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    large_side = large_side.select("h", "block", F.col("node").alias("b"), F.col("n").alias("m"), F.col("s").alias("r"), "comp", (F.col("comp") == F.col("major")).alias("theirs"))
+    ordered = (F.col("n") < F.col("m")) | (F.col("n") == F.col("m")) & (F.col("a") < F.col("b"))
+    met = lambda x, y: x.drop("mine").join(y.drop("theirs"), ["h", "block"]).where(ordered & (F.col("own") != F.col("comp")) & _fits("n", "s", "m", "r"))
+    pairs = met(small_side.where("NOT mine"), large_side).unionByName(met(small_side.where("mine"), large_side.where("NOT theirs")))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -213,24 +235,38 @@ def near_duplicates(docs: DataFrame, k: int = K, t: int = T, n: int = SHINGLE) -
 
     Words are split at space and \\x09-\\x0D after lower-casing A-Z. component_id is
     the least doc_id reachable over links of 100 * intersection >= 80 * union. A text
-    without words links with nothing. Rows that share a doc_id belong together; a null
-    doc_id with words takes its class's component, or null. `kept` marks the document
-    that stays of each component."""
+    without words links with nothing, however long the others are. Rows that share a doc_id belong
+    together, so that texts of one doc_id link the components of all of them; a null
+    doc_id with words takes its class's component, or null, and links nothing by itself. `kept` marks the
+    document that stays of each component."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
+    key = ["f1", "f2", "n_shingles"]
     signed = stored(signatures(docs, k, n), "signatures")
     full = signed.where("n_shingles > 0")
-    classes = stored(full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"), "classes")
-    heads = full.join(classes.withColumnRenamed("n_shingles", "n"), [full.f1 == classes.f1, full.f2 == classes.f2, full.doc_id == classes.node])
-    heads = heads.select("node", "n", "sig").dropDuplicates(["node", "n"])
-    postings = stored(prefix_postings(heads, k, t), "postings")
-    live = stored(postings.select("node").distinct(), "live")
-    labels = None
+    classes = full.groupBy(*key).agg(F.min("doc_id").alias("doc"), F.any_value("sig").alias("sig")).where("doc IS NOT NULL")
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    repeated = full.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(F.struct(*key)).alias("lo"), F.max(F.struct(*key)).alias("hi"))
+    repeated = stored(repeated.where("rows > 1").select("doc_id", (F.col("lo") != F.col("hi")).alias("several")), "repeated")
+    several = repeated.where("several").select("doc_id")
+    any_repeated, any_several = not repeated.isEmpty(), not several.isEmpty()
+    links = labels = None
+    if any_several:
+        # the classes of one doc_id's texts are linked
+        met = full.join(small(several), "doc_id").select("doc_id", *key).distinct().join(classes.select("node", *key), key).select("doc_id", "node")
+        links = stored(met.join(met.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "links")
+        labels = components(links)
+    postings = stored(prefix_postings(classes.select("node", F.col("n_shingles").alias("n"), "sig"), k, t), "postings")
+    live = stored(classes.join(postings.select("node").distinct(), "node", "left_semi").select("node", F.col("doc").alias("doc_id"), *key), "live")
     if not live.isEmpty():
-        texts = stored(docs.withColumnRenamed("doc_id", "node").join(small(live), "node", "left_semi").dropDuplicates(["node"]), "texts")
+        one = live if not any_several else live.join(small(several), "doc_id", "left_anti")
+        texts = docs.join(small(one.select("node", "doc_id")), "doc_id").select("node", "text")
+        if any_several:
+            own = arrow_map(docs.join(small(several), "doc_id", "left_semi"), _marked(n), "doc_id long, text string, n_shingles long, f1 long, f2 long")
+            texts = texts.unionByName(own.join(live, ["doc_id", *key]).select("node", "text"))
+        texts = stored(texts.dropDuplicates(["node"]) if any_repeated else texts, "texts")
         need, of = SIMILAR
         shared = stored(shared_counts(texts, n), "shared")
         postings = stored(postings.join(small(shared), "node").where(F.col("s") * of >= F.col("n") * need), "postings")
-        links = None
         for turn in range(ROUNDS + 1):
             marked = _relabel(postings, labels)
             offered = _offers(marked) if turn < ROUNDS else _rest(marked, texts, n)
@@ -241,8 +277,14 @@ def near_duplicates(docs: DataFrame, k: int = K, t: int = T, n: int = SHINGLE) -
                 break
             links = new if links is None else links.unionByName(new)
             labels = components(links)
-    named = classes.join(small(labels), "node", "left").select("f1", "f2", "n_shingles", F.coalesce("comp", "node").alias("comp")) if labels is not None else classes.select("f1", "f2", "n_shingles", F.col("node").alias("comp"))
-    found = signed.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left")
+    named = classes.select("node", "doc", *key)
+    if labels is not None:
+        marked = named.join(small(labels), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        least = labels.join(named.select("node", "doc"), "node").groupBy("comp").agg(F.min("doc").alias("least"))
+        named = marked.join(small(stored(least, "least")), "comp", "left").select(*key, F.coalesce("least", "doc").alias("comp"))
+    else:
+        named = named.select(*key, F.col("doc").alias("comp"))
+    found = signed.select("doc_id", *key).join(named, key, "left")
     component = F.coalesce("comp", "doc_id")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 

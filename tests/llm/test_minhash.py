@@ -90,3 +90,24 @@ def test_one_row_of_equal_doc_ids_stays(spark):
     rows = [(7, "a b c d e"), (7, "a b c d e"), (7, "z y x w v"), (8, "a b c d e"), (9, "k l m n o"), (10, None), (10, ""), (None, "a b c d e"), (None, "a b c d e")]
     kept = M.near_dedup_stage(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, "a b c d e"), (0, "a b c d e"), (7, "a b c d e"), (9, "k l m n o"), (10, "")]
+
+
+def test_texts_of_one_doc_id_link_their_classes(spark):
+    rng = random.Random(5)
+    words = [f"v{k}" for k in range(2000)]
+    a, b = rng.choices(words, k=60), rng.choices(words, k=60)
+    near = lambda t: " ".join(t[:30] + ["changed"] + t[31:])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, " ".join(rng.choices(words, k=60)))]
+    got = {(r.doc_id, r.component_id, r.kept) for r in M.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)}
+
+
+def test_templates_a_little_below_the_threshold_do_not_meet(spark):
+    """Texts that share three quarters of their shingles: no pair is looked at, however many they are."""
+    template = " ".join(f"t{k}" for k in range(90))
+    rows = [(i, template + " " + " ".join(f"x{i}_{k}" for k in range(12))) for i in range(400)]
+    texts = spark.createDataFrame(rows, "node long, text string")
+    postings = texts.selectExpr("node", "99L AS n", "1L AS key", "node AS comp")
+    assert M._rest(postings, texts, M.SHINGLE).count() == 0
+    got = M.near_duplicates(texts.withColumnRenamed("node", "doc_id")).collect()
+    assert all(r.component_id == r.doc_id for r in got) and len(got) == 400
