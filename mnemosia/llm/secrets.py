@@ -1,13 +1,17 @@
 """Secret scans: a ledger of scanned blobs.
 
-A text is addressed by its SHA-256. The ledger says which (blob, rule version)
-pairs have been scanned; a run scans only pairs that it lacks, whatever number of
-documents, paths or earlier versions hold the same blob. Findings are kept by
-blob and joined back to every document.
+A text is addressed by its SHA-256. The ledger, a folder, says which (blob, rule
+version) pairs have been scanned; a run scans only pairs that it lacks, whatever
+number of documents, paths or earlier versions hold the same blob. Findings are kept
+by blob and rule version and joined back to every document, or to every path and
+version of a history.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +47,42 @@ def rule_key(name: str) -> str:
     return f"{name}@{RULES[name][0]}"
 
 
+#: Elements that are folded at once by `running`, and code points of a piece that `redacted` cuts from.
+FOLDED, PIECE = 64, 4096
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, fold: Callable[[Column, Column], Column]) -> Column:
+    """For an array of longs, one value more: fold over all elements before each place, from 0, and over all.
+
+    Blocks are folded first, so that no long array is copied once for each of its elements."""
+    start = lambda at: F.struct(at.alias("at"), F.array(at).alias("out"))
+
+    def prefixes(array: Column, at: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            new = fold(acc.at, x)
+            return F.struct(new.alias("at"), F.concat(acc.out, F.array(new)).alias("out"))
+
+        return F.aggregate(array, start(at), step, lambda acc: acc.out)
+
+    def whole(array: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(array) - 1) / FOLDED).cast("int")), lambda b: F.slice(array, b * FOLDED + 1, FOLDED))
+        zero = F.lit(0).cast("long")
+
+        def joined(blocks: Column) -> Column:
+            heads = prefixes(F.transform(blocks, lambda x: F.aggregate(x, zero, lambda at, y: fold(at, y))), zero)
+            inner = F.zip_with(blocks, F.slice(heads, 1, F.size(blocks)), lambda x, at: F.slice(prefixes(x, at), 1, F.size(x)))
+            return F.concat(F.flatten(inner), F.slice(heads, -1, 1))
+
+        return F.when(F.size(array) == 0, F.array(zero)).otherwise(_let(blocks, joined))
+
+    return _let(values, whole)
+
+
 def spans(text: Column, name: str, order: int) -> Column:
     """array<struct<start, kind, name, end>> of one rule's matches in code points.
 
@@ -52,23 +92,39 @@ def spans(text: Column, name: str, order: int) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     counted = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x).cast("long"))
-    rows = F.zip_with(
-        F.zip_with(F.slice(between, 1, F.size(found)), found, lambda gap, m: F.struct(gap.alias("gap"), F.length(m).cast("long").alias("len"))),
-        counted,
-        lambda x, c: F.struct(x.gap.alias("gap"), x.len.alias("len"), (F.length(c) >= least).alias("ok")),
-    )
-    empty = F.array().cast("array<struct<start:long,end:long,ok:boolean>>")
-    placed = F.aggregate(
-        rows,
-        F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc.at + x.gap + x.len).alias("at"),
-            F.concat(acc.out, F.array(F.struct((acc.at + x.gap).alias("start"), (acc.at + x.gap + x.len).alias("end"), x.ok.alias("ok")))).alias("out"),
-        ),
-        lambda acc: acc.out,
-    )
-    good = F.transform(F.filter(placed, lambda x: x.ok), lambda x: F.struct(x.start.alias("start"), F.lit(order).alias("kind"), F.lit(name).alias("name"), x.end.alias("end")))
-    return good
+    pairs = F.zip_with(found, counted, lambda m, c: F.struct(F.length(m).cast("long").alias("len"), (F.length(c) >= least).alias("ok")))
+    rows = F.transform(F.filter(F.arrays_zip(between.alias("gap"), pairs.alias("m")), lambda x: x.m.isNotNull()), lambda x: F.struct(x.gap.alias("gap"), x.m.len.alias("len"), x.m.ok.alias("ok")))
+
+    def placed(rows: Column) -> Column:
+        ends = F.slice(running(F.transform(rows, lambda x: x.gap + x.len), lambda at, x: at + x), 2, F.size(rows))
+        whole = F.zip_with(rows, ends, lambda x, end: F.struct((end - x.len).alias("start"), F.lit(order).alias("kind"), F.lit(name).alias("name"), end.alias("end"), x.ok.alias("ok")))
+        return F.transform(F.filter(whole, lambda x: x.ok), lambda x: F.struct(x.start.alias("start"), x.kind.alias("kind"), x["name"].alias("name"), x.end.alias("end")))
+
+    return _let(rows, placed)
+
+
+def redacted(text: Column, found: Column, mask: str) -> Column:
+    """text with the spans (sorted by start) replaced by the mask, overlapping ones by one. Text is cut from pieces of bounded size."""
+
+    def cut(chunks: Column) -> Callable[[Column], Column]:
+        chunk = lambda k: F.coalesce(F.try_element_at(chunks, (k + 1).cast("int")), F.lit(""))
+
+        def part(x: Column) -> Column:
+            a, b = F.floor(x.lo / PIECE), F.floor(x.hi / PIECE)
+            at = lambda p: (p % PIECE).cast("int")
+            inside = F.substring(chunk(a), at(x.lo) + 1, (x.hi - x.lo).cast("int"))
+            over = F.concat(F.substring(chunk(a), at(x.lo) + 1, F.lit(PIECE)), F.array_join(F.slice(chunks, (a + 2).cast("int"), F.greatest(F.lit(0), b - a - 1).cast("int")), ""), F.substring(chunk(b), F.lit(1), at(x.hi)))
+            return F.when(a == b, inside).otherwise(over)
+
+        return part
+
+    def whole(done: Column) -> Column:
+        """done: before each span, and after all, the end of what the spans so far cover"""
+        marked = F.zip_with(found, F.slice(done, 1, F.size(found)), lambda x, d: F.struct(d.alias("lo"), x.start.alias("hi")))
+        gaps = F.concat(F.filter(marked, lambda x: x.hi >= x.lo), F.array(F.struct(F.element_at(done, -1).alias("lo"), F.length(text).cast("long").alias("hi"))))
+        return _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), lambda chunks: F.array_join(F.transform(gaps, cut(chunks)), mask))
+
+    return _let(running(F.transform(found, lambda x: x.end), F.greatest), whole)
 
 
 def ledger_scan(docs: DataFrame, ledger: DataFrame | None = None, rules: list[str] | None = None) -> DataFrame:
@@ -100,35 +156,45 @@ def ledger_scan(docs: DataFrame, ledger: DataFrame | None = None, rules: list[st
 
 
 class BlobLedger:
-    """A ledger in a folder: `scan` adds what is unseen, `findings` is every blob's spans.
+    """A ledger in a folder, new or from earlier runs: `scan` adds what is unseen, `findings` is every blob's spans.
 
-    Each scan appends one set of files; a scan that fails leaves none behind and
-    can be run again."""
+    Each scan appends one set of files; a scan that fails leaves nothing behind that is
+    read, and can be run again. One writer at a time."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.runs = spark, path, 0
+        self.spark, self.path, self.alone = spark, path, False
 
     def rows(self) -> DataFrame | None:
-        return self.spark.read.schema(LEDGER).parquet(f"{self.path}/run=*") if self.runs else None
+        """blob, checked, found of all runs; None before the first."""
+        try:
+            return self.spark.read.schema(LEDGER).parquet(self.path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
 
     def scan(self, docs: DataFrame, rules: list[str] | None = None) -> None:
-        new = ledger_scan(docs, self.rows(), rules)
-        new.write.option("compression", "zstd").parquet(f"{self.path}/run={self.runs}")
-        self.runs += 1
+        known = self.rows()
+        ledger_scan(docs, known, rules).write.mode("append").option("compression", "zstd").parquet(self.path)
+        self.alone = known is None
 
     def findings(self) -> DataFrame:
-        """blob, found: one row for each blob with findings."""
-        rows = self.rows().where(F.size("found") > 0)
-        if self.runs == 1:
-            return rows.select("blob", "found")
+        """blob, found: one row for each blob with findings by the rules' present versions."""
+        present = F.array(*[F.lit(rule_key(n)) for n in RULES])
+        now = F.array_intersect("checked", present)
+        rows = self.rows().select("blob", F.filter("found", lambda x: F.exists(now, lambda k: k.startswith(F.concat(x["name"], F.lit("@"))))).alias("found")).where(F.size("found") > 0)
+        if self.alone:  # a blob has one row a run
+            return rows
         return rows.select("blob", F.explode("found").alias("x")).groupBy("blob").agg(F.array_sort(F.collect_set("x")).alias("found"))
 
 
-def join_back(docs: DataFrame, findings: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, found (sorted spans, empty if none), one row for each row of docs."""
+def join_back(docs: DataFrame, findings: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """docs (the keys and text) -> the keys, found (sorted spans, empty if none), one row for each row of docs.
+
+    The rows may be documents, or the paths and versions of a history."""
     none = F.array().cast("array<struct<start:long,kind:int,name:string,end:long>>")
-    paths = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"))
-    return paths.join(findings, "blob", "left").select("doc_id", F.coalesce("found", none).alias("found"))
+    paths = docs.select(*keys, F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"))
+    return paths.join(findings, "blob", "left").select(*keys, F.coalesce("found", none).alias("found"))
 
 
 def _listed(found: Column) -> Column:
@@ -155,14 +221,5 @@ def redact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, mask: str =
     ledger.scan(docs)
     blob = F.sha2(F.coalesce("text", F.lit("")), 256)
     joined = docs.withColumn("_blob", blob).join(ledger.findings().select(F.col("blob").alias("_blob"), F.col("found").alias("_found")), "_blob", "left")
-    cut = F.aggregate(
-        "_found",
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda acc, x: F.struct(
-            F.greatest(acc.at, x.end).alias("at"),
-            F.when(x.start >= acc.at, F.concat(acc.out, F.substring(F.col("text"), (acc.at + 1).cast("int"), (x.start - acc.at).cast("int")), F.lit(mask))).otherwise(acc.out).alias("out"),
-        ),
-        lambda acc: F.concat(acc.out, F.substring(F.col("text"), (acc.at + 1).cast("int"), F.length("text"))),
-    )
-    text = F.when(F.col("_found").isNull() | F.col("text").isNull(), F.col("text")).otherwise(cut)
+    text = F.when(F.col("_found").isNull() | F.col("text").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("_found"), mask))
     return joined.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])

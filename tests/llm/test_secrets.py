@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from mnemosia.llm import secrets as S
 
 NONE = "array<struct<start:long,kind:int,name:string,end:long>>"
@@ -83,3 +85,43 @@ def test_empty_table_and_other_columns(spark):
     assert ledger.count() == 1
     assert [len(r.found) for r in S.join_back(docs, ledger.select("blob", "found")).collect()] == [1, 1]
     assert S.ledger_scan(docs.where("false")).collect() == []
+
+
+def test_a_ledger_that_is_opened_again(spark, tmp_path):
+    history = spark.createDataFrame(
+        [("a.py", 1, "token=abcdefghijkl"), ("a.py", 2, "nothing"), ("b.py", 1, "token=abcdefghijkl"), ("b.py", 3, None)], "path string, version long, text string"
+    )
+    S.BlobLedger(spark, str(tmp_path / "ledger")).scan(history)
+    again = S.BlobLedger(spark, str(tmp_path / "ledger"))
+    assert again.rows().count() == 3
+    again.scan(history)
+    assert again.rows().count() == 3  # nothing was scanned
+    found = S.join_back(history, again.findings(), ("path", "version")).collect()
+    assert {(r.path, r.version, len(r.found)) for r in found} == {("a.py", 1, 1), ("a.py", 2, 0), ("b.py", 1, 1), ("b.py", 3, 0)}
+
+
+def test_a_new_version_replaces_the_old_findings(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "token=abcdefghijkl AKIA" + "X" * 20)], "doc_id long, text string")
+    ledger = S.BlobLedger(spark, str(tmp_path / "ledger"))
+    ledger.scan(docs)
+    assert [x.name for x in ledger.findings().first().found] == ["assign", "access"]
+    monkeypatch.setitem(S.RULES, "assign", (2, "never", 0, 1, "never"))
+    ledger.scan(docs)
+    assert [list(r.checked) for r in ledger.rows().collect() if len(r.checked) == 1] == [["assign@2"]]
+    assert [x.name for x in ledger.findings().first().found] == ["access"]
+
+
+def test_running_values_and_long_texts(spark):
+    rng = random.Random(4)
+    rows = [(k, [rng.randrange(9) for _ in range(n)]) for k, n in enumerate([0, 1, 2, 63, 64, 65, 128, 1000])]
+    frame = spark.createDataFrame(rows, "k long, a array<long>")
+    sums, tops = S.running(F.col("a"), lambda x, y: x + y), S.running(F.col("a"), F.greatest)
+    for k, s, t in frame.select("k", sums, tops).collect():
+        a = rows[k][1]
+        assert s == [sum(a[:i]) for i in range(len(a) + 1)] and t == [max([0, *a[:i]]) for i in range(len(a) + 1)]
+    for n in (0, 1, 4095, 4096, 4097, 20000):
+        bits = ["é" * rng.randrange(90) if k % 2 else "token=abcdefghijkl" for k in range(n // 50)]
+        text = ("é" * n + " ".join(bits)) if n % 2 else "x" + "token=abcdefghijkl;" * (n // 19)
+        want = re.sub(S.RULES["assign"][1], "[SECRET]", text, flags=re.A)
+        got = S.redact_stage(spark, spark.createDataFrame([(1, text)], "doc_id long, text string"), "").first().text
+        assert got == want
