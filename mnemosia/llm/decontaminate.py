@@ -19,6 +19,8 @@ from .common import lower_ascii, small, stored, table
 WINDOW = 10
 #: Terms of a window that are looked up, rarest first.
 PROBES = 2
+#: Bytes of candidates up to which they are broadcast to the documents; beyond that, both are shuffled.
+BROADCAST_BYTES = 64 << 20
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -28,7 +30,7 @@ def words_of(text: Column) -> Column:
 
 
 def windows(items: DataFrame, width: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(phrases, owners) of items (item_id, text).
+    """(phrases, owners) of items (item_id, text), both stored.
 
     phrases: window_id, phrase (words joined by a space), n (words), terms; each
     distinct phrase once. owners: window_id, item_id, distinct. Items without words have none."""
@@ -36,12 +38,11 @@ def windows(items: DataFrame, width: int = WINDOW) -> tuple[DataFrame, DataFrame
         items.select("item_id", words_of(F.col("text")).alias("w"))
         .where(F.size("w") > 0)
         .select("item_id", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (width - 1)))).alias("at"))
-        .select("item_id", F.slice("w", F.col("at"), F.lit(width)).alias("terms"))
-        .withColumn("phrase", F.array_join("terms", " "))
-        .withColumn("window_id", F.xxhash64("phrase"))
+        .select("item_id", F.array_join(F.slice("w", F.col("at"), F.lit(width)), " ").alias("phrase"))
     )
-    phrases = cut.select("window_id", "phrase", F.size("terms").alias("n"), "terms").dropDuplicates(["phrase"])
-    return phrases, cut.select("window_id", "phrase", "item_id").distinct()
+    phrases = cut.select("phrase").distinct().withColumn("window_id", F.monotonically_increasing_id())
+    phrases = stored(phrases.withColumn("terms", F.split("phrase", " ")).withColumn("n", F.size("terms")), "phrases")
+    return phrases, stored(cut.distinct().join(phrases.select("phrase", "window_id"), "phrase").select("window_id", "item_id"), "owners")
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -89,24 +90,33 @@ def candidates(index: DataFrame, probes: DataFrame) -> DataFrame:
     return thin.where("t2 IS NULL").select(*checked.columns).unionByName(checked)
 
 
-def phrase_matches(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(matches, owners, doc rows): matches has doc_key, start, n, window_id of every exact
-    occurrence of a window in docs (doc_key, doc_id, text); doc rows has doc_key, doc_id, n_words."""
-    phrases, owners = windows(items, width)
-    phrases, owners = stored(phrases, "phrases"), stored(owners.drop("phrase"), "owners")
+def phrase_matches(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """docs (text and others, but no words, doc_key, n_words, n_hit, windows) with n_words, n_hit (words within any
+    exact occurrence of a phrase) and windows (sorted ids of the phrases that occur)."""
+    keyed = docs.withColumn("doc_key", F.xxhash64(*docs.columns))
     terms = stored(phrases.select(F.explode("terms").alias("term")).distinct(), "terms")
     counts = stored(term_counts(docs, terms), "counts")
     probes = stored(probes_of(phrases, counts), "probes")
-    index = stored(postings(docs, stored(probes.select("term").distinct(), "lookups")), "postings")
-    found = candidates(index, probes)
-    found = stored(found.groupBy("doc_key").agg(F.collect_set(F.struct("start", "width", "window_id")).alias("cands")), "candidates")
-    # one pass over the documents: the words of each confirm its own candidates
-    checks = F.transform("cands", lambda c: F.struct(c.start.alias("start"), c.width.alias("n"), c.window_id.alias("window_id"), F.array_join(F.slice(F.col("w"), c.start + 1, c.width), " ").alias("phrase")))
-    rows = docs.join(small(found, 100_000), "doc_key", "left").withColumn("w", words_of(F.col("text")))
-    rows = stored(rows.select("doc_key", "doc_id", F.size("w").cast("long").alias("n_words"), checks.alias("checks")), "rows")
-    own = rows.select("doc_key", F.explode("checks").alias("c")).select("doc_key", "c.*")
-    matches = own.join(small(phrases.select("window_id", "phrase")), ["window_id", "phrase"], "left_semi")
-    return matches.select("doc_key", "start", "n", "window_id").distinct(), owners, rows.drop("checks")
+    index = stored(postings(keyed.select("doc_key", "text"), stored(probes.select("term").distinct(), "lookups")), "postings")
+    found = candidates(index, probes).join(small(phrases.select("window_id", "phrase")), "window_id")
+    found = found.groupBy("doc_key").agg(F.collect_set(F.struct("start", "width", "window_id", "phrase")).alias("cands"), F.sum(F.octet_length("phrase") + 64).alias("bytes"))
+    found = stored(found, "candidates")
+    most = found.agg(F.sum("bytes")).first()[0] or 0
+    found = found.drop("bytes") if most > BROADCAST_BYTES else F.broadcast(found.drop("bytes"))
+    # one pass over the documents: the words of each row confirm its own candidates, so that keys need not be unique
+    rows = keyed.join(found, "doc_key", "left").withColumn("words", words_of(F.col("text")))
+    exact = F.filter(F.coalesce("cands", F.array().cast(rows.schema["cands"].dataType)), lambda c: F.array_join(F.slice(F.col("words"), c.start + 1, c.width), " ") == c.phrase)
+    rows = rows.withColumn("cands", exact).withColumn("n_words", F.size("words").cast("long"))
+    places = F.array_sort(F.transform("cands", lambda c: F.struct(c.start.cast("long").alias("start"), (c.start + c.width).cast("long").alias("end"))))
+    zero = F.lit(0).cast("long")
+    n_hit = F.aggregate(
+        places,
+        F.struct(zero.alias("done"), zero.alias("n")),
+        lambda acc, x: F.struct(F.greatest(acc.done, x.end).alias("done"), (acc.n + F.greatest(zero, x.end - F.greatest(x.start, acc.done))).alias("n")),
+        lambda acc: acc.n,
+    )
+    ids = F.array_sort(F.array_distinct(F.transform("cands", lambda c: c.window_id)))
+    return rows.select(*docs.columns, "n_words", n_hit.alias("n_hit"), ids.alias("windows"))
 
 
 def near_matches(docs: DataFrame, term_sets: DataFrame, span: int) -> DataFrame:
@@ -141,26 +151,22 @@ def near_matches(docs: DataFrame, term_sets: DataFrame, span: int) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
-    """doc_key, doc_id, n_words, n_hit, n_items, items of every row of docs (doc_id, text).
+    """doc_id, n_words, n_hit, items of every row of docs (doc_id, text).
 
     A word inside any occurrence of a window is hit, once. items lists the item_ids with
     occurring windows, sorted as strings; an item with a null id is not listed. Null and
-    empty texts have no words; equal rows get equal results, whatever their number."""
-    docs = keyed(docs)
-    matches, owners, rows = phrase_matches(docs, items, width)
-    matches = stored(matches, "matches")
-    before = Window.partitionBy("doc_key").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1)
-    covered = matches.select("doc_key", "start", "n").distinct().withColumn("done", F.coalesce(F.max(F.col("start") + F.col("n")).over(before), F.lit(0)))
-    hits = covered.groupBy("doc_key").agg(F.sum(F.greatest(F.lit(0), F.col("start") + F.col("n") - F.greatest("start", "done"))).cast("long").alias("n_hit"))
-    owned = (
-        matches.select("doc_key", "window_id").distinct().join(small(owners), "window_id")
-        .select("doc_key", F.col("item_id").cast("string").alias("item")).where("item IS NOT NULL")
-        .groupBy("doc_key").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    )
-    return (
-        rows.join(hits.join(owned, "doc_key", "left"), "doc_key", "left")
-        .select("doc_key", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-    )
+    empty texts have no words; equal rows get equal results, whatever their number, and
+    every row is judged by its own words. Very long texts are one row like others."""
+    phrases, owners = windows(items, width)
+    rows = stored(phrase_matches(docs.select("doc_id", "text"), phrases).drop("text"), "rows")
+    # the items are a function of the windows: each set of windows is looked up once
+    sets = rows.where(F.size("windows") > 0).select("windows").distinct()
+    named = sets.select("windows", F.explode("windows").alias("window_id")).join(small(owners), "window_id")
+    named = named.select("windows", F.col("item_id").cast("string").alias("item")).where("item IS NOT NULL")
+    named = named.groupBy("windows").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    none = F.array().cast("array<string>")
+    met = rows.where(F.size("windows") > 0).join(named, "windows", "left").select("doc_id", "n_words", "n_hit", F.coalesce("items", none).alias("items"))
+    return rows.where(F.size("windows") == 0).select("doc_id", "n_words", "n_hit", none.alias("items")).unionByName(met)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,10 +178,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of docs without any hit, with their columns."""
-    found = decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    bad = found.where("n_hit > 0").select(F.col("doc_key").alias("_key")).distinct()
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(small(stored(bad, "bad")), "_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs without any hit, with their columns; each row is judged by its own words."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    phrases, _ = windows(table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return phrase_matches(rows, phrases).where("n_hit = 0").select("row.*")
 
 
 ORACLE = r"""

@@ -86,3 +86,25 @@ def test_near_matches_of_three_terms(spark):
                 want.add((1, i, s, s + n))
     got = D.near_matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, terms)], "set_id long, terms array<string>"), span).collect()
     assert {tuple(r) for r in got} == want and (1, 0, 10, 16) in want
+
+
+def test_equal_keys_do_not_mix_rows(spark, monkeypatch):
+    """Rows are judged by their own words even if their keys are equal."""
+    phrase = " ".join(f"b{k}" for k in range(10))
+    docs = [(1, f"x {phrase} y"), (2, "clean " * 30), (3, f"{phrase} {phrase} z"), (3, f"{phrase} {phrase} z"), (4, None)]
+    items = [(7, phrase), (8, phrase), (None, phrase)]
+    monkeypatch.setattr(D.F, "xxhash64", lambda *c: D.F.lit(5).cast("long"))
+    assert run(spark, docs, items) == plain(docs, [(7, phrase), (8, phrase)])
+    monkeypatch.undo()
+    whole = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS words", "2 AS n_hit", "3 AS row")
+    phrases, _ = D.windows(spark.createDataFrame(items, "item_id long, text string"))
+    rows = whole.select(D.F.struct("*").alias("row"), "text")
+    assert sorted(r.row.doc_id for r in D.phrase_matches(rows, phrases).where("n_hit = 0").collect()) == [2, 4]
+
+
+def test_long_texts(spark):
+    rng = random.Random(9)
+    phrase = [f"b{k}" for k in range(12)]
+    text = [f"w{rng.randrange(50)}" for _ in range(30000)]
+    docs = [(1, " ".join(text[:29000] + phrase + text[29000:])), (2, " ".join(text)), (3, "")]
+    assert run(spark, docs, [(1, " ".join(phrase))]) == plain(docs, [(1, " ".join(phrase))])
