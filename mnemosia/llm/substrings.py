@@ -91,7 +91,11 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[pa.RecordBatch]:
         seed, node, pos = (np.concatenate([x[k] for x in held]) for k in range(3))
         held.clear()
-        order = np.lexsort((pos, node, seed))
+        order = np.argsort(seed)
+        same = seed[order[1:]] == seed[order[:-1]]
+        tied = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        own = order[tied]
+        order[tied] = own[np.lexsort((pos[own], node[own], seed[own]))]
         seed, node, pos = seed[order], node[order], pos[order]
         later = np.append(False, seed[1:] == seed[:-1])
         again = later & np.append(False, node[1:] == node[:-1])
@@ -300,33 +304,64 @@ def passing(runs: np.ndarray, min_equal: float) -> list[tuple[int, int]]:
     return out
 
 
-def shared_by_prefix(x: list[int], y: list[int]) -> list[int]:
-    """Words in a longest common subsequence of y and each prefix of x, the empty one first (columns as the bits of one number)."""
-    masks: dict[int, int] = {}
-    for j, w in enumerate(y):
-        masks[w] = masks.get(w, 0) | 1 << j
-    full = (1 << len(y)) - 1
-    v, out, n = full, [0], 0
-    for w in x:
-        m = masks.get(w)
-        if m is not None:
-            u = v & m
-            v = ((v + u) | (v - u)) & full
-            n = len(y) - v.bit_count()
-        out.append(n)
-    return out
+def shared_by_prefix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For every row of x and y (rows of words), the words in a longest common subsequence of y and each prefix of x, the empty one first."""
+    row = np.zeros((len(x), y.shape[1] + 1), np.int16)
+    out = [row[:, -1]]
+    for k in range(x.shape[1]):
+        new = np.zeros_like(row)
+        np.maximum.accumulate(np.maximum(row[:, 1:], row[:, :-1] + (y == x[:, k : k + 1])), axis=1, out=new[:, 1:])
+        row = new
+        out.append(row[:, -1])
+    return np.stack(out, axis=1)
+
 
+def hopeless(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], n: np.ndarray, min_equal: float = MIN_EQUAL) -> np.ndarray:
+    """For matches of n words, whether no piece of MIN_PIECE words around one can have enough equal words.
 
-def hopeless(a: np.ndarray, b: np.ndarray, p: int, q: int, n: int, min_equal: float = MIN_EQUAL) -> bool:
-    """Whether no piece of MIN_PIECE words around the n equal words at p in a and q in b can have enough equal words."""
-    left = shared_by_prefix(a[:p][::-1].tolist(), b[:q][::-1].tolist())
-    right = shared_by_prefix(a[p + n :].tolist(), b[q + n :].tolist())
+    left and right: the words of both texts, from the match on; missing ones are negative, and differ."""
+    surplus = []
+    for x, y in (left, right):
+        long = np.concatenate([np.ones((len(x), 1), bool), x >= 0], axis=1)
+        surplus.append(np.where(long, shared_by_prefix(x, y) - min_equal * np.arange(x.shape[1] + 1), -np.inf))
     # the most surplus of equal words with so many words or more on the right
-    best, most = [0.0] * len(right), -1e300
-    for i in range(len(right) - 1, -1, -1):
-        best[i] = most = max(most, right[i] - min_equal * i)
-    need = MIN_PIECE - n
-    return all(left[i] - min_equal * i + best[max(0, need - i)] + n * (1 - min_equal) < -1e-6 for i in range(len(left)) if need - i < len(right))
+    best = np.maximum.accumulate(surplus[1][:, ::-1], axis=1)[:, ::-1]
+    best = np.concatenate([best, np.full((len(n), MIN_PIECE), -np.inf)], axis=1)
+    at = np.maximum(0, MIN_PIECE - n[:, None] - np.arange(surplus[0].shape[1]))
+    whole = surplus[0] + np.take_along_axis(best, np.minimum(at, best.shape[1] - 1), axis=1)
+    return whole.max(axis=1) + n * (1 - min_equal) < -1e-6
+
+
+def _around(column: pa.Array, at: np.ndarray, n: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words before and after a match at at[i] of n[i] words, for every row of words (binary); -1 where there are none."""
+    column = column.cast(pa.large_binary())
+    _, raw, data = column.buffers()
+    bounds = np.frombuffer(raw, np.int64)[column.offset : column.offset + len(column) + 1] // 4
+    words = np.append(np.frombuffer(data, np.uint32).astype(np.int64), -1)
+    lo, hi = bounds[:-1, None], bounds[1:, None]
+    before = lo + at[:, None] - 1 - np.arange(reach)
+    after = lo + (at + n)[:, None] + np.arange(reach)
+    return words[np.where(before >= lo, before, -1)], words[np.where(after < hi, after, -1)]
+
+
+def _promising(part: pa.RecordBatch, reach: int) -> pa.RecordBatch:
+    """The chains without those of one short stretch that are hopeless."""
+    col = lambda c: part.column(part.schema.names.index(c))
+    first = lambda c: col(c).values.to_numpy()[col(c).offsets.to_numpy()[:-1]].astype(np.int64)
+    sizes = np.diff(col("pos").offsets.to_numpy())
+    n = first("n")
+    short = np.flatnonzero((sizes == 1) & (n < MIN_PIECE))
+    if not len(short):
+        return part
+    take = pa.array(short)
+    n = n[short]
+    a_left, a_right = _around(col("a").take(take), first("pos")[short] - col("a0").to_numpy()[short], n, min(reach, REACH))
+    b_left, b_right = _around(col("b").take(take), first("hub_pos")[short] - col("b0").to_numpy()[short], n, min(reach, REACH))
+    # what is missing on both sides must not count as equal
+    b_left, b_right = (np.where(x < 0, -2, x) for x in (b_left, b_right))
+    keep = np.ones(part.num_rows, bool)
+    keep[short] = ~hopeless((a_left, b_left), (a_right, b_right), n)
+    return part.filter(pa.array(keep))
 
 
 def align(a: np.ndarray, b: np.ndarray, pos: list[int], there: list[int], length: list[int], n_seeds: list[int], min_words: int = MIN_WORDS, min_equal: float = MIN_EQUAL) -> list[tuple[int, int, int, int, int, int]]:
@@ -365,12 +400,10 @@ def _align_batches(reach: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                d = batch.slice(at, 500).to_pydict()
+                d = _promising(batch.slice(at, 500), reach).to_pydict()
                 out = []
                 for chain, node, hub, pos, there, length, seeds, a0, a, b0, b in zip(*(d[n] for n in ("chain", "node", "hub", "pos", "hub_pos", "n", "seeds", "a0", "a", "b0", "b"))):
                     x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-                    if len(pos) == 1 and length[0] < MIN_PIECE and hopeless(x, y, pos[0] - a0, there[0] - b0, length[0]):
-                        continue
                     found = align(x, y, [p - a0 for p in pos], [q - b0 for q in there], length, seeds)
                     found = [x for x in found if x[1] - x[0] >= MIN_PIECE]
                     more = [a0 > 0, b0 > 0, a0 + len(x) == pos[-1] + length[-1] + reach, b0 + len(y) == there[-1] + length[-1] + reach]

@@ -200,10 +200,11 @@ def test_what_is_hopeless_has_no_piece():
         q = rng.randrange(25, 35)
         two[q : q + 6] = one[p : p + 6]
         a, b = np.array(one, np.uint32), np.array(two, np.uint32)
-        for i in range(0, 60, 7):
-            assert S.shared_by_prefix(one[:20], two)[len(one[:20])] == S.common(a[:20], b)
-        if S.hopeless(a, b, p, q, 6):
+        left, right = (a[None, p - 24 : p][:, ::-1].astype(np.int64), b[None, q - 24 : q][:, ::-1].astype(np.int64)), (a[None, p + 6 : p + 30].astype(np.int64), b[None, q + 6 : q + 30].astype(np.int64))
+        for x, y in (left, right):
+            assert S.shared_by_prefix(x, y)[0].tolist() == [S.common(x[0, :i], y[0]) for i in range(25)]
+        if S.hopeless(left, right, np.array([6]))[0]:
             n_hopeless += 1
-            for x in S.align(a, b, [p], [q], [6], [1]):
-                assert x[1] - x[0] < S.MIN_PIECE or x[4] < 0.8 * max(x[1] - x[0], x[3] - x[2]) or not x[0] <= p < x[1]
+            for x in S.align(a[p - 24 : p + 30], b[q - 24 : q + 30], [24], [24], [6], [1]):
+                assert x[1] - x[0] < S.MIN_PIECE or x[4] < 0.8 * max(x[1] - x[0], x[3] - x[2]) or not x[0] <= 24 < x[1]
     assert n_hopeless > 50
