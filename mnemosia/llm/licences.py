@@ -3,12 +3,14 @@
 A text's canonical form drops case, copyright lines, punctuation and line
 breaks, and writes equivalent spellings in one way. The SHA-256 of that form is
 joined with the digests of known licences, made by the same rules. Only texts
-with a word that every known licence has one of are put into that form at all.
+with one of some words, of which every known licence has one, are put into that
+form at all; the words are chosen from the known texts.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,8 +25,8 @@ SPELLINGS = [
     ("favour", "favor"), ("behaviour", "behavior"), ("acknowledgement", "acknowledgment"), ("fulfil", "fulfill"), ("whilst", "while"),
 ]
 
-#: A text without any of these (in any case) is in no registry made by `registry`.
-GATE = r"(?i)licen[cs]e|permission|warrant|public domain"
+#: A line that names a holder or a year after the word or sign; a line that goes on about copyright is none.
+COPYRIGHT = r"(?m)^[^\p{L}\n]*(?:(?:copyright|\(c\)|©)[^\p{L}\p{N}\n]*(?:\(c\)|c\b|©|by\b|<|\[|\{|[0-9]{4}|yyyy|the [^\n]*(?:authors|contributors|developers|foundation))[^\n]*|all rights reserved[^\n]*)$"
 
 _MIT = """MIT License
 Copyright (c) <year> <holder>
@@ -134,13 +136,44 @@ KNOWN = [
 
 def canonical(text: Column) -> Column:
     """Lower case, without copyright lines; every run of other characters than letters and digits is one space; one spelling."""
-    c = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?m)^[^\p{L}\n]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$", " ")
+    c = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT, " ")
     c = F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))
     for pattern, one in SPELLINGS:
         c = F.regexp_replace(c, rf"\b{pattern}\b", one)
     return c
 
 
+def gate(known: list[tuple[str, str]]) -> str:
+    """A pattern without which the lower case of a text cannot be one of the known texts: some words of which each has one, long and shared by many.
+
+    A word that has other spellings stands with all of them; parts of spellings of two words are not taken.
+    The empty pattern, which all texts have, if a known text has no other words."""
+    single = [(pattern, one) for pattern, one in SPELLINGS if " " not in pattern]
+    mixed = {w for pattern, one in SPELLINGS if " " in pattern for w in [one, *pattern.split(" ")]}
+    # \\p{L} and \\p{N} as Python writes them
+    line = COPYRIGHT.replace(r"[^\p{L}\n]", r"(?:(?!\n)[\W\d_])").replace(r"[^\p{L}\p{N}\n]", r"(?:(?!\n)[\W_])")
+    texts = []
+    for _, text in known:
+        text = re.sub(line, " ", text.lower())
+        words = {w for w in re.findall(r"[^\W_]+", text) if w.isascii() and w not in mixed}
+        own = frozenset(next((f"(?:{p}|{one})" for p, one in single if w == one or re.fullmatch(p, w)), w) for w in words)
+        if own:
+            texts.append(own)
+        elif re.search(r"[^\W_]", text):
+            return ""
+    left, chosen = list(set(texts)), []
+    while left:
+        counts = Counter(w for t in left for w in t)
+        word = max(counts, key=lambda w: (counts[w] * len(w) ** 2, w))
+        chosen.append(word)
+        left = [t for t in left if word not in t]
+    return "|".join(sorted(chosen))
+
+
+#: Made for the lower case of a text; other cases of ASCII letters pass too.
+GATE = f"(?i){gate(KNOWN)}"
+
+
 def registry(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
     """digest, license of the given texts, one row a digest (the smallest name if texts agree). Texts without canonical words have none."""
     rows = spark.createDataFrame(known, "license string, text string").select("license", canonical(F.col("text")).alias("c")).where("c <> ''")
@@ -150,19 +183,21 @@ def registry(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataF
 def scan_licenses(docs: DataFrame, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
     """doc_id, license, digest of every row of docs (doc_id, text; other columns are ignored).
 
-    license is that of the known text with the same canonical form, else null.
-    digest is null where the gate shows that no known text can agree. Null and
+    license is that of the known text with the same canonical form, else null; of texts that agree in it, the
+    smallest name. digest is null where the gate shows that no known text can agree. Null and
     empty texts have neither. The registry is a given list of texts, of which a
-    digest each is broadcast; documents are not shuffled. Every known text must pass the gate."""
-    spark = docs.sparkSession
-    gated = F.col("text").rlike(GATE)
+    digest each is broadcast; documents are not shuffled."""
+    pattern = GATE if known is KNOWN else gate(known)
+    gated = F.lower("text").rlike(pattern)
     rows = docs.select("doc_id", F.when(gated, F.sha2(canonical(F.col("text")), 256)).alias("digest"))
-    return rows.join(F.broadcast(registry(spark, known)), "digest", "left").select("doc_id", "license", "digest")
+    return rows.join(F.broadcast(registry(docs.sparkSession, known)), "digest", "left").select("doc_id", "license", "digest")
 
 
 def license_lines(docs: DataFrame, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
     """doc_id, license, n_lines: lines of docs whose whole text is a known license statement, by document and license."""
-    lines = docs.where(F.col("text").rlike(GATE)).select("doc_id", F.explode(F.split("text", "\n")).alias("text")).where(F.col("text").rlike(GATE))
+    pattern = GATE if known is KNOWN else gate(known)
+    gated = F.lower("text").rlike(pattern)
+    lines = docs.where(gated).select("doc_id", F.explode(F.split("text", "\n")).alias("text")).where(gated)
     rows = lines.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"))
     return rows.join(F.broadcast(registry(docs.sparkSession, known)), "digest").groupBy("doc_id", "license").agg(F.count("*").alias("n_lines"))
 
@@ -175,7 +210,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _canonical_sql(column: str) -> str:
-    c = f"regexp_replace(lower(coalesce({column}, '')), '(?m)^[^\\p{{L}}\\n]*(?:copyright\\b|\\(c\\)|©|all rights reserved)[^\\n]*$', ' ', 'g')"
+    c = f"regexp_replace(lower(coalesce({column}, '')), '{COPYRIGHT}', ' ', 'g')"
     c = f"trim(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
     for pattern, one in SPELLINGS:
         c = f"regexp_replace({c}, '\\b{pattern}\\b', '{one}', 'g')"
@@ -186,12 +221,13 @@ def _literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+GATED = "regexp_matches(lower({}), '" + GATE + "')"
 ORACLE = f"""
 WITH k AS (SELECT license, {_canonical_sql("text")} AS c FROM (VALUES {", ".join(f"({_literal(n)}, {_literal(t)})" for n, t in KNOWN)}) AS v(license, text)),
 r AS (SELECT sha256(c) AS digest, min(license) AS license FROM k WHERE c <> '' GROUP BY 1),
-d AS (SELECT doc_id, text, CASE WHEN regexp_matches(text, '{GATE}') THEN sha256({_canonical_sql("text")}) END AS digest FROM documents),
-l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE regexp_matches(text, '{GATE}')),
-n AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses, count(*) AS n FROM l JOIN r ON sha256({_canonical_sql("line")}) = r.digest WHERE regexp_matches(line, '{GATE}') GROUP BY 1)
+d AS (SELECT doc_id, text, CASE WHEN {GATED.format("text")} THEN sha256({_canonical_sql("text")}) END AS digest FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE {GATED.format("text")}),
+n AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses, count(*) AS n FROM l JOIN r ON sha256({_canonical_sql("line")}) = r.digest WHERE {GATED.format("line")} GROUP BY 1)
 SELECT doc_id, r.license, d.digest, coalesce(line_licenses, '') AS line_licenses, coalesce(n, 0)::BIGINT AS n_license_lines
 FROM d LEFT JOIN r ON d.digest = r.digest LEFT JOIN n USING (doc_id)
 """

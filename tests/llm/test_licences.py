@@ -53,3 +53,20 @@ def test_empty_table_and_other_columns(spark):
     assert [r.license for r in L.scan_licenses(docs).collect()] == ["MIT", "MIT"]
     assert L.scan_licenses(docs.where("false")).collect() == []
     assert L.registry(spark, [("X", "!?"), ("B", "A licence"), ("A", "a license.")]).count() == 1
+
+
+def test_the_gate_follows_the_registry(spark):
+    docs = spark.createDataFrame([(1, "Do what you want."), (2, "do WHAT you\nwant"), (3, "Do what you like."), (4, "12 %"), (5, "Sub-licence per cent"), (6, "sublicense PERCENT")], "doc_id long, text string")
+    known = [("X", "Copyright 2020 Somebody\nDo what you want."), ("Y", "12 %"), ("Z", "sublicense percent")]
+    assert {r.doc_id: r.license for r in L.scan_licenses(docs, known).collect()} == {1: "X", 2: "X", 3: None, 4: "Y", 5: "Z", 6: "Z"}
+    assert re.search(L.gate(known[:1]), "do what you want.") and not re.search(L.gate(known[:1]), "prose")
+
+
+def test_a_wrapped_line_that_begins_with_copyright_stays(spark):
+    import textwrap
+
+    bsd = next(t for n, t in L.KNOWN if n == "BSD-3-Clause")
+    rows = [(w, "\n".join("\n".join(textwrap.wrap(line, w)) for line in bsd.replace("<year>, <holder>", "2001-2020, Some One").split("\n"))) for w in (40, 50, 60, 66, 72, 80)]
+    rows += [(1, bsd.replace("Copyright (c) <year>, <holder>", "(C) 2020 X")), (2, bsd.replace("Copyright (c) <year>, <holder>", "Copyright The Some Authors\nAll rights reserved.")), (3, bsd.replace("copyright notice", "notice"))]
+    got = {r.doc_id: r.license for r in L.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: None if k == 3 else "BSD-3-Clause" for k, _ in rows}
