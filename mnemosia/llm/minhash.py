@@ -34,8 +34,8 @@ from .textnp import Texts, mix, ngrams
 K, T = 64, 36
 SHINGLE = 4
 SIMILAR = (80, 100)
-#: Rounds in which a class is offered one link; what remains is compared pair by pair.
-ROUNDS = 2
+#: Most rounds in which a class is offered a few links, and how many; what remains is compared pair by pair.
+ROUNDS, OFFERS = 4, 16
 #: Postings of a common shingle that meet the others in one task.
 DEALT = 2_000
 _U = np.uint64
@@ -186,15 +186,21 @@ def _fits(n: str, s: str, m: str, r: str):
     return F.least(s, r) * (need + of) >= need * (F.col(n) + F.col(m))
 
 
-def _offers(postings: DataFrame) -> DataFrame:
-    """a, b: for each class at most one class of another component with which it shares the most lists.
+def _offers(postings: DataFrame, turn: int) -> DataFrame:
+    """a, b: for each class the few classes of other components with which it shares the most lists.
 
-    A list offers its members of the least and the greatest component."""
-    ends = postings.groupBy("key").agg(F.min(F.struct("comp", "node", "n", "s")).alias("lo"), F.max(F.struct("comp", "node", "n", "s")).alias("hi")).where("lo.comp <> hi.comp")
-    met = postings.join(ends, "key").withColumn("other", F.when(F.col("comp") != F.col("lo.comp"), F.col("lo")).otherwise(F.col("hi")))
+    A list offers one member, and to that one's component another: at first of the least and the greatest
+    component, then any member, which in a large component is often its own, and a new one in every turn and list."""
+    by = lambda c, *of: F.xxhash64(F.lit(turn), *of) if turn else F.col(c)
+    row = ["comp", "node", "n", "s"]
+    one = F.struct(by("comp", "node", "key").alias("x"), *row)
+    other = F.struct(by("comp", "comp").alias("x"), *row)
+    ends = postings.groupBy("key").agg(F.min(one).alias("lo"), F.max(other).alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+    met = postings.join(ends.drop("c0", "c1"), "key").withColumn("other", F.when(F.col("comp") != F.col("lo.comp"), F.col("lo")).when(F.col("comp") != F.col("hi.comp"), F.col("hi"))).where("other IS NOT NULL")
     met = met.select("node", "n", "s", F.col("other.node").alias("b"), F.col("other.n").alias("m"), F.col("other.s").alias("r")).where(_fits("n", "s", "m", "r"))
     votes = met.groupBy("node", "b").agg(F.count("*").alias("votes"))
-    return votes.groupBy("node").agg(F.max(F.struct("votes", (-F.col("b")).alias("b"))).alias("best")).select(F.col("node").alias("a"), (-F.col("best.b")).alias("b"))
+    best = votes.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), "b"))), 1, OFFERS if turn else 1).alias("best"))
+    return best.select(F.col("node").alias("a"), F.explode("best.b").alias("b"))
 
 
 def _rest(postings: DataFrame, texts: DataFrame, n: int) -> DataFrame:
@@ -267,14 +273,20 @@ def near_duplicates(docs: DataFrame, k: int = K, t: int = T, n: int = SHINGLE) -
         need, of = SIMILAR
         shared = stored(shared_counts(texts, n), "shared")
         postings = stored(postings.join(small(shared), "node").where(F.col("s") * of >= F.col("n") * need), "postings")
+        dry = False
         for turn in range(ROUNDS + 1):
             marked = _relabel(postings, labels)
-            offered = _offers(marked) if turn < ROUNDS else _rest(marked, texts, n)
+            offered = _offers(marked, turn) if turn < ROUNDS and not dry else _rest(marked, texts, n)
             new = stored(confirmed(offered, texts, n), "links")
             if new.isEmpty():
-                if turn < ROUNDS:
+                if turn < ROUNDS and not dry:
+                    dry = turn > 0
                     continue
                 break
+            if dry:
+                links, labels = links.unionByName(new) if links is not None else new, None
+                labels = components(links)
+                break
             links = new if links is None else links.unionByName(new)
             labels = components(links)
     named = classes.select("node", "doc", *key)
