@@ -7,6 +7,8 @@ shared checkpoint folder, so lineage does not grow and a lost executor costs one
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,13 +16,8 @@ from .listing import NotFound
 
 MAX_HOPS, MAX_NODES, MAX_EDGES, PER_DIRECTION = 5, 500, 5000, 1000
 PATH_HOPS, PATH_NODES = 10, 10_000
-
-
-def both_ways(edges: DataFrame) -> DataFrame:
-    """node, other, source, target, backward: distinct neighbour pairs, each edge seen from both ends."""
-    pairs = edges.select("source", "target").distinct()
-    out = pairs.select(F.col("source").alias("node"), F.col("target").alias("other"), "source", "target", F.lit(0).alias("backward"))
-    return out.unionByName(pairs.select(F.col("target").alias("node"), F.col("source").alias("other"), "source", "target", F.lit(1).alias("backward")))
+#: Rows of ids up to which a level is broadcast; a larger one is shuffled.
+BROADCAST_IDS = 100_000
 
 
 def _require(nodes: DataFrame, *ids: str) -> None:
@@ -50,35 +47,55 @@ def context(nodes: DataFrame, edges: DataFrame, node_id: str) -> tuple[DataFrame
     return nodes.where(F.col("id") == node_id), near, own
 
 
-def expand(frontier: DataFrame, pairs: DataFrame) -> DataFrame:
-    """other, parent, found: what one hop from the frontier (node) reaches, each node once, with the
-    least (source, target, direction) pair that reaches it; at most 1000 pairs of a node and direction."""
-    met = pairs.join(F.broadcast(frontier), "node")
+def _kept(level: DataFrame) -> DataFrame:
+    """The level in the checkpoint folder; only a session on one machine gets a folder of its own."""
+    context = level.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors reach")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return level.checkpoint()
+
+
+def _sized(ids: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(ids) if n <= BROADCAST_IDS else ids
+
+
+def expand(frontier: DataFrame, edges: DataFrame, n: int) -> DataFrame:
+    """other, found, parent: what one hop from the frontier (node; n rows) reaches, each node once, with the
+    least (source, target, direction) pair that reaches it; at most 1000 pairs of a node and direction.
+
+    Edges are filtered by the frontier before anything is shuffled."""
+    near = _sized(frontier.select("node"), n)
+    out = edges.select("source", "target").join(near, F.col("source") == F.col("node")).select("node", F.col("target").alias("other"), "source", "target", F.lit(0).alias("backward"))
+    back = edges.select("source", "target").join(near, F.col("target") == F.col("node")).select("node", F.col("source").alias("other"), "source", "target", F.lit(1).alias("backward"))
     w = Window.partitionBy("node", "backward").orderBy("source", "target")
-    met = met.withColumn("n", F.row_number().over(w)).where(F.col("n") <= PER_DIRECTION)
+    met = out.unionByName(back).distinct().withColumn("n", F.row_number().over(w)).where(F.col("n") <= PER_DIRECTION)
     return met.groupBy("other").agg(F.min(F.struct("source", "target", "backward")).alias("found"), F.min_by("node", F.struct("source", "target", "backward")).alias("parent"))
 
 
-def traverse_levels(edges: DataFrame, roots: list[str], hops: int = 1, cap: int = MAX_NODES) -> DataFrame:
-    """node, hop, place: the nodes within `hops` of the roots in the order of discovery, at most `cap`."""
+def traverse_levels(edges: DataFrame, roots: list[str], hops: int = 1, cap: int | None = MAX_NODES) -> DataFrame:
+    """node, hop, place: the nodes within `hops` of the roots in the order of discovery, at most `cap`.
+
+    Without a cap nothing is put in one order, and place is null beyond the roots."""
     spark = edges.sparkSession
     hops = max(1, min(hops, MAX_HOPS))
-    pairs = both_ways(edges)
     seen = spark.createDataFrame([(r, 0, k) for k, r in enumerate(dict.fromkeys(roots))], "node string, hop int, place int")
-    frontier = seen
-    count = len(set(roots))
+    frontier, n, count = seen, len(set(roots)), len(set(roots))
     for hop in range(1, hops + 1):
-        new = expand(frontier.select("node"), pairs).join(F.broadcast(seen.select(F.col("node").alias("other"))), "other", "left_anti")
-        # at most `cap` rows come to this one ordering
-        first = new.orderBy("found").limit(cap - count)
-        level = first.withColumn("place", F.row_number().over(Window.orderBy("found")) + F.lit(count - 1)).select(F.col("other").alias("node"), F.lit(hop).alias("hop"), F.col("place").cast("int").alias("place"))
-        level = level.checkpoint() if spark.sparkContext.getCheckpointDir() else level.cache()
+        new = expand(frontier, edges, n).join(_sized(seen.select(F.col("node").alias("other")), count), "other", "left_anti")
+        place = F.lit(None).cast("int")
+        if cap is not None:
+            # at most `cap` rows come to this one ordering
+            new = new.orderBy("found").limit(cap - count)
+            place = (F.row_number().over(Window.orderBy("found")) + F.lit(count - 1)).cast("int")
+        level = _kept(new.select(F.col("other").alias("node"), F.lit(hop).alias("hop"), place.alias("place")))
         n = level.count()
         if n == 0:
             break
         count += n
         seen, frontier = seen.unionByName(level), level
-        if count >= cap:
+        if cap is not None and count >= cap:
             break
     return seen
 
@@ -98,23 +115,22 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, end: str) -> D
     schema = "place int, id string"
     if start == end:
         return spark.createDataFrame([(0, start)], schema)
-    pairs = both_ways(edges)
     seen = spark.createDataFrame([(start, None)], "node string, parent string")
-    frontier = seen
+    frontier, n, count, levels = seen, 1, 1, []
     for _ in range(PATH_HOPS):
-        new = expand(frontier.select("node"), pairs).join(F.broadcast(seen.select(F.col("node").alias("other"))), "other", "left_anti")
-        level = new.select(F.col("other").alias("node"), "parent")
-        level = level.checkpoint() if spark.sparkContext.getCheckpointDir() else level.cache()
-        if level.isEmpty():
-            break
+        new = expand(frontier, edges, n).join(_sized(seen.select(F.col("node").alias("other")), count), "other", "left_anti")
+        level = _kept(new.select(F.col("other").alias("node"), "parent"))
+        levels.append(level)
+        n = level.count()
+        count += n
         seen, frontier = seen.unionByName(level), level
         if not level.where(F.col("node") == end).isEmpty():
-            back = {r.node: r.parent for r in seen.limit(10 * PATH_NODES).collect()}
+            # one look-up a level leads back
             path = [end]
-            while back[path[-1]] is not None:
-                path.append(back[path[-1]])
+            for level in reversed(levels):
+                path.append(level.where(F.col("node") == path[-1]).first().parent)
             return spark.createDataFrame(list(enumerate(path[::-1])), schema)
-        if seen.count() > PATH_NODES:
+        if n == 0 or count > PATH_NODES:
             break
     return spark.createDataFrame([], schema)
 

@@ -15,35 +15,81 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fixed values.
+#: The lists and maps (alias: name) down to NAME_SUFFIXES.
 ENTITY_TYPES = ["person", "project", "company", "technology", "event", "decision", "concept", "place", "animal", "service"]
 ENTITY_TYPE_ALIASES = {
-    "place": ["location"],
-    "concept": ["lesson", "skill", "pattern", "principle", "idea", "feature", "goal", "metric", "process", "strategy", "media", "entity", "data", "dataset", "resource", "domain"],
-    "event": ["milestone"],
-    "technology": ["component", "endpoint", "tool", "software", "framework", "library", "language", "model", "database", "platform", "protocol", "api", "plugin", "extension", "equipment", "machine", "hardware", "device", "sensor"],
-    "company": ["organization", "org", "institution"],
-    "animal": ["creature", "pet", "wildlife"],
-    "service": ["agent", "assistant"],
-    "project": ["product", "application", "app"],
-}
+    "location": "place",
+    "lesson": "concept",
+    "skill": "concept",
+    "pattern": "concept",
+    "principle": "concept",
+    "idea": "concept",
+    "feature": "concept",
+    "goal": "concept",
+    "metric": "concept",
+    "process": "concept",
+    "strategy": "concept",
+    "media": "concept",
+    "entity": "concept",
+    "data": "concept",
+    "dataset": "concept",
+    "resource": "concept",
+    "domain": "concept",
+    "milestone": "event",
+    "component": "technology",
+    "endpoint": "technology",
+    "tool": "technology",
+    "software": "technology",
+    "framework": "technology",
+    "library": "technology",
+    "language": "technology",
+    "model": "technology",
+    "database": "technology",
+    "platform": "technology",
+    "protocol": "technology",
+    "api": "technology",
+    "plugin": "technology",
+    "extension": "technology",
+    "equipment": "technology",
+    "machine": "technology",
+    "hardware": "technology",
+    "device": "technology",
+    "sensor": "technology",
+    "organization": "company",
+    "org": "company",
+    "institution": "company",
+    "creature": "animal",
+    "pet": "animal",
+    "wildlife": "animal",
+    "agent": "service",
+    "assistant": "service",
+    "product": "project",
+    "application": "project",
+    "app": "project",
+}
 RELATION_ALIASES = {
-    "works_on": ["helps_build", "building", "builds"],
-    "created": ["built", "creator_of"],
-    "product_of": ["belongs_to", "owned_by"],
-    "works_at": ["employed_at"],
-    "located_in": ["lives_in", "resides_in"],
+    "helps_build": "works_on",
+    "building": "works_on",
+    "builds": "works_on",
+    "built": "created",
+    "creator_of": "created",
+    "belongs_to": "product_of",
+    "owned_by": "product_of",
+    "employed_at": "works_at",
+    "lives_in": "located_in",
+    "resides_in": "located_in",
 }
 FACT_ALIASES = {
-    "email_assigned_date": ["email_given_date", "voice_chosen_date"],
-    "voice_name": ["voice"],
-    "voice_selection_timing": ["voice_selected"],
-    "born_on": ["name_chosen_date"],
-    "role": ["role_description"],
-    "retired_date": ["retired"],
-    "smoking_start_age": ["smoking_started"],
-    "current_weight": ["weight_lb"],
-    "residence": ["location"],
+    "email_given_date": "email_assigned_date",
+    "voice_chosen_date": "email_assigned_date",
+    "voice": "voice_name",
+    "voice_selected": "voice_selection_timing",
+    "name_chosen_date": "born_on",
+    "role_description": "role",
+    "retired": "retired_date",
+    "smoking_started": "smoking_start_age",
+    "weight_lb": "current_weight",
+    "location": "residence",
 }
 WEAK_CONCEPTS = ["trust", "honesty", "faith", "mission", "principle", "values"]
 WEAK_PERSONAS = ["voice", "assistant", "avatar", "persona"]
@@ -59,13 +105,11 @@ EVENT_KINDS = ["observation", "conversation", "message", "decision", "task", "pr
 NAME_SUFFIXES = [", inc.", " inc.", ", inc", " inc", ", llc", " llc", ", ltd.", " ltd.", ", ltd", " ltd", ", corp.", " corp.", ", corporation", " corporation"]
 
 
-def aliased(c: Column, aliases: dict[str, list[str]]) -> Column:
+def aliased(c: Column, aliases: dict[str, str]) -> Column:
     """Trimmed lower case, with aliases replaced by their name."""
     low = F.lower(F.trim(c))
-    out = low
-    for name, others in aliases.items():
-        out = F.when(low.isin(others), F.lit(name)).otherwise(out)
-    return out
+    names = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
+    return F.coalesce(F.element_at(names, low), low)
 
 
 def label_variant(c: Column) -> Column:
@@ -169,17 +213,17 @@ def first_by(df: DataFrame, keys: list[Column]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("seq"))).where("_n = 1").drop("_n")
 
 
-def canonical_names(entities: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def canonical_names(entities: DataFrame, known: DataFrame | None = None, mentioned: DataFrame | None = None) -> DataFrame:
     """doc, low, canonical: how names of a document are written: an entity's own name, also without its
-    company suffix, and a person's full name for the first name where no entity has that."""
+    company suffix, and a person's full name for the first name where no entity has that. Known names
+    (name) count for the documents that mention their first names: mentioned (doc, low), or the entities' own."""
     own = entities.select("doc", "seq", F.trim("name").alias("name"), "type")
     exact = own.select("doc", F.lower("name").alias("low"), "name", "seq", F.lit(0).alias("tier")).unionByName(own.select("doc", F.lower(label_variant(F.col("name"))).alias("low"), "name", "seq", F.lit(0).alias("tier")))
     full = own.where((F.col("type") == "person") & F.col("name").contains(" ")).select("doc", F.lower(F.split_part("name", F.lit(" "), F.lit(1))).alias("low"), "name", "seq", F.lit(1).alias("tier"))
     if known is not None:
-        docs = entities.select("doc").distinct()
-        named = known.where(F.trim("name").contains(" ")).select(F.trim("name").alias("name"))
-        extra = docs.join(F.broadcast(named.limit(50))).select("doc", F.lower(F.split_part("name", F.lit(" "), F.lit(1))).alias("low"), "name", F.lit(-1).alias("seq"), F.lit(1).alias("tier"))
-        full = full.unionByName(extra)
+        lows = own.select("doc", F.lower("name").alias("low")) if mentioned is None else mentioned
+        named = known.where(F.trim("name").contains(" ")).select(F.trim("name").alias("name")).withColumn("low", F.lower(F.split_part("name", F.lit(" "), F.lit(1))))
+        full = full.unionByName(lows.distinct().join(named.distinct(), "low").select("doc", "low", "name", F.lit(-1).alias("seq"), F.lit(1).alias("tier")))
     both = exact.unionByName(full)
     # of an entity's names the last one found is used, of first names the first
     order = F.struct((-F.col("tier")).alias("t"), F.when(F.col("tier") == 0, F.col("seq")).otherwise(-F.col("seq")).alias("s"), "name")
@@ -197,7 +241,9 @@ def finalize(entities: DataFrame, relationships: DataFrame, facts: DataFrame, kn
     a person as `product_of` a project created it, and work that is no longer current is `worked_at`."""
     typed = entities.withColumn("type", aliased(F.col("type"), ENTITY_TYPE_ALIASES)).where(F.col("type").isin(ENTITY_TYPES))
     typed = typed.where(worthy_entity(F.col("name"), F.col("type")))
-    names = canonical_names(typed, known)
+    low = lambda df, c: df.select("doc", F.lower(F.trim(c)).alias("low"))
+    mentioned = low(typed, "name").union(low(relationships, "source")).union(low(relationships, "target")).union(low(facts, "subject"))
+    names = canonical_names(typed, known, mentioned)
     kept = first_by(_renamed(typed, names, "name"), [F.col("doc"), F.lower(F.trim("name")), F.trim("type")])
     kinds = kept.groupBy("doc", F.lower("name").alias("low")).agg(F.min_by("type", "seq").alias("kind"))
     rels = _renamed(_renamed(relationships, names, "source"), names, "target").withColumn("relation", aliased(F.col("relation"), RELATION_ALIASES))

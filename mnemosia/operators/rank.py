@@ -15,11 +15,11 @@ from mnemosia.functions.text import YEAR, query_terms, temporal_profile
 SUPPORTED, CONTESTED, SUPERSEDED = 0.32, -0.18, -0.3
 PREFERRED_CURRENT, CONFIDENCE, EVIDENCE, RECENT, WINDOW_DAYS, BELIEF_CAP, BELIEF_BIAS = 0.08, 0.08, 0.05, 0.08, 365.0, 0.8, 0.35
 TEMPORAL_CAP = 0.9
-#: exact label, contains query, label term, text term, coverage, boost, salience divisor, salience cap, rank bias
+#: Weights of the profiles (fixed values).
 PROFILES = {
-    "default": (10, 4, 2.5, 1.2, 3, 0.4, 100, 1.5, 1),
-    "term_focus": (10, 4, 3.2, 1.8, 4.2, 0.3, 140, 1.0, 0.8),
-    "salience_focus": (9, 3.5, 2.1, 1, 2.5, 0.5, 70, 2.2, 1.1),
+    "default": {"exact": 10, "contains": 4, "label_term": 2.5, "text_term": 1.2, "coverage": 3, "boost": 0.4, "divisor": 100, "cap": 1.5, "bias": 1},
+    "term_focus": {"exact": 10, "contains": 4, "label_term": 3.2, "text_term": 1.8, "coverage": 4.2, "boost": 0.3, "divisor": 140, "cap": 1.0, "bias": 0.8},
+    "salience_focus": {"exact": 9, "contains": 3.5, "label_term": 2.1, "text_term": 1, "coverage": 2.5, "boost": 0.5, "divisor": 70, "cap": 2.2, "bias": 1.1},
 }
 
 
@@ -39,10 +39,10 @@ def belief_score(candidates: DataFrame, beliefs: DataFrame) -> DataFrame:
     status = F.when(F.col("status") == "supported", SUPPORTED).when(F.col("status") == "contested", CONTESTED).when(F.col("status") == "superseded", SUPERSEDED).otherwise(0.0)
     points = (
         status
-        + F.least(F.col("evidence_count"), F.lit(4)) * EVIDENCE
-        + F.least(F.greatest(F.col("preferred_confidence"), F.lit(0.0)), F.lit(1.0)) * CONFIDENCE
+        + F.least(F.coalesce("evidence_count", F.lit(0)), F.lit(4)) * EVIDENCE
+        + F.least(F.greatest(F.coalesce("preferred_confidence", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)) * CONFIDENCE
         + F.when(F.col("matches_current"), PREFERRED_CURRENT).otherwise(0.0)
-        + F.coalesce(F.greatest(F.lit(0.0), 1.0 - age / WINDOW_DAYS), F.lit(0.0)) * RECENT
+        + F.when(F.col("last_observed").isNotNull(), F.greatest(F.lit(0.0), 1.0 - age / WINDOW_DAYS)).otherwise(0.0) * RECENT
     )
     sums = met.withColumn("points", points).groupBy("query_id", "id").agg(F.sum("points").alias("points"))
     joined = candidates.join(sums, ["query_id", "id"], "left")
@@ -62,7 +62,7 @@ def temporal_score(candidates: DataFrame, query: str) -> DataFrame:
     if historical:
         score = score + F.coalesce((1.0 - place) * 0.35, F.lit(0.0))
     if years:
-        named = F.transform(F.regexp_extract_all("search_text", F.lit(YEAR), F.lit(0)), lambda y: y.cast("int"))
+        named = F.transform(F.regexp_extract_all(F.coalesce("search_text", F.lit("")), F.lit(YEAR), F.lit(0)), lambda y: y.cast("int"))
         own = F.array_compact(F.concat(named, F.array(F.year("updated_at"), F.year("created_at"))))
 
         def points(y: Column) -> Column:
@@ -78,17 +78,17 @@ def temporal_score(candidates: DataFrame, query: str) -> DataFrame:
 
 def prototype_score(candidates: DataFrame, query: str, profile: str = "default") -> DataFrame:
     """candidates (id, rank, label, search_text, user_boosted, salience_score) with `prototype`."""
-    exact, contains, label_term, text_term, coverage, boost, divisor, cap, bias = PROFILES.get(profile.strip().lower() or "default", PROFILES["default"])
+    p = PROFILES.get(profile.strip().lower() or "default", PROFILES["default"])
     terms, q = query_terms(query), query.strip().lower()
-    label, text = F.lower(F.trim("label")), F.lower("search_text")
+    label, text = F.lower(F.trim(F.coalesce("label", F.lit("")))), F.lower(F.coalesce("search_text", F.lit("")))
     score, matched = F.lit(0.0), F.lit(0)
     for t in terms:
-        score = score + F.when(label.contains(t), label_term).when(text.contains(t), text_term).otherwise(0.0)
+        score = score + F.when(label.contains(t), p["label_term"]).when(text.contains(t), p["text_term"]).otherwise(0.0)
         matched = matched + (label.contains(t) | text.contains(t)).cast("int")
     if terms:
-        score = score + matched / len(terms) * coverage
-    score = score + F.when(label == q, exact).otherwise(0) + F.when(label.contains(q), contains).otherwise(0) + F.when(F.col("user_boosted"), boost).otherwise(0)
-    return candidates.withColumn("prototype", score + F.least(F.col("salience_score") / divisor, F.lit(float(cap))) + F.lit(float(bias)) / F.col("rank"))
+        score = score + matched / len(terms) * p["coverage"]
+    score = score + F.when(label == q, p["exact"]).otherwise(0) + F.when(label.contains(q), p["contains"]).otherwise(0) + F.when(F.col("user_boosted"), p["boost"]).otherwise(0)
+    return candidates.withColumn("prototype", score + F.least(F.coalesce("salience_score", F.lit(0.0)) / p["divisor"], F.lit(float(p["cap"]))) + F.lit(float(p["bias"])) / F.col("rank"))
 
 
 def reordered(candidates: DataFrame, score: Column, limit: int) -> DataFrame:

@@ -58,21 +58,20 @@ def candidate_score(query: Column, kind: Column, id_: Column, label: Column, nod
 def resolve(names: DataFrame, nodes: DataFrame, aliases: DataFrame) -> DataFrame:
     """name_id, status, node_id, confidence for each row of names (name_id, name, kind).
 
-    Candidates are found by equality only: id, normalised label, normalised alias, and shared
-    trigram blocks of the label's first word. Those of 0.5 or more are kept. One that reaches 0.93
+    Candidates are found by equality only: id, normalised label, normalised alias, and the
+    label's first word; names are a stated set of queries, and a first word that very many labels
+    have is split by the join. Those of 0.5 or more are kept. One that reaches 0.93
     and leads the next by 0.08 (0.04 if both are that good) is a match; otherwise several are
     ambiguous, one alone or none is no match."""
     asked = names.select("name_id", "name", "kind", normalize_label(F.col("name")).alias("norm"))
     asked = asked.withColumn("first", F.split_part("norm", F.lit(" "), F.lit(1)))
     own = nodes.select("id", "type", "label", normalize_label(F.col("label")).alias("norm"))
     own = own.withColumn("first", F.split_part("norm", F.lit(" "), F.lit(1)))
-    # a first word that very many labels have blocks nothing: only whole labels decide there
-    rare = own.groupBy("first").agg(F.count("*").alias("n")).where("n <= 1000 AND first <> ''").select("first")
     found = (
         asked.join(own.select("id", F.col("id").alias("name")), "name").select("name_id", "id")
         .union(asked.join(own.select("id", "norm"), "norm").select("name_id", "id"))
         .union(asked.join(aliases.select(F.col("node_id").alias("id"), F.col("normalized_alias").alias("norm")), "norm").select("name_id", "id"))
-        .union(asked.join(rare, "first").join(own.select("id", "first"), "first").select("name_id", "id"))
+        .union(asked.where("first <> ''").join(own.select("id", "first"), "first").select("name_id", "id"))
         .distinct()
     )
     met = found.join(asked, "name_id").join(own.select("id", "type", "label"), "id")

@@ -2,8 +2,8 @@
 
 A query table has query_id and text (and embedding); every operator works for
 all its rows in one plan. Texts are matched through lexemes: the nodes' lexemes
-are joined with the queries' by equality and the matches counted, so nodes are
-scanned once whatever the number of queries.
+are joined with one of each query's by equality, so nodes are scanned once
+whatever the number of queries.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from mnemosia.functions.text import lexemes, normalize_alias
 
 RRF_K = 60
+#: Query vectors that are broadcast, and blocks that more are dealt to.
+QUERY_ROWS, QUERY_BLOCKS = 10_000, 64
 
 
 def text_hits(nodes: DataFrame, queries: DataFrame, stemmed: bool = True) -> DataFrame:
@@ -22,12 +24,12 @@ def text_hits(nodes: DataFrame, queries: DataFrame, stemmed: bool = True) -> Dat
     match is the share of the node's lexemes that the query names, in (0, 1]. Queries
     without lexemes hit nothing."""
     asked = queries.select("query_id", lexemes(F.col("text"), stemmed).alias("q")).where(F.size("q") > 0)
-    wanted = asked.select("query_id", F.size("q").alias("need"), F.explode("q").alias("lexeme"))
-    have = nodes.select("id", lexemes(F.col("search_text"), stemmed).alias("l")).select("id", F.size("l").alias("size"), F.explode("l").alias("lexeme"))
-    return (
-        have.join(wanted, "lexeme").groupBy("query_id", "id").agg(F.count("*").alias("got"), F.max("need").alias("need"), F.max("size").alias("size"))
-        .where("got = need").select("query_id", "id", (F.col("need") / F.col("size")).alias("match"))
-    )
+    # a node is looked up by the query's longest lexeme only, which is likely a rare one, and then must have all
+    longest = F.array_max(F.transform("q", lambda x: F.struct(F.length(x).alias("n"), x.alias("lexeme"))))
+    asked = asked.select("query_id", "q", longest["lexeme"].alias("lexeme"))
+    have = nodes.select("id", lexemes(F.col("search_text"), stemmed).alias("l")).select("id", "l", F.explode("l").alias("lexeme"))
+    met = have.join(asked, "lexeme").where(F.size(F.array_except("q", "l")) == 0)
+    return met.select("query_id", "id", (F.size("q") / F.size("l")).alias("match"))
 
 
 def alias_hits(aliases: DataFrame, queries: DataFrame, stemmed: bool = True) -> DataFrame:
@@ -66,11 +68,18 @@ def dot(a: Column, b: Column) -> Column:
 
 def semantic(vectors: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """query_id, id, score, rank: cosine similarity, exact. queries (query_id, embedding) is a stated
-    query set, broadcast against the vectors in blocks; null vectors and vectors of other length are left out."""
+    query set; up to QUERY_ROWS of them are broadcast, more meet the vectors in blocks of a shuffle. Null and zero
+    vectors and vectors of other length are left out."""
     unit = lambda df, name: df.where(F.col("embedding").isNotNull()).select(name, F.col("embedding"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
     q = unit(queries, "query_id").select("query_id", F.col("embedding").alias("q"), F.col("norm").alias("qn"))
-    both = unit(vectors, "id").join(F.broadcast(q), F.size("embedding") == F.size("q"))
-    scored = both.select("query_id", "id", F.round(dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("qn")), 6).alias("score"))
+    v = unit(vectors, "id")
+    if queries.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS:
+        both = v.join(F.broadcast(q), F.size("embedding") == F.size("q"))
+    else:
+        # every vector goes to each block of queries once
+        q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(QUERY_BLOCKS)))
+        both = v.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(QUERY_BLOCKS - 1).cast("long")))).join(q, "block").where(F.size("embedding") == F.size("q"))
+    scored = both.select("query_id", "id", F.round(F.try_divide(dot(F.col("embedding"), F.col("q")), F.col("norm") * F.col("qn")), 6).alias("score")).where("score IS NOT NULL")
     return top(scored, limit, F.desc("score"), F.asc("id"))
 
 

@@ -140,7 +140,7 @@ def graph_stats(spark, d):
 
 # --- search ------------------------------------------------------------------
 
-_QUERIES_SQL = """bq AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: strlen(x) >= 2)[1:2]) AS q FROM benchmark),
+_QUERIES_SQL = """bq AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: strlen(x) >= 2)) AS q FROM benchmark),
 dl AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: strlen(x) >= 2)) AS l FROM documents),
 dx AS (SELECT doc_id, len(l) AS size, unnest(l) AS lexeme FROM dl), qx AS (SELECT query_id, len(q) AS need, unnest(q) AS lexeme FROM bq),
 hits AS (SELECT query_id, doc_id, max(need)::DOUBLE / max(size) AS match FROM dx JOIN qx USING (lexeme) GROUP BY 1, 2 HAVING count(*) = max(need)),
@@ -153,7 +153,7 @@ def _doc_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 def _bench_queries(spark: SparkSession, d: str) -> DataFrame:
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: F.octet_length(x) >= 2)
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, 1, 2), " ").alias("text"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("text"))
 
 
 @query(f"WITH {_QUERIES_SQL} SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 20")
@@ -295,7 +295,7 @@ def neighbors(spark, d):
     n AS (SELECT 'customer:1' AS id, 0 AS hop UNION SELECT id, 1 FROM l1 WHERE id <> 'customer:1' UNION SELECT id, 2 FROM l2 WHERE id <> 'customer:1' AND id NOT IN (SELECT id FROM l1)) SELECT id, hop FROM n"""
 )
 def traverse(spark, d):
-    return g.traverse_levels(edges(spark, d), ["customer:1"], 2, cap=10_000_000).select(F.col("node").alias("id"), "hop")
+    return g.traverse_levels(edges(spark, d), ["customer:1"], 2, cap=None).select(F.col("node").alias("id"), "hop")
 
 
 @query()
@@ -571,8 +571,8 @@ def chunk_markdown(spark, d):
 @query()
 def episodic_plan(spark, d):
     c = table(spark, d, "conversations")
-    ents = c.selectExpr("CAST(conv_id AS string) AS doc", "turn AS seq", "CASE turn % 3 WHEN 0 THEN 'decision' WHEN 1 THEN 'event' ELSE 'person' END AS type", "substr(text, 1, 12) AS name", "CAST(NULL AS string) AS event_kind", "CAST(turn AS string) AS started", "CAST(NULL AS string) AS ended")
-    rels = c.where("role = 'user'").selectExpr("CAST(conv_id AS string) AS doc", "turn AS seq", "'A' AS source", "substr(text, 1, 6) AS target", "'decided' AS relation", "CAST(NULL AS string) AS date_start", "CAST(NULL AS string) AS date_end")
+    ents = c.selectExpr("CAST(conv_id AS string) AS doc", "turn AS seq", "CASE turn % 3 WHEN 0 THEN 'decision' WHEN 1 THEN 'event' ELSE 'person' END AS type", "text AS name", "CAST(NULL AS string) AS event_kind", "CAST(turn AS string) AS started", "CAST(NULL AS string) AS ended")
+    rels = c.where("role = 'user'").selectExpr("CAST(conv_id AS string) AS doc", "turn AS seq", "'A' AS source", "text AS target", "'decided' AS relation", "CAST(NULL AS string) AS date_start", "CAST(NULL AS string) AS date_end")
     return ingest.episodic_plan(ents, rels)[0]
 
 

@@ -93,8 +93,9 @@ def test_finalize(spark):
     fs = spark.createDataFrame([("d", 1, "ann", "Location", "x"), ("d", 2, "Ann Lee", "residence", "y"), ("d", 3, "trust", "k", "v")], "doc string, seq int, subject string, property string, value string")
     e, r, f = ingest.finalize(ents, rels, fs)
     assert "Rocket" in {x.name for x in e.collect()} and "trust" not in {x.name for x in e.collect()}
-    assert {x.relation for x in r.collect()} <= {"worked_at", "created"}
-    assert [(x.property, x.value) for x in f.collect()] == [("residence", "x")]
+    # "ann" has a name of its own, so that row is not one of a person with themself
+    assert {(x.source, x.relation, x.target) for x in r.collect()} == {("ann", "worked_at", "acme"), ("Ann Lee", "created", "Rocket"), ("ann", "uses", "Ann Lee"), ("Ann Lee", "worked_at", "Acme Inc.")}
+    assert {(x.subject, x.property, x.value) for x in f.collect()} == {("ann", "residence", "x"), ("Ann Lee", "residence", "y")}
 
 
 def test_recall_sections(spark):
@@ -145,3 +146,39 @@ def test_paging(spark):
     assert [r.has_more for r in listing.list_nodes(rows, limit=2, offset=3).collect()] == [False, False]
     with pytest.raises(ValueError, match="offset"):
         listing.list_nodes(rows, offset=-1)
+
+
+def test_a_path_through_many_nodes(spark):
+    """More nodes than any level's limit: the way back is found whatever the size of the levels."""
+    rows = [("root", f"h{i}") for i in range(60)] + [(f"h{i}", f"l{i}_{k}") for i in range(60) for k in range(400)]
+    e = edges_of(spark, *rows)
+    n = nodes_of(spark, "root", *[b for _, b in rows])
+    for leaf in ("l0_0", "l59_399", "l30_200"):
+        assert [r.id for r in graph.shortest_path(n, e, "root", leaf).orderBy("place").collect()] == ["root", "h" + leaf[1:].split("_")[0], leaf]
+    assert graph.traverse_levels(e, ["root"], 2, cap=None).count() == 1 + 60 + 60 * 400
+
+
+def test_a_common_first_word_loses_no_candidate(spark):
+    n = spark.createDataFrame([(f"p{i}", "company", f"Acme number {i} of many") for i in range(1500)], "id string, type string, label string")
+    names = spark.createDataFrame([(1, "acme number 700 of manny", "company")], "name_id int, name string, kind string")
+    got = resolve.resolve(names, n, spark.createDataFrame([], "node_id string, normalized_alias string")).first()
+    assert got.status != "no_match" and got.confidence > 0.5
+
+
+def test_every_known_name_counts(spark):
+    ents = spark.createDataFrame([("d", 1, "Zed", "person")], "doc string, seq int, name string, type string")
+    known = spark.createDataFrame([(f"P{i} Last",) for i in range(200)] + [("Zoe Last",)], "name string")
+    mentioned = spark.createDataFrame([("d", "zoe"), ("d", "p150"), ("d", "zed")], "doc string, low string")
+    got = {r.low: r.canonical for r in ingest.canonical_names(ents, known, mentioned).collect()}
+    assert got == {"zed": "Zed", "zoe": "Zoe Last", "p150": "P150 Last"}
+
+
+def test_zero_vectors_and_missing_counts(spark):
+    from mnemosia.operators import rank, search
+
+    v = spark.createDataFrame([("a", [0.0, 0.0]), ("b", [1.0, 1.0]), ("c", None), ("d", [1.0])], "id string, embedding array<double>")
+    q = spark.createDataFrame([(1, [2.0, 2.0]), (2, [0.0, 0.0])], "query_id int, embedding array<double>")
+    assert [(r.query_id, r.id, r.score) for r in search.semantic(v, q).collect()] == [(1, "b", 1.0)]
+    c = spark.createDataFrame([(1, "x", 1)], "query_id int, id string, rank int")
+    b = spark.createDataFrame([("x", "supported", None, None, None, None)], "id string, status string, evidence_count int, preferred_confidence double, matches_current boolean, last_observed timestamp_ntz")
+    assert rank.belief_score(c, b).first().belief == pytest.approx(0.67)
