@@ -1,14 +1,19 @@
 """BPE encoding and decoding with tree concatenation.
 
-Text is encoded in pieces that cannot influence each other: runs without white
-space, since the tokenizer drops white space and none of its words holds any.
-Frequent runs are remembered within a task. A text with a very long run is
-encoded apart: the run's words (as the pre-tokenizer cuts them) that are still
-too long are halved down to leaves, the leaves are dealt over all tasks and
-encoded in parallel, and neighbours are joined in a tree. At each join a window
-around it is encoded anew and grows until its first and last token agree with
-both sides. Then every two neighbouring tokens are what BPE makes of their own
-text, so the joined list is what BPE makes of the whole word.
+A text is halved anywhere, down to leaves, the leaves are encoded by themselves, and
+neighbours are joined in a tree: a window around the cut is encoded anew and grows
+until its first and last part agree exactly with both sides. Texts up to a size are
+halved within a task; the halves of longer ones are dealt over all tasks and each
+level of their tree is a step of its own. The parts of a window are runs without white
+space, since the tokenizer drops white space and none of its words holds any; so a
+window that agrees is never influenced from outside. Frequent runs are remembered
+within a task.
+
+A text with a very long run is encoded apart: there the parts are tokens. The run's
+words (as the pre-tokenizer cuts them) that are still too long are halved down to
+leaves, the leaves are dealt over all tasks, and neighbours are joined until a
+window's first and last token agree. Then every two neighbouring tokens are what BPE
+makes of their own text, so the joined list is what BPE makes of the whole word.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
@@ -25,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table
+from .common import arrow_map, stored, table
 
 TOKENIZER = "word_bpe_49k.json"
-#: Characters of a run, and of a word's leaf, that are encoded in one piece.
+#: Characters of a run, and of a leaf, that are encoded in one piece.
 LEAF = 2048
+#: Characters of a text whose tree is made within one task; halves of longer ones are dealt.
+DEALT = 1 << 16
 #: Runs that a task remembers; then it starts afresh.
 REMEMBERED = 400_000
 #: Unicode white space, which is what the tokenizer's normaliser takes for it.
@@ -105,9 +113,8 @@ class Codec:
         self.known[word] = found = " ".join([str(t.id) for t in tokens]), " ".join([t.value for t in tokens])
         return found
 
-    def encode(self, text: str) -> tuple[str, str]:
-        """The ids in decimal and the decoded text, each joined by one space; runs are encoded whole."""
-        own = runs(text)
+    def encode_runs(self, own: list[str]) -> tuple[list[str], list[str]]:
+        """The ids in decimal, joined by one space, and the decoded text of each run; runs are encoded whole."""
         new = [r for r in dict.fromkeys(own) if r not in self.ids]
         if new:
             if len(self.ids) + len(self.known) > REMEMBERED:
@@ -116,7 +123,12 @@ class Codec:
                 self.known.clear()
                 new = list(dict.fromkeys(own))
             self.learn(new)
-        return " ".join(map(self.ids.__getitem__, own)), " ".join(map(self.texts.__getitem__, own))
+        return list(map(self.ids.__getitem__, own)), list(map(self.texts.__getitem__, own))
+
+    def encode(self, text: str, leaf: int) -> tuple[str, str]:
+        """The ids in decimal and the decoded text, each joined by one space."""
+        found = halved(self, text, leaf)
+        return " ".join(found.ids), " ".join(found.texts)
 
     def words(self, run: str) -> list[str] | None:
         """The words of a run as the model gets them; None if the run has a special token."""
@@ -152,6 +164,50 @@ class Codec:
         return parts[0]
 
 
+@dataclass
+class Stretch:
+    """A stretch of a text: its runs, their ids and decoded texts, and whether its first and last run may go on beyond it."""
+
+    runs: list[str]
+    ids: list[str]
+    texts: list[str]
+    open_left: bool
+    open_right: bool
+
+
+def stretch(codec: Codec, text: str) -> Stretch:
+    own = runs(text)
+    ids, texts = codec.encode_runs(own)
+    # a run reaches the end of the stretch if there is no white space
+    return Stretch(own, ids, texts, bool(own) and text.startswith(own[0]), bool(own) and text.endswith(own[-1]))
+
+
+def joined(codec: Codec, left: Stretch, right: Stretch) -> Stretch:
+    """The stretch of both texts. A cut within a run is mended by windows of runs that grow until both sides agree."""
+    if left.open_right and right.open_left:
+        size = 1
+        while True:
+            a, b = left.runs[-size:], right.runs[:size]
+            window = [*a[:-1], a[-1] + b[0], *b[1:]]
+            ids, texts = codec.encode_runs(window)
+            all_left, all_right = size >= len(left.runs), size >= len(right.runs)
+            if (all_left or ids[0] == left.ids[-size]) and (all_right or ids[-1] == right.ids[size - 1]):
+                break
+            size *= 2
+        parts = [[*x[: len(x) - len(a)], *new, *y[len(b) :]] for x, new, y in ((left.runs, window, right.runs), (left.ids, ids, right.ids), (left.texts, texts, right.texts))]
+    else:
+        parts = [x + y for x, y in ((left.runs, right.runs), (left.ids, right.ids), (left.texts, right.texts))]
+    return Stretch(*parts, left.open_left, right.open_right)
+
+
+def halved(codec: Codec, text: str, leaf: int) -> Stretch:
+    """The stretch of a text by tree concatenation."""
+    if len(text) <= leaf:
+        return stretch(codec, text)
+    middle = len(text) // 2
+    return joined(codec, halved(codec, text[:middle], leaf), halved(codec, text[middle:], leaf))
+
+
 @lru_cache(maxsize=2)
 def _codec(spec: str) -> Codec:
     return Codec(spec)
@@ -165,19 +221,73 @@ def halves(word: str, leaf: int = LEAF) -> list[str]:
     return halves(word[:middle], leaf) + halves(word[middle:], leaf)
 
 
-def _encode_short(spec):
+def _encode_short(spec, leaf: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(spec.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                both = [codec.encode(t or "") for t in part.column(1).to_pylist()]
+                both = [codec.encode(t or "", leaf) for t in part.column(1).to_pylist()]
                 ids, texts = pa.array([a for a, _ in both], pa.string()), pa.array([b for _, b in both], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, texts], ["doc_id", "ids", "decoded"])
 
     return run
 
 
+STRETCH = "doc_key string, seq long, parts long, runs array<string>, ids array<string>, texts array<string>, open_left boolean, open_right boolean"
+
+
+def _pieces(dealt: int):
+    """Rows (doc_key, seq, parts, piece): a text's halves of halves, alike in number on all sides."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for key, text in zip(frame["doc_key"], frame["text"]):
+                parts = [text]
+                while max(map(len, parts)) > dealt:
+                    parts = [half for p in parts for half in (p[: len(p) // 2], p[len(p) // 2 :])]
+                for at in range(0, len(parts), 100):
+                    some = parts[at : at + 100]
+                    yield pd.DataFrame({"doc_key": [key] * len(some), "seq": range(at, at + len(some)), "parts": [len(parts)] * len(some), "piece": some})
+
+    return run
+
+
+def _encode_pieces(spec, leaf: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codec = _codec(spec.value)
+        for frame in frames:
+            for key, seq, parts, piece in zip(frame["doc_key"], frame["seq"], frame["parts"], frame["piece"]):
+                found = halved(codec, piece, leaf)
+                yield pd.DataFrame({"doc_key": [key], "seq": [seq], "parts": [parts], **{k: [v] for k, v in vars(found).items()}})
+
+    return run
+
+
+def _join_level(spec):
+    """Two neighbours of a level, or the one that is left, to a row of the next."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        codec = _codec(spec.value)
+        frame = frame.sort_values("seq")
+        found = [Stretch(list(r.runs), list(r.ids), list(r.texts), bool(r.open_left), bool(r.open_right)) for r in frame.itertuples()]
+        whole = joined(codec, *found) if len(found) == 2 else found[0]
+        return pd.DataFrame({"doc_key": [frame["doc_key"].iloc[0]], "seq": [frame["seq"].iloc[0] // 2], "parts": [(frame["parts"].iloc[0] + 1) // 2], **{k: [v] for k, v in vars(whole).items()}})
+
+    return run
+
+
+def _dealt_trees(whole: DataFrame, spec, leaf: int, dealt: int) -> DataFrame:
+    """doc_key, ids, decoded of whole (doc_key, text): leaves and each level's joins are dealt over all tasks."""
+    pieces = whole.select("doc_key", "text").mapInPandas(_pieces(dealt), "doc_key string, seq long, parts long, piece string")
+    level = stored(pieces.repartition("doc_key", "seq").mapInPandas(_encode_pieces(spec, leaf), STRETCH), "level")
+    most = level.agg(F.max("parts")).first()[0] or 0
+    while most > 1:
+        level = stored(level.groupBy("doc_key", F.floor(F.col("seq") / 2).alias("pair")).applyInPandas(_join_level(spec), STRETCH), "level")
+        most = (most + 1) // 2
+    return level.select("doc_key", F.array_join("ids", " ").alias("ids"), F.array_join("texts", " ").alias("decoded"))
+
+
 def _cut(spec, leaf: int):
     """Rows (doc_key, seq, part, parts, piece, ids): leaves have a piece, the rest has ids."""
 
@@ -242,7 +352,7 @@ def _concatenate(spec):
     return run
 
 
-def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF, dealt: int = DEALT) -> DataFrame:
     """doc_id, n_tokens, ids (decimal, joined by one space), decoded, of every row of docs (doc_id, text).
 
     Null is the empty text: no tokens. Repeated rows stay repeated. The
@@ -255,14 +365,19 @@ def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> DataFr
     with open(path, encoding="utf-8") as file:
         spec = docs.sparkSession.sparkContext.broadcast(file.read())  # as large as the vocabulary
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    long = F.coalesce(F.col("text").rlike(rf"[^\x20\x09-\x0D]{{{leaf + 1}}}"), F.lit(False))
-    short = arrow_map(docs.where(~long), _encode_short(spec), "doc_id long, ids string, decoded string")
-    whole = docs.where(long).groupBy("doc_id", "text").agg(F.count("*").alias("times")).withColumn("doc_key", F.sha2(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text"), 256))
-    pieces = whole.select("doc_key", "text").mapInPandas(_cut(spec, leaf), "doc_key string, seq long, part long, parts long, piece string, ids array<int>")
-    leaves = pieces.repartition("doc_key", "seq").mapInPandas(_encode_leaves(spec), "doc_key string, seq long, part long, parts long, ids array<int>")
-    joined = leaves.groupBy("doc_key").applyInPandas(_concatenate(spec), "doc_key string, ids string, decoded string")
-    back = whole.select("doc_id", "doc_key", "times").join(joined, "doc_key", "left").withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
-    both = short.unionByName(back.select("doc_id", F.coalesce("ids", F.lit("")).alias("ids"), F.coalesce("decoded", F.lit("")).alias("decoded")))
+    unsplit = F.coalesce(F.col("text").rlike(rf"[^\x20\x09-\x0D]{{{leaf + 1}}}"), F.lit(False))
+    apart = F.coalesce(F.length("text") > dealt, F.lit(False)) | unsplit
+    both = arrow_map(docs.where(~apart), _encode_short(spec, leaf), "doc_id long, ids string, decoded string")
+    long = stored(docs.where(apart).withColumn("unsplit", unsplit), "long")
+    if not long.isEmpty():
+        whole = long.groupBy("doc_id", "text", "unsplit").agg(F.count("*").alias("times")).withColumn("doc_key", F.sha2(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text"), 256))
+        whole = stored(whole, "whole")
+        pieces = whole.where("unsplit").select("doc_key", "text").mapInPandas(_cut(spec, leaf), "doc_key string, seq long, part long, parts long, piece string, ids array<int>")
+        leaves = pieces.repartition("doc_key", "seq").mapInPandas(_encode_leaves(spec), "doc_key string, seq long, part long, parts long, ids array<int>")
+        found = leaves.groupBy("doc_key").applyInPandas(_concatenate(spec), "doc_key string, ids string, decoded string")
+        found = stored(found.unionByName(_dealt_trees(whole.where("NOT unsplit"), spec, leaf, dealt)), "found")
+        back = whole.select("doc_id", "doc_key", "times").join(found, "doc_key", "left").withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+        both = both.unionByName(back.select("doc_id", F.coalesce("ids", F.lit("")).alias("ids"), F.coalesce("decoded", F.lit("")).alias("decoded")))
     n = F.when(F.col("ids") == "", 0).otherwise(F.length("ids") - F.length(F.translate("ids", " ", "")) + 1)
     return both.select("doc_id", n.cast("long").alias("n_tokens"), "ids", "decoded")
 

@@ -54,3 +54,20 @@ def test_empty_table_and_other_columns(spark):
     assert bpe.encode(docs).collect() == []
     docs = spark.createDataFrame([(None, "a b", "q", 1), (None, "a b", "q", 1)], docs.schema)
     assert [r.n_tokens for r in bpe.encode(docs).collect()] == [2, 2]
+
+
+def test_halves_anywhere(spark, path, codec):
+    """Trees within a task and dealt ones, cut in words, special tokens and combined characters."""
+    rng = random.Random(3)
+    bits = ["the ", "It's ", "náve", "<|endoftext|>", " ", "\n", "中文 ", "ing", "123", "don't", "é", "́", "\x1c", "…", "　", "xy" * 20]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(1, 900))) for _ in range(60)] + [" " * 700, "a " * 600, ("word " * 30 + "z" * 90) * 9, None, ""]
+    texts += texts[:2]
+    for t in texts:
+        if t:
+            for leaf in (1, 3, 17):
+                found = bpe.halved(codec, t, leaf)
+                assert " ".join(found.ids).split() == plain(path, t)[1].split()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for leaf, dealt in ((100, 300), (40, 100)):
+        got = sorted(tuple(r) for r in bpe.encode(docs, leaf=leaf, dealt=dealt).collect())
+        assert got == sorted((i, *plain(path, t)) for i, t in enumerate(texts))
