@@ -1,17 +1,21 @@
 """LM scoring with a hashed maximum-entropy model.
 
-P(word | history) = P(class | history) * P(word | class). The most frequent words
-are classes of their own, every other word (known or not) has the class that its
-last bytes hash to, so a class is a function of the word. The class softmax sums
-the weights of hashed features of the history: the last word, the last two words
-as one n-gram, and skip features (the second and the third last word alone).
-Within a class, words have their smoothed relative frequency.
+P(word | history) = P(class | history) * P(word | class, history). The most frequent
+words are listed in classes of SLOTS words by rank; every other word (known or not)
+has the class that its last bytes hash to, so a class is a function of the word. The
+class softmax sums the weights of hashed features of the history: the last word, the
+last two words as one n-gram, and skip features (the second and the third last word
+alone). Within a class of listed words a second softmax sums those of the last word
+and of the last two, each with the class, onto the words' logarithmic frequencies;
+within a class of endings, words have their smoothed relative frequency.
 
 Word counts cover all training texts and are joined back by shuffle; only a
-bounded table of the most frequent words is broadcast. The weights are trained
-by distributed updates: in each epoch every task starts from the current
-weights, takes minibatch AdaGrad steps over its training texts, and the tasks'
-weights are averaged by tokens, block by block, in two levels.
+bounded table of the most frequent words is broadcast. The number of features grows
+with the number of distinct words, up to a bound. The weights are trained by
+distributed updates, in rounds of which each has its share of the texts: every task
+starts from the current weights and takes minibatch AdaGrad steps, and each feature's
+changes are averaged over the tasks by the tokens that had it, block by block in two
+levels; so a feature that few tasks met keeps what they learned.
 """
 
 from __future__ import annotations
@@ -21,7 +25,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,16 +38,17 @@ _U = np.uint64
 END = int(mix(np.array([0x656E64], _U)).astype(np.int64)[0])
 #: Most frequent words whose counts are broadcast: at most 12 bytes each.
 HOT = 262_144
-#: Classes: single words first, then those of word endings.
-SINGLES, CLASSES = 16, 48
-#: Rows of weights (hashed features).
-BUCKETS = 1 << 15
-FEATURES = 4
-EPOCHS = 1
+#: Classes: first those of listed words, then those of word endings; listed words of a class.
+SINGLES, CLASSES, SLOTS = 8, 32, 64
+#: Hashed features (rows of weights): one for TYPES distinct words, within these bounds; 100 MB of weights at most.
+BUCKETS, MOST_BUCKETS, TYPES = 1 << 12, 1 << 18, 64
+FEATURES, INNER = 4, 2
+#: Shares of the texts after which the tasks' weights are averaged, and times that all texts are seen.
+ROUNDS, EPOCHS = 3, 1
 BATCH = 8192
 RATE = 0.15
-#: Pieces in which weights are averaged.
-BLOCKS = 16
+#: Rows of weights that are averaged in one piece, and pieces of the first level.
+BLOCK, FAN_IN = 128, 64
 HELD_OUT = 1
 
 
@@ -87,19 +91,27 @@ class Vocabulary:
 
     hashes: np.ndarray  # sorted
     counts: np.ndarray
-    singles: np.ndarray  # the hashes of the single-word classes, by class
+    listed: np.ndarray  # the hashes of the listed words, sorted
+    rank: np.ndarray  # their ranks: class rank // SLOTS, slot rank % SLOTS
+    prior: np.ndarray  # SINGLES x SLOTS: natural log of a listed word's share of its class, -inf for free slots
     log_mass: np.ndarray  # log10 of each class's smoothed total
     tokens: int
     types: int
 
+    @property
+    def buckets(self) -> int:
+        return min(MOST_BUCKETS, max(BUCKETS, 1 << max(0, self.types // TYPES - 1).bit_length()))
+
+    def ranks(self, h: np.ndarray) -> np.ndarray:
+        """The rank of each listed word, else -1."""
+        if not len(self.listed):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.listed, h), len(self.listed) - 1)
+        return np.where(self.listed[at] == h, self.rank[at], -1)
+
     def classes(self, h: np.ndarray, ending: np.ndarray) -> np.ndarray:
-        out = ending.astype(np.int64)
-        order = np.argsort(self.singles)
-        at = np.minimum(np.searchsorted(self.singles[order], h), max(0, len(order) - 1))
-        if len(order):
-            hit = self.singles[order][at] == h
-            out[hit] = order[at[hit]]
-        return out
+        rank = self.ranks(h)
+        return np.where(rank >= 0, rank // SLOTS, ending).astype(np.int64)
 
     def known(self, h: np.ndarray) -> np.ndarray:
         """Counts of the tokens among the most frequent words, else 0."""
@@ -116,20 +128,24 @@ def vocabulary(counts: DataFrame, hot: int = HOT) -> Vocabulary:
     mass, types = np.zeros(CLASSES), np.zeros(CLASSES)
     mass[by_class["ending"]], types[by_class["ending"]] = by_class["c"], by_class["types"]
     tokens, all_types = int(mass.sum()), int(types.sum())
-    single = top.head(SINGLES)
+    single = top.head(SINGLES * SLOTS)
+    prior = np.full((SINGLES, SLOTS), -np.inf, np.float32)
     for k, (e, c) in enumerate(zip(single["ending"], single["c"])):
         mass[e] -= c
         types[e] -= 1
-        mass[k], types[k] = c, 1
+        mass[k // SLOTS] += c
+        types[k // SLOTS] += 1
+        prior[divmod(k, SLOTS)] = math.log(c + 0.5)
     # every class of endings also holds the unknown words with its endings, as one more type
     types[SINGLES:] += 1
-    order = np.argsort(top["h"].to_numpy())
+    order, by = np.argsort(top["h"].to_numpy()), np.argsort(single["h"].to_numpy())
     with np.errstate(divide="ignore"):
         log_mass = np.log10(mass + 0.5 * types)
-    return Vocabulary(top["h"].to_numpy()[order], top["c"].to_numpy()[order], single["h"].to_numpy(), log_mass, tokens, all_types)
+        prior -= np.where(np.isfinite(log_mass[:SINGLES, None]), log_mass[:SINGLES, None], 0) * math.log(10)
+    return Vocabulary(top["h"].to_numpy()[order], top["c"].to_numpy()[order], single["h"].to_numpy()[by], by.astype(np.int64), prior, log_mass, tokens, all_types)
 
 
-def features(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def features(h: np.ndarray, bounds: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     """FEATURES x tokens: rows of weights for each token's history; before a text stands END."""
     before = []
     place = np.arange(len(h)) - np.repeat(bounds[:-1], np.diff(bounds))
@@ -140,36 +156,43 @@ def features(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         before.append(x.astype(_U))
     a, b, c = before
     keys = [a + _U(1), b * _U(3) + _U(2), c * _U(5) + _U(3), a * _U(0x9E3779B97F4A7C15) + b * _U(7) + _U(4)]
-    return np.stack([(mix(k) & _U(BUCKETS - 1)).astype(np.uint16) for k in keys])
+    return np.stack([(mix(k) & _U(buckets - 1)).astype(np.int32) for k in keys])
+
 
+def inner_features(rows: np.ndarray, y: np.ndarray, buckets: int) -> np.ndarray:
+    """INNER x tokens: rows of the weights within classes, for the last word and for the last two, with the class."""
+    own = y.astype(_U) * _U(0xD6E8FEB86659FD93)
+    return np.stack([(mix(rows[k].astype(_U) * _U(3) + _U(k) + own) & _U(buckets - 1)).astype(np.int32) for k in (0, 3)])
 
-def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """tokens x CLASSES sums of the features' weights, less each token's largest."""
-    z, other = np.take(weights, rows[0], axis=0), np.empty((rows.shape[1], CLASSES), np.float32)
+
+def _logits(weights: np.ndarray, base: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """tokens x outputs: sums of the features' weights and base, less each token's largest."""
+    z, other = np.take(weights, rows[0], axis=0), np.empty((rows.shape[1], weights.shape[1]), np.float32)
     for r in rows[1:]:
         z += np.take(weights, r, axis=0, out=other, mode="clip")
-    z += bias
+    z += base
     z -= z.T.copy().max(axis=0)[:, None]
     return z
 
 
-_ONES = np.ones(CLASSES, np.float32)
-
-
 def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The natural log of each token's own class's probability."""
+    """The natural log of the probability of each token's own output y."""
     z = _logits(weights, bias, rows)
     own = z[np.arange(len(y)), y]
-    return own - np.log(np.exp(z, out=z) @ _ONES)
+    return own - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], np.float32))
 
 
-def _step(weights, bias, seen, rows, y) -> None:
-    """One AdaGrad step; `seen` sums each row's mean squared gradient."""
-    grad = _logits(weights, bias, rows)
+def _gradient(weights: np.ndarray, base: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
+    grad = _logits(weights, base, rows)
     np.exp(grad, out=grad)
-    grad /= (grad @ _ONES)[:, None]
+    grad /= (grad @ np.ones(grad.shape[1], np.float32))[:, None]
     grad[np.arange(len(y)), y] -= 1
-    bias -= RATE * grad.mean(axis=0)
+    return grad
+
+
+def _descend(weights: np.ndarray, seen: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
+    """One AdaGrad step; `seen` sums each row's mean squared gradient."""
+    size = np.float32(grad.shape[1])
     sorted_grad = np.empty_like(grad)
     for r in rows:
         order = np.argsort(r, kind="stable")
@@ -177,89 +200,140 @@ def _step(weights, bias, seen, rows, y) -> None:
         at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         g = np.add.reduceat(np.take(grad, order, axis=0, out=sorted_grad, mode="clip"), at, axis=0)
         u = own[at]
-        seen[u] += np.einsum("ij,ij->i", g, g) / np.float32(CLASSES)
-        g *= (RATE / FEATURES * math.sqrt(CLASSES / 8) / np.sqrt(seen[u] * np.float32(CLASSES / 8) + np.float32(1)))[:, None].astype(np.float32)
+        seen[u] += np.einsum("ij,ij->i", g, g) / size
+        g *= (RATE / len(rows) * math.sqrt(size / 8) / np.sqrt(seen[u] * (size / 8) + np.float32(1)))[:, None].astype(np.float32)
         weights[u] -= g
 
 
-def _unpack(model: bytes) -> tuple[np.ndarray, np.ndarray]:
-    whole = np.frombuffer(model, np.float32).reshape(BUCKETS + 1, CLASSES)
-    return whole[:BUCKETS], whole[BUCKETS]
+def _unpack(model: bytes, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weights of classes, the last row the bias; weights within classes)."""
+    whole = np.frombuffer(model, np.float32)
+    cut = (buckets + 1) * CLASSES
+    return whole[:cut].reshape(buckets + 1, CLASSES), whole[cut:].reshape(buckets, SLOTS)
+
+
+def _pieces(x: np.ndarray) -> list[np.ndarray]:
+    return [x[k : k + BLOCK] for k in range(0, len(x), BLOCK)]
+
+
+SUMS = "block int, part int, tokens binary, sums binary"
 
 
 def _train(shared):
-    """Rows (block, part, tokens, weights): the task's weights, times its tokens."""
+    """Rows (block, part, tokens, changes): for every row of a block that was met, tokens (float32) and the change (float16)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, model = shared.value
-        weights, bias = (x.copy() for x in _unpack(model))
-        seen, n = np.zeros(BUCKETS, np.float32), 0
+        given = _unpack(model, vocab.buckets)
+        outer, inner = (x.copy() for x in given)
+        weights, bias = outer[:-1], outer[-1]
+        seen, n = [np.zeros(len(x), np.float32) for x in given], [np.zeros(len(x), np.float32) for x in given]
         for batch in batches:
             for _, _, texts in Texts.slices(batch.column(0), lower=True):
                 h, ending, bounds = _tokens(texts)
-                rows, y = features(h, bounds), vocab.classes(h, ending)
+                rank = vocab.ranks(h)
+                rows, y = features(h, bounds, vocab.buckets), np.where(rank >= 0, rank // SLOTS, ending).astype(np.int64)
                 for at in range(0, len(h), BATCH):
-                    _step(weights, bias, seen, rows[:, at : at + BATCH], y[at : at + BATCH])
-                n += len(h)
-        if n:
-            blocks = np.array_split(np.concatenate([weights, bias[None]]), BLOCKS)
-            part = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(BLOCKS), pa.int32()), pa.array([part % 64] * BLOCKS, pa.int32()), pa.array([n] * BLOCKS, pa.int64()), pa.array([(b * np.float32(n)).tobytes() for b in blocks], pa.binary())],
-                ["block", "part", "tokens", "weights"],
-            )
+                    r, c, slot = rows[:, at : at + BATCH], y[at : at + BATCH], rank[at : at + BATCH]
+                    grad = _gradient(weights, bias, r, c)
+                    bias -= RATE * grad.mean(axis=0)
+                    _descend(weights, seen[0], r, grad)
+                    n[0][:-1] += np.bincount(r.ravel(), minlength=len(weights))
+                    listed = np.flatnonzero(slot >= 0)
+                    if len(listed):
+                        c, slot = c[listed], slot[listed] % SLOTS
+                        r = inner_features(r[:, listed], c, vocab.buckets)
+                        _descend(inner, seen[1], r, _gradient(inner, vocab.prior[c], r, slot))
+                        n[1] += np.bincount(r.ravel(), minlength=len(inner))
+                n[0][-1] += len(h)
+        if n[0][-1]:
+            part = TaskContext.get().partitionId() % FAN_IN
+            changes = [(t, d) for x, old, m in zip((outer, inner), given, n) for t, d in zip(_pieces(m), _pieces((x - old).astype(np.float16)))]
+            for at in range(0, len(changes), 64):
+                some = changes[at : at + 64]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(at, at + len(some)), pa.int32()), pa.array([part] * len(some), pa.int32()), pa.array([t.tobytes() for t, _ in some], pa.binary()), pa.array([d.tobytes() for _, d in some], pa.binary())],
+                    ["block", "part", "tokens", "sums"],
+                )
 
     return run
 
 
-def _add(keys: list[str]):
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(1)
-        for w in frame["weights"]:
-            total = total + np.frombuffer(w, np.float32)
-        return pd.DataFrame([[*key, int(frame["tokens"].sum()), total.astype(np.float32).tobytes()]], columns=[*keys, "tokens", "weights"])
+def _add(first: bool):
+    """Sums of a block's rows, one after the other; at first the changes are multiplied by their tokens. What is held is one
+    row for each key of the partition, whatever the number of tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for block, part, t, d in zip(*(c.to_pylist() for c in batch.columns)):
+                t = np.frombuffer(t, np.float32)
+                d = np.frombuffer(d, np.float16 if first else np.float32).reshape(len(t), -1)
+                d = d * t[:, None] if first else d
+                old = held.get((block, part if first else 0))
+                held[block, part if first else 0] = (t, d) if old is None else (old[0] + t, old[1] + d)
+        for (block, part), (t, d) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([t.tobytes()], pa.binary()), pa.array([d.astype(np.float32).tobytes()], pa.binary())], ["block", "part", "tokens", "sums"])
 
     return run
 
 
 def train(docs: DataFrame, vocab: Vocabulary, epochs: int = EPOCHS) -> bytes:
-    """The weights (BUCKETS + 1) x CLASSES as float32, the last row the bias."""
-    spark = docs.sparkSession
-    model = np.zeros((BUCKETS + 1, CLASSES), np.float32).tobytes()
-    for _ in range(epochs):
-        shared = spark.sparkContext.broadcast((vocab, model))
-        schema = "block int, part int, tokens long, weights binary"
-        own = arrow_map(docs.select("text"), _train(shared), schema)
-        some = own.groupBy("block", "part").applyInPandas(_add(["block", "part"]), schema)
-        done = some.groupBy("block").applyInPandas(_add(["block"]), "block int, tokens long, weights binary").orderBy("block").collect()
-        if not done:
-            return model
-        model = b"".join((np.frombuffer(r.weights, np.float32) / np.float32(r.tokens)).tobytes() for r in done)
-    return model
+    """The weights of docs (doc_id, text): (buckets + 1) x CLASSES as float32, the last row the bias, then buckets x SLOTS."""
+    spark, buckets = docs.sparkSession, vocab.buckets
+    outer, inner = np.zeros((buckets + 1, CLASSES), np.float32), np.zeros((buckets, SLOTS), np.float32)
+    usable = np.isfinite(vocab.log_mass)
+    outer[-1, usable] = vocab.log_mass[usable] * math.log(10)
+    for turn in range(ROUNDS * epochs):
+        shared = spark.sparkContext.broadcast((vocab, outer.tobytes() + inner.tobytes()))
+        share = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == turn % ROUNDS)
+        own = arrow_map(share.select("text"), _train(shared), SUMS)
+        some = own.repartition("block", "part").mapInArrow(_add(True), SUMS)
+        done = some.repartition("block").mapInArrow(_add(False), SUMS).collect()
+        pieces = _pieces(outer) + _pieces(inner)
+        for r in done:  # as many rows as the model has blocks
+            n = np.frombuffer(r.tokens, np.float32)[:, None]
+            pieces[r.block] += np.frombuffer(r.sums, np.float32).reshape(len(n), -1) / np.maximum(n, 1)
+        shared.unpersist()
+    return outer.tobytes() + inner.tobytes()
+
+
+def model_logs(vocab: Vocabulary, model: bytes, h: np.ndarray, ending: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log10 of each token's probability, but for the frequency of words of endings' classes; whether it is a listed word)."""
+    outer, inner = _unpack(model, vocab.buckets)
+    rank, rows = vocab.ranks(h), features(h, bounds, vocab.buckets)
+    y, p = np.where(rank >= 0, rank // SLOTS, ending).astype(np.int64), np.empty(len(h))
+    for k in range(0, len(h), BATCH):
+        r, c, slot = rows[:, k : k + BATCH], y[k : k + BATCH], rank[k : k + BATCH]
+        own = log_softmax(outer[:-1], outer[-1], r, c) / math.log(10)
+        listed = np.flatnonzero(slot >= 0)
+        own = np.where(slot >= 0, own, own - vocab.log_mass[c])
+        if len(listed):
+            c, slot = c[listed], slot[listed] % SLOTS
+            own[listed] += log_softmax(inner, vocab.prior[c], inner_features(r[:, listed], c, vocab.buckets), slot) / math.log(10)
+        p[k : k + BATCH] = own
+    return p, rank >= 0
 
 
 def _score(shared):
-    """Rows (doc_id, held_out, n_tokens, n_hot, hot_sum, class_sum, cold): sums of log10(c + 0.5) over
-    frequent tokens and of the class terms over all; cold has the hashes of the others."""
+    """Rows (doc_id, held_out, n_tokens, n_hot, hot_sum, model_sum, cold): sums of log10(c + 0.5) over
+    frequent tokens, and of the model's terms over all less that of listed words; cold has the hashes of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, model = shared.value
-        weights, bias = _unpack(model)
         for batch in batches:
             for at, end, texts in Texts.slices(batch.column(2), lower=True):
                 h, ending, bounds = _tokens(texts)
-                y, rows, c = vocab.classes(h, ending), features(h, bounds), vocab.known(h)
-                p = np.empty(len(h))
-                for k in range(0, len(h), BATCH):
-                    p[k : k + BATCH] = log_softmax(weights, bias, rows[:, k : k + BATCH], y[k : k + BATCH])
-                p = p / math.log(10) - vocab.log_mass[y]
+                c = vocab.known(h)
                 hot = c > 0
-                sums = np.add.reduceat(np.where(hot, np.log10(c + 0.5), 0.0), bounds[:-1])
+                logs = np.where(hot, np.log10(c + 0.5), 0.0)
+                p, listed = model_logs(vocab, model, h, ending, bounds)
+                p -= np.where(listed, logs, 0.0)
                 cold_at = np.concatenate([[0], np.cumsum(~hot)])[bounds]
                 cold = pa.ListArray.from_arrays(pa.array(cold_at.astype(np.int32)), pa.array(h[~hot]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, end - at), batch.column(1).slice(at, end - at), pa.array(np.diff(bounds)), pa.array(np.add.reduceat(hot.astype(np.int64), bounds[:-1])), pa.array(sums), pa.array(np.add.reduceat(p, bounds[:-1])), cold],
-                    ["doc_id", "held_out", "n_tokens", "n_hot", "hot_sum", "class_sum", "cold"],
+                    [batch.column(0).slice(at, end - at), batch.column(1).slice(at, end - at), pa.array(np.diff(bounds)), pa.array(np.add.reduceat(hot.astype(np.int64), bounds[:-1])), pa.array(np.add.reduceat(logs, bounds[:-1])), pa.array(np.add.reduceat(p, bounds[:-1])), cold],
+                    ["doc_id", "held_out", "n_tokens", "n_hot", "hot_sum", "model_sum", "cold"],
                 )
 
     return run
@@ -277,7 +351,7 @@ def lm_score(docs: DataFrame, epochs: int = EPOCHS, hot: int = HOT) -> DataFrame
     counts = stored(token_counts(learned), "counts")
     vocab = vocabulary(counts, hot)
     shared = spark.sparkContext.broadcast((vocab, train(learned, vocab, epochs)))
-    schema = "doc_id long, held_out boolean, n_tokens long, n_hot long, hot_sum double, class_sum double, cold array<long>"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_hot long, hot_sum double, model_sum double, cold array<long>"
     rows = stored(arrow_map(docs, _score(shared), schema).withColumn("row", F.monotonically_increasing_id()), "rows")
     # the other tokens meet their counts in a shuffle; a text's repeats of one go as one row
     cold = rows.select("row", F.explode("cold").alias("h")).groupBy("row", "h").agg(F.count("*").alias("n"))
@@ -290,7 +364,7 @@ def lm_score(docs: DataFrame, epochs: int = EPOCHS, hot: int = HOT) -> DataFrame
         (F.col("n_hot") + F.coalesce("n_cold", F.lit(0))).alias("n_known"),
         F.lit(vocab.tokens).cast("long").alias("train_tokens"),
         (logs - F.col("n_tokens") * F.lit(base)).alias("base_score"),
-        (logs + F.col("class_sum")).alias("score"),
+        (logs + F.col("model_sum")).alias("score"),
     )
 
 

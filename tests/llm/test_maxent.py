@@ -87,3 +87,57 @@ def test_empty_table_and_other_columns(spark):
     assert sorted(r.n_tokens for r in M.lm_score(docs).collect()) == [2, 3, 3]
     assert M.lm_score(docs.where("false")).collect() == []
     assert [r.n_known for r in M.lm_score(spark.createDataFrame([(i, "a") for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 1], "doc_id long, text string")).collect()][0] == 0
+
+
+def test_scores_against_the_formula(spark, rows):
+    """The score of each text by plain sums over classes and words, with the trained weights."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    learned = docs.where(~M.held_out(docs.doc_id))
+    counts = M.token_counts(learned)
+    vocab = M.vocabulary(counts)
+    model = M.train(learned, vocab)
+    outer, inner = M._unpack(model, vocab.buckets)
+    table = counts.toPandas()
+    count = dict(zip(table["h"], table["c"]))
+    rank = dict(zip(vocab.listed.tolist(), vocab.rank.tolist()))
+    assert abs(outer).max() > 0.01 and abs(inner).max() > 0.01
+
+    def prob(z, k):
+        top = max(z)
+        return math.exp(z[k] - top) / sum(math.exp(x - top) for x in z)
+
+    got = {}
+    for r in M.lm_score(docs).collect():
+        got.setdefault(r.doc_id, []).append(r.score)
+    import pyarrow as pa
+
+    for i, text in rows[:6] + rows[120:]:
+        (_, _, texts), = Texts.slices(pa.array([text or ""]), lower=True)
+        h, ending, bounds = M._tokens(texts)
+        f = M.features(h, bounds, vocab.buckets)
+        total = 0.0
+        for k, (x, e) in enumerate(zip(h.tolist(), ending.tolist())):
+            c = rank[x] // M.SLOTS if x in rank else e
+            total += math.log10(prob([sum(float(outer[j, q]) for j in f[:, k]) + float(outer[-1, q]) for q in range(M.CLASSES)], c))
+            if x in rank:
+                g = M.inner_features(f[:, k : k + 1], np.array([c]), vocab.buckets)[:, 0]
+                z = [float(vocab.prior[c, q]) + sum(float(inner[j, q]) for j in g) for q in range(M.SLOTS)]
+                total += math.log10(prob(z, rank[x] % M.SLOTS))
+            else:
+                total += math.log10(count.get(x, 0) + 0.5) - vocab.log_mass[c]
+        assert any(abs(total - s) < 1e-3 * max(1, abs(total)) for s in got[i])
+
+
+def test_one_pass_learns_and_more_texts_teach_more(spark):
+    """With the registered settings, the gain over the base on held-out texts, at two sizes and dealt over few and many tasks."""
+    gains = {}
+    for n, parts in ((150, 2), (600, 2), (600, 8)):
+        docs = spark.createDataFrame(grammar(n), "doc_id long, text string").repartition(parts)
+        held = M.lm_score(docs).where("held_out").selectExpr("sum(score)", "sum(base_score)").first()
+        gains[n, parts] = 1 - held[0] / held[1]
+    assert gains[150, 2] > 0.05 and gains[600, 2] > gains[150, 2] and gains[600, 8] > gains[150, 2]
+
+
+def test_features_grow_with_the_words():
+    sizes = [M.Vocabulary(*[np.zeros(0)] * 6, 0, types).buckets for types in (10, 10**5, 10**6, 10**7, 10**9)]
+    assert sizes == sorted(sizes) and sizes[0] == M.BUCKETS and sizes[-1] == M.MOST_BUCKETS and sizes[2] >= 10**6 / M.TYPES
