@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table
+from .common import arrow_map, stored, table
 from .textnp import Texts, ngrams
 
 WINDOW = 8
@@ -41,6 +41,19 @@ POLICIES = {
 }
 
 
+def policy_table(spark: SparkSession) -> DataFrame:
+    """policy, rules, mask of every policy."""
+    return spark.createDataFrame([(p, POLICIES[p], mask(p)) for p in POLICIES], "policy string, rules array<string>, mask long")
+
+
+def fail_bits() -> Column:
+    """One bit for each rule that fails, over the measures."""
+    bits = F.lit(0).cast("long")
+    for name, failed in RULES:
+        bits = bits.bitwiseOR(F.when(F.expr(failed), F.lit(BIT[name]).cast("long")).otherwise(F.lit(0).cast("long")))
+    return bits
+
+
 def mask(policy: str) -> int:
     return sum(BIT[name] for name in POLICIES[policy])
 
@@ -102,11 +115,7 @@ def rule_ledger(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no words. Repeated rows stay repeated."""
     schema = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
-    measured = arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), _measure_batches, schema)
-    bits = F.lit(0).cast("long")
-    for name, failed in RULES:
-        bits = bits.bitwiseOR(F.when(F.expr(failed), F.lit(BIT[name]).cast("long")).otherwise(F.lit(0).cast("long")))
-    return measured.withColumn("fail_bits", bits)
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), _measure_batches, schema).withColumn("fail_bits", fail_bits())
 
 
 def passes(policy: str, bits: Column | None = None) -> Column:
@@ -141,20 +150,29 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str, policy: str = "v1") -> D
     )
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every policy without each of its rules, and as it is, from one stored ledger of all documents."""
+    ledger = stored(rule_ledger(table(spark, sf_dir, "documents")), "ledger")
+    found = None
+    for policy in POLICIES:
+        rows = ablations(ledger, policy).select(F.lit(policy).alias("policy"), "rule", "n_failed", "n_only", "kept_without")
+        found = rows if found is None else found.unionByName(rows)
+    masks = policy_table(spark).select("policy", "mask")
+    kept = ledger.groupBy("fail_bits").agg(F.count("*").alias("n")).join(F.broadcast(masks), F.col("fail_bits").bitwiseAND(F.col("mask")) == 0).groupBy("policy").agg(F.sum("n").alias("kept"))
+    return found.join(kept, "policy", "left").withColumn("kept", F.coalesce("kept", F.lit(0).cast("long")))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, policy: str = "v1") -> DataFrame:
     """The rows of docs that the policy keeps, with their columns; each row is judged on its own text."""
     names = [f for f in docs.columns]
     packed = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"))
     schema = f"row {packed.schema['row'].dataType.simpleString()}, " + ", ".join(f"{m} long" for m in MEASURES)
     measured = arrow_map(packed, _measure_rows, schema)
-    bits = F.lit(0).cast("long")
-    for name, failed in RULES:
-        bits = bits.bitwiseOR(F.when(F.expr(failed), F.lit(BIT[name]).cast("long")).otherwise(F.lit(0).cast("long")))
-    return measured.where(passes(policy, bits) & passes("base", bits)).select("row.*")
+    return measured.where(passes(policy, fail_bits()) & passes("base", fail_bits())).select("row.*")
 
 
 #: SQL for the ledger; the words and windows are lists.
-ORACLE = r"""
+LEDGER_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS w,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) AS l
@@ -172,5 +190,10 @@ m AS (
   FROM d LEFT JOIN r USING (doc_id)),
 b AS (SELECT *, (n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_words)::BIGINT + 4 * (100 * n_symbols > 50 * n_words)::BIGINT
     + 8 * (100 * n_dup_lines > 60 * n_lines)::BIGINT + 16 * (word_chars > 25 * n_words)::BIGINT + 32 * (word_chars < 2 * n_words)::BIGINT AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """
+ORACLE = LEDGER_SQL + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b"
+ABLATIONS_SQL = LEDGER_SQL + r""", p(policy, rule, bit, mask) AS (VALUES ('base', 'few_words', 1, 3), ('base', 'repeated_windows', 2, 3),
+  ('v1', 'few_words', 1, 63), ('v1', 'repeated_windows', 2, 63), ('v1', 'symbols', 4, 63), ('v1', 'duplicate_lines', 8, 63), ('v1', 'long_words', 16, 63), ('v1', 'short_words', 32, 63))
+SELECT policy, rule, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits & mask = bit) AS n_only,
+  count(*) FILTER (fail_bits & mask & ~bit = 0) AS kept_without, count(*) FILTER (fail_bits & mask = 0) AS kept
+FROM p, b GROUP BY policy, rule"""

@@ -10,8 +10,8 @@ from .licences import ORACLE as OP7_SQL
 from .licences import op7_license_scan
 from .maxent import op10_maxent
 from .minhash import op9_minhash
+from .quality import ABLATIONS_SQL, op5_quality_rules, quality_ablations
 from .quality import ORACLE as OP5_SQL
-from .quality import op5_quality_rules
 from .secrets import op8_secret_scan
 from .substrings import op3_substring_dedup
 from .url_filter import ORACLE as OP4_SQL
@@ -28,10 +28,12 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_minhash": op9_minhash,
     "op10_maxent": op10_maxent,
+    "quality_ablations": quality_ablations,
 }
 ORACLE_SQL = {
     "op2_decontaminate": OP2_SQL,
     "op4_url_filter": OP4_SQL,
     "op5_quality_rules": OP5_SQL,
+    "quality_ablations": ABLATIONS_SQL,
     "op7_license_scan": OP7_SQL,
 }

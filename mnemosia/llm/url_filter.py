@@ -1,9 +1,10 @@
 """URL filters: pattern rules found through their rarest literal token.
 
-Every rule has a regular expression and the literal tokens that any matching URL
-must contain as whole tokens. The rule is posted under the one of them that is
-rarest among the tokens of the URLs at hand. A URL's tokens fetch candidate
-rules by an equi-join, and only those candidates run their expression.
+A rule is written as three patterns, of host, path and query, in which `*` stands for
+anything. Its regular expression and the literal tokens that any matching URL must
+contain as whole tokens are read off the patterns. The rule is posted under the one
+token that is rarest among the tokens of the URLs at hand. A URL's tokens fetch
+candidate rules by an equi-join, and only those candidates run their expression.
 """
 
 from __future__ import annotations
@@ -38,6 +39,14 @@ BASE_RULES = [
 #: Host labels whose sites are never wanted; they only decide where no host rule fits.
 BLOCKED_LABELS = ["adserver", "casino", "doubleclick", "porn", "tracker", "xxx"]
 
+#: (verdict, host, path, query) patterns that only decide where no host rule fits: pages without a text of their own, and copies made for feeds.
+PATTERN_RULES = [
+    ("block", "*", "*/wp-admin/*", "*"), ("block", "*", "*/wp-login.php", "*"), ("block", "*", "*/cgi-bin/*", "*"), ("block", "*", "*/login", "*"), ("block", "*", "*/login/*", "*"),
+    ("block", "*", "*/signup", "*"), ("block", "*", "*/cart", "*"), ("block", "*", "*/cart/*", "*"), ("block", "*", "*/checkout/*", "*"), ("block", "*", "*", "*add-to-cart=*"),
+    ("block", "*", "*", "sessionid=*"), ("block", "*", "*", "*&sessionid=*"), ("block", "*", "*", "utm_source=feed"), ("block", "*", "*", "*&utm_source=feed"),
+    ("block", "ads.*", "*", "*"), ("block", "*.ads.*", "*", "*"),
+]
+
 #: Text between tokens of a URL.
 SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -55,6 +64,24 @@ def label_rule(label: str) -> tuple:
     return (f"label:{label}", "block", rf"^(?:[^/?#\n]*\.)?{re.escape(label)}[.\n]", [label], 0)
 
 
+def pattern_rule(verdict: str, host: str, path: str, query: str, priority: int = 0) -> tuple:
+    """A rule by patterns of the whole host, path and query (A-Z lower-cased), in which `*` is any text.
+
+    Its literals are the tokens that no `*` touches."""
+    parts = [p.lower() for p in (host, path, query)]
+    pattern = "^" + r"\n".join("".join(r"[^\n]*" if c == "*" else re.escape(c) for c in p) for p in parts) + "$"
+    tokens = []
+    for p in parts:
+        for m in re.finditer(r"[^\W_]+", p):
+            if p[m.start() - 1 : m.start()] != "*" and p[m.end() : m.end() + 1] != "*":
+                tokens.append(m[0])
+    return (f"pattern:{host} {path} {query}", verdict, pattern, tokens, priority)
+
+
+def all_rules() -> list[tuple]:
+    return [host_rule(*r) for r in BASE_RULES] + [label_rule(x) for x in BLOCKED_LABELS] + [pattern_rule(*r) for r in PATTERN_RULES]
+
+
 def host_of(url: Column) -> Column:
     """After the first '://' up to '/', '?', '#' or the end, A-Z lower-cased; '' without '://' or for null."""
     return F.coalesce(lower_ascii(F.regexp_extract(url, r"^(?s:.*?)://([^/?#]*)", 1)), F.lit(""))
@@ -65,6 +92,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def query_of(url: Column) -> Column:
+    """What follows the path's `?` up to `#` or the end, A-Z lower-cased; '' if there is none."""
+    return F.coalesce(lower_ascii(F.regexp_extract(url, r"^(?s:.*?)://[^?#]*\?([^#]*)", 1)), F.lit(""))
+
+
 def rule_index(rules: DataFrame, url_tokens: DataFrame) -> DataFrame:
     """rules with the column `token`: each rule's rarest literal.
 
@@ -94,19 +126,23 @@ def filter_urls(pages: DataFrame, rules: list[tuple], default: str = "allow") ->
     if any(not r[3] for r in rules):
         raise ValueError("a rule without a literal token cannot be indexed")
     rule_rows = spark.createDataFrame(rules, RULE_TYPE).coalesce(1)
-    urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    subject = F.concat("host", F.lit("\n"), "path")
-    places = urls.select("host", "path").distinct()
-    tokens = places.select("host", "path", F.explode(F.array_distinct(F.split(F.lower(subject), SPLIT))).alias("token"))
+    urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), query_of(F.col("url")).alias("query"))
+    place = ["host", "path", "query"]
+    # a line break within a part is not one between parts
+    part = lambda c: F.regexp_replace(c, "\n", " ")
+    subject = F.concat(part("host"), F.lit("\n"), part("path"), F.lit("\n"), part("query"))
+    subject = F.when(F.col("host") != "", subject).otherwise("")
+    places = urls.select(*place).distinct()
+    tokens = places.select(*place, F.explode(F.array_distinct(F.split(F.lower(subject), SPLIT))).alias("token"))
     index = rule_index(rule_rows, tokens).select("rule", "verdict", "pattern", "priority", "token")
     index = F.broadcast(stored(index.coalesce(1), "rules"))
     hits = (
         tokens.join(index, "token")
         .where(F.regexp_like(subject, F.col("pattern")))
-        .groupBy("host", "path")
+        .groupBy(*place)
         .agg(F.min(F.struct((-F.col("priority")).alias("p"), "rule", "verdict")).alias("best"))
     )
-    return urls.join(hits, ["host", "path"], "left").select(
+    return urls.join(hits, place, "left").select(
         "page_id", "host", "path",
         F.when(F.col("best.p") < 0, F.col("best.rule")).alias("rule"),
         F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
@@ -115,24 +151,32 @@ def filter_urls(pages: DataFrame, rules: list[tuple], default: str = "allow") ->
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = [host_rule(*r) for r in BASE_RULES] + [label_rule(x) for x in BLOCKED_LABELS]
-    return filter_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+    return filter_urls(table(spark, sf_dir, "pages"), all_rules()).select("page_id", "host", "path", "rule", "verdict")
+
 
+def _like(pattern: str) -> str:
+    """The pattern for LIKE; `\\` keeps what LIKE would read otherwise."""
+    return re.sub(r"([%_\\\\])", r"\\\\\1", pattern.lower()).replace("*", "%")
 
-#: The same verdicts without an index: every rule is tried on every URL.
-ORACLE = r"""
+
+#: The same verdicts without an index: every rule is tried on every URL, patterns by LIKE on each part.
+ORACLE = rf"""
 WITH u AS (
   SELECT page_id,
     CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE
       translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS host,
     CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE
-      regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) END AS path
+      regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) END AS path,
+    CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE
+      lower(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*\?([^#]*)', 1)) END AS query
   FROM pages),
 r(v, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
-b(l) AS (VALUES ('adserver'), ('casino'), ('doubleclick'), ('porn'), ('tracker'), ('xxx'))
+b(l) AS (VALUES {", ".join(f"('{x}')" for x in BLOCKED_LABELS)}),
+g(h, p, q) AS (VALUES {", ".join(f"('{_like(h)}', '{_like(p)}', '{_like(q)}')" for _, h, p, q in PATTERN_RULES)})
 SELECT page_id, host, path,
   (SELECT h || p FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ORDER BY length(h || p) DESC, h || p LIMIT 1) AS rule,
   coalesce((SELECT v FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ORDER BY length(h || p) DESC, h || p LIMIT 1),
-    CASE WHEN EXISTS (SELECT 1 FROM b WHERE contains('.' || host, '.' || l || '.')) THEN 'block' ELSE 'allow' END) AS verdict
+    CASE WHEN EXISTS (SELECT 1 FROM b WHERE contains('.' || host, '.' || l || '.')) THEN 'block'
+      WHEN host <> '' AND EXISTS (SELECT 1 FROM g WHERE host LIKE h ESCAPE '\' AND lower(path) LIKE p ESCAPE '\' AND query LIKE q ESCAPE '\') THEN 'block' ELSE 'allow' END) AS verdict
 FROM u
 """

@@ -50,3 +50,17 @@ def test_empty_table_and_other_columns(spark):
     kept = Q.quality_stage(spark, docs, "")
     assert kept.columns == docs.columns
     assert [r.doc_id for r in kept.collect()] == [2]
+
+
+def test_ablations_of_the_stored_ledger(spark):
+    from mnemosia.llm.common import table
+
+    ledger = [r.fail_bits for r in Q.rule_ledger(table(spark, "/root/testdata/sf0.001", "documents")).collect()]
+    got = {(r.policy, r.rule): (r.n_failed, r.n_only, r.kept_without, r.kept) for r in Q.quality_ablations(spark, "/root/testdata/sf0.001").collect()}
+    for policy, rules in Q.POLICIES.items():
+        m = Q.mask(policy)
+        for rule in rules:
+            bit = Q.BIT[rule]
+            assert got[policy, rule] == (sum(b & bit > 0 for b in ledger), sum(b & m == bit for b in ledger), sum(b & m & ~bit == 0 for b in ledger), sum(b & m == 0 for b in ledger))
+    assert len(got) == sum(map(len, Q.POLICIES.values()))
+    assert {r.policy: r.mask for r in Q.policy_table(spark).collect()} == {p: Q.mask(p) for p in Q.POLICIES}

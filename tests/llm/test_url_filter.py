@@ -51,3 +51,36 @@ def test_empty_table_and_other_columns(spark):
 def test_a_rule_needs_a_literal(spark):
     with pytest.raises(ValueError):
         U.filter_urls(spark.createDataFrame([], "page_id long, url string"), [("x", "block", ".", [], 1)])
+
+
+def test_thousands_of_patterns(spark):
+    """Whole tokens are read off the patterns; the verdicts are those of trying every rule on every URL."""
+    import fnmatch
+
+    assert U.pattern_rule("block", "*.ads.*", "/a*b/cd", "x_y=*z")[3] == ["ads", "cd", "x", "y"]
+    rng = random.Random(2)
+    names = [f"n{k}" for k in range(60)]
+    rules = []
+    for k in range(3000):
+        host = rng.choice(["*", f"*.{rng.choice(names)}.com", f"{rng.choice(names)}.*"])
+        path = rng.choice(["*", f"/{rng.choice(names)}/*", f"*/{rng.choice(names)}", f"/{rng.choice(names)}*/{rng.choice(names)}/x{k % 50}"])
+        query = rng.choice(["*", "*", f"*{rng.choice(names)}={rng.choice(names)}", f"{rng.choice(names)}_id=*"])
+        made = U.pattern_rule(rng.choice(["block", "allow"]), host, path, query, priority=-(k % 7))
+        rules += [(made, host, path, query)] if made[3] else []
+    urls = []
+    for _ in range(500):
+        host = ".".join(rng.choices(names, k=rng.randrange(1, 3))) + ".com"
+        path = "".join(f"/{rng.choice([*names, 'x7'])}" for _ in range(rng.randrange(4)))
+        urls.append(f"http://{host}{path}" + rng.choice(["", f"?{rng.choice(names)}={rng.choice(names)}", f"?{rng.choice(names)}_id=7#{rng.choice(names)}"]))
+    got = {r.page_id: (r.matched_rule, r.verdict) for r in U.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), [r[0] for r in rules]).collect()}
+    hits = 0
+    for k, url in enumerate(urls):
+        rest = url.split("://")[1].split("#")[0]
+        place, _, query = rest.partition("?")
+        host, _, path = place.partition("/")
+        path = "/" + path if "/" in place else ""
+        fits = [(-m[4], m[0], m[1]) for m, h, p, q in rules if all(fnmatch.fnmatchcase(x, y) for x, y in ((host, h), (path, p), (query, q)))]
+        best = min(fits, default=(0, None, "allow"))
+        hits += best[1] is not None
+        assert got[k] == best[1:]
+    assert hits > 100
