@@ -65,11 +65,11 @@ def label_rule(label: str) -> tuple:
 
 
 def pattern_rule(verdict: str, host: str, path: str, query: str, priority: int = 0) -> tuple:
-    """A rule by patterns of the whole host, path and query (A-Z lower-cased), in which `*` is any text.
+    """A rule by patterns of the whole host, path and query (in any case), in which `*` is any text.
 
     Its literals are the tokens that no `*` touches."""
     parts = [p.lower() for p in (host, path, query)]
-    pattern = "^" + r"\n".join("".join(r"[^\n]*" if c == "*" else re.escape(c) for c in p) for p in parts) + "$"
+    pattern = "(?i)^" + r"\n".join("".join(r"[^\n]*" if c == "*" else re.escape(c) for c in p) for p in parts) + "$"
     tokens = []
     for p in parts:
         for m in re.finditer(r"[^\W_]+", p):
@@ -156,7 +156,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _like(pattern: str) -> str:
     """The pattern for LIKE; `\\` keeps what LIKE would read otherwise."""
-    return re.sub(r"([%_\\\\])", r"\\\\\1", pattern.lower()).replace("*", "%")
+    return re.sub(r"([%_\\])", r"\\\1", pattern.lower()).replace("*", "%")
 
 
 #: The same verdicts without an index: every rule is tried on every URL, patterns by LIKE on each part.
