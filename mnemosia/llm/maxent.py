@@ -10,8 +10,8 @@ and of the last two, each with the class, onto the words' logarithmic frequencie
 within a class of endings, words have their smoothed relative frequency.
 
 Word counts cover all training texts and are joined back by shuffle; only a
-bounded table of the most frequent words is broadcast. The number of features grows
-with the number of distinct words, up to a bound. The weights are trained by
+bounded table of the most frequent words is broadcast. The number of features and that of
+the tasks that train grow with the square root of the tokens, the features up to a bound. The weights are trained by
 distributed updates, in rounds of which each has its share of the texts: every task
 starts from the current weights and takes minibatch AdaGrad steps, and each feature's
 changes are averaged over the tasks by the tokens that had it, block by block in two
@@ -40,8 +40,10 @@ END = int(mix(np.array([0x656E64], _U)).astype(np.int64)[0])
 HOT = 262_144
 #: Classes: first those of listed words, then those of word endings; listed words of a class.
 SINGLES, CLASSES, SLOTS = 8, 32, 64
-#: Hashed features (rows of weights): one for TYPES distinct words, within these bounds; 100 MB of weights at most.
-BUCKETS, MOST_BUCKETS, TYPES = 1 << 12, 1 << 18, 64
+#: Hashed features (rows of weights): about ROOTS times the square root of the training tokens, within these bounds; 100 MB of weights at most.
+BUCKETS, MOST_BUCKETS, ROOTS = 1 << 12, 1 << 18, 4
+#: Least training tokens of a task for each feature, so that what tasks send stays in proportion to the texts.
+SHARE = 64
 FEATURES, INNER = 4, 2
 #: Shares of the texts after which the tasks' weights are averaged, and times that all texts are seen.
 ROUNDS, EPOCHS = 3, 1
@@ -100,7 +102,7 @@ class Vocabulary:
 
     @property
     def buckets(self) -> int:
-        return min(MOST_BUCKETS, max(BUCKETS, 1 << max(0, self.types // TYPES - 1).bit_length()))
+        return min(MOST_BUCKETS, max(BUCKETS, 1 << round(math.log2(ROOTS * math.sqrt(max(1, self.tokens))))))
 
     def ranks(self, h: np.ndarray) -> np.ndarray:
         """The rank of each listed word, else -1."""
@@ -283,11 +285,12 @@ def train(docs: DataFrame, vocab: Vocabulary, epochs: int = EPOCHS) -> bytes:
     spark, buckets = docs.sparkSession, vocab.buckets
     outer, inner = np.zeros((buckets + 1, CLASSES), np.float32), np.zeros((buckets, SLOTS), np.float32)
     usable = np.isfinite(vocab.log_mass)
+    trainers = math.ceil(max(1, vocab.tokens) / (SHARE * buckets))
     outer[-1, usable] = vocab.log_mass[usable] * math.log(10)
     for turn in range(ROUNDS * epochs):
         shared = spark.sparkContext.broadcast((vocab, outer.tobytes() + inner.tobytes()))
         share = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == turn % ROUNDS)
-        own = arrow_map(share.select("text"), _train(shared), SUMS)
+        own = arrow_map(share.select("text").coalesce(trainers), _train(shared), SUMS)
         some = own.repartition("block", "part").mapInArrow(_add(True), SUMS)
         done = some.repartition("block").mapInArrow(_add(False), SUMS).collect()
         pieces = _pieces(outer) + _pieces(inner)
