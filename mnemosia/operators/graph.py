@@ -47,7 +47,7 @@ def context(nodes: DataFrame, edges: DataFrame, node_id: str) -> tuple[DataFrame
     return nodes.where(F.col("id") == node_id), near, own
 
 
-def _kept(level: DataFrame) -> DataFrame:
+def kept(level: DataFrame) -> DataFrame:
     """The level in the checkpoint folder; only a session on one machine gets a folder of its own."""
     context = level.sparkSession.sparkContext
     if not context.getCheckpointDir():
@@ -89,7 +89,7 @@ def traverse_levels(edges: DataFrame, roots: list[str], hops: int = 1, cap: int
             # at most `cap` rows come to this one ordering
             new = new.orderBy("found").limit(cap - count)
             place = (F.row_number().over(Window.orderBy("found")) + F.lit(count - 1)).cast("int")
-        level = _kept(new.select(F.col("other").alias("node"), F.lit(hop).alias("hop"), place.alias("place")))
+        level = kept(new.select(F.col("other").alias("node"), F.lit(hop).alias("hop"), place.alias("place")))
         n = level.count()
         if n == 0:
             break
@@ -119,7 +119,7 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, end: str) -> D
     frontier, n, count, levels = seen, 1, 1, []
     for _ in range(PATH_HOPS):
         new = expand(frontier, edges, n).join(_sized(seen.select(F.col("node").alias("other")), count), "other", "left_anti")
-        level = _kept(new.select(F.col("other").alias("node"), "parent"))
+        level = kept(new.select(F.col("other").alias("node"), "parent"))
         levels.append(level)
         n = level.count()
         count += n

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemosia.functions import edtf, text
-from mnemosia.operators import aggregates, duplicates, facts, graph as g, ingest, listing, rank, recall, resolve, salience, search, upsert
+from mnemosia.operators import aggregates, duplicates, facts, graph as g, ingest, listing, rank, recall, resolve, salience, search, service, upsert
 from mnemosia.sources import files
 from mnemosia.streaming import feed
 
-from .graph import ALIASES_SQL, AS_OF, EDGES_SQL, NODES_SQL, SCORED_SQL, aliases, edges, nodes, table, vectors
+from .graph import ALIASES_SQL, AS_OF, EDGES_SQL, NODES_SQL, SALIENCE_SQL, SCORED_SQL, aliases, edges, nodes, table, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -100,7 +100,7 @@ def existing_ids(spark, d):
     return listing.existing_ids(nodes(spark, d), ids)
 
 
-@query("SELECT name FROM (VALUES ('created'), ('uses'), ('own_type')) v(name)")
+@query("SELECT name FROM (VALUES ('created', NULL), ('uses', NULL), ('own_type', 't1'), ('other', 't2')) v(name, tenant_id) WHERE tenant_id IS NULL OR tenant_id = 't1'")
 def relation_types(spark, d):
     own = spark.createDataFrame([("created", None), ("uses", None), ("own_type", "t1"), ("other", "t2")], "name string, tenant_id string")
     return listing.relation_types(own, "t1").select("name")
@@ -176,10 +176,11 @@ def semantic_search(spark, d):
 
 _HYBRID_SQL = f"""WITH {NODES_SQL}, {SCORED_SQL}, v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 c AS (SELECT s.*, e.vec_id, e.e FROM scored s JOIN v e ON s.id = 'customer:' || e.vec_id),
+l AS (SELECT id, list_distinct(list_filter(regexp_split_to_array(lower(label || chr(10) || type || chr(10) || json_extract_string(properties, '$.nation_id') || chr(10) || json_extract_string(properties, '$.segment') || chr(10) || 'nation_id nation id segment'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: strlen(x) >= 2)) AS words FROM c),
 seg AS (SELECT DISTINCT c_mktsegment AS m FROM customer),
 q AS (SELECT m AS query_id, (SELECT e FROM v WHERE vec_id = length(m)) AS qe FROM seg),
-t AS (SELECT q.query_id, c.id, row_number() OVER (PARTITION BY q.query_id ORDER BY round(0.8 * 0.5 + 0.2 * least(salience_score / 100.0, 1.0), 9) DESC, salience_score DESC, updated_at DESC, id) AS rank
-  FROM q JOIN c ON contains(c.properties, '"' || q.query_id || '"')),
+t AS (SELECT q.query_id, c.id, row_number() OVER (PARTITION BY q.query_id ORDER BY round(0.8::DOUBLE / len(words) + 0.2 * least(salience_score / 100.0, 1.0), 9) DESC, salience_score DESC, updated_at DESC, id) AS rank
+  FROM q JOIN l ON list_contains(l.words, lower(q.query_id)) JOIN c USING (id)),
 n AS (SELECT q.query_id, c.id, row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_dot_product(c.e, q.qe) / (sqrt(list_dot_product(c.e, c.e)) * sqrt(list_dot_product(q.qe, q.qe))), 6) DESC, id) AS rank FROM q, c),
 f AS (SELECT coalesce(t.query_id, n.query_id) AS query_id, coalesce(t.id, n.id) AS id, coalesce(1.0::DOUBLE / (60 + t.rank), 0) + coalesce(1.0::DOUBLE / (60 + n.rank), 0) AS rrf
   FROM (SELECT * FROM t WHERE rank <= 10) t FULL JOIN (SELECT * FROM n WHERE rank <= 10) n ON t.query_id = n.query_id AND t.id = n.id),
@@ -190,14 +191,13 @@ SELECT query_id, id, round(rrf, 6) AS rrf, round(score, 6) AS score, rank FROM r
 
 @query(_HYBRID_SQL)
 def hybrid_search(spark, d):
-    """Market segments as queries: customers whose properties name them, and those near a vector."""
+    """Market segments as queries: customers whose text names them, and those near a vector."""
     v = vectors(spark, d)
     c = _scored(spark, d).where(F.col("type") == "customer").join(v.select("id", "embedding"), "id")
     segments = table(spark, d, "customer").select(F.col("c_mktsegment").alias("query_id")).distinct()
     asked = segments.join(v.select(F.col("vec_id"), "embedding"), F.length("query_id") == F.col("vec_id")).select("query_id", "embedding")
-    named = c.select("id", F.get_json_object("properties", "$.segment").alias("query_id"), "salience_score", "updated_at").join(F.broadcast(segments), "query_id")
-    scored = named.withColumn("score", F.round(0.4 + F.least(F.col("salience_score") / 100.0, F.lit(1.0)) * 0.2, 9))
-    words = search.top(scored, 10, F.desc("score"), F.desc("salience_score"), F.desc("updated_at"), F.asc("id"))
+    written = c.withColumn("search_text", text.search_text(F.col("label"), F.col("type"), F.col("properties")))
+    words = search.full_text(written, None, segments.withColumn("text", F.col("query_id")), limit=10, stemmed=False)
     near = search.semantic(c, asked, 10)
     found = search.hybrid(words, near, c)
     return found.select("query_id", "id", F.round("rrf", 6).alias("rrf"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
@@ -303,7 +303,11 @@ def traverse_capped(spark, d):
     return g.traverse(nodes(spark, d), edges(spark, d), "nation:3", 3)[0].select("id", "type")
 
 
-@query(f"{WITH_EDGES} SELECT 2::BIGINT AS n_edges FROM edges LIMIT 1")
+@query(
+    f"""WITH RECURSIVE {EDGES_SQL}, p AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges),
+    r(id, hop) AS (SELECT 'customer:1', 0::BIGINT UNION SELECT p.b, hop + 1 FROM r JOIN p ON r.id = p.a WHERE hop < 3)
+    SELECT min(hop) AS n_edges FROM r WHERE id = (SELECT 'region:' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 1)"""
+)
 def shortest_path(spark, d):
     """From a customer to its region: by way of the nation."""
     end = table(spark, d, "customer").where("c_custkey = 1").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).selectExpr("concat('region:', n_regionkey) AS r").first().r
@@ -568,7 +572,12 @@ def chunk_markdown(spark, d):
     return ingest.chunk_markdown(table(spark, d, "documents").select("doc_id", "text"), 200).select("doc_id", "index", "start_line", "end_line", F.length("text").alias("n_chars"))
 
 
-@query()
+@query(
+    """WITH e AS (SELECT conv_id::VARCHAR AS doc, 0 AS src, turn AS seq, CASE turn % 3 WHEN 0 THEN 'decision' ELSE 'observation' END AS kind, trim(text, ' ') AS title, turn::VARCHAR AS started FROM conversations WHERE turn % 3 IN (0, 1)
+      UNION ALL SELECT conv_id::VARCHAR, 1, turn, 'decision', 'A decided ' || trim(text, ' '), NULL FROM conversations WHERE role = 'user'),
+    f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY doc, kind, lower(title) ORDER BY src, seq) = 1)
+    SELECT doc, min(started) AS started_at, max(started) AS ended_at, count(*) AS event_count FROM f GROUP BY doc"""
+)
 def episodic_plan(spark, d):
     c = table(spark, d, "conversations")
     ents = c.selectExpr("CAST(conv_id AS string) AS doc", "turn AS seq", "CASE turn % 3 WHEN 0 THEN 'decision' WHEN 1 THEN 'event' ELSE 'person' END AS type", "text AS name", "CAST(NULL AS string) AS event_kind", "CAST(turn AS string) AS started", "CAST(NULL AS string) AS ended")
@@ -581,9 +590,9 @@ def normalized_aliases(spark, d):
     return table(spark, d, "pages").select("page_id", text.normalize_alias(F.col("url")).alias("alias"))
 
 
-@query("SELECT doc_id, array_to_string(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: strlen(x) >= 2)), ' ') IS NOT NULL AS ok, len(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: strlen(x) >= 2)))::BIGINT AS n_terms FROM documents")
+@query("SELECT doc_id, array_to_string(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: strlen(x) >= 2)), ' ') IS NOT NULL AS ok, len(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: strlen(x) >= 2)))::BIGINT AS n_terms, md5(array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: strlen(x) >= 2))), ',')) AS digest FROM documents")
 def document_terms(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.col("text").isNotNull().alias("ok"), F.size(text.tokens(F.col("text"))).cast("long").alias("n_terms"))
+    return table(spark, d, "documents").select("doc_id", F.col("text").isNotNull().alias("ok"), F.size(text.tokens(F.col("text"))).cast("long").alias("n_terms"), F.md5(F.array_join(F.array_sort(text.tokens(F.col("text"))), ",")).alias("digest"))
 
 
 @query(f"{WITH_SCORED} SELECT id, label || chr(10) || type || chr(10) || json_extract_string(properties, '$.nation_id') || chr(10) || json_extract_string(properties, '$.segment') || chr(10) || 'nation_id: ' || json_extract_string(properties, '$.nation_id') || chr(10) || label || ' nation id ' || json_extract_string(properties, '$.nation_id') || chr(10) || 'segment: ' || json_extract_string(properties, '$.segment') || chr(10) || label || ' segment ' || json_extract_string(properties, '$.segment') AS search_text FROM nodes WHERE type = 'customer'")
@@ -591,13 +600,19 @@ def node_search_text(spark, d):
     return nodes(spark, d).where("type = 'customer'").select("id", text.search_text(F.col("label"), F.col("type"), F.col("properties")).alias("search_text"))
 
 
-@query("SELECT o_orderkey, o_orderdate::DATE - INTERVAL 1 YEAR < TIMESTAMP '1995-01-01' AS early, CASE o_orderkey % 3 WHEN 0 THEN 'approximate' WHEN 1 THEN 'exact' ELSE 'range' END AS qualifier, CASE o_orderkey % 3 WHEN 0 THEN (o_orderdate - INTERVAL 1 YEAR)::DATE WHEN 1 THEN o_orderdate::DATE ELSE make_date(year(o_orderdate), 1, 1) END::VARCHAR AS lower FROM orders WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)")
+@query(
+    """WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS d, o_orderkey % 3 AS k FROM orders UNION ALL SELECT -r_regionkey * 3, make_date(1992 + 4 * r_regionkey::INT, 2, 29), 0 FROM region)
+    SELECT o_orderkey, CASE k WHEN 0 THEN 'approximate' WHEN 1 THEN 'exact' ELSE 'range' END AS qualifier,
+      CASE k WHEN 0 THEN (d - INTERVAL 1 YEAR)::DATE + CASE WHEN month(d) = 2 AND day(d) = 29 THEN 1 ELSE 0 END WHEN 1 THEN d ELSE make_date(year(d), 1, 1) END::VARCHAR AS lower FROM o"""
+)
 def fuzzy_dates(spark, d):
-    o = table(spark, d, "orders").where("NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)")
+    """The days of orders, and leap days, whose year before has none."""
+    leap = table(spark, d, "region").selectExpr("-r_regionkey * 3 AS o_orderkey", "CAST(make_date(CAST(1992 + 4 * r_regionkey AS int), 2, 29) AS timestamp_ntz) AS o_orderdate")
+    o = table(spark, d, "orders").selectExpr("o_orderkey", "CAST(o_orderdate AS timestamp_ntz) AS o_orderdate").unionByName(leap)
     day, year = F.date_format("o_orderdate", "yyyy-MM-dd"), F.date_format("o_orderdate", "yyyy")
     raw = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("~"), day)).when(F.col("o_orderkey") % 3 == 1, day).otherwise(F.concat(year, F.lit("/..")))
     p = o.withColumn("e", edtf.parse(raw))
-    return p.select("o_orderkey", (F.add_months(F.col("o_orderdate").cast("date"), -12) < F.lit("1995-01-01").cast("date")).alias("early"), "e.qualifier", F.col("e.lower").cast("string").alias("lower"))
+    return p.select("o_orderkey", "e.qualifier", F.col("e.lower").cast("string").alias("lower"))
 
 
 @query("WITH s AS (SELECT user_id::VARCHAR AS tenant, event_id AS change_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, count(*) OVER (PARTITION BY user_id) AS last FROM events) SELECT tenant, change_id, seq FROM s WHERE seq > last - 5 AND ts >= TIMESTAMP '2024-01-31' - INTERVAL 10 DAY")
@@ -610,3 +625,138 @@ def change_buffer(spark, d):
 def windowed_changes(spark, d):
     rows = table(spark, d, "events").selectExpr("event_id AS change_id", "'all' AS tenant", "event_type AS type", "ts", "props AS payload")
     return feed.windowed_counts(rows).drop("tenant")
+
+
+# --- search as callers see it, single nodes, histories -----------------------------
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").where("c_custkey % 50 = 0").selectExpr("c_custkey AS query_id", "concat('Tell me about ', c_name, '?') AS text")
+
+
+_ASKED_SQL = "asked AS (SELECT c_custkey AS query_id, lower(c_name) AS name FROM customer WHERE c_custkey % 50 = 0)"
+
+
+@query(f"WITH {NODES_SQL}, {_ASKED_SQL} SELECT query_id, min(id) AS id, 1::BIGINT AS rank FROM asked JOIN nodes ON lower(label) = name GROUP BY query_id HAVING count(*) = 1")
+def label_rescue(spark, d):
+    found = service.rescued(nodes(spark, d), aliases(spark, d), _asked(spark, d))
+    return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    f"""{WITH_ALL}, {_ASKED_SQL}, s AS (SELECT query_id, id, 0 AS src, row_number() OVER (PARTITION BY query_id ORDER BY salience_score DESC, updated_at DESC, id) AS place FROM asked JOIN scored ON lower(label) = name AND type = 'customer'),
+    e AS (SELECT query_id, id AS seed, target AS other, row_number() OVER (PARTITION BY query_id, id ORDER BY source, target, relation) AS n FROM s JOIN edges ON source = id
+      UNION ALL SELECT query_id, id, source, row_number() OVER (PARTITION BY query_id, id ORDER BY source, target, relation) FROM s JOIN edges ON target = id),
+    x AS (SELECT DISTINCT query_id, other AS id FROM e WHERE n <= 3 AND other <> seed),
+    u AS (SELECT query_id, id, 0 AS src, place, NULL::DOUBLE AS v, NULL::TIMESTAMP AS t FROM s UNION ALL SELECT query_id, id, 1, 0, salience_score, updated_at FROM x JOIN scored USING (id) WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.query_id = x.query_id AND s.id = x.id))
+    SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY src, place, v DESC, t DESC, id) AS rank FROM u QUALIFY rank <= 5"""
+)
+def full_text_service(spark, d):
+    """The form of a question that has hits is the customer's name; then come its neighbours."""
+    n = _scored(spark, d).withColumn("search_text", F.col("label"))
+    found = service.full_text_service(n, aliases(spark, d).where("alias_type = 'short'"), edges(spark, d), _asked(spark, d), limit=5, stemmed=False)
+    return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"{WITH_SCORED}, b AS (SELECT * REPLACE (true AS user_boosted) FROM nodes WHERE id = 'customer:7') SELECT id, round({SALIENCE_SQL}, 6) AS salience_score FROM b UNION ALL SELECT id, salience_score FROM scored WHERE type = 'customer' AND id <> 'customer:7'")
+def boost_node(spark, d):
+    return salience.boost(_scored(spark, d).where(F.col("type") == "customer"), "customer:7", AS_OF).select("id", F.round("salience_score", 6).alias("salience_score"))
+
+
+@query(f"{WITH_SCORED}, b AS (SELECT * REPLACE (CASE WHEN id = 'customer:3' THEN 'customer:4' ELSE superseded_by END AS superseded_by) FROM nodes WHERE type = 'customer') SELECT id, superseded_by, round({SALIENCE_SQL}, 6) AS salience_score FROM b")
+def supersede_node(spark, d):
+    return salience.supersede(_scored(spark, d).where(F.col("type") == "customer"), "customer:3", "customer:4", AS_OF).select("id", "superseded_by", F.round("salience_score", 6).alias("salience_score"))
+
+
+@query(f"{WITH_EDGES} SELECT 'neighbour' AS part, CASE WHEN source = 'customer:1' THEN target ELSE source END AS id, relation FROM edges WHERE source = 'customer:1' OR target = 'customer:1' UNION ALL SELECT 'node', 'customer:1', NULL")
+def graph_context(spark, d):
+    node, _, own = g.context(nodes(spark, d), edges(spark, d), "customer:1")
+    other = F.when(F.col("source") == "customer:1", F.col("target")).otherwise(F.col("source"))
+    return own.select(F.lit("neighbour").alias("part"), other.alias("id"), "relation").unionByName(node.select(F.lit("node").alias("part"), "id", F.lit(None).cast("string").alias("relation")))
+
+
+@query("SELECT count(*) FILTER (n_chars < 500) AS missing_text, count(*) FILTER (doc_id % 3 = 0) AS missing_embedding, count(*) FILTER (n_chars < 500 OR doc_id % 3 = 0) AS missing_either, count(*) AS total FROM documents")
+def reprocess_counts(spark, d):
+    return aggregates.reprocess_counts(table(spark, d, "documents").selectExpr("CASE WHEN n_chars < 500 THEN '  ' ELSE text END AS search_text", "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE array(1.0F) END AS embedding"))
+
+
+_EVALUATED_SQL = "SELECT user_id AS question_id, count(*) FILTER (event_type = '{0}') * 3 > count(*) AS passed, count(*) FILTER (event_type = '{0}') / count(*)::DOUBLE AS recall, count(*) FILTER (event_type = '{0}' AND value > 50) / count(*)::DOUBLE AS precision FROM events GROUP BY 1"
+
+
+@query(
+    f"""WITH a AS ({_EVALUATED_SQL.format("view")}), b AS ({_EVALUATED_SQL.format("click")})
+    SELECT question_id, CASE WHEN b.passed AND NOT a.passed THEN 'improved' WHEN a.passed AND NOT b.passed THEN 'regressed' WHEN b.recall > a.recall THEN 'improved' WHEN b.recall < a.recall THEN 'regressed' ELSE 'same' END AS change,
+      round(b.recall - a.recall, 6) AS recall_delta, round(b.precision - a.precision, 6) AS precision_delta FROM a JOIN b USING (question_id)"""
+)
+def compare_evaluations(spark, d):
+    def scored(kind: str) -> DataFrame:
+        hit = F.col("event_type") == kind
+        return table(spark, d, "events").groupBy(F.col("user_id").alias("question_id")).agg((F.count_if(hit) * 3 > F.count("*")).alias("passed"), (F.count_if(hit) / F.count("*")).alias("recall"), (F.count_if(hit & (F.col("value") > 50)) / F.count("*")).alias("precision"))
+
+    found = aggregates.compare_evaluations(scored("view"), scored("click"))
+    return found.select("question_id", "change", F.round("recall_delta", 6).alias("recall_delta"), F.round("precision_delta", 6).alias("precision_delta"))
+
+
+@query("SELECT event_id AS id, event_type AS property_key, ts AS changed_at FROM events WHERE user_id = 5 AND event_type = 'view' ORDER BY ts DESC, event_id DESC LIMIT 20 OFFSET 5")
+def property_history(spark, d):
+    rows = table(spark, d, "events").selectExpr("event_id AS id", "CAST(user_id AS string) AS node_id", "event_type AS property_key", "ts AS changed_at")
+    return listing.property_history(rows, "5", "view", 20, 5).select("id", "property_key", "changed_at")
+
+
+@query("SELECT event_id AS id, ts AS created_at FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 100")
+def list_feedback(spark, d):
+    rows = table(spark, d, "events").selectExpr("event_id AS id", "event_type AS outcome", "ts AS created_at")
+    return listing.list_feedback(rows, "click", 500).select("id", "created_at")
+
+
+@query(
+    """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 2 THEN NULL ELSE make_date(year(o_orderdate), month(o_orderdate), 1) END::VARCHAR AS lower, CASE o_orderkey % 3 WHEN 1 THEN NULL ELSE make_date(year(o_orderdate) + 2, 12, 31) END::VARCHAR AS upper,
+    CASE o_orderkey % 3 WHEN 0 THEN 'range' WHEN 1 THEN 'exact' ELSE 'estimated' END AS qualifier FROM orders"""
+)
+def edge_bounds(spark, d):
+    """Months from which and years, uncertain ones, up to which something holds."""
+    o = table(spark, d, "orders")
+    start = F.when(F.col("o_orderkey") % 3 != 2, F.date_format("o_orderdate", "yyyy-MM"))
+    end = F.when(F.col("o_orderkey") % 3 != 1, F.concat((F.year("o_orderdate") + 1).cast("string"), F.lit("?")))
+    return o.withColumn("e", edtf.edge_bounds(start, end)).select("o_orderkey", F.col("e.lower").cast("string").alias("lower"), F.col("e.upper").cast("string").alias("upper"), "e.qualifier")
+
+
+@query(
+    """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'technology' WHEN 1 THEN 'company' WHEN 2 THEN 'animal' WHEN 3 THEN 'project' WHEN 4 THEN 'gizmo' ELSE 'person' END AS kind,
+    CASE event_id % 4 WHEN 0 THEN 'created' WHEN 1 THEN 'works_at' WHEN 2 THEN 'located_in' ELSE 'uses' END AS relation, CASE event_id % 3 WHEN 0 THEN 'residence' WHEN 1 THEN 'role' ELSE 'colour' END AS property,
+    CASE event_id % 3 WHEN 0 THEN 'Acme' WHEN 1 THEN 'Acme' ELSE 'Inc' END AS label FROM events"""
+)
+def ingest_aliases(spark, d):
+    given = table(spark, d, "events").selectExpr(
+        "event_id", "element_at(array(' Tool', 'ORG', 'pet ', 'App', 'Gizmo', 'person'), CAST(event_id % 6 AS int) + 1) AS kind", "element_at(array('Built', 'employed_at', 'lives_in ', 'uses'), CAST(event_id % 4 AS int) + 1) AS relation",
+        "element_at(array('Location', 'role_description', 'colour'), CAST(event_id % 3 AS int) + 1) AS property", "element_at(array('Acme, Inc.', 'Acme LLC', 'Inc'), CAST(event_id % 3 AS int) + 1) AS label",
+    )
+    return given.select(
+        "event_id", ingest.aliased(F.col("kind"), ingest.ENTITY_TYPE_ALIASES).alias("kind"), ingest.aliased(F.col("relation"), ingest.RELATION_ALIASES).alias("relation"),
+        ingest.aliased(F.col("property"), ingest.FACT_ALIASES).alias("property"), ingest.label_variant(F.col("label")).alias("label"),
+    )
+
+
+_SECOND_SQL = f"""{_EVIDENCE_SQL}, {_CURRENT_SQL},
+    c AS (SELECT node_id, property, value, avg(confidence) AS confidence, count(*) AS n, max(ts) AS last FROM ev GROUP BY 1, 2, 3),
+    o AS (SELECT c.*, cur.value IS NOT NULL AS has, coalesce(c.value = cur.value, false) AS is_cur, row_number() OVER (PARTITION BY c.node_id, c.property ORDER BY round(confidence, 12) DESC, n DESC, coalesce(c.value = cur.value, false) DESC, last DESC, c.value) AS rn FROM c LEFT JOIN cur USING (node_id, property)),
+    s AS (SELECT *, max(CASE WHEN is_cur THEN rn END) OVER (PARTITION BY node_id, property) AS sw FROM o),
+    p AS (SELECT *, CASE WHEN sw IS NULL OR (rn <> 1 AND rn <> sw) THEN rn WHEN rn = sw THEN 1 ELSE sw END AS place FROM s)"""
+
+
+@query(
+    f"""WITH {_SECOND_SQL}, b AS (SELECT node_id, property, max(CASE WHEN place = 1 THEN value END) AS preferred_value, max(CASE WHEN place = 2 THEN value END) AS other_value, max(CASE WHEN place = 1 THEN confidence END) AS pc, max(CASE WHEN place = 2 THEN confidence END) AS rc, bool_or(has) AS has FROM p WHERE node_id % 3 = 0 GROUP BY 1, 2),
+    k AS (SELECT *, CASE WHEN has AND rc IS NOT NULL AND pc - rc < 0.15 THEN 'contested' WHEN NOT has THEN 'superseded' ELSE 'supported' END AS status FROM b)
+    SELECT node_id, property, status, preferred_value, other_value FROM k WHERE status <> 'supported' ORDER BY status <> 'contested', node_id, property LIMIT 10"""
+)
+def contradictions(spark, d):
+    ev = _evidence(spark, d)
+    ids = table(spark, d, "events").where("user_id % 3 = 0").selectExpr("user_id AS id").distinct()
+    return recall.contradictions(facts.claims(ev, _current(ev)), ids, 10)
+
+
+@query(f"WITH {_EVIDENCE_SQL} SELECT node_id, property, value, source, ts, round(confidence + (node_id % 7) / 100.0, 6) AS score FROM ev WHERE node_id % 3 = 0 ORDER BY score DESC, ts DESC, node_id, property, value LIMIT 10")
+def strongest_evidence(spark, d):
+    ev = _evidence(spark, d)
+    own = table(spark, d, "events").where("user_id % 3 = 0").selectExpr("user_id AS id", "CAST(user_id % 7 AS double) AS salience_score").distinct()
+    return recall.strongest_evidence(ev, own, own.select("id"), 10).withColumn("score", F.round("score", 6))

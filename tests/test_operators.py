@@ -182,3 +182,23 @@ def test_zero_vectors_and_missing_counts(spark):
     c = spark.createDataFrame([(1, "x", 1)], "query_id int, id string, rank int")
     b = spark.createDataFrame([("x", "supported", None, None, None, None)], "id string, status string, evidence_count int, preferred_confidence double, matches_current boolean, last_observed timestamp_ntz")
     assert rank.belief_score(c, b).first().belief == pytest.approx(0.67)
+
+
+def test_hybrid_service(spark):
+    from mnemosia.operators import service
+
+    n = spark.createDataFrame([("a", "Oslo Harbour", "oslo harbour cranes", 1.0, 1), ("b", "Bergen", "bergen rain", 2.0, 1), ("c", "Crane", "crane maker", 0.2, 1)], "id string, label string, search_text string, salience_score double, updated_at int")
+    n = n.withColumn("updated_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    al = spark.createDataFrame([("b", "Rainy City", "rainy city")], "node_id string, alias string, normalized_alias string")
+    e = edges_of(spark, ("a", "c"))
+    v = spark.createDataFrame([("b", [1.0, 0.0]), ("c", [0.0, 1.0])], "id string, embedding array<double>")
+    q = spark.createDataFrame([(1, "Who is Rainy City?"), (2, "oslo harbour"), (3, "nothing")], "query_id int, text string")
+    emb = spark.createDataFrame([("who is rainy city", [1.0, 0.1])], "text string, embedding array<double>")
+    got = {}
+    for r in service.hybrid_service(n, al, e, v, q, emb, limit=3, stemmed=False).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == {1: ["b", "c", "a"], 2: ["a", "c"]}
+    full = service.full_text_service(n, al, e, q, limit=2, stemmed=False).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.id) for r in full] == [(1, "b"), (2, "a"), (2, "c")]
+    least = {r.query_id: r.least for r in service.least_salience(spark.createDataFrame([(1, "how to sail"), (2, "history of rain"), (3, "rain")], "query_id int, text string")).collect()}
+    assert least == {1: 1.0, 2: 0.5, 3: 0.0}
