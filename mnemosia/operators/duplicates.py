@@ -2,37 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemosia.functions.text import normalize_alias, property_map
 
+from .graph import kept
 
-def duplicate_pairs(nodes: DataFrame, aliases: DataFrame, kind: str = "", limit: int | None = 25) -> DataFrame:
-    """left_id, right_id, shared_names, same_label, label_alias: active nodes of one type that share a normalised label or alias.
 
-    With a limit: same label first, then number of names, salience and ids."""
+def _named(nodes: DataFrame, aliases: DataFrame, kind: str) -> DataFrame:
+    """id, type, salience_score, names (sorted structs of name, is_label) of the active nodes with any name."""
     live = nodes.where(F.col("superseded_by").isNull())
     live = live.where(F.col("type") == kind) if kind else live
     named = live.select("id", "type", "salience_score", normalize_alias(F.col("label")).alias("name"), F.lit(True).alias("is_label"))
     known = live.select("id", "type", "salience_score").join(aliases.select(F.col("node_id").alias("id"), F.col("normalized_alias").alias("name")), "id")
     names = named.unionByName(known.withColumn("is_label", F.lit(False)).select(*named.columns)).where("name <> ''")
     names = names.groupBy("id", "type", "salience_score", "name").agg(F.bool_or("is_label").alias("is_label"))
-    # names that only one node has cannot pair; they go before the join
-    often = names.groupBy("type", "name").agg(F.count("*").alias("n")).where("n > 1").select("type", "name")
-    shared = names.join(often, ["type", "name"])
+    return names.groupBy("id", "type", "salience_score").agg(F.array_sort(F.collect_list(F.struct("name", "is_label"))).alias("names"))
+
+
+def duplicate_classes(nodes: DataFrame, aliases: DataFrame, kind: str = "") -> tuple[DataFrame, DataFrame]:
+    """(members: id, salience_score, class_id; pairs: left_class, right_class, shared_names, same_label, label_alias, n_pairs, salience).
+
+    Nodes of one type with the same names are a class, named by its least id. Two nodes are duplicates if they share a
+    name, which is a matter of their classes alone: pairs has the classes that share one, and a class of several nodes
+    with itself (left_class = right_class); n_pairs is the number of pairs of nodes that a row stands for, salience the
+    largest score among them. A name that very many nodes have costs no pairs of nodes."""
+    named = _named(nodes, aliases, kind)
+    classes = named.groupBy("type", "names").agg(F.min("id").alias("class_id"), F.count("*").alias("size"), F.max("salience_score").alias("top"))
+    members = named.join(classes.select("type", "names", "class_id"), ["type", "names"]).select("id", "salience_score", "class_id")
+    own = F.transform("names", lambda x: x["name"])
+    alone = classes.where("size > 1").select(
+        F.col("class_id").alias("left_class"), F.col("class_id").alias("right_class"), own.alias("shared_names"), F.exists("names", lambda x: x.is_label).alias("same_label"),
+        F.lit(False).alias("label_alias"), (F.col("size") * (F.col("size") - 1) / 2).cast("long").alias("n_pairs"), F.col("top").alias("salience"),
+    )
+    rows = classes.select("type", "class_id", "size", "top", F.explode("names").alias("x")).select("type", "class_id", "size", "top", "x.name", "x.is_label")
+    # names that only one class has cannot pair; they go before the join
+    often = rows.groupBy("type", "name").agg(F.count("*").alias("n")).where("n > 1").select("type", "name")
+    shared = rows.join(often, ["type", "name"])
     a, b = shared.alias("a"), shared.alias("b")
-    met = a.join(b, (F.col("a.type") == F.col("b.type")) & (F.col("a.name") == F.col("b.name")) & (F.col("a.id") < F.col("b.id")))
-    pairs = met.groupBy(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).agg(
-        F.array_sort(F.collect_set("a.name")).alias("shared_names"),
-        F.bool_or(F.col("a.is_label") & F.col("b.is_label")).alias("same_label"),
-        F.bool_or(F.col("a.is_label") != F.col("b.is_label")).alias("label_alias"),
-        F.max(F.greatest("a.salience_score", "b.salience_score")).alias("salience"),
+    met = a.join(b, (F.col("a.type") == F.col("b.type")) & (F.col("a.name") == F.col("b.name")) & (F.col("a.class_id") < F.col("b.class_id")))
+    pairs = met.groupBy(F.col("a.class_id").alias("left_class"), F.col("b.class_id").alias("right_class")).agg(
+        F.array_sort(F.collect_set("a.name")).alias("shared_names"), F.bool_or(F.col("a.is_label") & F.col("b.is_label")).alias("same_label"), F.bool_or(F.col("a.is_label") != F.col("b.is_label")).alias("label_alias"),
+        F.max(F.col("a.size") * F.col("b.size")).alias("n_pairs"), F.max(F.greatest("a.top", "b.top")).alias("salience"),
     )
-    if limit is None:
-        return pairs.drop("salience")
-    order = [F.desc("same_label"), F.desc(F.size("shared_names")), F.desc("salience"), F.asc("left_id"), F.asc("right_id")]
-    return pairs.orderBy(*order).limit(limit).drop("salience")
+    return members, pairs.unionByName(alone)
+
+
+def duplicate_pairs(nodes: DataFrame, aliases: DataFrame, kind: str = "", limit: int = 25) -> DataFrame:
+    """left_id, right_id, shared_names, same_label, label_alias: active nodes of one type that share a normalised label or alias.
+
+    The first `limit`: same label first, then number of names, salience and ids. Only that many pairs of classes and
+    their ties, and of each class the most salient members and those with the least ids, can be among them."""
+    members, pairs = duplicate_classes(nodes, aliases, kind)
+    members, pairs = kept(members), kept(pairs)
+    order = [F.desc("same_label"), F.desc("n_names"), F.desc("salience")]
+    pairs = pairs.withColumn("n_names", F.size("shared_names"))
+    last = pairs.orderBy(*order).limit(limit).select("same_label", "n_names", "salience").tail(1)
+    if last:
+        key = lambda *c: F.struct(*[x.alias(f"k{i}") for i, x in enumerate(c)])
+        pairs = pairs.where(key(F.col("same_label"), F.col("n_names"), F.col("salience").cast("double")) >= key(F.lit(last[0].same_label), F.lit(last[0].n_names), F.lit(float(last[0].salience))))
+    wanted = pairs.select(F.col("left_class").alias("class_id")).union(pairs.select("right_class")).distinct()
+    by = Window.partitionBy("class_id")
+    own = members.join(wanted, "class_id", "left_semi").withColumn("s", F.row_number().over(by.orderBy(F.desc("salience_score"), "id"))).withColumn("i", F.row_number().over(by.orderBy("id")))
+    own = own.where((F.col("s") <= limit) | (F.col("i") <= limit + 1))
+    side = lambda n: own.select(F.col("class_id").alias(f"{n}_class"), F.col("id").alias(f"{n}_node"), F.col("salience_score").alias(f"{n}_salience"))
+    met = pairs.drop("salience").join(side("left"), "left_class").join(side("right"), "right_class").where((F.col("left_class") != F.col("right_class")) | (F.col("left_node") < F.col("right_node")))
+    met = met.select(F.least("left_node", "right_node").alias("left_id"), F.greatest("left_node", "right_node").alias("right_id"), "shared_names", "same_label", "label_alias", "n_names", F.greatest("left_salience", "right_salience").alias("salience"))
+    return met.orderBy(*order, F.asc("left_id"), F.asc("right_id")).limit(limit).drop("salience", "n_names")
 
 
 def merge_suggestions(nodes: DataFrame, pairs: DataFrame, min_score: float = 0.6, limit: int = 25) -> DataFrame:

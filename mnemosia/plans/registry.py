@@ -403,21 +403,28 @@ def _part_nodes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return n, p.selectExpr("concat('part:', p_partkey) AS node_id", "lower(trim(split_part(p_name, ' ', 2))) AS normalized_alias")
 
 
-@query(f"WITH {_PARTS_SQL} SELECT left_id, right_id, array_to_string(names, ',') AS shared_names, same_label, label_alias FROM pr")
+@query(
+    f"""WITH {_PARTS_SQL}, k AS (SELECT id, min(id) OVER (PARTITION BY type, names) AS class_id, count(*) OVER (PARTITION BY type, names) AS size FROM (SELECT id, type, list_sort(list({{'n': name, 'l': is_label}})) AS names FROM nm GROUP BY 1, 2))
+    SELECT least(a.class_id, b.class_id) AS left_class, greatest(a.class_id, b.class_id) AS right_class, array_to_string(names, ',') AS shared_names, same_label, label_alias, count(*) AS n_pairs
+    FROM pr JOIN k a ON a.id = left_id JOIN k b ON b.id = right_id GROUP BY ALL"""
+)
 def duplicate_pairs(spark, d):
+    """Every pair of nodes with a shared name, by classes of nodes with the same names."""
     n, a = _part_nodes(spark, d)
-    return duplicates.duplicate_pairs(n, a, limit=None).withColumn("shared_names", F.array_join("shared_names", ","))
+    return duplicates.duplicate_classes(n, a)[1].withColumn("shared_names", F.array_join("shared_names", ",")).drop("salience")
 
 
 @query(
-    f"""WITH {_PARTS_SQL}, m AS (SELECT pr.*, l.salience_score AS ls, r.salience_score AS rs, p1.p_brand = p2.p_brand AS ident FROM pr JOIN pn l ON l.id = left_id JOIN pn r ON r.id = right_id JOIN part p1 ON 'part:' || p1.p_partkey = left_id JOIN part p2 ON 'part:' || p2.p_partkey = right_id),
+    f"""WITH {_PARTS_SQL}, m0 AS (SELECT pr.*, l.salience_score AS ls, r.salience_score AS rs FROM pr JOIN pn l ON l.id = left_id JOIN pn r ON r.id = right_id ORDER BY same_label DESC, len(names) DESC, greatest(l.salience_score, r.salience_score) DESC, left_id, right_id LIMIT 300),
+    m AS (SELECT m0.*, p1.p_brand = p2.p_brand AS ident FROM m0 JOIN part p1 ON 'part:' || p1.p_partkey = left_id JOIN part p2 ON 'part:' || p2.p_partkey = right_id),
     s AS (SELECT CASE WHEN rs > ls OR (rs = ls AND right_id < left_id) THEN right_id ELSE left_id END AS canonical_id, CASE WHEN rs > ls OR (rs = ls AND right_id < left_id) THEN left_id ELSE right_id END AS duplicate_id,
       round(least(CASE WHEN same_label THEN 0.55 ELSE 0 END + CASE WHEN label_alias THEN 0.2 ELSE 0 END + least(0.3, 0.15 + 0.05 * (len(names) - 1)) + CASE WHEN ident THEN 0.2 ELSE 0 END, 1.0)::DOUBLE, 2) AS score FROM m)
     SELECT * FROM s WHERE score >= 0.6 ORDER BY score DESC, canonical_id, duplicate_id LIMIT 100"""
 )
 def merge_suggestions(spark, d):
+    """The best of three times as many candidate pairs as are shown."""
     n, a = _part_nodes(spark, d)
-    return duplicates.merge_suggestions(n, duplicates.duplicate_pairs(n, a, limit=None), limit=100).drop("reasons")
+    return duplicates.merge_suggestions(n, duplicates.duplicate_pairs(n, a, limit=300), limit=100).drop("reasons")
 
 
 @query()

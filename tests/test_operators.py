@@ -202,3 +202,27 @@ def test_hybrid_service(spark):
     assert [(r.query_id, r.id) for r in full] == [(1, "b"), (2, "a"), (2, "c")]
     least = {r.query_id: r.least for r in service.least_salience(spark.createDataFrame([(1, "how to sail"), (2, "history of rain"), (3, "rain")], "query_id int, text string")).collect()}
     assert least == {1: 1.0, 2: 0.5, 3: 0.0}
+
+
+def test_the_first_pairs_are_those_of_all_pairs(spark):
+    """Against sorting every pair: a name of very many nodes, ties of salience, several names."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"n{i:03d}", rng.choice("ab"), rng.choice(["X", "X", "Y", f"z{i}"]), float(rng.randrange(4)), None) for i in range(120)]
+    alias = [(f"n{rng.randrange(120):03d}", rng.choice(["x", "y", "w"])) for _ in range(60)]
+    n = spark.createDataFrame(rows, "id string, type string, label string, salience_score double, superseded_by string")
+    a = spark.createDataFrame(alias, "node_id string, normalized_alias string")
+    names = {r[0]: {r[2].lower(): True} for r in rows}
+    for i, x in alias:
+        names[i].setdefault(x, False)
+    every = []
+    for p in rows:
+        for q in rows:
+            both = sorted(names[p[0]].keys() & names[q[0]].keys())
+            if p[0] < q[0] and p[1] == q[1] and both:
+                every.append((not any(names[p[0]][x] and names[q[0]][x] for x in both), -len(both), -max(p[3], q[3]), p[0], q[0], tuple(both)))
+    for limit in (1, 5, 40, 10_000):
+        got = [(r.left_id, r.right_id, tuple(r.shared_names)) for r in duplicates.duplicate_pairs(n, a, limit=limit).collect()]
+        assert got == [x[3:] for x in sorted(every)[:limit]]
+    assert duplicates.duplicate_classes(n, a)[1].agg(F.sum("n_pairs")).first()[0] == len(every)
