@@ -172,3 +172,22 @@ def degrees(edges: DataFrame) -> DataFrame:
     back = edges.select(F.col("target").alias("id"), F.col("source").alias("other"), F.lit(0).alias("o"), F.lit(1).alias("i"))
     per = out.unionByName(back).groupBy("id", "other").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
     return per.groupBy("id").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"), F.count("*").alias("n_neighbors"))
+
+
+def outgoing(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """id with the edges that leave it, for all of ids (id) in one join."""
+    return ids.select("id").distinct().join(edges, F.col("id") == F.col("source"))
+
+
+def neighbor_nodes(ids: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """root and its neighbour nodes over edges of both directions, for all of ids (id) at once."""
+    asked = ids.select(F.col("id").alias("root")).distinct()
+    out = asked.join(edges, F.col("root") == F.col("source")).select("root", F.col("target").alias("id"))
+    back = asked.join(edges, F.col("root") == F.col("target")).select("root", F.col("source").alias("id"))
+    return out.union(back).distinct().where("id <> root").join(nodes, "id")
+
+
+def edge_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges with the labels of both ends; an end without a node has none."""
+    end = lambda c: nodes.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+    return edges.join(end("source"), "source", "left").join(end("target"), "target", "left")

@@ -767,3 +767,48 @@ def strongest_evidence(spark, d):
     ev = _evidence(spark, d)
     own = table(spark, d, "events").where("user_id % 3 = 0").selectExpr("user_id AS id", "CAST(user_id % 7 AS double) AS salience_score").distinct()
     return recall.strongest_evidence(ev, own, own.select("id"), 10).withColumn("score", F.round("score", 6))
+
+
+def _customer_maps(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").selectExpr("concat('customer:', c_custkey) AS id", "'customer' AS type", "c_name AS label", "map('segment', c_mktsegment, 'nation', CAST(c_nationkey AS string)) AS properties", "c_custkey AS n")
+
+
+@query(
+    """WITH c AS (SELECT c_custkey AS n, c_mktsegment AS s, c_nationkey::VARCHAR AS t FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 2 = 0)
+    SELECT 'customer:' || n AS node_id, 'segment' AS property_key, s AS old_value, lower(s) AS new_value FROM c UNION ALL SELECT 'customer:' || n, 'nation', t, NULL FROM c UNION ALL SELECT 'customer:' || n, 'seen', NULL, 'yes' FROM c"""
+)
+def upsert_history(spark, d):
+    """Every second customer comes twice with other properties; two thirds were known."""
+    c = _customer_maps(spark, d)
+    new = c.where("n % 2 = 0").withColumn("properties", F.create_map(F.lit("segment"), F.lower(F.element_at("properties", "segment")), F.lit("seen"), F.lit("yes"))).withColumn("seq", F.lit(2))
+    first = c.where("n % 2 = 0").withColumn("seq", F.lit(1)).withColumn("label", F.lit("draft"))
+    return upsert.upsert_nodes(c.where("n % 3 <> 0").drop("n"), first.unionByName(new).drop("n"), "2024-01-01")[2].drop("changed_at")
+
+
+@query(
+    f"""{WITH_ALL}, c AS (SELECT * FROM nodes WHERE type = 'customer'), k AS (SELECT id, CAST(split_part(id, ':', 2) AS BIGINT) AS n FROM c)
+    SELECT 'nodes' AS what, CASE WHEN n % 3 <> 0 THEN 'skipped' ELSE 'created' END AS action, count(*) AS n FROM k GROUP BY ALL
+    UNION ALL SELECT 'edges', CASE WHEN length(source) % 2 = 0 THEN 'skipped' ELSE 'created' END, count(*) FROM edges WHERE relation = 'located_in' AND source LIKE 'customer:%' GROUP BY ALL"""
+)
+def import_counts(spark, d):
+    n = nodes(spark, d)
+    c, e = n.where(F.col("type") == "customer"), edges(spark, d).where("relation = 'located_in' AND source LIKE 'customer:%'")
+    old = n.where("type = 'nation'").unionByName(c.where("CAST(split_part(id, ':', 2) AS bigint) % 3 <> 0"))
+    return upsert.import_graph(17, 17, c, e, old, e.where("length(source) % 2 = 0"), dry_run=True, reset_usage=True)[2]
+
+
+@query("SELECT count(*) AS scanned, count(*) FILTER (n_chars < 500) AS texts_written, count(*) FILTER (doc_id % 3 = 0) AS embeddings_missing, count(*) FILTER (doc_id % 7 = 0) AS superseded, count(*) FILTER (doc_id % 5 = 0) AS with_facts FROM documents")
+def maintenance_counters(spark, d):
+    rows = table(spark, d, "documents").selectExpr("source AS label", "'document' AS type", "CASE WHEN n_chars < 500 THEN '' ELSE text END AS search_text", "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE array(1.0F) END AS embedding", "CASE WHEN doc_id % 7 = 0 THEN 'x' END AS superseded_by", "CASE WHEN doc_id % 5 = 0 THEN '{\"_fact_evidence\":{}}' ELSE '{}' END AS properties")
+    return upsert.maintenance_run(rows)[1]
+
+
+@query(f"{WITH_SCORED} SELECT DISTINCT label AS name FROM (SELECT * FROM scored WHERE salience_score >= 1.0 ORDER BY salience_score DESC, updated_at DESC, id LIMIT 50)")
+def known_entities(spark, d):
+    return upsert.known_entities(_scored(spark, d))
+
+
+@query(f"""{WITH_ALL}, r AS (SELECT 'nation:' || n_nationkey AS root FROM nation), p AS (SELECT root, target AS id FROM r JOIN edges ON source = root UNION SELECT root, source FROM r JOIN edges ON target = root) SELECT root, type, count(*) AS n FROM p JOIN nodes USING (id) GROUP BY ALL""")
+def neighbor_nodes(spark, d):
+    roots = table(spark, d, "nation").selectExpr("concat('nation:', n_nationkey) AS id")
+    return g.neighbor_nodes(roots, edges(spark, d), nodes(spark, d)).groupBy("root", "type").agg(F.count("*").alias("n"))

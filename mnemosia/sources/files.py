@@ -53,6 +53,11 @@ def chunk_graph(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes.drop("path", "start_line"), edges
 
 
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """path, text: each file whole."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+
+
 def changed_files(spark: SparkSession, folder: str, manifest: DataFrame | None, glob: str = "*.md") -> DataFrame:
     """path, length, modificationTime, text of the folder's files that the manifest (path, length, modificationTime) lacks."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)

@@ -226,3 +226,42 @@ def test_the_first_pairs_are_those_of_all_pairs(spark):
         got = [(r.left_id, r.right_id, tuple(r.shared_names)) for r in duplicates.duplicate_pairs(n, a, limit=limit).collect()]
         assert got == [x[3:] for x in sorted(every)[:limit]]
     assert duplicates.duplicate_classes(n, a)[1].agg(F.sum("n_pairs")).first()[0] == len(every)
+
+
+def test_single_rows(spark):
+    n = nodes_of(spark, "a", "b")
+    e = edges_of(spark, ("a", "b"))
+    e = upsert.create_edge(n, e, spark.createDataFrame([("b", "a", "uses", None)], e.schema))
+    assert sorted((r.source, r.weight) for r in e.collect()) == [("a", 1.0), ("b", 1.0)]
+    with pytest.raises(LookupError):
+        upsert.create_edge(n, e, edges_of(spark, ("a", "z")))
+    with pytest.raises(ValueError, match="duplicate"):
+        upsert.create_edge(n, e, edges_of(spark, ("a", "b")))
+    key = {"source": "a", "target": "b", "relation": "uses"}
+    assert upsert.update_rows(e, key, {"weight": 3}).where("source = 'a'").first().weight == 3.0
+    assert [r.source for r in upsert.delete_rows(e, **key).collect()] == ["b"]
+    with pytest.raises(listing.NotFound):
+        upsert.delete_rows(e, source="q")
+    al = spark.createDataFrame([], "node_id string, alias string, normalized_alias string")
+    al = upsert.create_alias(n, al, spark.createDataFrame([("a", " Old  Name ")], "node_id string, alias string"))
+    assert al.first().normalized_alias == "old name"
+    with pytest.raises(ValueError, match="duplicate"):
+        upsert.create_alias(n, al, spark.createDataFrame([("a", "OLD name")], "node_id string, alias string"))
+    types = spark.createDataFrame([("uses", None), ("mine", "t2")], "name string, tenant_id string")
+    assert upsert.add_relation_type(types, "mine", "t1").count() == 3
+    with pytest.raises(ValueError, match="duplicate"):
+        upsert.add_relation_type(types, "uses", "t1")
+    u = spark.createDataFrame([("likes", False, None), ("eats", False, None)], "relation_type string, resolved boolean, resolved_as string")
+    assert {(r.relation_type, r.resolved, r.resolved_as) for r in upsert.resolve_unknown(u, "likes", "prefers").collect()} == {("likes", True, "prefers"), ("eats", False, None)}
+    labels = n.withColumn("label", F.upper("id"))
+    assert {(r.source_label, r.target_label) for r in graph.edge_nodes(edges_of(spark, ("a", "b"), ("a", "z")), labels).collect()} == {("A", "B"), ("A", None)}
+    assert graph.outgoing(n, e).count() == 2
+
+
+def test_texts_and_mentions(spark, tmp_path):
+    from mnemosia.functions import text
+
+    (tmp_path / "a.txt").write_text("one\ntwo")
+    assert files.read_texts(spark, str(tmp_path)).first().text == "one\ntwo"
+    r = spark.createDataFrame([("We met Big-Bad Wolf.", "big bad", "")], "t string, a string, b string").select(text.mentions(F.col("t"), F.col("a")), text.mentions(F.col("t"), F.col("b"))).first()
+    assert tuple(r) == (True, False)
