@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -22,12 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which every executor reaches.
 
-    Where the setting is absent (tests on one machine) a local folder is set.
+    Only a session on one machine (tests) gets a local folder where the setting is absent; a cluster must name one.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        context.setCheckpointDir("/tmp/checkpoints/mnemosia")
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors reach")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         base = context.getCheckpointDir()
     return f"{base}/{uuid.uuid4().hex}"
 
