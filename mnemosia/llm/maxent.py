@@ -158,13 +158,18 @@ def features(h: np.ndarray, bounds: np.ndarray, buckets: int = BUCKETS) -> np.nd
         before.append(x.astype(_U))
     a, b, c = before
     keys = [a + _U(1), b * _U(3) + _U(2), c * _U(5) + _U(3), a * _U(0x9E3779B97F4A7C15) + b * _U(7) + _U(4)]
-    return np.stack([(mix(k) & _U(buckets - 1)).astype(np.int32) for k in keys])
+    return np.stack([(mix(k) & _U(buckets - 1)).astype(_rows(buckets)) for k in keys])
+
+
+def _rows(buckets: int) -> type:
+    """The type of row numbers; short ones are sorted by radix."""
+    return np.uint16 if buckets <= 1 << 16 else np.int32
 
 
 def inner_features(rows: np.ndarray, y: np.ndarray, buckets: int) -> np.ndarray:
     """INNER x tokens: rows of the weights within classes, for the last word and for the last two, with the class."""
     own = y.astype(_U) * _U(0xD6E8FEB86659FD93)
-    return np.stack([(mix(rows[k].astype(_U) * _U(3) + _U(k) + own) & _U(buckets - 1)).astype(np.int32) for k in (0, 3)])
+    return np.stack([(mix(rows[k].astype(_U) * _U(3) + _U(k) + own) & _U(buckets - 1)).astype(_rows(buckets)) for k in (0, 3)])
 
 
 def _logits(weights: np.ndarray, base: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -197,7 +202,7 @@ def _descend(weights: np.ndarray, seen: np.ndarray, rows: np.ndarray, grad: np.n
     size = np.float32(grad.shape[1])
     sorted_grad = np.empty_like(grad)
     for r in rows:
-        order = np.argsort(r, kind="stable")
+        order = np.argsort(r, kind="stable" if r.dtype == np.uint16 else None)
         own = r[order]
         at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         g = np.add.reduceat(np.take(grad, order, axis=0, out=sorted_grad, mode="clip"), at, axis=0)
