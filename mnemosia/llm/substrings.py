@@ -393,6 +393,27 @@ def align(a: np.ndarray, b: np.ndarray, pos: list[int], there: list[int], length
     return found
 
 
+def denser(a: np.ndarray, b: np.ndarray, pos: list[int], there: list[int], length: list[int], n_seeds: list[int]) -> tuple:
+    """(a from, b from, a, b, pos, there, length, seeds): a chain with all grams that stand once in both of its long texts,
+    and the texts cut REACH * FURTHER words before and after it. What is between is then short."""
+    grams = []
+    for x in (a, b):
+        values, first, count = np.unique(ngrams(x.astype(_U), K), return_index=True, return_counts=True)
+        grams.append((values[count == 1], first[count == 1]))
+    _, i, j = np.intersect1d(grams[0][0], grams[1][0], assume_unique=True, return_indices=True)
+    own = [(p + k, q + k) for p, q, n in zip(pos, there, length) for k in range(n - K + 1)]
+    here = np.concatenate([grams[0][1][i], [p for p, _ in own]]).astype(np.int64)
+    other = np.concatenate([grams[1][1][j], [q for _, q in own]]).astype(np.int64)
+    p, q, n, s = (x.tolist() for x in merged(here, other))
+    for chain in chains(p, q, length=n):
+        if any(q[k] - p[k] == there[0] - pos[0] and p[k] <= pos[0] < p[k] + n[k] for k in chain):
+            pos, there, length, n_seeds = ([x[k] for k in chain] for x in (p, q, n, s))
+            break
+    far = REACH * FURTHER
+    a_lo, b_lo = max(0, pos[0] - far), max(0, there[0] - far)
+    return a_lo, b_lo, a[a_lo : pos[-1] + length[-1] + far], b[b_lo : there[-1] + length[-1] + far], [x - a_lo for x in pos], [x - b_lo for x in there], length, n_seeds
+
+
 def _align_batches(reach: int):
     """Rows (chain, node, hub, start, end, hub_start, hub_end, n_equal, n_seeds): a row a piece of MIN_PIECE words, or for a chain
     with such a piece near the end of the words at hand that is not that of the text, one with nulls from node on."""
@@ -404,8 +425,13 @@ def _align_batches(reach: int):
                 out = []
                 for chain, node, hub, pos, there, length, seeds, a0, a, b0, b in zip(*(d[n] for n in ("chain", "node", "hub", "pos", "hub_pos", "n", "seeds", "a0", "a", "b0", "b"))):
                     x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-                    found = align(x, y, [p - a0 for p in pos], [q - b0 for q in there], length, seeds)
-                    found = [x for x in found if x[1] - x[0] >= MIN_PIECE]
+                    here, other = [p - a0 for p in pos], [q - b0 for q in there]
+                    if reach > REACH:
+                        u, v, *cut = denser(x, y, here, other, length, seeds)
+                        found = [(lo + u, hi + u, lo2 + v, hi2 + v, *rest) for lo, hi, lo2, hi2, *rest in align(*cut)]
+                    else:
+                        found = align(x, y, here, other, length, seeds)
+                    found = [z for z in found if z[1] - z[0] >= MIN_PIECE]
                     more = [a0 > 0, b0 > 0, a0 + len(x) == pos[-1] + length[-1] + reach, b0 + len(y) == there[-1] + length[-1] + reach]
                     if any(more[0] and lo < NEAR or more[1] and lo2 < NEAR or more[2] and len(x) - hi < NEAR or more[3] and len(y) - hi2 < NEAR for lo, hi, lo2, hi2, _, _ in found):
                         out.append((chain, *[None] * 8))

@@ -208,3 +208,19 @@ def test_what_is_hopeless_has_no_piece():
             for x in S.align(a[p - 24 : p + 30], b[q - 24 : q + 30], [24], [24], [6], [1]):
                 assert x[1] - x[0] < S.MIN_PIECE or x[4] < 0.8 * max(x[1] - x[0], x[3] - x[2]) or not x[0] <= 24 < x[1]
     assert n_hopeless > 50
+
+
+def test_a_chain_with_all_common_grams():
+    rng = random.Random(12)
+    one = [rng.randrange(10**6) for _ in range(3000)]
+    two = list(one)
+    for k in range(1000, 2000, 9):
+        two[k] = rng.randrange(10**6)
+    del two[1500:1510]
+    two[:1000], two[1990:] = [rng.randrange(10**6) for _ in range(1000)], [rng.randrange(10**6) for _ in range(900)]
+    a, b = np.array(one, np.uint32), np.array(two, np.uint32)
+    a_lo, b_lo, x, y, pos, there, length, seeds = S.denser(a, b, [1101], [1101], [6], [1])
+    assert (a_lo, b_lo) == (1001 - 320, 1001 - 320) and len(x) < 1700
+    assert all((x[p : p + n] == y[q : q + n]).all() for p, q, n in zip(pos, there, length)) and pos == sorted(pos) and there == sorted(there)
+    lo, hi, lo2, hi2, equal, _ = max(S.align(x, y, pos, there, length, seeds), key=lambda z: z[1] - z[0])
+    assert lo + a_lo <= 1001 and hi + a_lo >= 1999 and equal >= 850
