@@ -97,6 +97,14 @@ def reordered(candidates: DataFrame, score: Column, limit: int) -> DataFrame:
     return candidates.withColumn("score", F.round(score, 9)).withColumn("new_rank", F.row_number().over(w)).where(F.col("new_rank") <= limit)
 
 
+def prototype_rerank(candidates: DataFrame, beliefs: DataFrame, query: str, profile: str = "default", limit: int = 20) -> DataFrame:
+    """The candidates by prototype and belief score together, with score and new_rank; by their own rank if the query has no terms."""
+    if not query_terms(query):
+        return candidates.where(F.col("rank") <= limit).withColumn("score", F.lit(None).cast("double")).withColumn("new_rank", F.col("rank"))
+    scored = belief_score(prototype_score(candidates, query, profile), beliefs)
+    return reordered(scored, F.col("prototype") + F.col("belief"), limit)
+
+
 def merge_expanded(primary: DataFrame, extra: DataFrame, limit: int) -> DataFrame:
     """query_id, id, rank: the primary list (query_id, id, rank), then extra nodes (query_id, id,
     salience_score, updated_at) by salience and time, without repeats."""

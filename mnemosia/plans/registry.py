@@ -217,25 +217,35 @@ def belief_aware_ranking(spark, d):
 @query(
     f"""{WITH_SCORED}, c AS (SELECT *, row_number() OVER (ORDER BY salience_score DESC, id) AS rank FROM scored WHERE type = 'customer' QUALIFY rank <= 50),
     w AS (SELECT *, epoch(updated_at) AS a, min(epoch(updated_at)) OVER () AS lo, max(epoch(updated_at)) OVER () AS hi FROM c),
-    p AS (SELECT *, least(greatest((a - lo) / nullif(hi - lo, 0), 0.0), 1.0) AS pos, greatest(-0.2, list_max(list_transform([year(updated_at), year(created_at)], lambda y: CASE abs(y - 1995) WHEN 0 THEN 0.45 WHEN 1 THEN 0.18 WHEN 2 THEN 0.08 WHEN 3 THEN 0.08 ELSE -least(abs(y - 1995) / 20.0, 0.2) END))) AS ys FROM w)
+    p AS (SELECT *, least(greatest((a - lo) / nullif(hi - lo, 0), 0.0), 1.0) AS pos, greatest(-0.2, list_max(list_transform([year(updated_at), year(created_at), 1990 + id[-1:]::INT], lambda y: CASE abs(y - 1995) WHEN 0 THEN 0.45 WHEN 1 THEN 0.18 WHEN 2 THEN 0.08 WHEN 3 THEN 0.08 ELSE -least(abs(y - 1995) / 20.0, 0.2) END))) AS ys FROM w)
     SELECT id, round(least(greatest(0.08 / rank + (1 - pos) * 0.35 + ys, -0.9), 0.9), 6) AS temporal FROM p"""
 )
 def temporal_ranking(spark, d):
-    c = _scored(spark, d).where(F.col("type") == "customer").withColumn("query_id", F.lit(1)).withColumn("search_text", F.lit(""))
+    c = _scored(spark, d).where(F.col("type") == "customer").withColumn("query_id", F.lit(1)).withColumn("search_text", F.concat(F.lit("since 199"), F.substring("id", -1, 1), F.lit(", not 12000")))
     c = search.top(c, 50, F.desc("salience_score"), F.asc("id"))
     return rank.temporal_score(c, "history of deliveries in 1995").select("id", F.round("temporal", 6).alias("temporal"))
 
 
+_TERMS = ["customer", "00", "building"]
+_TERMS_SQL = " + ".join(f"CASE WHEN contains(lower(trim(label)), '{t}') THEN 3.2 WHEN contains(lower(properties), '{t}') THEN 1.8 ELSE 0 END" for t in _TERMS)
+_MATCHED_SQL = " + ".join(f"(contains(lower(trim(label)), '{t}') OR contains(lower(properties), '{t}'))::INT" for t in _TERMS)
+
+
 @query(
     f"""{WITH_SCORED}, c AS (SELECT *, row_number() OVER (ORDER BY salience_score DESC, id) AS rank FROM scored WHERE type = 'customer' QUALIFY rank <= 50),
-    s AS (SELECT id, salience_score, updated_at, round(CASE WHEN contains(lower(label), 'customer') THEN 3.2 ELSE 0 END + CASE WHEN contains(lower(label), '00') THEN 3.2 ELSE 0 END + ((contains(lower(label), 'customer'))::INT + (contains(lower(label), '00'))::INT) / 2.0 * 4.2
-      + CASE WHEN lower(trim(label)) = 'customer 00' THEN 10 ELSE 0 END + CASE WHEN contains(lower(label), 'customer 00') THEN 4 ELSE 0 END + CASE WHEN user_boosted THEN 0.3 ELSE 0.0 END + least(salience_score / 140, 1.0) + 0.8 / rank, 9) AS score FROM c)
+    w AS (SELECT *, greatest(0, (epoch(max(updated_at) OVER ()) - epoch(updated_at)) / 86400.0) AS age FROM c),
+    b AS (SELECT *, least(greatest(0.35 / rank + CASE WHEN user_boosted THEN 0.32 ELSE -0.18 END + least(access_count, 4) * 0.05 + 0.5 * 0.08 + CASE WHEN access_count % 2 = 0 THEN 0.08 ELSE 0.0 END + greatest(0, 1 - age / 365.0) * 0.08, -0.8), 0.8) AS belief FROM w),
+    s AS (SELECT id, salience_score, updated_at, round({_TERMS_SQL} + ({_MATCHED_SQL}) / 3.0 * 4.2 + CASE WHEN lower(trim(label)) = 'customer 00 building' THEN 10 ELSE 0 END + CASE WHEN contains(lower(label), 'customer 00 building') THEN 4 ELSE 0 END
+      + CASE WHEN user_boosted THEN 0.3 ELSE 0.0 END + least(salience_score / 140, 1.0) + 0.8 / rank + belief, 9) AS score FROM b)
     SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, salience_score DESC, updated_at DESC, id) AS new_rank FROM s QUALIFY new_rank <= 10"""
 )
 def prototype_rerank(spark, d):
-    c = _scored(spark, d).where(F.col("type") == "customer").withColumn("query_id", F.lit(1)).withColumn("search_text", F.lit(""))
-    c = rank.prototype_score(search.top(c, 50, F.desc("salience_score"), F.asc("id")), "Customer 00", "term_focus")
-    return rank.reordered(c, F.col("prototype"), 10).select("id", F.round("score", 6).alias("score"), F.col("new_rank").cast("long").alias("new_rank"))
+    """The most salient customers by a query's terms in label and text, and what is believed of them."""
+    c = _scored(spark, d).where(F.col("type") == "customer").withColumn("query_id", F.lit(1)).withColumn("search_text", F.col("properties"))
+    c = search.top(c, 50, F.desc("salience_score"), F.asc("id"))
+    beliefs = c.selectExpr("id", "CASE WHEN user_boosted THEN 'supported' ELSE 'contested' END AS status", "access_count AS evidence_count", "0.5D AS preferred_confidence", "access_count % 2 = 0 AS matches_current", "updated_at AS last_observed")
+    found = rank.prototype_rerank(c, beliefs, "Customer 00 Building", "term_focus", 10)
+    return found.select("id", F.round("score", 6).alias("score"), F.col("new_rank").cast("long").alias("new_rank"))
 
 
 @query(
