@@ -308,7 +308,16 @@ def traverse(spark, d):
     return g.traverse_levels(edges(spark, d), ["customer:1"], 2, cap=None).select(F.col("node").alias("id"), "hop")
 
 
-@query()
+@query(
+    f"""{WITH_ALL}, p AS (SELECT source AS node, target AS other, source, target, 0 AS backward FROM edges UNION SELECT target, source, source, target, 1 FROM edges),
+    s0 AS (SELECT 'nation:3' AS id), """
+    + ", ".join(
+        f"""f{k} AS (SELECT other AS id, min({{'s': source, 't': target, 'b': backward}}) AS found FROM p WHERE node IN (SELECT id FROM {"s0" if k == 1 else f"l{k - 1}"}) AND other NOT IN (SELECT id FROM s{k - 1}) GROUP BY 1),
+    l{k} AS (SELECT id FROM f{k} ORDER BY found LIMIT (SELECT 500 - count(*) FROM s{k - 1})), s{k} AS (SELECT id FROM s{k - 1} UNION ALL SELECT id FROM l{k})"""
+        for k in (1, 2, 3)
+    )
+    + " SELECT id, type FROM s3 JOIN nodes USING (id)"
+)
 def traverse_capped(spark, d):
     return g.traverse(nodes(spark, d), edges(spark, d), "nation:3", 3)[0].select("id", "type")
 
