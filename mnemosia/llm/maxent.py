@@ -43,14 +43,14 @@ SINGLES, CLASSES, SLOTS = 8, 32, 64
 #: Hashed features (rows of weights): about ROOTS times the square root of the training tokens, within these bounds; 100 MB of weights at most.
 BUCKETS, MOST_BUCKETS, ROOTS = 1 << 12, 1 << 18, 4
 #: Least training tokens of a task for each feature, so that what tasks send stays in proportion to the texts.
-SHARE = 64
+SHARE = 256
 FEATURES, INNER = 4, 2
 #: Shares of the texts after which the tasks' weights are averaged, and times that all texts are seen.
 ROUNDS, EPOCHS = 3, 1
 BATCH = 8192
 RATE = 0.15
-#: Rows of weights that are averaged in one piece, and pieces of the first level.
-BLOCK, FAN_IN = 128, 64
+#: Rows of weights that are averaged in one piece.
+BLOCK = 128
 HELD_OUT = 1
 
 
@@ -226,7 +226,7 @@ def _pieces(x: np.ndarray) -> list[np.ndarray]:
 SUMS = "block int, part int, tokens binary, sums binary"
 
 
-def _train(shared):
+def _train(shared, parts: int):
     """Rows (block, part, tokens, changes): for every row of a block that was met, tokens (float32) and the change (float16)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +254,7 @@ def _train(shared):
                         n[1] += np.bincount(r.ravel(), minlength=len(inner))
                 n[0][-1] += len(h)
         if n[0][-1]:
-            part = TaskContext.get().partitionId() % FAN_IN
+            part = TaskContext.get().partitionId() % parts
             changes = [(t, d) for x, old, m in zip((outer, inner), given, n) for t, d in zip(_pieces(m), _pieces((x - old).astype(np.float16)))]
             for at in range(0, len(changes), 64):
                 some = changes[at : at + 64]
@@ -285,17 +285,18 @@ def _add(first: bool):
     return run
 
 
-def train(docs: DataFrame, vocab: Vocabulary, epochs: int = EPOCHS) -> bytes:
+def train(docs: DataFrame, vocab: Vocabulary, epochs: int = EPOCHS, share: int = SHARE) -> bytes:
     """The weights of docs (doc_id, text): (buckets + 1) x CLASSES as float32, the last row the bias, then buckets x SLOTS."""
     spark, buckets = docs.sparkSession, vocab.buckets
     outer, inner = np.zeros((buckets + 1, CLASSES), np.float32), np.zeros((buckets, SLOTS), np.float32)
     usable = np.isfinite(vocab.log_mass)
-    trainers = math.ceil(max(1, vocab.tokens) / (SHARE * buckets))
+    trainers = math.ceil(max(1, vocab.tokens) / (share * buckets))
+    parts = math.isqrt(trainers)  # pieces of the first level
     outer[-1, usable] = vocab.log_mass[usable] * math.log(10)
     for turn in range(ROUNDS * epochs):
         shared = spark.sparkContext.broadcast((vocab, outer.tobytes() + inner.tobytes()))
-        share = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == turn % ROUNDS)
-        own = arrow_map(share.select("text").coalesce(trainers), _train(shared), SUMS)
+        some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == turn % ROUNDS)
+        own = arrow_map(some.select("text").coalesce(trainers), _train(shared, parts), SUMS)
         some = own.repartition("block", "part").mapInArrow(_add(True), SUMS)
         done = some.repartition("block").mapInArrow(_add(False), SUMS).collect()
         pieces = _pieces(outer) + _pieces(inner)
@@ -347,7 +348,7 @@ def _score(shared):
     return run
 
 
-def lm_score(docs: DataFrame, epochs: int = EPOCHS, hot: int = HOT) -> DataFrame:
+def lm_score(docs: DataFrame, epochs: int = EPOCHS, hot: int = HOT, share: int = SHARE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text).
 
     Null is the empty text, which has one token, its end. Repeated rows stay
@@ -358,7 +359,7 @@ def lm_score(docs: DataFrame, epochs: int = EPOCHS, hot: int = HOT) -> DataFrame
     learned = docs.where("NOT held_out")
     counts = stored(token_counts(learned), "counts")
     vocab = vocabulary(counts, hot)
-    shared = spark.sparkContext.broadcast((vocab, train(learned, vocab, epochs)))
+    shared = spark.sparkContext.broadcast((vocab, train(learned, vocab, epochs, share)))
     schema = "doc_id long, held_out boolean, n_tokens long, n_hot long, hot_sum double, model_sum double, cold array<long>"
     rows = stored(arrow_map(docs, _score(shared), schema).withColumn("row", F.monotonically_increasing_id()), "rows")
     # the other tokens meet their counts in a shuffle; a text's repeats of one go as one row
