@@ -125,8 +125,8 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame, hot: int = HOT) -> Vocabulary:
     """counts is a stored table. To the driver come `hot` rows at most and one row a class."""
-    top = counts.orderBy(F.desc("c"), "h").limit(hot).select("h", "ending", "c").toPandas()
-    by_class = counts.groupBy("ending").agg(F.sum("c").alias("c"), F.count("*").alias("types")).toPandas()
+    top = counts.orderBy(F.desc("c"), "h").limit(hot).select("h", "ending", "c").toArrow().to_pandas()
+    by_class = counts.groupBy("ending").agg(F.sum("c").alias("c"), F.count("*").alias("types")).toArrow().to_pandas()
     mass, types = np.zeros(CLASSES), np.zeros(CLASSES)
     mass[by_class["ending"]], types[by_class["ending"]] = by_class["c"], by_class["types"]
     tokens, all_types = int(mass.sum()), int(types.sum())
