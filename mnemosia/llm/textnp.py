@@ -69,9 +69,11 @@ class Texts:
             yield at, end, Texts(buf[own[0] : own[-1]], own - own[0], lower)
             at = end
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts and ends of the words in buf, and word counts up to each text: text i has words first[i]:first[i + 1]."""
-        gap = SPACE[self.buf]
+    def words(self, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the words in buf, and word counts up to each text: text i has words first[i]:first[i + 1].
+
+        between: which bytes stand between words."""
+        gap = between[self.buf]
         start, end = ~gap, ~gap
         start[1:] &= gap[:-1]
         end[:-1] &= gap[1:]
