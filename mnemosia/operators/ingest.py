@@ -186,7 +186,7 @@ def repair_json(raw: str) -> str:
         elif c in "}]" and stack:
             stack.pop()
     body = (body + '"' if quoted else body).rstrip().rstrip(",")
-    return re.sub(r"\}\s*\{", "},{", body + "".join(reversed(stack)))
+    return re.sub(r"([}\]])\s*(\[?\{)", r"\1,\2", body + "".join(reversed(stack)))
 
 
 def repaired_json(c: Column) -> Column:
@@ -235,35 +235,29 @@ def _renamed(df: DataFrame, names: DataFrame, column: str) -> DataFrame:
     return df.withColumn("_low", F.lower(F.trim(column))).join(n, ["doc", "_low"], "left").withColumn(column, F.coalesce("_name", F.trim(column))).drop("_low", "_name")
 
 
-def finalize(entities: DataFrame, relationships: DataFrame, facts: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The three tables with aliases resolved, names canonical, weak rows and repeats dropped, and rows
-    restricted to the entities that are kept. A relationship's direction and tense follow its context:
-    a person as `product_of` a project created it, and work that is no longer current is `worked_at`."""
+def finalize(entities: DataFrame, relationships: DataFrame, facts: DataFrame, known: DataFrame | None = None, docs: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables with aliases resolved, names canonical, weak rows and repeats dropped, edges oriented by both
+    ends, and all of it made compact (see compaction). Without docs (doc, text) every entity counts as mentioned."""
+    from . import compaction
+
     typed = entities.withColumn("type", aliased(F.col("type"), ENTITY_TYPE_ALIASES)).where(F.col("type").isin(ENTITY_TYPES))
     typed = typed.where(worthy_entity(F.col("name"), F.col("type")))
     low = lambda df, c: df.select("doc", F.lower(F.trim(c)).alias("low"))
     mentioned = low(typed, "name").union(low(relationships, "source")).union(low(relationships, "target")).union(low(facts, "subject"))
     names = canonical_names(typed, known, mentioned)
     kept = first_by(_renamed(typed, names, "name"), [F.col("doc"), F.lower(F.trim("name")), F.trim("type")])
-    kinds = kept.groupBy("doc", F.lower("name").alias("low")).agg(F.min_by("type", "seq").alias("kind"))
     rels = _renamed(_renamed(relationships, names, "source"), names, "target").withColumn("relation", aliased(F.col("relation"), RELATION_ALIASES))
+    kinds = kept.groupBy("doc", F.lower("name").alias("low")).agg(F.max_by("type", "seq").alias("kind"))
     for side in ("source", "target"):
         named = kinds.select("doc", F.col("low").alias("_low"), F.col("kind").alias(f"{side}_kind"))
-        rels = rels.withColumn("_low", F.lower(side)).join(named, ["doc", "_low"]).drop("_low")
-    current = F.col("is_current") if "is_current" in relationships.columns else F.lit(None).cast("boolean")
-    rels = rels.withColumn(
-        "relation",
-        F.when((F.col("relation") == "works_at") & (current == F.lit(False)), "worked_at")
-        .when((F.col("relation") == "product_of") & (F.col("source_kind") == "person") & (F.col("target_kind") == "project"), "created").otherwise(F.col("relation")),
-    )
-    bad = F.col("relation").isin(DISCOURAGED_RELATIONS) | (F.lower("source") == F.lower("target"))
-    bad = bad | (F.col("relation") == "works_on") & (F.col("source_kind") == "service") & (F.col("target_kind") == "person") | (F.col("relation") == "uses") & (F.col("source_kind") == "service") & (F.col("target_kind") == "service")
-    low, high = F.least(F.lower("source"), F.lower("target")), F.greatest(F.lower("source"), F.lower("target"))
-    key = F.when(F.col("relation").isin(SYMMETRIC_RELATIONS), F.concat_ws("|", low, "relation", high)).otherwise(F.concat_ws("|", F.lower("source"), "relation", F.lower("target")))
-    rels = first_by(rels.where(~bad), [F.col("doc"), key]).drop("source_kind", "target_kind")
-    own = _renamed(facts, names, "subject").withColumn("property", aliased(F.col("property"), FACT_ALIASES)).where("subject <> ''")
-    own = own.withColumn("low", F.lower("subject")).join(kinds.select("doc", "low"), ["doc", "low"], "left_semi").drop("low")
-    return kept, rels.select(*relationships.columns), first_by(own, [F.col("doc"), F.lower("subject"), F.col("property")]).select(*facts.columns)
+        rels = rels.withColumn("_low", F.lower(side)).join(named, ["doc", "_low"], "left").drop("_low")
+    service = lambda relation, kind: (F.col("relation") == relation) & (F.col("source_kind") == "service") & (F.col("target_kind") == kind)
+    weak = F.col("relation").isin(DISCOURAGED_RELATIONS) | F.coalesce(service("works_on", "person") | service("uses", "service"), F.lit(False))
+    own = _renamed(facts, names, "subject").withColumn("property", aliased(F.col("property"), FACT_ALIASES)).where("subject <> '' AND property <> ''")
+    rels = compaction.oriented(rels.where(~weak).select(*relationships.columns), kept, own)
+    own = first_by(own, [F.col("doc"), F.lower("subject"), F.col("property")]).select(*facts.columns)
+    texts = kept.select("doc", F.lit("").alias("text")).distinct() if docs is None else docs
+    return compaction.compact(texts, kept, rels, own)
 
 
 def unknown_relation_rows(relationships: DataFrame) -> DataFrame:
@@ -271,17 +265,6 @@ def unknown_relation_rows(relationships: DataFrame) -> DataFrame:
     return relationships.where(~F.col("relation").isin(CANONICAL_RELATIONS)).select(F.col("relation").alias("relation_type"), F.col("source").alias("source_name"), F.col("target").alias("target_name"))
 
 
-def entity_support(entities: DataFrame, relationships: DataFrame, facts: DataFrame) -> DataFrame:
-    """doc, name, support: type weight, 3 for each relationship end, 2 for each fact."""
-    weight = F.when(F.col("type").isin("person", "project", "company"), 3).when(F.col("type").isin("decision", "event", "place"), 2).otherwise(1)
-    parts = entities.select("doc", F.lower("name").alias("low"), weight.alias("points"))
-    for side in ("source", "target"):
-        parts = parts.unionByName(relationships.select("doc", F.lower(side).alias("low"), F.lit(3).alias("points")))
-    parts = parts.unionByName(facts.select("doc", F.lower("subject").alias("low"), F.lit(2).alias("points")))
-    sums = parts.groupBy("doc", "low").agg(F.sum("points").alias("support"))
-    return entities.select("doc", "name", F.lower("name").alias("low")).join(sums, ["doc", "low"]).select("doc", "name", "support")
-
-
 def episodic_plan(entities: DataFrame, relationships: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(episodes by doc, events): events of decision and event entities, of explicit kinds and of `decided`
     relationships; the first of each kind and title; undated ones last. entities may have event_kind, started, ended."""

@@ -831,3 +831,6 @@ def known_entities(spark, d):
 def neighbor_nodes(spark, d):
     roots = table(spark, d, "nation").selectExpr("concat('nation:', n_nationkey) AS id")
     return g.neighbor_nodes(roots, edges(spark, d), nodes(spark, d)).groupBy("root", "type").agg(F.count("*").alias("n"))
+
+
+from . import extraction  # noqa: E402, F401 (registers its queries)
