@@ -38,8 +38,10 @@ BLOCK = frozenset(
     """address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
     h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul""".split()
 )
-#: Elements that are never part of the main text.
-DROPPED = frozenset("script style head title noscript template iframe object embed svg canvas audio video map nav footer aside form button select option textarea input label dialog menu search noframes noembed".split())
+#: Elements that are no text to read.
+DROPPED = frozenset("script style head title noscript template iframe object embed svg canvas audio video map button select option textarea input label search noframes noembed".split())
+#: Elements that are furniture, unless they hold the main text.
+SOFT = frozenset("nav footer aside form dialog menu".split())
 #: Words of a class, id or role that name such a part.
 NOISE = frozenset(
     """ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promotion promoted banner
@@ -51,6 +53,8 @@ HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 KEPT = frozenset("html body article main".split())
 #: Blocks that hold one piece of text; beside the path they are cut only if they are mostly links.
 PIECES = frozenset("address blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 hgroup p pre".split())
+#: What is outside of named boxes is the page's text if it has this share of the largest sum; boxes beside the text belong to it from this share of its sum.
+OUTSIDE, SHARE = 0.2, 0.5
 #: An opening tag closes an open element of these kinds, looking no further up than their containers.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _CLOSES |= {x: ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}) for x in ("thead", "tbody", "tfoot")}
@@ -58,33 +62,31 @@ _WALLS = frozenset("table td th body html article section div main".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "dropped", "soft", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, soft: bool = False):
+        self.tag, self.parent, self.dropped, self.soft = tag, parent, dropped, soft
         self.items: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _noise(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether the element is furniture. `inside`: it stands in an article."""
+def _named(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """(whether the element is not shown, whether its names say that it is furniture). `inside`: it stands in an article."""
     if tag in DROPPED:
-        return True
-    if tag in KEPT:
-        return False
+        return True, False
+    soft = tag in SOFT or tag == "header" and not inside
     if attributes:
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), a or b or c
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
+                return tag not in KEPT, False
             if name in ("class", "id", "role"):
                 words = {w.lower() for w in _NAME.findall(value)}
                 if inside and tag in HEADINGS | {"header", "hgroup"}:
                     words.discard("header")
-                if words & NOISE:
-                    return True
-    return tag == "header" and not inside
+                soft = soft or bool(words & NOISE)
+    return False, soft and tag not in KEPT
 
 
 def parse(page: str) -> Node:
@@ -141,7 +143,8 @@ def parse(page: str) -> Node:
                 body = Node("body", root)
                 root.items.append(body)
             node = body
-        new = Node(tag, node, node.dropped or _noise(tag, m[3], depth > 0))
+        hidden, soft = _named(tag, m[3], depth > 0)
+        new = Node(tag, node, node.dropped or hidden, soft)
         node.items.append(new)
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
@@ -158,19 +161,21 @@ def _length(text: str) -> int:
     return len("".join(text.split()))
 
 
-def measure(root: Node) -> list[Node]:
-    """Fills in counts, densities and sums, and returns the body's nodes in page order, without dropped ones."""
+def measure(root: Node, soft: bool = True) -> list[Node]:
+    """Fills in counts, densities and sums, and returns the nodes in page order, without dropped ones; without soft ones if `soft` is false."""
     order: list[Node] = []
     stack = [root]
     while stack:
         node = stack.pop()
         order.append(node)
-        stack += [x for x in reversed(node.items) if isinstance(x, Node) and not x.dropped]
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.density = node.total = 0.0
+        stack += [x for x in reversed(node.items) if isinstance(x, Node) and not x.dropped and (soft or not x.soft)]
     for node in reversed(order):
         for x in node.items:
             if isinstance(x, str):
                 node.chars += _length(x)
-            elif not x.dropped:
+            elif not x.dropped and (soft or not x.soft):
                 node.chars += x.chars
                 node.tags += x.tags + 1
                 node.link_chars += x.link_chars
@@ -186,24 +191,74 @@ def measure(root: Node) -> list[Node]:
             ratio = node.chars / max(1, node.link_chars) * max(1, node.tags) / max(1, node.link_tags)
             node.density = node.chars / max(1, node.tags) * max(0.0, math.log(max(ratio, 1.0), base))
     for node in order:
-        node.total = sum(x.density for x in node.items if isinstance(x, Node) and not x.dropped)
+        node.total = sum(x.density for x in node.items if isinstance(x, Node) and not x.dropped and (soft or not x.soft))
     return order
 
 
-def choose(root: Node) -> tuple[Node, Node]:
-    """(the body, the chosen node): the node with the largest sum, after boxes beside its path to the body are marked as dropped."""
-    order = measure(root)
+def _best(root: Node, soft: bool) -> tuple[Node, Node]:
+    """(the body, the node with the largest sum)."""
+    order = measure(root, soft)
     body = next((n for n in order if n.tag == "body"), root)
-    best = max((n for n in order if n.chars and n is not root), key=lambda n: n.total, default=body)
+    return body, max((n for n in order if n.chars and n is not root), key=lambda n: n.total, default=body)
+
+
+def release(root: Node) -> None:
+    """Clears `soft` of the boxes that hold the main text, whatever they are called.
+
+    If the largest sum of the whole page lies in soft boxes, and outside of soft boxes there is no article with text and
+    less than OUTSIDE of that sum, the outermost of these boxes are wrappers: as few of them as it takes, found by halving."""
+    body, best = _best(root, True)
+    whole, around = best.total, []
+    # a box within that alone makes up most of the sum holds the text as well
+    node = best
+    while (inner := max((x for x in node.items if isinstance(x, Node) and not x.dropped), key=lambda x: x.density, default=None)) is not None and 2 * inner.density > node.total > 0:
+        node = inner
+    while node is not None:
+        if node.soft:
+            around.append(node)
+        node = node.parent
+    around.reverse()
+
+    def told(k: int) -> bool:
+        for i, x in enumerate(around):
+            x.soft = i >= k
+        order = measure(root, False)
+        return any(n.chars and n.tag in ("article", "main") for n in order) or max((n.total for n in order if n is not root), default=0.0) >= OUTSIDE * whole
+
+    low, high = (0, 0) if told(0) else (min(1, len(around)), len(around))
+    while low < high:
+        middle = (low + high) // 2
+        if told(middle):
+            high = middle
+        else:
+            low = middle + 1
+    if around:
+        for i, x in enumerate(around):
+            x.soft = i >= low
+
+
+def choose(root: Node) -> tuple[Node, Node]:
+    """(the body, the chosen node), after all that is not the chosen node's text, or widens it, is marked as dropped.
+
+    The chosen node has the largest sum once soft boxes beside it are left out. Of what stands beside its path to the
+    body, boxes widen it that reach the path's least density and, outside of an article, SHARE of its sum; pieces
+    of text do unless they are mostly links, or stand alone below the body."""
+    release(root)
+    body, best = _best(root, False)
     path = [best]
     while path[-1].parent is not None and path[-1] is not body:
         path.append(path[-1].parent)
-    threshold = min(n.density for n in path)
+    threshold, own = min(n.density for n in path), set(map(id, path))
+    inside = next((i for i, n in reversed(list(enumerate(path))) if n.tag in ("article", "main")), -1)
     # the body is not a box of its own: if it is chosen, its boxes are judged too
-    for node in path[1:] if len(path) > 1 else path:
+    for i, node in list(enumerate(path))[1:] if len(path) > 1 else enumerate(path):
         for x in node.items:
-            if isinstance(x, Node) and not x.dropped and x not in path and x.density < threshold:
-                x.dropped = 2 * x.link_chars > x.chars or x.tag in BLOCK and x.tag not in PIECES
+            if isinstance(x, Node) and not x.dropped and not x.soft and id(x) not in own:
+                links = 2 * x.link_chars > x.chars
+                if x.tag in BLOCK and x.tag not in PIECES:
+                    x.dropped = x.density < threshold or i > inside and len(path) > 1 and x.total < SHARE * best.total
+                elif x.density < threshold:
+                    x.dropped = links
     return body, best
 
 
@@ -225,7 +280,7 @@ def block_texts(node: Node) -> list[str]:
             flush()
         elif isinstance(x, str):
             run.append(html.unescape(x))
-        elif x.dropped:
+        elif x.dropped or x.soft:
             if x.tag in BLOCK:
                 flush()
         elif x.tag == "br":

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import pytest
 
@@ -128,3 +129,161 @@ def test_the_density_node_holds_the_text(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(200).collect()
     right = sum(H.choose(H.parse(r.html))[1].tag not in ("body", "html") for r in rows)
     assert right >= 0.9 * len(rows)
+
+
+def neutralised(page):
+    """The page with every box a div, without class, id and role, and without script and style."""
+    page = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>", "", page)
+    boxes = H.BLOCK - H.PIECES - {"body", "html"}
+    page = re.sub(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)", lambda m: f"<{m[1]}div" if m[2].lower() in boxes else m[0], page)
+    return re.sub(r"""(?i)\s(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "", page)
+
+
+def test_names_hardly_matter(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect() if r.html]
+    assert sum(H.extract(p) == H.extract(neutralised(p)) for p in pages) >= 0.9 * len(pages)
+
+
+LONG = [f"This is paragraph {k} of an article that says something about the world and goes on for a while so that it counts." for k in range(4)]
+ARTICLE = "<h1>A title</h1>" + "".join(f"<p>{p}</p>" for p in LONG)
+
+
+@pytest.mark.parametrize("wrapper", ['<div id="page" class="site has-sidebar">{}</div>', '<div class="post comments-open">{}</div>', '<form id="aspnetForm"><div id="content">{}</div></form>', "<aside><nav class=menu><div>{}</div></nav></aside>", "<header class=banner>{}</header>"])
+def test_no_name_removes_the_box_that_holds_the_text(wrapper):
+    menu = "<nav><ul><li><a href=/>Home</a></li><li><a href=/b>Blog</a></li></ul></nav>"
+    comments = "<section id=comments>" + "<p>I read it twice and must say that I agree with most of it.</p>" * 9 + "</section>"
+    for inner in (ARTICLE, menu + ARTICLE, ARTICLE + comments, menu + f"<div>{ARTICLE}</div><div class=sidebar>More to read</div>"):
+        page = f"<html><body>{menu}{wrapper.format(inner)}<footer>(c) us</footer></body></html>"
+        assert H.extract(page).split("\n\n") == ["A title", *LONG]
+
+
+def test_nested_boxes_take_time_in_proportion():
+    for tag in ("<div>", "<div class=sidebar>", "<form>"):
+        assert H.extract(f"<body>{tag * 20_000}text") == "text"
+
+
+def brute(page_tree):
+    """The whole extraction over a tree of (tag, class, children), each figure by walking the tree anew."""
+    boxes, parents = [], {}
+
+    def walk(t, parent):
+        parents[id(t)] = parent
+        boxes.append(t)
+        for x in t[2]:
+            if not isinstance(x, str):
+                walk(x, t)
+
+    walk(page_tree, None)
+    soft = {id(t) for t in boxes if t[0] in ("nav", "footer", "aside", "form") or t[0] != "article" and t[1] in ("sidebar", "comments")}
+
+    def inner(t, out):
+        return [x for x in t[2] if isinstance(x, str) or id(x) not in out]
+
+    def chars(t, out):
+        return sum(len(x.replace(" ", "")) if isinstance(x, str) else chars(x, out) for x in inner(t, out))
+
+    def tags(t, out):
+        return sum(1 + tags(x, out) for x in inner(t, out) if not isinstance(x, str))
+
+    def links(t, out):
+        if t[0] == "a":
+            return chars(t, out), 1 + sum(links(x, out)[1] for x in inner(t, out) if not isinstance(x, str))
+        both = [links(x, out) for x in inner(t, out) if not isinstance(x, str)]
+        return sum(b[0] for b in both), sum(b[1] for b in both)
+
+    def density(t, out):
+        c, n, (lc, ln) = chars(t, out), max(1, tags(t, out)), links(t, out)
+        if not c:
+            return 0.0
+        share = links(page_tree, out)[0] / chars(page_tree, out)
+        base = math.log(c / max(1, c - lc) * max(1, lc) + share * c + math.e)
+        return c / n * max(0.0, math.log(max(1.0, c / max(1, lc) * n / max(1, ln)), base))
+
+    def total(t, out):
+        return sum(density(x, out) for x in inner(t, out) if not isinstance(x, str))
+
+    def above(t):
+        while t is not None:
+            yield t
+            t = parents[id(t)]
+
+    def best(out):
+        live = [t for t in boxes if not any(id(x) in out for x in above(t)) and chars(t, out)]
+        return max(live, key=lambda t: total(t, out), default=page_tree)
+
+    first = best(set())
+    deep = first
+    while inside := [x for x in deep[2] if not isinstance(x, str) and 2 * density(x, set()) > total(deep, set()) > 0]:
+        deep = max(inside, key=lambda x: density(x, set()))
+    around = [t for t in above(deep) if id(t) in soft][::-1]
+
+    def told(k):
+        out = soft - {id(t) for t in around[:k]}
+        live = [t for t in boxes if not any(id(x) in out for x in above(t))]
+        return any(t[0] == "article" and chars(t, out) for t in live) or max(total(t, out) for t in live) >= H.OUTSIDE * total(first, set())
+
+    fits = [told(k) for k in range(len(around) + 1)]
+    k, most = (0, 0) if fits[0] else (min(1, len(around)), len(around))
+    while k < most:
+        middle = (k + most) // 2
+        k, most = (k, middle) if fits[middle] else (middle + 1, most)
+    out = soft - {id(t) for t in around[:k]}
+    chosen = best(out)
+    path = list(above(chosen))
+    least = min(density(t, out) for t in path)
+    article = max((i for i, t in enumerate(path) if t[0] == "article"), default=-1)
+    cut = set()
+    for i, t in list(enumerate(path))[1:] if len(path) > 1 else enumerate(path):
+        for x in inner(t, out):
+            if isinstance(x, str) or any(x is p for p in path):
+                continue
+            if x[0] in ("p", "a"):
+                if density(x, out) < least and 2 * links(x, out)[0] > chars(x, out):
+                    cut.add(id(x))
+            elif density(x, out) < least or i > article and len(path) > 1 and total(x, out) < H.SHARE * total(chosen, out):
+                cut.add(id(x))
+    blocks, run = [], []
+
+    def flush():
+        text = " ".join("".join(run).split())
+        run.clear()
+        blocks.extend([text] if text else [])
+
+    def read(t):
+        for x in t[2]:
+            if isinstance(x, str):
+                run.append(x)
+            elif id(x) in cut or id(x) in out:
+                if x[0] != "a":
+                    flush()
+            elif x[0] == "a":
+                read(x)
+            else:
+                flush()
+                read(x)
+                flush()
+
+    read(page_tree)
+    flush()
+    return "\n\n".join(blocks)
+
+
+def test_against_brute_force():
+    rng = random.Random(8)
+
+    def tree(depth, linked=False):
+        if depth == 0 or rng.random() < 0.25:
+            tag = "p" if linked or rng.random() < 0.7 else "a"
+            return (tag, "", [content(rng, rng.choice([1, 3, 30]))]) if tag == "a" else (tag, "", [content(rng, rng.choice([2, 20, 60])), *([("a", "", [content(rng, 2)])] if rng.random() < 0.3 else [])])
+        return (rng.choice(["div", "div", "section", "article", "nav", "footer", "aside", "form"]), rng.choice(["", "", "sidebar", "comments", "x"]), [tree(depth - 1) for _ in range(rng.randrange(1, 5))])
+
+    def written(t):
+        return "".join(x if isinstance(x, str) else f"<{x[0]} class='{x[1]}'>{written(x)}</{x[0]}>" for x in t[2])
+
+    seen = 0
+    for _ in range(400):
+        body = ("body", "", [tree(4) for _ in range(rng.randrange(1, 5))])
+        got, want = H.extract(f"<html><body>{written(body)}</body></html>"), brute(body)
+        assert got == want
+        seen += bool(want)
+    assert seen > 300
