@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows up to which a narrow table (a few longs a row) is broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -52,7 +53,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def arrow_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
     """df.mapInArrow with batches of whole texts that stay small: sets the session's limit where it is larger."""
     conf = df.sparkSession.conf
     limit = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))

@@ -309,13 +309,13 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One row of each component: the one with its least doc_id (of equal doc_ids one row); rows with a null doc_id stay."""
     found = near_duplicates(docs)
     drop = stored(found.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct(), "dropped")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    whole = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    # the document's own columns stay in one struct, whatever their names
+    whole = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     unique = whole.join(small(drop), "_id", "left_anti")
     again = stored(found.where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"), "repeated")
     if again.isEmpty():
-        return unique.select(*names)
+        return unique.select("row.*")
     again = small(again)
     # tasks choose among their own rows first: the least text of each doc_id
-    one = unique.join(again, "_id", "left_semi").groupBy("_id").agg(F.min_by(F.struct(*names), F.coalesce("text", F.lit(""))).alias("_row"))
-    return unique.join(again, "_id", "left_anti").select(*names).unionByName(one.select("_row.*"))
+    one = unique.join(again, "_id", "left_semi").groupBy("_id").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row"))
+    return unique.join(again, "_id", "left_anti").select("row.*").unionByName(one.select("row.*"))

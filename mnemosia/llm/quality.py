@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import arrow_map, stored, table
 from .textnp import Texts, ngrams
@@ -166,7 +167,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, policy: str
     """The rows of docs that the policy keeps, with their columns; each row is judged on its own text."""
     names = [f for f in docs.columns]
     packed = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"))
-    schema = f"row {packed.schema['row'].dataType.simpleString()}, " + ", ".join(f"{m} long" for m in MEASURES)
+    schema = StructType([StructField("row", packed.schema["row"].dataType), *[StructField(m, LongType()) for m in MEASURES]])
     measured = arrow_map(packed, _measure_rows, schema)
     return measured.where(passes(policy, fail_bits()) & passes("base", fail_bits())).select("row.*")
 

@@ -219,7 +219,8 @@ def redact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, mask: str =
     """docs with every found span of text replaced by the mask (overlapping spans by one); all rows and columns stay."""
     ledger = BlobLedger(spark, f"{work_dir(spark)}/ledger")
     ledger.scan(docs)
-    blob = F.sha2(F.coalesce("text", F.lit("")), 256)
-    joined = docs.withColumn("_blob", blob).join(ledger.findings().select(F.col("blob").alias("_blob"), F.col("found").alias("_found")), "_blob", "left")
-    text = F.when(F.col("_found").isNull() | F.col("text").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("_found"), mask))
-    return joined.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # the document's own columns stay in one struct, whatever their names
+    packed = docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = packed.join(ledger.findings(), "blob", "left")
+    text = F.when(F.col("found").isNull() | F.col("row.text").isNull(), F.col("row.text")).otherwise(redacted(F.col("row.text"), F.col("found"), mask))
+    return joined.select(F.col("row").withField("text", text).alias("row")).select("row.*")

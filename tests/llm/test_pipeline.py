@@ -101,3 +101,19 @@ def test_columns(spark, folder):
         assert stage(spark, docs, d).columns == docs.columns, name
         assert stage(spark, docs.where("false"), d).collect() == [], name
     assert quality.mask("v1") == 63
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_stages_leave_columns_of_any_name(spark, tmp_path, name):
+    """Columns that the stages use within, and names with a space, a dot, a colon: what goes in comes out."""
+    own = ["_id", "_blob", "_found", "_row", "row", "blob", "found", "comp", "n_words", "fail_bits", "n_hit", "a b", "a.b", "a:b", "kept"]
+    text = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    rows = [(1, text, "en", "s", 9, *[f"x{k}" for k in own]), (1, text + " more", "en", "s", 9, *[f"y{k}" for k in own]), (2, text[::-1], None, None, None, *[None for _ in own])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{k}` string" for k in own)
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(7, "none of these words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    got = sorted(map(tuple, out.collect()), key=str)
+    assert got and set(map(str, got)) <= set(map(str, map(tuple, rows)))
+    assert len(got) == (2 if name == "minhash_near_dedup" else 3)
