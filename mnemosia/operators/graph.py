@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .listing import NotFound
@@ -47,13 +47,22 @@ def context(nodes: DataFrame, edges: DataFrame, node_id: str) -> tuple[DataFrame
     return nodes.where(F.col("id") == node_id), near, own
 
 
-def kept(level: DataFrame) -> DataFrame:
-    """The level in the checkpoint folder; only a session on one machine gets a folder of its own."""
-    context = level.sparkSession.sparkContext
-    if not context.getCheckpointDir():
+def folder(spark: SparkSession) -> str:
+    """The checkpoint folder; only a session on one machine gets one of its own."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:
         if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        base = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(base)
+    return base
+
+
+def kept(level: DataFrame) -> DataFrame:
+    """The level in the checkpoint folder."""
+    folder(level.sparkSession)
     return level.checkpoint()
 
 

@@ -13,14 +13,13 @@ from pyspark.sql import functions as F
 
 from mnemosia.functions.text import intent_of, query_variants, title_words
 
-from . import rank, search
+from . import postings as stored_postings, rank, search, shaping
 from .graph import kept
 from .listing import node_by_label
 
 #: Least salience by intent where none is asked for, most labels that are rescued, seeds and edges of the expansion (fixed values).
 LEAST_SALIENCE = {"procedural": 1.0, "temporal": 0.5}
 RESCUED, SEEDS, SEED_EDGES = 3, 5, 3
-RERANK_FACTOR, RERANK_MOST = 3, 50
 
 
 def variant_rows(queries: DataFrame) -> DataFrame:
@@ -41,13 +40,16 @@ def least_salience(queries: DataFrame, asked: float = 0.0) -> DataFrame:
     return queries.select("query_id", least.alias("least"))
 
 
-def first_text_hits(nodes: DataFrame, aliases: DataFrame | None, queries: DataFrame, limit: int = 20, kind: str = "", min_salience: float = 0.0, stemmed: bool = True) -> DataFrame:
-    """query_id, id, match, score, rank: the full-text hits of the first variant that has any."""
+def first_text_hits(nodes: DataFrame, aliases: DataFrame | None, queries: DataFrame, limit: int = 20, kind: str = "", min_salience: float = 0.0, stemmed: bool = True, postings: stored_postings.Postings | None = None) -> DataFrame:
+    """query_id, id, match, score, rank: the full-text hits of the first variant that has any; from stored postings if there are any."""
     rows = nodes.where(F.col("type") == kind) if kind else nodes
     asked = variant_rows(queries).select(F.struct("query_id", "variant").alias("query_id"), "text")
-    hits = search.text_hits(rows, asked, stemmed)
-    if aliases is not None:
-        hits = hits.unionByName(search.alias_hits(aliases, asked, stemmed))
+    if postings is not None:
+        hits = stored_postings.matches(postings, aliases, asked)
+    else:
+        hits = search.text_hits(rows, asked, stemmed)
+        if aliases is not None:
+            hits = hits.unionByName(search.alias_hits(aliases, asked, stemmed))
     best = hits.groupBy("query_id", "id").agg(F.max("match").alias("match")).select("query_id.query_id", "query_id.variant", "id", "match")
     met = best.join(rows.select("id", "salience_score", "updated_at"), "id").join(least_salience(queries, min_salience), "query_id").where(F.col("salience_score") >= F.col("least"))
     first = search.first_variant(met)
@@ -84,9 +86,13 @@ def expanded(nodes: DataFrame, edges: DataFrame, found: DataFrame, limit: int) -
     return rank.merge_expanded(found, near, limit).select("query_id", "id", "rank")
 
 
-def full_text_service(nodes: DataFrame, aliases: DataFrame, edges: DataFrame, queries: DataFrame, limit: int = 20, kind: str = "", min_salience: float = 0.0, stemmed: bool = True) -> DataFrame:
-    """query_id, id, rank: text hits, labels, neighbours."""
-    found = first_text_hits(nodes, aliases, queries, limit, kind, min_salience, stemmed)
+def full_text_service(
+    nodes: DataFrame, aliases: DataFrame, edges: DataFrame, queries: DataFrame, limit: int = 20, kind: str = "", min_salience: float = 0.0, stemmed: bool = True,
+    postings: stored_postings.Postings | None = None, beliefs: DataFrame | None = None,
+) -> DataFrame:
+    """query_id, id, rank: text hits shaped by time and beliefs, labels, neighbours."""
+    found = kept(first_text_hits(nodes, aliases, queries, limit, kind, min_salience, stemmed, postings))
+    found = shaping.shaped(found, queries, nodes, beliefs, limit)
     return expanded(nodes, edges, kept(appended(found, rescued(nodes, aliases, queries), limit)), limit)
 
 
@@ -96,20 +102,18 @@ def semantic_service(vectors: DataFrame, queries: DataFrame, embedded: DataFrame
     return search.semantic(vectors, longest, limit)
 
 
-def hybrid_service(nodes: DataFrame, aliases: DataFrame, edges: DataFrame, vectors: DataFrame, queries: DataFrame, embedded: DataFrame, limit: int = 10, stemmed: bool = True) -> DataFrame:
-    """query_id, id, rank: text and vector hits fused, then labels and neighbours.
+def hybrid_service(nodes: DataFrame, aliases: DataFrame, edges: DataFrame, vectors: DataFrame, queries: DataFrame, embedded: DataFrame, limit: int = 10, stemmed: bool = True, beliefs: DataFrame | None = None, rerank: str | None = None) -> DataFrame:
+    """query_id, id, rank: text and vector hits fused, shaped by time and beliefs or, with the name of a profile in
+    `rerank`, re-ranked from more of them, then labels and neighbours.
 
     The text side is that of the longest variant, since with a vector side it always has hits; a query without
     vector hits has those of the first variant with any."""
-    near = kept(semantic_service(vectors, queries, embedded, limit))
+    most = limit if rerank is None else shaping.rerank_limit(limit)
+    near = kept(semantic_service(vectors, queries, embedded, most))
     longest = variant_rows(queries).where("variant = 0").select("query_id", "text").join(near.select("query_id").distinct(), "query_id", "left_semi")
-    text = search.full_text(nodes, aliases, longest, limit=limit, stemmed=stemmed)
+    text = search.full_text(nodes, aliases, longest, limit=most, stemmed=stemmed)
     alone = queries.join(near.select("query_id").distinct(), "query_id", "left_anti")
-    text = text.unionByName(first_text_hits(nodes, aliases, alone, limit, stemmed=stemmed))
-    found = search.hybrid(text, near, nodes, limit)
+    text = text.unionByName(first_text_hits(nodes, aliases, alone, most, stemmed=stemmed))
+    found = kept(search.hybrid(text, near, nodes, most))
+    found = shaping.shaped(found, queries, nodes, beliefs, limit) if rerank is None else shaping.reranked(found, queries, nodes, beliefs, rerank, limit)
     return expanded(nodes, edges, kept(appended(found, rescued(nodes, aliases, queries), limit)), limit)
-
-
-def rerank_limit(limit: int) -> int:
-    """How many candidates a re-ranking looks at."""
-    return min(RERANK_FACTOR * limit, RERANK_MOST)

@@ -833,4 +833,4 @@ def neighbor_nodes(spark, d):
     return g.neighbor_nodes(roots, edges(spark, d), nodes(spark, d)).groupBy("root", "type").agg(F.count("*").alias("n"))
 
 
-from . import extraction  # noqa: E402, F401 (registers its queries)
+from . import extraction, searching  # noqa: E402, F401 (they register their queries)
