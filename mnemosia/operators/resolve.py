@@ -7,7 +7,13 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-AUTO, KEEP, GAP, GAP_ABOVE = 0.93, 0.5, 0.08, 0.04
+from .graph import kept
+from .listing import node_by_label
+from .postings import Postings, build, matches
+from .search import first_variant
+from .service import least_salience, variant_rows
+
+AUTO, KEEP, GAP_ABOVE, CANDIDATES = 0.93, 0.5, 0.04, 10
 
 #: Endings of company names, taken off in this order (fixed values).
 COMPANY_SUFFIXES = [
@@ -55,30 +61,75 @@ def candidate_score(query: Column, kind: Column, id_: Column, label: Column, nod
     return F.least(F.greatest(base + typed, F.lit(0.0)), F.lit(1.0))
 
 
-def resolve(names: DataFrame, nodes: DataFrame, aliases: DataFrame) -> DataFrame:
-    """name_id, status, node_id, confidence for each row of names (name_id, name, kind).
-
-    Candidates are found by equality only: id, normalised label, normalised alias, and the
-    label's first word; names are a stated set of queries, and a first word that very many labels
-    have is split by the join. Those of 0.5 or more are kept. One that reaches 0.93
-    and leads the next by 0.08 (0.04 if both are that good) is a match; otherwise several are
-    ambiguous, one alone or none is no match."""
-    asked = names.select("name_id", "name", "kind", normalize_label(F.col("name")).alias("norm"))
-    asked = asked.withColumn("first", F.split_part("norm", F.lit(" "), F.lit(1)))
-    own = nodes.select("id", "type", "label", normalize_label(F.col("label")).alias("norm"))
-    own = own.withColumn("first", F.split_part("norm", F.lit(" "), F.lit(1)))
-    found = (
-        asked.join(own.select("id", F.col("id").alias("name")), "name").select("name_id", "id")
-        .union(asked.join(own.select("id", "norm"), "norm").select("name_id", "id"))
-        .union(asked.join(aliases.select(F.col("node_id").alias("id"), F.col("normalized_alias").alias("norm")), "norm").select("name_id", "id"))
-        .union(asked.where("first <> ''").join(own.select("id", "first"), "first").select("name_id", "id"))
-        .distinct()
+def _search_columns(nodes: DataFrame) -> DataFrame:
+    """nodes with what a search needs, where it is missing: the label as text, full salience, no time."""
+    have = nodes.columns
+    return nodes.select(
+        "id", "type", "label", (F.col("search_text") if "search_text" in have else F.col("label")).alias("search_text"),
+        (F.col("salience_score") if "salience_score" in have else F.lit(100.0)).alias("salience_score"), (F.col("updated_at") if "updated_at" in have else F.lit(None).cast("timestamp_ntz")).alias("updated_at"),
     )
-    met = found.join(asked, "name_id").join(own.select("id", "type", "label"), "id")
-    scored = met.select("name_id", "id", F.round(candidate_score(F.col("name"), F.col("kind"), F.col("id"), F.col("label"), F.col("type")), 9).alias("confidence")).where(F.col("confidence") >= KEEP)
+
+
+def search_candidates(names: DataFrame, nodes: DataFrame, aliases: DataFrame, limit: int = CANDIDATES, postings: Postings | None = None) -> DataFrame:
+    """name_id, id: the first `limit` nodes that a search for a name (name_id, name) finds, by the first of the name's forms that has any.
+
+    Forms are searched once whatever the number of names that have them, and each keeps its first hits only, so a word
+    that very many nodes and names share costs its postings once."""
+    rows = _search_columns(nodes)
+    own = aliases if "alias" in aliases.columns else aliases.withColumn("alias", F.col("normalized_alias"))
+    posted = build(rows, own) if postings is None else postings
+    queries = names.select(F.col("name_id").alias("query_id"), F.col("name").alias("text"))
+    forms = variant_rows(queries).join(least_salience(queries), "query_id")
+    asked = kept(forms.select("text", "least").distinct())
+    found = matches(posted, own, asked.select(F.col("text").alias("query_id"), "text").distinct()).withColumnRenamed("query_id", "text")
+    met = found.join(rows.select("id", "salience_score", "updated_at"), "id").join(asked, "text").where(F.col("salience_score") >= F.col("least"))
+    score = F.round(F.col("match") * 0.8 + F.least(F.col("salience_score") / 100.0, F.lit(1.0)) * 0.2, 9)
+    w = Window.partitionBy("text", "least").orderBy(score.desc(), F.desc("salience_score"), F.desc("updated_at"), F.asc("id"))
+    best = kept(met.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).select("text", "least", "id"))
+    return first_variant(forms.join(best, ["text", "least"])).select(F.col("query_id").alias("name_id"), "id")
+
+
+def decided(scored: DataFrame) -> DataFrame:
+    """name_id, status, id, confidence, clear of candidates (name_id, id, confidence): the best of each name.
+
+    One that reaches 0.93 and leads the next by 0.04 is a match; otherwise several are ambiguous, one alone is no match."""
     w = Window.partitionBy("name_id").orderBy(F.desc("confidence"), "id")
     top = scored.withColumn("n", F.row_number().over(w)).withColumn("next", F.lead("confidence").over(w)).withColumn("all", F.count("*").over(Window.partitionBy("name_id"))).where("n = 1")
-    gap = F.when(F.col("next") >= AUTO, GAP_ABOVE).otherwise(GAP)
-    clear = (F.col("confidence") >= AUTO) & (F.col("next").isNull() | (F.round(F.col("confidence") - F.col("next"), 9) >= gap))
-    status = F.when(clear, "match").when(F.col("all") > 1, "ambiguous").otherwise("no_match")
-    return asked.select("name_id").join(top, "name_id", "left").select("name_id", F.when(F.col("id").isNull(), "no_match").otherwise(status).alias("status"), F.when(clear, F.col("id")).alias("node_id"), "confidence")
+    clear = (F.col("confidence") >= AUTO) & (F.col("next").isNull() | (F.round(F.col("confidence") - F.col("next"), 9) >= GAP_ABOVE))
+    return top.select("name_id", F.when(clear, "match").when(F.col("all") > 1, "ambiguous").otherwise("no_match").alias("status"), "id", "confidence")
+
+
+def scored_candidates(found: DataFrame, asked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """name_id, id, confidence of pairs (name_id, id), those of 0.5 or more."""
+    met = found.join(asked, "name_id").join(nodes.select("id", "type", "label"), "id")
+    confidence = F.round(candidate_score(F.col("name"), F.col("kind"), F.col("id"), F.col("label"), F.col("type")), 9)
+    return met.select("name_id", "id", confidence.alias("confidence")).where(F.col("confidence") >= KEEP)
+
+
+def resolve(names: DataFrame, nodes: DataFrame, aliases: DataFrame, postings: Postings | None = None, lookup: bool = False) -> DataFrame:
+    """name_id, status, node_id, confidence for each row of names (name_id, name, kind).
+
+    Candidates are nodes of that id, of an equal label or alias, and the first ten that a search for the name finds
+    (the words of a name in any order, then each long word of it alone). See `decided` for the status. With `lookup`
+    an id, and else the one node whose label or alias equals the name, settles it without a search."""
+    asked = names.select("name_id", F.trim("name").alias("name"), "kind")
+    labelled = node_by_label(nodes, aliases if "alias" in aliases.columns else aliases.withColumn("alias", F.col("normalized_alias")), asked.select(F.col("name").alias("label")))
+    by_id = asked.join(nodes.select("id", F.col("id").alias("name")), "name").select("name_id", "id")
+    by_label = asked.join(labelled, F.col("label") == F.col("name")).select("name_id", "id")
+    settled = None
+    if lookup:
+        one = kept(by_id.select("name_id", "id", F.lit(0).alias("tier")).unionByName(by_label.select("name_id", "id", F.lit(1).alias("tier"))).groupBy("name_id").agg(F.min(F.struct("tier", "id")).alias("b")).select("name_id", "b.id", "b.tier"))
+        met = one.join(asked, "name_id").join(nodes.select("id", "type", "label"), "id")
+        own = candidate_score(F.col("name"), F.col("kind"), F.col("id"), F.col("label"), F.col("type"))
+        alias = F.lower(F.trim("label")) != F.lower("name")
+        confidence = F.when(F.col("tier") == 0, 1.0).when(alias, F.greatest(own, F.lit(0.96))).otherwise(own)
+        settled = met.select("name_id", F.lit("match").alias("status"), "id", F.round(confidence, 9).alias("confidence"))
+        asked = kept(asked.join(one.select("name_id"), "name_id", "left_anti"))
+    normal = nodes.select("id", normalize_label(F.col("label")).alias("norm"))
+    found = search_candidates(asked, nodes, aliases, postings=postings)
+    if not lookup:
+        same = asked.withColumn("norm", normalize_label(F.col("name"))).join(normal, "norm").select("name_id", "id")
+        found = found.union(by_id).union(by_label).union(same).distinct()
+    top = decided(scored_candidates(found, asked, nodes))
+    top = top.unionByName(settled) if settled is not None else top
+    return names.select("name_id").join(top, "name_id", "left").select("name_id", F.coalesce("status", F.lit("no_match")).alias("status"), F.when(F.col("status") == "match", F.col("id")).alias("node_id"), "confidence")

@@ -6,10 +6,14 @@ which the text does not hold, edges between neighbours, facts on every third.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemosia.operators import compaction
+from mnemosia.operators import compaction, writing
+from mnemosia.operators.graph import folder
+from mnemosia.streaming import feed
 
 from .graph import table
 from .registry import query
@@ -82,3 +86,56 @@ def edge_orientation(spark, d):
     """Edges whose relation and direction fit the kinds and birthdays of both ends."""
     _, ents, rels, facts = _extracted(spark, d)
     return compaction.oriented(rels, ents, facts).select("doc", "source", "relation", "target")
+
+
+@query(
+    """WITH v AS (SELECT user_id AS node_id, event_type AS property, event_id AS seq, floor(value / 50)::BIGINT::VARCHAR AS value, 'src' || (event_id % 3) AS source FROM events),
+    h AS (SELECT *, lag(value) OVER w AS old, row_number() OVER w AS n, lead(seq) OVER w IS NULL AS last FROM v WINDOW w AS (PARTITION BY node_id, property ORDER BY seq))
+    SELECT 'history' AS part, node_id, property, seq, old AS old_value, value AS new_value, source FROM h WHERE n > 1 AND old IS DISTINCT FROM value UNION ALL SELECT 'current', node_id, property, NULL, NULL, value, NULL FROM h WHERE last"""
+)
+def property_merge(spark, d):
+    """The events of each user as versions of its properties: what stays, and every conflict on the way."""
+    rows = table(spark, d, "events").selectExpr("user_id AS node_id", "event_type AS property", "event_id AS seq", "CAST(CAST(floor(value / 50) AS bigint) AS string) AS value", "concat('src', event_id % 3) AS source", "ts AS changed_at")
+    current, history = writing.merged_versions(rows)
+    first = history.select(F.lit("history").alias("part"), "node_id", "property", "seq", "old_value", "new_value", "source")
+    none = F.lit(None)
+    return first.unionByName(current.select(F.lit("current").alias("part"), "node_id", "property", none.cast("long").alias("seq"), none.cast("string").alias("old_value"), F.col("value").alias("new_value"), none.cast("string").alias("source")))
+
+
+_KEYED = "substr(md5(CAST(o_orderkey % 40 AS {0})), 1, 8)"
+
+
+@query(
+    f"""WITH e AS (SELECT o_orderkey AS seq, o_orderpriority AS p, CASE WHEN o_orderkey % 5 < 2 THEN c_name ELSE 'vendor ' || {_KEYED.format("VARCHAR")} END AS who, o_orderkey % 5 < 2 AS known,
+      CASE o_orderkey % 5 WHEN 0 THEN upper(c_name) WHEN 1 THEN c_name || ' Inc.' WHEN 2 THEN 'Vendor ' || {_KEYED.format("VARCHAR")} WHEN 3 THEN 'vendor ' || {_KEYED.format("VARCHAR")} || ', Inc.' ELSE ' VENDOR ' || {_KEYED.format("VARCHAR")} END AS name FROM orders JOIN customer ON c_custkey = o_custkey),
+    h AS (SELECT *, lag(p) OVER (PARTITION BY who ORDER BY seq) AS old FROM e)
+    SELECT CASE WHEN known THEN who ELSE trim(arg_min(name, seq)) END AS label, count(*) AS n_rows, CASE WHEN known THEN 0 ELSE 1 END::BIGINT AS n_created, count(*) FILTER (old IS NOT NULL AND old <> p) AS n_conflicts, arg_max(p, seq) AS priority FROM h GROUP BY who, known"""
+)
+def entity_writes(spark, d):
+    """Orders name customers that the graph has, in capitals or with a company's ending, and vendors that it has not."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer").select("c_custkey", "c_name"), F.col("c_custkey") == F.col("o_custkey"))
+    key = _KEYED.format("string")
+    name = f"CASE o_orderkey % 5 WHEN 0 THEN upper(c_name) WHEN 1 THEN concat(c_name, ' Inc.') WHEN 2 THEN concat('Vendor ', {key}) WHEN 3 THEN concat('vendor ', {key}, ', Inc.') ELSE concat(' VENDOR ', {key}) END"
+    entities = o.selectExpr("o_orderkey AS seq", f"{name} AS name", "'customer' AS type", "map('priority', o_orderpriority) AS properties")
+    nodes = table(spark, d, "customer").selectExpr("concat('customer:', c_custkey) AS id", "'customer' AS type", "c_name AS label", "map('segment', c_mktsegment) AS properties")
+    none = spark.createDataFrame([], "node_id string, alias string, normalized_alias string")
+    got = writing.write_entities(nodes, none, entities, "orders", "2024-01-01T00:00:00Z")
+    sums = got["actions"].groupBy(F.col("node_id").alias("id")).agg(F.count("*").alias("n_rows"), F.count_if(F.col("action") == "created").alias("n_created"))
+    conflicts = got["history"].groupBy(F.col("node_id").alias("id")).agg(F.count("*").alias("n_conflicts"))
+    met = sums.join(got["nodes"], "id").join(conflicts, "id", "left")
+    return met.select("label", "n_rows", "n_created", F.coalesce("n_conflicts", F.lit(0)).alias("n_conflicts"), F.element_at("properties", "priority").alias("priority"))
+
+
+@query(
+    """WITH s AS (SELECT user_id::VARCHAR AS tenant, event_id AS change_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, count(*) OVER (PARTITION BY user_id) AS last, max(ts) OVER (PARTITION BY user_id) AS newest FROM events)
+    SELECT tenant, change_id, seq FROM s WHERE seq > last - 20 AND ts >= newest - INTERVAL 10 DAY"""
+)
+def change_feed(spark, d):
+    """The events published in three parts and numbered as a stream that is stopped and started between them: what can be replayed."""
+    rows = table(spark, d, "events").selectExpr("event_id AS change_id", "CAST(user_id AS string) AS tenant", "event_type AS type", "ts", "props AS payload")
+    place = f"{folder(spark)}/feed-{uuid.uuid4().hex}"
+    one, two = (F.col("ts") < F.lit(day).cast("timestamp_ntz") for day in ("2024-01-11", "2024-01-21"))
+    for part in (one, two & ~one, ~two):
+        feed.publish(rows.where(part), f"{place}/log")
+        feed.run_numbering(spark, f"{place}/log", f"{place}/state", f"{place}/numbered", 20, 10 * 86400)
+    return feed.held(spark, f"{place}/state").select("tenant", "change_id", "seq")
