@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heappop, heappush, heappushpop
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -55,15 +60,36 @@ def feedback_summary(feedback: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def _running_medians(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in the order of run and seq, with `median` and `earlier` of the positive rates before each row.
+
+    The lower half of a run's rates is a heap with its largest on top, the upper half one with its smallest."""
+    low: list[float] = []
+    high: list[float] = []
+    run: object = low  # no run is this
+    for batch in batches:
+        medians, earlier = [], []
+        for now, rate in zip(batch.column("run").to_pylist(), batch.column("rate").to_pylist()):
+            if now != run:
+                run, low, high = now, [], []
+            n = len(low) + len(high)
+            medians.append(None if not n else -low[0] if n % 2 else (high[0] - low[0]) / 2)
+            earlier.append(n)
+            if rate is not None and rate > 0:
+                heappush(high, -heappushpop(low, -rate))
+                if len(high) > len(low):
+                    heappush(low, -heappop(high))
+        yield batch.append_column("median", pa.array(medians, pa.float64())).append_column("earlier", pa.array(earlier, pa.int32()))
+
+
 def throughput_drops(chunks: DataFrame, least: int = 3, share: float = 0.3, min_ms: float = 200.0) -> DataFrame:
-    """chunks (run, seq, rate, ms) with `median` of the earlier positive rates of the run and `drop`."""
-    before = Window.partitionBy("run").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    positive = F.when(F.col("rate") > 0, F.col("rate"))
-    rates = F.array_sort(F.collect_list(positive).over(before))
-    n = F.size(rates)
-    at = lambda k: F.element_at(rates, F.greatest(k, F.lit(1)).cast("int"))
-    median = F.when(n > 0, (at(F.floor((n + 1) / 2)) + at(F.floor((n + 2) / 2))) / 2)
-    marked = chunks.withColumn("median", median).withColumn("earlier", n)
+    """chunks (run, seq, rate, ms) with `median` of the earlier positive rates of the run, `earlier` (how many) and `drop`.
+
+    A run's rows pass one task in their order, in batches; a row costs the logarithm of the run's length, and what is
+    held of a run are its rates."""
+    kinds = StructType([*chunks.schema.fields, StructField("median", DoubleType()), StructField("earlier", IntegerType())])
+    rows = chunks.repartition("run").sortWithinPartitions("run", "seq", "rate").withColumn("rate", F.col("rate").cast("double"))
+    marked = rows.mapInArrow(_running_medians, StructType([StructField(f.name, DoubleType()) if f.name == "rate" else f for f in kinds]))
     return marked.withColumn("drop", F.coalesce((F.col("earlier") >= least) & (F.col("ms") >= min_ms) & (F.col("rate") <= share * F.col("median")), F.lit(False)))
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemosia.functions.text import normalize_alias, property_map
 
 from .graph import kept
 
+#: Nodes that a name may have to be met pair by pair.
+FEW_NODES = 64
+
 
 def _named(nodes: DataFrame, aliases: DataFrame, kind: str) -> DataFrame:
     """id, type, salience_score, names (sorted structs of name, is_label) of the active nodes with any name."""
@@ -27,7 +30,8 @@ def duplicate_classes(nodes: DataFrame, aliases: DataFrame, kind: str = "") -> t
     Nodes of one type with the same names are a class, named by its least id. Two nodes are duplicates if they share a
     name, which is a matter of their classes alone: pairs has the classes that share one, and a class of several nodes
     with itself (left_class = right_class); n_pairs is the number of pairs of nodes that a row stands for, salience the
-    largest score among them. A name that very many nodes have costs no pairs of nodes."""
+    largest score among them. Every pair of classes with a shared name
+    has a row, so names that very many differently named nodes share cost that many rows: `duplicate_pairs` does not."""
     named = _named(nodes, aliases, kind)
     classes = named.groupBy("type", "names").agg(F.min("id").alias("class_id"), F.count("*").alias("size"), F.max("salience_score").alias("top"))
     members = named.join(classes.select("type", "names", "class_id"), ["type", "names"]).select("id", "salience_score", "class_id")
@@ -49,27 +53,55 @@ def duplicate_classes(nodes: DataFrame, aliases: DataFrame, kind: str = "") -> t
     return members, pairs.unionByName(alone)
 
 
-def duplicate_pairs(nodes: DataFrame, aliases: DataFrame, kind: str = "", limit: int = 25) -> DataFrame:
-    """left_id, right_id, shared_names, same_label, label_alias: active nodes of one type that share a normalised label or alias.
+def _shared(a: Column, b: Column) -> tuple[Column, Column, Column]:
+    """(shared names, whether both have one as label, whether one's label is the other's alias) of two lists of name and is_label."""
+    both = F.filter(a, lambda x: F.exists(b, lambda y: y["name"] == x["name"]))
+    label = lambda same: F.exists(a, lambda x: F.exists(b, lambda y: (y["name"] == x["name"]) & ((x.is_label & y.is_label) if same else (x.is_label != y.is_label))))
+    return F.array_sort(F.transform(both, lambda x: x["name"])), label(True), label(False)
+
+
+def _hot_candidates(hot: DataFrame, limit: int) -> DataFrame:
+    """left_id, right_id: pairs of nodes that share names of `hot` (type, id, salience_score, name, is_label) and can be among the first `limit`.
 
-    The first `limit`: same label first, then number of names, salience and ids. Only that many pairs of classes and
-    their ties, and of each class the most salient members and those with the least ids, can be among them."""
-    members, pairs = duplicate_classes(nodes, aliases, kind)
-    members, pairs = kept(members), kept(pairs)
-    order = [F.desc("same_label"), F.desc("n_names"), F.desc("salience")]
-    pairs = pairs.withColumn("n_names", F.size("shared_names"))
-    last = pairs.orderBy(*order).limit(limit).select("same_label", "n_names", "salience").tail(1)
-    if last:
-        key = lambda *c: F.struct(*[x.alias(f"k{i}") for i, x in enumerate(c)])
-        pairs = pairs.where(key(F.col("same_label"), F.col("n_names"), F.col("salience").cast("double")) >= key(F.lit(last[0].same_label), F.lit(last[0].n_names), F.lit(float(last[0].salience))))
+    Nodes with the same hot names are a class. Of two classes that share one, only the most salient members and those
+    with the least ids can be among the first pairs; pairs of classes behind the limit-th one are left out."""
+    signed = hot.groupBy("type", "id", "salience_score").agg(F.array_sort(F.collect_list(F.struct("name", "is_label"))).alias("sign"))
+    classes = kept(signed.groupBy("type", "sign").agg(F.min("id").alias("class_id"), F.count("*").alias("size"), F.max("salience_score").alias("top")))
+    members = kept(signed.join(classes.select("type", "sign", "class_id"), ["type", "sign"]).select("id", "salience_score", "class_id"))
+    met = classes.select("type", "class_id", F.explode("sign.name").alias("name"))
+    ids = met.alias("a").join(met.alias("b"), ["type", "name"]).where("a.class_id <= b.class_id").select(F.col("a.class_id").alias("left_class"), F.col("b.class_id").alias("right_class")).distinct()
+    side = lambda n: classes.select(F.col("class_id").alias(f"{n}_class"), F.col("sign").alias(f"{n}_sign"), F.col("size").alias(f"{n}_size"), F.col("top").alias(f"{n}_top"))
+    names, same, _ = _shared(F.col("left_sign"), F.col("right_sign"))
+    pairs = ids.join(side("left"), "left_class").join(side("right"), "right_class").where("left_class <> right_class OR left_size > 1")
+    pairs = kept(pairs.select("left_class", "right_class", F.struct(same.alias("a"), F.size(names).alias("b"), F.greatest("left_top", "right_top").cast("double").alias("c")).alias("key")))
+    last = pairs.orderBy(F.desc("key")).limit(limit).agg(F.min("key").alias("key"))
+    pairs = pairs.join(F.broadcast(last.select(F.col("key").alias("least"))), F.col("key") >= F.col("least"))
     wanted = pairs.select(F.col("left_class").alias("class_id")).union(pairs.select("right_class")).distinct()
     by = Window.partitionBy("class_id")
     own = members.join(wanted, "class_id", "left_semi").withColumn("s", F.row_number().over(by.orderBy(F.desc("salience_score"), "id"))).withColumn("i", F.row_number().over(by.orderBy("id")))
-    own = own.where((F.col("s") <= limit) | (F.col("i") <= limit + 1))
-    side = lambda n: own.select(F.col("class_id").alias(f"{n}_class"), F.col("id").alias(f"{n}_node"), F.col("salience_score").alias(f"{n}_salience"))
-    met = pairs.drop("salience").join(side("left"), "left_class").join(side("right"), "right_class").where((F.col("left_class") != F.col("right_class")) | (F.col("left_node") < F.col("right_node")))
-    met = met.select(F.least("left_node", "right_node").alias("left_id"), F.greatest("left_node", "right_node").alias("right_id"), "shared_names", "same_label", "label_alias", "n_names", F.greatest("left_salience", "right_salience").alias("salience"))
-    return met.orderBy(*order, F.asc("left_id"), F.asc("right_id")).limit(limit).drop("salience", "n_names")
+    own = own.where((F.col("s") <= limit) | (F.col("i") <= limit + 1)).select("class_id", "id")
+    found = pairs.join(own.select(F.col("class_id").alias("left_class"), F.col("id").alias("l")), "left_class").join(own.select(F.col("class_id").alias("right_class"), F.col("id").alias("r")), "right_class")
+    return found.where("left_class <> right_class OR l < r").select(F.least("l", "r").alias("left_id"), F.greatest("l", "r").alias("right_id"))
+
+
+def duplicate_pairs(nodes: DataFrame, aliases: DataFrame, kind: str = "", limit: int = 25) -> DataFrame:
+    """left_id, right_id, shared_names, same_label, label_alias: active nodes of one type that share a normalised label or alias.
+
+    The first `limit`: same label first, then number of names, salience and ids. Nodes that share a name of at most
+    FEW_NODES nodes are paired by it, so a node meets few others; names of more nodes are met by classes (see
+    _hot_candidates). A pair from the classes has at least the place there that it has in the end, so the first ones
+    are complete."""
+    named = kept(_named(nodes, aliases, kind))
+    rows = named.select("type", "id", "salience_score", F.inline("names"))
+    often = kept(rows.groupBy("type", "name").agg(F.count("*").alias("n")).where("n > 1"))
+    few = rows.join(often.where(F.col("n") <= FEW_NODES), ["type", "name"]).select("type", "name", "id")
+    found = few.alias("a").join(few.alias("b"), ["type", "name"]).where("a.id < b.id").select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"))
+    found = found.unionByName(_hot_candidates(rows.join(often.where(F.col("n") > FEW_NODES).drop("n"), ["type", "name"]), limit)).distinct()
+    side = lambda n: named.select(F.col("id").alias(f"{n}_id"), F.col("names").alias(f"{n}_names"), F.col("salience_score").alias(f"{n}_salience"))
+    names, same, crossed = _shared(F.col("left_names"), F.col("right_names"))
+    met = found.join(side("left"), "left_id").join(side("right"), "right_id")
+    met = met.select("left_id", "right_id", names.alias("shared_names"), same.alias("same_label"), crossed.alias("label_alias"), F.greatest("left_salience", "right_salience").alias("salience"))
+    return met.orderBy(F.desc("same_label"), F.desc(F.size("shared_names")), F.desc("salience"), F.asc("left_id"), F.asc("right_id")).limit(limit).drop("salience")
 
 
 def merge_suggestions(nodes: DataFrame, pairs: DataFrame, min_score: float = 0.6, limit: int = 25) -> DataFrame:

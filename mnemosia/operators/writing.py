@@ -18,7 +18,7 @@ RESERVED = ["_property_history", "_ingested_from", "_ingested_at"]
 
 
 def merged_versions(versions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(current: node_id, property, value; history: node_id, property, seq, old_value, new_value, changed_at, source).
+    """(current: node_id, property, value, seq; history: node_id, property, seq, old_value, new_value, changed_at, source).
 
     versions (node_id, property, seq, value, source, changed_at) are folded in the order of seq: the last value stays,
     and every version that differs from the one before is a conflict. A null is a value. The fold is a window over a
@@ -28,7 +28,7 @@ def merged_versions(versions: DataFrame) -> tuple[DataFrame, DataFrame]:
     marked = own.withColumn("old_value", F.lag("value").over(w)).withColumn("_n", F.row_number().over(w)).withColumn("_last", F.lead("seq").over(w).isNull())
     history = marked.where((F.col("_n") > 1) & ~F.col("old_value").eqNullSafe(F.col("value")))
     history = history.select("node_id", "property", "seq", "old_value", F.col("value").alias("new_value"), "changed_at", "source")
-    return marked.where("_last").select("node_id", "property", "value"), history
+    return marked.where("_last").select("node_id", "property", "value", "seq"), history
 
 
 def with_history(nodes: DataFrame, history: DataFrame) -> DataFrame:

@@ -91,7 +91,7 @@ def edge_orientation(spark, d):
 @query(
     """WITH v AS (SELECT user_id AS node_id, event_type AS property, event_id AS seq, floor(value / 50)::BIGINT::VARCHAR AS value, 'src' || (event_id % 3) AS source FROM events),
     h AS (SELECT *, lag(value) OVER w AS old, row_number() OVER w AS n, lead(seq) OVER w IS NULL AS last FROM v WINDOW w AS (PARTITION BY node_id, property ORDER BY seq))
-    SELECT 'history' AS part, node_id, property, seq, old AS old_value, value AS new_value, source FROM h WHERE n > 1 AND old IS DISTINCT FROM value UNION ALL SELECT 'current', node_id, property, NULL, NULL, value, NULL FROM h WHERE last"""
+    SELECT 'history' AS part, node_id, property, seq, old AS old_value, value AS new_value, source FROM h WHERE n > 1 AND old IS DISTINCT FROM value UNION ALL SELECT 'current', node_id, property, seq, NULL, value, NULL FROM h WHERE last"""
 )
 def property_merge(spark, d):
     """The events of each user as versions of its properties: what stays, and every conflict on the way."""
@@ -99,7 +99,7 @@ def property_merge(spark, d):
     current, history = writing.merged_versions(rows)
     first = history.select(F.lit("history").alias("part"), "node_id", "property", "seq", "old_value", "new_value", "source")
     none = F.lit(None)
-    return first.unionByName(current.select(F.lit("current").alias("part"), "node_id", "property", none.cast("long").alias("seq"), none.cast("string").alias("old_value"), F.col("value").alias("new_value"), none.cast("string").alias("source")))
+    return first.unionByName(current.select(F.lit("current").alias("part"), "node_id", "property", "seq", none.cast("string").alias("old_value"), F.col("value").alias("new_value"), none.cast("string").alias("source")))
 
 
 _KEYED = "substr(md5(CAST(o_orderkey % 40 AS {0})), 1, 8)"

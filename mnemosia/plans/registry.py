@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemosia.functions import edtf, text
-from mnemosia.operators import aggregates, duplicates, facts, graph as g, ingest, listing, rank, recall, resolve, salience, search, service, upsert
+from mnemosia.operators import aggregates, duplicates, facts, graph as g, ingest, listing, rank, recall, salience, search, service, upsert
+from mnemosia.operators.graph import kept
 from mnemosia.sources import files
 from mnemosia.streaming import feed
 
@@ -100,10 +101,12 @@ def existing_ids(spark, d):
     return listing.existing_ids(nodes(spark, d), ids)
 
 
-@query("SELECT name FROM (VALUES ('created', NULL), ('uses', NULL), ('own_type', 't1'), ('other', 't2')) v(name, tenant_id) WHERE tenant_id IS NULL OR tenant_id = 't1'")
+@query(f"WITH {EDGES_SQL} SELECT DISTINCT relation AS name FROM edges UNION ALL SELECT DISTINCT 'own_' || event_type FROM events WHERE user_id = 5")
 def relation_types(spark, d):
-    own = spark.createDataFrame([("created", None), ("uses", None), ("own_type", "t1"), ("other", "t2")], "name string, tenant_id string")
-    return listing.relation_types(own, "t1").select("name")
+    """The graph's relations for all tenants, and what one tenant's own events are called."""
+    own = table(spark, d, "events").selectExpr("concat('own_', event_type) AS name", "CAST(user_id AS string) AS tenant_id")
+    every = edges(spark, d).select(F.col("relation").alias("name"), F.lit(None).cast("string").alias("tenant_id")).unionByName(own)
+    return listing.relation_types(every.distinct(), "5").select("name")
 
 
 @query(f"{WITH_EDGES} SELECT relation, count(*) AS n FROM edges WHERE weight > 50 OR length(source) > 12 GROUP BY 1")
@@ -176,11 +179,11 @@ def semantic_search(spark, d):
 
 _HYBRID_SQL = f"""WITH {NODES_SQL}, {SCORED_SQL}, v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 c AS (SELECT s.*, e.vec_id, e.e FROM scored s JOIN v e ON s.id = 'customer:' || e.vec_id),
-l AS (SELECT id, list_distinct(list_filter(regexp_split_to_array(lower(label || chr(10) || type || chr(10) || json_extract_string(properties, '$.nation_id') || chr(10) || json_extract_string(properties, '$.segment') || chr(10) || 'nation_id nation id segment'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: strlen(x) >= 2)) AS words FROM c),
+l AS (SELECT id, list_distinct(list_filter(regexp_split_to_array(lower(label || chr(10) || type || chr(10) || json_extract_string(properties, '$.nation_id') || chr(10) || json_extract_string(properties, '$.segment') || chr(10) || 'nation_id nation id segment'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: strlen(x) >= 2)) AS words FROM scored WHERE type = 'customer'),
 seg AS (SELECT DISTINCT c_mktsegment AS m FROM customer),
 q AS (SELECT m AS query_id, (SELECT e FROM v WHERE vec_id = length(m)) AS qe FROM seg),
-t AS (SELECT q.query_id, c.id, row_number() OVER (PARTITION BY q.query_id ORDER BY round(0.8::DOUBLE / len(words) + 0.2 * least(salience_score / 100.0, 1.0), 9) DESC, salience_score DESC, updated_at DESC, id) AS rank
-  FROM q JOIN l ON list_contains(l.words, lower(q.query_id)) JOIN c USING (id)),
+t AS (SELECT q.query_id, id, row_number() OVER (PARTITION BY q.query_id ORDER BY round(0.8::DOUBLE / len(words) + 0.2 * least(salience_score / 100.0, 1.0), 9) DESC, salience_score DESC, updated_at DESC, id) AS rank
+  FROM q JOIN l ON list_contains(l.words, lower(q.query_id)) JOIN scored USING (id)),
 n AS (SELECT q.query_id, c.id, row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_dot_product(c.e, q.qe) / (sqrt(list_dot_product(c.e, c.e)) * sqrt(list_dot_product(q.qe, q.qe))), 6) DESC, id) AS rank FROM q, c),
 f AS (SELECT coalesce(t.query_id, n.query_id) AS query_id, coalesce(t.id, n.id) AS id, coalesce(1.0::DOUBLE / (60 + t.rank), 0) + coalesce(1.0::DOUBLE / (60 + n.rank), 0) AS rrf
   FROM (SELECT * FROM t WHERE rank <= 10) t FULL JOIN (SELECT * FROM n WHERE rank <= 10) n ON t.query_id = n.query_id AND t.id = n.id),
@@ -193,12 +196,12 @@ SELECT query_id, id, round(rrf, 6) AS rrf, round(score, 6) AS score, rank FROM r
 def hybrid_search(spark, d):
     """Market segments as queries: customers whose text names them, and those near a vector."""
     v = vectors(spark, d)
-    c = _scored(spark, d).where(F.col("type") == "customer").join(v.select("id", "embedding"), "id")
+    c = kept(_scored(spark, d).where(F.col("type") == "customer").select("id", "type", "label", "properties", "salience_score", "updated_at"))
     segments = table(spark, d, "customer").select(F.col("c_mktsegment").alias("query_id")).distinct()
     asked = segments.join(v.select(F.col("vec_id"), "embedding"), F.length("query_id") == F.col("vec_id")).select("query_id", "embedding")
     written = c.withColumn("search_text", text.search_text(F.col("label"), F.col("type"), F.col("properties")))
     words = search.full_text(written, None, segments.withColumn("text", F.col("query_id")), limit=10, stemmed=False)
-    near = search.semantic(c, asked, 10)
+    near = search.semantic(v.select("id", "embedding").join(c.select("id"), "id", "left_semi"), asked, 10)
     found = search.hybrid(words, near, c)
     return found.select("query_id", "id", F.round("rrf", 6).alias("rrf"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -446,12 +449,6 @@ def merge_suggestions(spark, d):
     return duplicates.merge_suggestions(n, duplicates.duplicate_pairs(n, a, limit=300), limit=100).drop("reasons")
 
 
-@query()
-def entity_resolution(spark, d):
-    names = table(spark, d, "customer").selectExpr("c_custkey AS name_id", "CASE c_custkey % 4 WHEN 0 THEN upper(c_name) WHEN 1 THEN concat('customer:', c_custkey) WHEN 2 THEN concat('Cust ', c_custkey) ELSE concat('Unknown ', c_name, ' Inc.') END AS name", "'customer' AS kind")
-    return resolve.resolve(names, nodes(spark, d).where("type = 'customer'"), aliases(spark, d))
-
-
 # --- episodes and recall -------------------------------------------------------
 
 

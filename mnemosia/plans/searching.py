@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemosia.functions.text import STEM_SUFFIXES, intent_of, normalize_alias
-from mnemosia.operators import postings, shaping
+from mnemosia.operators import postings, resolve, shaping
 from mnemosia.operators.search import top
 
-from .graph import NODES_SQL, SCORED_SQL, table
+from .graph import ALIASES_SQL, NODES_SQL, SCORED_SQL, aliases, table
 from .registry import _scored, query
 
 _WORDS = r"[^\p{L}\p{N}]+"
@@ -107,3 +109,29 @@ def service_rerank(spark, d):
     queries, candidates, nodes, beliefs = _shaping_inputs(spark, d)
     found = shaping.reranked(candidates, queries, nodes, beliefs, "default", 10)
     return found.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+_SUFFIXES_SQL = "{0}"
+for _s in resolve.COMPANY_SUFFIXES:
+    _SUFFIXES_SQL = f"regexp_replace({_SUFFIXES_SQL}, '{re.escape(_s)}$', '')"
+_NORMAL_SQL = f"trim({_SUFFIXES_SQL.format('lower(trim({0}))')})"
+_GRAMS_SQL = "list_transform(range(1, length({0}) + 3), lambda i: substr('  ' || {0} || '  ', i, 3))"
+
+
+@query(
+    f"""WITH {NODES_SQL}, {SCORED_SQL}, {ALIASES_SQL}, nd AS (SELECT id, type, label, {_NORMAL_SQL.format("label")} AS norm, salience_score, updated_at FROM scored WHERE type = 'customer'),
+    nm AS (SELECT c_custkey AS name_id, CASE c_custkey % 5 WHEN 0 THEN upper(c_name) WHEN 1 THEN 'customer:' || c_custkey WHEN 2 THEN 'Cust ' || c_custkey WHEN 3 THEN 'Unknown ' || c_name || ' Inc.' ELSE split_part(c_name, '#', 2) || ' custoner' END AS name, c_custkey % 5 AS k, c_name FROM customer),
+    one AS (SELECT name_id, 'customer:' || name_id AS id, 1.0 AS confidence FROM nm WHERE k = 1 UNION ALL SELECT name_id, id, 1.0 FROM nm JOIN nd ON lower(label) = lower(name) WHERE k = 0
+      UNION ALL SELECT name_id, node_id, 0.96 FROM nm JOIN aliases ON normalized_alias = lower(name) WHERE k = 2),
+    cd AS (SELECT name_id, nd.*, name, {_NORMAL_SQL.format("name")} AS q FROM nm JOIN nd ON label = c_name WHERE k IN (3, 4)),
+    g AS (SELECT *, {_GRAMS_SQL.format("q")} AS a, {_GRAMS_SQL.format("norm")} AS b FROM cd),
+    s AS (SELECT name_id, id, round(least(greatest(CASE WHEN q = norm THEN 0.97 WHEN contains(q, norm) OR contains(norm, q) THEN 0.88 ELSE 0.84 * 2 * list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))) / (len(a) + len(b)) END + 0.06, 0), 1), 9) AS confidence FROM g),
+    d AS (SELECT name_id, CASE WHEN confidence >= 0.93 THEN 'match' ELSE 'no_match' END AS status, id, confidence FROM s WHERE confidence >= 0.5 UNION ALL SELECT name_id, 'match', id, confidence FROM one)
+    SELECT nm.name_id, coalesce(status, 'no_match') AS status, CASE WHEN status = 'match' THEN id END AS node_id, round(confidence, 6) AS confidence FROM nm LEFT JOIN d USING (name_id)"""
+)
+def entity_resolution(spark, d):
+    """Customers by name in capitals, id, alias, with words before and after, and with the words turned round and one misspelt."""
+    name = "CASE c_custkey % 5 WHEN 0 THEN upper(c_name) WHEN 1 THEN concat('customer:', c_custkey) WHEN 2 THEN concat('Cust ', c_custkey) WHEN 3 THEN concat('Unknown ', c_name, ' Inc.') ELSE concat(split_part(c_name, '#', 2), ' custoner') END AS name"
+    names = table(spark, d, "customer").selectExpr("c_custkey AS name_id", name, "'customer' AS kind")
+    found = resolve.resolve(names, _scored(spark, d).where("type = 'customer'"), aliases(spark, d), lookup=True)
+    return found.withColumn("confidence", F.round("confidence", 6))
