@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from mnemosia.operators import compaction, writing
 from mnemosia.operators.graph import folder
+from mnemosia.sources import sink
 from mnemosia.streaming import feed
 
 from .graph import table
@@ -139,3 +140,25 @@ def change_feed(spark, d):
         feed.publish(rows.where(part), f"{place}/log")
         feed.run_numbering(spark, f"{place}/log", f"{place}/state", f"{place}/numbered", 20, 10 * 86400)
     return feed.held(spark, f"{place}/state").select("tenant", "change_id", "seq")
+
+
+def _lengths_but(divisor: int):
+    """Stands for an embedder: the length of each text; it refuses texts whose length is a multiple of divisor."""
+
+    def embed(texts: list[str]) -> list[list[float]]:
+        if any(len(t) % divisor == 0 for t in texts):
+            raise ConnectionError("refused")
+        return [[float(len(t))] for t in texts]
+
+    return embed
+
+
+@query("SELECT doc_id, CASE WHEN length(coalesce(text, '')) % 7 = 0 THEN 2 ELSE 1 END::BIGINT AS runs, length(coalesce(text, '')) % 14 <> 0 AS done, CASE WHEN length(coalesce(text, '')) % 14 <> 0 THEN length(text) ELSE -1 END::BIGINT AS size FROM documents")
+def failure_ledger(spark, d):
+    """Two runs of a sink: the second takes up what the first could not do, and some stay dead letters."""
+    docs = table(spark, d, "documents").selectExpr("CAST(doc_id AS string) AS id", "text")
+    ledger = sink.Ledger(spark, f"{folder(spark)}/ledger-{uuid.uuid4().hex}")
+    ledger.write(docs, 0, _lengths_but(7), attempts=1, breaker=1_000_000_000)
+    ledger.write(docs.where("false"), 1, _lengths_but(14), attempts=1, breaker=1_000_000_000)
+    done = F.col("error").isNull()
+    return ledger.latest().select(F.col("id").cast("long").alias("doc_id"), "runs", done.alias("done"), F.when(done, F.get("result", F.lit(0)).cast("long")).otherwise(-1).alias("size"))
