@@ -2,8 +2,9 @@
 
 Seeds are K-word grams: of every W neighbouring ones the one with the least hash, so
 that a run of K + W - 1 equal words always shares one. Every later occurrence of a
-seed is joined with an earlier one, its hub: in its own text with the one before,
-else with the first of its task, and the tasks' firsts with the first of all. This is linear in the number of occurrences,
+seed is joined with the one before it, its hub: within a task in the order of texts, and a task's first one with
+that of the task before. So texts with one passage meet one after the other, and a text with a part of it comes
+between two of them only where it stands between them. This is linear in the number of occurrences,
 and a seed that very many texts have is one row a task when it is shuffled. The
 matches of one text with one hub text are chained: both positions rise along a
 chain, equal words earn, and skipped words cost; a Fenwick tree over the hub's
@@ -84,8 +85,7 @@ def minimizers(h: np.ndarray, first: np.ndarray, k: int = K, w: int = W) -> tupl
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, text) -> seed, node, pos, hub, hub_pos: the task's first occurrences of seeds, without a hub, and the
-    later ones with a hub: in the same text the occurrence before, in another the first. These have another key, so
-    that they are dealt evenly."""
+    later ones with a hub, the occurrence before. These have another key, so that they are dealt evenly."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def rows() -> Iterator[pa.RecordBatch]:
@@ -98,8 +98,7 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order[tied] = own[np.lexsort((pos[own], node[own], seed[own]))]
         seed, node, pos = seed[order], node[order], pos[order]
         later = np.append(False, seed[1:] == seed[:-1])
-        again = later & np.append(False, node[1:] == node[:-1])
-        hub = np.where(again, np.arange(len(seed)) - 1, np.maximum.accumulate(np.where(later, 0, np.arange(len(seed)))))
+        hub = np.maximum(np.arange(len(seed)) - 1, 0)
         key = np.where(later, mix(seed ^ mix(node.astype(_U)) ^ pos.astype(_U)), seed).astype(np.int64)
         for at in range(0, len(seed), 50_000):
             to = slice(at, at + 50_000)
@@ -472,9 +471,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_equal: fl
         heads = stored(heads.join(small(several), F.col("node") == F.col("doc_id"), "left_anti").unionByName(texts), "heads")
         names = small(own.select("node", "doc_id"))
     seeds = heads.mapInArrow(_seeds, "seed long, node long, pos int, hub long, hub_pos int")
-    # one shuffle: the first of each seed over all tasks is the hub of the tasks' firsts
-    first = Window.partitionBy("seed").orderBy("hub", "node", "pos")
-    matches = seeds.select("node", "pos", *[F.coalesce(F.col(h), F.first(n).over(first)).alias(h) for h, n in (("hub", "node"), ("hub_pos", "pos"))])
+    # one shuffle: of the tasks' firsts of each seed, each has the one before as its hub
+    before = Window.partitionBy("seed").orderBy("node", "pos")
+    matches = seeds.select("node", "pos", *[F.coalesce(F.col(h), F.lag(n).over(before)).alias(h) for h, n in (("hub", "node"), ("hub_pos", "pos"))])
     matches = matches.where("node <> hub OR pos > hub_pos")
     grouped = matches.groupBy("node", "hub").agg(F.collect_list(F.struct("pos", "hub_pos")).alias("places"))
     chained = grouped.mapInArrow(_chain_batches, "node long, hub long, pos array<int>, hub_pos array<int>, n array<int>, seeds array<int>")

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 
 from mnemosia.llm import substrings as S
 
@@ -224,3 +225,16 @@ def test_a_chain_with_all_common_grams():
     assert all((x[p : p + n] == y[q : q + n]).all() for p, q, n in zip(pos, there, length)) and pos == sorted(pos) and there == sorted(there)
     lo, hi, lo2, hi2, equal, _ = max(S.align(x, y, pos, there, length, seeds), key=lambda z: z[1] - z[0])
     assert lo + a_lo <= 1001 and hi + a_lo >= 1999 and equal >= 850
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_parts_of_a_passage_in_earlier_texts_hide_nothing(spark, parts):
+    """An 80-word passage in two texts, and thirteen earlier texts that each have 14 words of it."""
+    rng = random.Random(9)
+    noise = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    passage = [f"p{i}" for i in range(80)]
+    rows = [(i, " ".join(noise(40) + passage[5 * i : 5 * i + 14] + noise(40))) for i in range(13)]
+    rows += [(100 + i, " ".join(noise(60) + passage + noise(60))) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    found = {(r.doc_id, r.source_doc): (r.start, r.end) for r in S.repeated_passages(docs).collect()}
+    assert {(101, 100), (102, 101)} <= found.keys() and all(a <= 62 and b >= 138 for (d, s), (a, b) in found.items() if d > 100)
