@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import kept
+from .ingest import CANONICAL_RELATIONS
 from .postings import Postings
 from .resolve import decided, resolve, scored_candidates, search_candidates
 
@@ -87,3 +88,70 @@ def write_entities(nodes: DataFrame, aliases: DataFrame, entities: DataFrame, so
     reserved = F.map_filter(F.coalesce("properties", F.create_map().cast("map<string,string>")), lambda k, v: k.isin(RESERVED))
     out = both.withColumn("properties", F.when(F.col("_new").isNotNull(), F.map_concat(reserved, F.col("_new"))).otherwise(F.col("properties")))
     return {"nodes": out.select(*nodes.columns), "actions": written.select("seq", "name", "action", "node_id"), "history": history}
+
+
+def named_ends(names: DataFrame, known: DataFrame, nodes: DataFrame, aliases: DataFrame, postings: Postings | None = None) -> DataFrame:
+    """low, node_id of names (name): what this batch wrote under the name (known: low, node_id), else the one node that resolution is sure of."""
+    asked = names.where(F.trim("name") != "").select(F.lower(F.trim("name")).alias("low"), F.trim("name").alias("name")).groupBy("low").agg(F.min("name").alias("name"))
+    rest = kept(asked.join(known, "low", "left_anti").select(F.col("low").alias("name_id"), "name", F.lit("").alias("kind")))
+    found = resolve(rest, nodes, aliases, postings, lookup=True).where("status = 'match'").select(F.col("name_id").alias("low"), "node_id")
+    return asked.select("low").join(known, "low").unionByName(found)
+
+
+def write_relationships(edges: DataFrame, relationships: DataFrame, ends: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
+    """(edges, outcomes: seq, source, target, relation, outcome) after writing relationships (seq, source, target, relation, confidence, date_start, date_end, is_current).
+
+    Ends are looked up in `ends`. A row without both is `no_end`, one whose relation is not canonical `unknown_relation`;
+    of the others the first of a new edge is `created`, further ones and those of known edges are `updated`. Of an
+    edge's dates the last that are given stay, of its confidence and origin the last."""
+    id_of = lambda side: ends.select(F.col("low").alias(f"_{side}"), F.col("node_id").alias(f"{side}_id"))
+    rows = relationships.withColumn("_source", F.lower(F.trim("source"))).withColumn("_target", F.lower(F.trim("target")))
+    met = rows.join(id_of("source"), "_source", "left").join(id_of("target"), "_target", "left").drop("_source", "_target")
+    key = ["source", "target", "relation"]
+    first = F.row_number().over(Window.partitionBy("source_id", "target_id", "relation").orderBy("seq")) == 1
+    old = edges.select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), "relation", F.lit(True).alias("_known"))
+    told = F.when(F.col("source_id").isNull() | F.col("target_id").isNull(), "no_end").when(~F.col("relation").isin(CANONICAL_RELATIONS), "unknown_relation").when(first & F.col("_known").isNull(), "created").otherwise("updated")
+    outcomes = kept(met.join(old, ["source_id", "target_id", "relation"], "left").withColumn("outcome", told).drop("_known"))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
+    own = outcomes.where(F.col("outcome").isin("created", "updated")).groupBy(F.col("source_id").alias("source"), F.col("target_id").alias("target"), "relation").agg(*[last(c) for c in ("confidence", "date_start", "date_end", "is_current")])
+    new = own.select(*key, *[F.col(c).alias(f"_{c}") for c in ("confidence", "date_start", "date_end", "is_current")], F.lit(source).alias("_ingested_from"))
+    both = edges.join(new, key, "full_outer")
+    out = [F.coalesce(f"_{c}", c if c in edges.columns else F.lit(None)).alias(c) for c in ("confidence", "date_start", "date_end", "is_current", "ingested_from")]
+    rest = [F.col(f"`{c}`") for c in edges.columns if c not in (*key, "confidence", "date_start", "date_end", "is_current", "ingested_from")]
+    return both.select(*key, *out, *rest), outcomes.select("seq", "source", "target", "relation", "outcome")
+
+
+def write_facts(facts: DataFrame, ends: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
+    """(updates: node_id, property, value, source, confidence, ts, seq, for `facts.consolidate`; facts whose subject is no node)."""
+    met = facts.withColumn("low", F.lower(F.trim("subject"))).join(ends, "low", "left").drop("low")
+    extra = lambda c, kind: (F.col(c) if c in facts.columns else F.lit(None)).cast(kind).alias(c)
+    updates = met.where("node_id IS NOT NULL").select("node_id", "property", "value", F.lit(source).alias("source"), extra("confidence", "double"), extra("ts", "string"), "seq")
+    return updates, met.where("node_id IS NULL").select(*facts.columns)
+
+
+def write_extraction(nodes: DataFrame, aliases: DataFrame, edges: DataFrame, entities: DataFrame, relationships: DataFrame, facts: DataFrame, source: str, at: str, dry_run: bool = False) -> dict[str, DataFrame]:
+    """nodes, edges, fact_updates, history, actions, outcomes and `report` (one row) after writing one extraction.
+
+    report: entities, relationships, facts, created_nodes, updated_nodes, written_edges, skipped_edges, unknown_relations,
+    skipped_facts. A dry run writes nothing and reports every entity and relationship as one that would be made."""
+    counted = lambda df, **c: df.agg(*[v.alias(k) for k, v in c.items()])
+    n = F.count("*")
+    sizes = counted(entities, entities=n).join(F.broadcast(counted(relationships, relationships=n))).join(F.broadcast(counted(facts, facts=n)))
+    if dry_run:
+        zero = F.lit(0).cast("long")
+        report = sizes.select("*", F.col("entities").alias("created_nodes"), zero.alias("updated_nodes"), F.col("relationships").alias("written_edges"), zero.alias("skipped_edges"), zero.alias("unknown_relations"), zero.alias("skipped_facts"))
+        return {"nodes": nodes, "edges": edges, "report": report}
+    done = write_entities(nodes, aliases, entities, source, at)
+    after = kept(done["nodes"])
+    known = kept(done["actions"].groupBy(F.lower("name").alias("low")).agg(F.max_by("node_id", "seq").alias("node_id")))
+    names = relationships.select(F.col("source").alias("name")).union(relationships.select("target")).union(facts.select("subject"))
+    ends = kept(named_ends(names, known, after, aliases))
+    new_edges, outcomes = write_relationships(edges, relationships, ends, source)
+    updates, lost = write_facts(facts, ends, source)
+    is_ = lambda c, v: F.count_if(F.col(c) == v)
+    report = (
+        sizes.join(F.broadcast(counted(done["actions"], created_nodes=is_("action", "created"), updated_nodes=is_("action", "updated"))))
+        .join(F.broadcast(counted(outcomes, written_edges=F.count_if(F.col("outcome").isin("created", "updated")), skipped_edges=F.count_if(F.col("outcome").isin("no_end", "unknown_relation")), unknown_relations=is_("outcome", "unknown_relation"))))
+        .join(F.broadcast(counted(lost, skipped_facts=n)))
+    )
+    return done | {"nodes": after, "edges": new_edges, "outcomes": outcomes, "fact_updates": updates, "report": report}

@@ -162,3 +162,48 @@ def failure_ledger(spark, d):
     ledger.write(docs.where("false"), 1, _lengths_but(14), attempts=1, breaker=1_000_000_000)
     done = F.col("error").isNull()
     return ledger.latest().select(F.col("id").cast("long").alias("doc_id"), "runs", done.alias("done"), F.when(done, F.get("result", F.lit(0)).cast("long")).otherwise(-1).alias("size"))
+
+
+def _order_extraction(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(nodes, entities, relationships, facts): each order names its customer or a vendor, who has to do with a customer or with nobody known."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer").select("c_custkey", "c_name"), F.col("c_custkey") == F.col("o_custkey"))
+    key = _KEYED.format("string")
+    name = f"CASE o_orderkey % 5 WHEN 0 THEN upper(c_name) WHEN 1 THEN concat(c_name, ' Inc.') WHEN 2 THEN concat('Vendor ', {key}) WHEN 3 THEN concat('vendor ', {key}, ', Inc.') ELSE concat(' VENDOR ', {key}) END"
+    entities = o.selectExpr("o_orderkey AS seq", f"{name} AS name", "'customer' AS type", "map('priority', o_orderpriority) AS properties")
+    rels = o.selectExpr(
+        "o_orderkey AS seq", f"{name} AS source", "CASE WHEN o_orderkey % 11 = 0 THEN concat('Nobody ', o_orderkey % 7) ELSE c_name END AS target", "element_at(array('uses', 'located_in', 'unheard_of'), CAST(o_orderkey % 3 AS int) + 1) AS relation",
+        "CAST(o_orderkey % 10 AS double) / 10 AS confidence", "CASE WHEN o_orderkey % 4 = 0 THEN CAST(CAST(o_orderdate AS date) AS string) END AS date_start", "CAST(NULL AS string) AS date_end", "CAST(NULL AS boolean) AS is_current",
+    )
+    facts = o.selectExpr("o_orderkey AS seq", "CASE WHEN o_orderkey % 13 = 0 THEN 'Nobody at all' ELSE c_name END AS subject", "'status' AS property", "o_orderstatus AS value")
+    nodes = table(spark, d, "customer").selectExpr("concat('customer:', c_custkey) AS id", "'customer' AS type", "c_name AS label", "map('segment', c_mktsegment) AS properties")
+    return nodes, entities, rels, facts
+
+
+_ORDER_SQL = f"""e AS (SELECT o_orderkey AS seq, o_orderkey % 5 < 2 AS known, CASE WHEN o_orderkey % 5 < 2 THEN c_name ELSE 'vendor ' || {_KEYED.format("VARCHAR")} END AS who, c_name, o_orderdate::DATE::VARCHAR AS day, o_orderstatus,
+  CASE o_orderkey % 5 WHEN 2 THEN 'Vendor ' || {_KEYED.format("VARCHAR")} WHEN 3 THEN 'vendor ' || {_KEYED.format("VARCHAR")} || ', Inc.' WHEN 4 THEN 'VENDOR ' || {_KEYED.format("VARCHAR")} END AS vendor FROM orders JOIN customer ON c_custkey = o_custkey),
+v AS (SELECT who, CASE WHEN known THEN who ELSE arg_min(vendor, seq) END AS label FROM e GROUP BY who, known),
+r AS (SELECT seq, label AS source, c_name AS target, ['uses', 'located_in', 'unheard_of'][seq % 3 + 1] AS relation, (seq % 10)::DOUBLE / 10 AS confidence, CASE WHEN seq % 4 = 0 THEN day END AS date_start, seq % 11 = 0 AS lost FROM e JOIN v USING (who))"""
+
+
+@query(
+    f"""WITH {_ORDER_SQL} SELECT source, target, relation, arg_max(confidence, seq) AS confidence, arg_max(date_start, seq) FILTER (date_start IS NOT NULL) AS date_start FROM r WHERE NOT lost AND relation <> 'unheard_of' GROUP BY 1, 2, 3"""
+)
+def relationship_writes(spark, d):
+    """The edges of an ingest: ends by what the batch wrote or by resolution, the last confidence, the last date that is given."""
+    nodes, entities, rels, facts = _order_extraction(spark, d)
+    none, edges = spark.createDataFrame([], "node_id string, alias string, normalized_alias string"), spark.createDataFrame([], "source string, target string, relation string")
+    got = writing.write_extraction(nodes, none, edges, entities, rels, facts, "orders", "2024-01-01T00:00:00Z")
+    label = got["nodes"].select("id", "label")
+    met = got["edges"].join(label.select(F.col("id").alias("source"), F.col("label").alias("a")), "source").join(label.select(F.col("id").alias("target"), F.col("label").alias("b")), "target")
+    return met.select(F.col("a").alias("source"), F.col("b").alias("target"), "relation", "confidence", "date_start")
+
+
+@query(
+    f"""WITH {_ORDER_SQL} SELECT count(*) AS entities, count(*) AS relationships, count(*) AS facts, (SELECT count(*) FROM (SELECT DISTINCT who FROM e WHERE NOT known)) AS created_nodes, count(*) - (SELECT count(*) FROM (SELECT DISTINCT who FROM e WHERE NOT known)) AS updated_nodes,
+    (SELECT count(*) FROM r WHERE NOT lost AND relation <> 'unheard_of') AS written_edges, (SELECT count(*) FROM r WHERE lost OR relation = 'unheard_of') AS skipped_edges, (SELECT count(*) FROM r WHERE NOT lost AND relation = 'unheard_of') AS unknown_relations, count(*) FILTER (seq % 13 = 0) AS skipped_facts FROM e"""
+)
+def ingest_report(spark, d):
+    """What an ingest of the orders did."""
+    nodes, entities, rels, facts = _order_extraction(spark, d)
+    none, edges = spark.createDataFrame([], "node_id string, alias string, normalized_alias string"), spark.createDataFrame([], "source string, target string, relation string")
+    return writing.write_extraction(nodes, none, edges, entities, rels, facts, "orders", "2024-01-01T00:00:00Z")["report"]
