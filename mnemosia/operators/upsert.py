@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemosia.functions.text import normalize_alias, search_text
+from mnemosia.functions.text import decrypted, normalize_alias, search_text
 
 from .facts import property_diff
 from .listing import get
@@ -63,6 +63,17 @@ def export_header(nodes: DataFrame, edges: DataFrame, schema_version: int, tenan
     return left.select(F.lit(schema_version).alias("schema_version"), F.lit(tenant).alias("tenant"), "n_nodes", "n_edges")
 
 
+def export_document(nodes: DataFrame, edges: DataFrame, schema_version: int, version: str, tenant: str, exported_at: str, key: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(header, nodes, edges): the header has the program's version and the time too; with a key, properties are decrypted.
+
+    A property text that does not open under the key is an error of that row: its properties are null and `unreadable` is true."""
+    head = export_header(nodes, edges, schema_version, tenant).withColumns({"version": F.lit(version), "exported_at": F.lit(exported_at).cast("timestamp_ntz")})
+    if key is not None:
+        plain = decrypted(F.col("properties"), F.lit(key))
+        nodes = nodes.withColumn("_plain", plain).withColumn("unreadable", F.col("properties").isNotNull() & F.col("_plain").isNull()).withColumn("properties", F.col("_plain")).drop("_plain")
+    return head, *export_rows(nodes, edges)
+
+
 def export_rows(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes by creation and id, edges by key."""
     return nodes.orderBy("created_at", "id"), edges.orderBy("source", "target", "relation")
@@ -105,16 +116,19 @@ def upsert_nodes(existing: DataFrame, rows: DataFrame, changed_at: str) -> tuple
     return table, actions, history
 
 
-def import_graph(version: int, supported: int, new_nodes: DataFrame, new_edges: DataFrame, nodes: DataFrame, edges: DataFrame, overwrite: bool = False, dry_run: bool = False, reset_usage: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def import_graph(version: int, supported: int, new_nodes: DataFrame, new_edges: DataFrame, nodes: DataFrame, edges: DataFrame, overwrite: bool = False, dry_run: bool = False, reset_usage: bool = False, regenerate_embeddings: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, counts (what, action, n)) after an import; nodes go before edges.
 
     Problems found by validate_import are an error. A dry run counts and changes nothing; with reset_usage the
-    imported nodes start with no accesses and no boost."""
+    imported nodes start with no accesses and no boost, with regenerate_embeddings without a vector, so that
+    `without_embedding` lists them."""
     problems = validate_import(version, supported, new_nodes, new_edges, nodes)
     if not problems.isEmpty():
         raise ValueError(str(problems.limit(5).collect()))
     if reset_usage:
         new_nodes = new_nodes.withColumns({c: v for c, v in {"access_count": F.lit(0).cast("long"), "last_accessed": F.lit(None).cast("timestamp_ntz"), "user_boosted": F.lit(False)}.items() if c in new_nodes.columns})
+    if regenerate_embeddings and "embedding" in new_nodes.columns:
+        new_nodes = new_nodes.withColumn("embedding", F.lit(None).cast(new_nodes.schema["embedding"].dataType))
     own = lambda df, keys: [c for c in df.columns if c not in keys]
     ends = ["source", "target", "relation"]
     all_nodes, a = upsert(nodes, new_nodes, ["id"], own(new_nodes, ["id"]), overwrite)

@@ -11,7 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemosia.operators import compaction, writing
+from mnemosia.functions import text
+from mnemosia.operators import compaction, upsert, writing
 from mnemosia.operators.graph import folder
 from mnemosia.sources import sink
 from mnemosia.streaming import feed
@@ -207,3 +208,54 @@ def ingest_report(spark, d):
     nodes, entities, rels, facts = _order_extraction(spark, d)
     none, edges = spark.createDataFrame([], "node_id string, alias string, normalized_alias string"), spark.createDataFrame([], "source string, target string, relation string")
     return writing.write_extraction(nodes, none, edges, entities, rels, facts, "orders", "2024-01-01T00:00:00Z")["report"]
+
+
+def _import(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(new nodes, new edges, nodes, edges): customers of which some are known, and the orders of each as edges."""
+    c = table(spark, d, "customer").selectExpr("c_custkey AS k", "concat('customer:', c_custkey) AS id", "c_name AS label", "CAST(c_custkey % 9 AS bigint) AS access_count", "array(CAST(c_acctbal AS float)) AS embedding")
+    old, new = c.where("k % 3 <> 0").drop("k"), c.where("k % 2 = 0").withColumn("label", F.upper("label")).drop("k")
+    e = table(spark, d, "orders").selectExpr("concat('customer:', o_custkey) AS source", "concat('customer:', o_custkey % 10 + 1) AS target", "'uses' AS relation", "CAST(o_orderkey AS double) AS weight", "o_custkey AS k")
+    own = e.where("k % 6 <> 3").groupBy("source", "target", "relation").agg(F.max("weight").alias("weight"))
+    return new, own.where("weight % 2 = 0"), old, own.where("weight % 2 = 1")
+
+
+_IMPORT_SQL = """c AS (SELECT c_custkey AS k, 'customer:' || c_custkey AS id, c_name AS label, c_custkey % 9 AS n FROM customer),
+w AS (SELECT 'customer:' || o_custkey AS source, 'customer:' || (o_custkey % 10 + 1) AS target, max(o_orderkey) AS weight FROM orders WHERE o_custkey % 6 <> 3 GROUP BY 1, 2),
+u AS (SELECT DISTINCT id FROM (SELECT source AS id FROM w WHERE weight % 2 = 0 UNION ALL SELECT target FROM w WHERE weight % 2 = 0) WHERE id NOT IN (SELECT id FROM c WHERE k % 2 = 0 OR k % 3 <> 0))"""
+
+
+@query(
+    f"""WITH {_IMPORT_SQL} SELECT 'schema_version_too_new' AS problem, '18' AS subject UNION ALL SELECT 'empty_node_id', upper(label) FROM c WHERE k % 40 = 0
+    UNION ALL SELECT DISTINCT 'unknown_endpoint', id FROM (SELECT source AS id FROM w WHERE weight % 2 = 0 UNION ALL SELECT target FROM w WHERE weight % 2 = 0) WHERE id NOT IN (SELECT id FROM c WHERE k % 40 <> 0 AND k % 2 = 0 OR k % 3 <> 0 AND k % 10 <> 0)"""
+)
+def import_problems(spark, d):
+    """A newer schema, nodes without id, and edges whose ends are neither imported nor there."""
+    new, new_edges, nodes, _ = _import(spark, d)
+    number = F.split_part("id", F.lit(":"), F.lit(2)).cast("long")
+    return upsert.validate_import(18, 17, new.withColumn("id", F.when(number % 40 == 0, "  ").otherwise(F.col("id"))), new_edges, nodes.where(number % 10 != 0)).distinct()
+
+
+@query(
+    f"""WITH {_IMPORT_SQL}, i AS (SELECT * FROM w WHERE source IN (SELECT id FROM c WHERE k % 2 = 0 OR k % 3 <> 0) AND target IN (SELECT id FROM c WHERE k % 2 = 0 OR k % 3 <> 0)) SELECT 'node' AS part, id AS subject, CASE WHEN k % 2 = 0 THEN upper(label) ELSE label END AS label, CASE WHEN k % 2 = 0 THEN 0 ELSE n END::BIGINT AS n, k % 2 <> 0 AS embedded FROM c WHERE k % 2 = 0 OR k % 3 <> 0
+    UNION ALL SELECT 'edge', source || '>' || target, 'uses', weight, false FROM i UNION ALL SELECT 'count', 'nodes', CASE WHEN k % 3 <> 0 THEN 'updated' ELSE 'created' END, count(*), false FROM c WHERE k % 2 = 0 GROUP BY 3
+    UNION ALL SELECT 'count', 'edges', 'created', count(*), false FROM i WHERE weight % 2 = 0"""
+)
+def import_graph(spark, d):
+    """An import that overwrites, resets usage and leaves vectors to be made anew: both tables after it, and its counts."""
+    new, new_edges, nodes, edges = _import(spark, d)
+    known = new.union(nodes).select("id").distinct()
+    inside = lambda e: e.join(known.withColumnRenamed("id", "source"), "source", "left_semi").join(known.withColumnRenamed("id", "target"), "target", "left_semi")
+    after, after_edges, counts = upsert.import_graph(17, 17, new, inside(new_edges), nodes, inside(edges), overwrite=True, reset_usage=True, regenerate_embeddings=True)
+    none = F.lit(False)
+    out = after.select(F.lit("node").alias("part"), F.col("id").alias("subject"), "label", F.col("access_count").alias("n"), F.col("embedding").isNotNull().alias("embedded"))
+    out = out.unionByName(after_edges.select(F.lit("edge").alias("part"), F.concat_ws(">", "source", "target").alias("subject"), F.col("relation").alias("label"), F.col("weight").cast("long").alias("n"), none.alias("embedded")))
+    return out.unionByName(counts.where("n > 0").select(F.lit("count").alias("part"), F.col("what").alias("subject"), F.col("action").alias("label"), "n", none.alias("embedded")))
+
+
+@query("SELECT c_custkey AS id, c_custkey % 3 <> 2 AS same FROM customer")
+def canonical_properties(spark, d):
+    """JSON texts that differ only in order and blanks are equal, others are not."""
+    c = table(spark, d, "customer")
+    one = F.expr("concat('{\"name\": \"', c_name, '\", \"of\": {\"b\": [1, 2], \"a\": ', c_nationkey, '}}')")
+    two = F.when(F.col("c_custkey") % 3 == 2, F.expr("concat('{\"of\":{\"a\":', c_nationkey, ',\"b\":[2,1]},\"name\":\"', c_name, '\"}')")).otherwise(F.expr("concat('{\"of\":{\"a\":', c_nationkey, ',\"b\":[1,2]}, \"name\":\"', c_name, '\"}')"))
+    return c.select(F.col("c_custkey").alias("id"), (text.canonical_json(one) == text.canonical_json(two)).alias("same"))
