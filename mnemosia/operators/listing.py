@@ -190,3 +190,37 @@ EVENT_KINDS = ["observation", "conversation", "message", "decision", "task", "pr
 
 def event_violations() -> Column:
     return _violations([*_text_rules(("id", 255), ("title", 10_000)), ("kind_unknown", ~F.col("kind").isin(EVENT_KINDS)), ("confidence_range", (F.col("confidence") < 0) | (F.col("confidence") > 1))])
+
+
+def episode_violations() -> Column:
+    """Rules of an episode (id, title, status, started_at, ended_at, properties); a missing status is open."""
+    return _violations([
+        *_text_rules(("id", 255), ("title", 10_000)), ("status_unknown", ~F.coalesce(F.nullif("status", F.lit("")), F.lit("open")).isin("open", "closed")),
+        ("ends_before_start", F.col("ended_at") < F.col("started_at")), ("properties_too_large", F.octet_length("properties") > 65_536),
+    ])
+
+
+def link_violations() -> Column:
+    """Rules of an event's link to a node."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    return _violations([("node_id_required", blank("node_id")), ("role_required", blank("role"))])
+
+
+def feedback_violations() -> Column:
+    """Rules of a retrieval's feedback (query, outcome, note and the lists retrieved, selected, expected)."""
+    lists = [F.coalesce(F.size(c), F.lit(0)) > 20 for c in ("retrieved", "selected", "expected")]
+    return _violations([
+        ("query_required", F.coalesce(F.trim("query"), F.lit("")) == ""), ("query_too_long", F.octet_length("query") > 500),
+        ("outcome_unknown", ~F.coalesce(F.lower(F.trim("outcome")), F.lit("")).isin("helpful", "unhelpful", "missed")), ("note_too_long", F.octet_length("note") > 500), ("too_many_ids", lists[0] | lists[1] | lists[2]),
+    ])
+
+
+def supersede_violations() -> Column:
+    """Rules of a request that new_id takes the place of old_id."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    return _violations([("ids_required", blank("old_id") | blank("new_id")), ("ids_equal", F.col("old_id") == F.col("new_id")), ("old_id_too_long", F.octet_length("old_id") > MAX_ID), ("new_id_too_long", F.octet_length("new_id") > MAX_ID)])
+
+
+def request_violations() -> Column:
+    """Rules of what is asked of a search (query) and of a single row (id); a null is not asked."""
+    return _violations([("query_too_long", F.octet_length("query") > MAX_QUERY), ("id_required", F.col("id") == ""), ("id_too_long", F.octet_length("id") > MAX_ID)])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemosia.functions.text import STEM_SUFFIXES, intent_of, normalize_alias
-from mnemosia.operators import postings, resolve, shaping
+from mnemosia.operators import aggregates, listing, postings, resolve, shaping
 from mnemosia.operators.search import top
 
 from .graph import ALIASES_SQL, NODES_SQL, SCORED_SQL, aliases, table
@@ -135,3 +135,69 @@ def entity_resolution(spark, d):
     names = table(spark, d, "customer").selectExpr("c_custkey AS name_id", name, "'customer' AS kind")
     found = resolve.resolve(names, _scored(spark, d).where("type = 'customer'"), aliases(spark, d), lookup=True)
     return found.withColumn("confidence", F.round("confidence", 6))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) AS n FROM documents),
+    v AS (SELECT doc_id, unnest([CASE WHEN trim(left(t, 300), ' ') = '' THEN 'feedback:query_required' END, CASE WHEN strlen(left(t, 300 + doc_id % 400)) > 500 THEN 'feedback:query_too_long' END, CASE WHEN doc_id % 4 = 3 THEN 'feedback:outcome_unknown' END,
+      CASE WHEN doc_id % 6 > 3 THEN 'feedback:too_many_ids' END, CASE WHEN n > 2000 THEN 'request:query_too_long' END, CASE WHEN n > 255 THEN 'request:id_too_long' END, CASE WHEN n = 0 THEN 'request:id_required' END,
+      CASE WHEN doc_id % 7 = 0 THEN 'supersede:ids_equal' END, CASE WHEN doc_id % 11 = 0 THEN 'supersede:ids_required' END, CASE WHEN doc_id % 5 = 0 THEN 'episode:ends_before_start' END, CASE WHEN doc_id % 3 = 2 THEN 'episode:status_unknown' END, CASE WHEN trim(left(t, 40), ' ') = '' THEN 'episode:title_required' END]) AS rule FROM d)
+    SELECT rule, count(*) AS n FROM v WHERE rule IS NOT NULL GROUP BY 1"""
+)
+def row_violations(spark, d):
+    """Feedback, requests, supersessions and episodes made of documents, by the rules that they break."""
+    t = F.coalesce("text", F.lit(""))
+    docs = table(spark, d, "documents").select("doc_id", t.alias("t"))
+    k, s = F.col("doc_id"), lambda c: c.cast("string")
+    day = lambda n: F.expr(f"timestamp_ntz'2024-01-10 00:00:00' + make_dt_interval({n})")
+    feedback = docs.select(
+        F.left("t", F.lit(300) + k % 400).alias("query"), F.get(F.array(*map(F.lit, [" Helpful", "unhelpful", "MISSED", "other"])), k % 4).alias("outcome"), F.lit(None).cast("string").alias("note"),
+        F.array_repeat(F.lit("x"), (F.lit(17) + k % 6).cast("int")).alias("retrieved"), F.lit(None).cast("array<string>").alias("selected"), F.array().cast("array<string>").alias("expected"),
+    )
+    parts = {
+        "feedback": feedback.select(listing.feedback_violations().alias("v")),
+        "request": docs.select(F.col("t").alias("query"), F.col("t").alias("id")).select(listing.request_violations().alias("v")),
+        "supersede": docs.select(F.when(k % 11 == 0, "").otherwise(s(k)).alias("old_id"), F.when(k % 7 == 0, F.when(k % 11 == 0, "").otherwise(s(k))).otherwise("other").alias("new_id")).select(listing.supersede_violations().alias("v")),
+        "episode": docs.select(s(k).alias("id"), F.left("t", F.lit(40)).alias("title"), F.get(F.array(F.lit("open"), F.lit(""), F.lit("ajar")), k % 3).alias("status"), day(0).alias("started_at"), F.when(k % 5 == 0, day(-1)).otherwise(day(1)).alias("ended_at"), F.lit("{}").alias("properties")).select(listing.episode_violations().alias("v")),
+    }
+    out = None
+    for name, rows in parts.items():
+        own = rows.select(F.explode("v").alias("rule")).select(F.concat(F.lit(f"{name}:"), "rule").alias("rule"))
+        out = own if out is None else out.unionByName(own)
+    return out.groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query("SELECT turn AS event_id, conv_id::VARCHAR AS node_id, role FROM conversations WHERE turn = 2")
+def event_link_list(spark, d):
+    links = table(spark, d, "conversations").selectExpr("turn AS event_id", "CAST(conv_id AS string) AS node_id", "role", "conv_id AS created_at")
+    return listing.event_links(links, 2).select("event_id", "node_id", "role")
+
+
+@query("WITH c AS (SELECT event_type || ':' || user_id AS id, count(*) AS n FROM events GROUP BY 1) SELECT id, n AS count, (SELECT count(*) > 65 FROM c WHERE length(id) % 2 = 0) AS has_more FROM c WHERE length(id) % 2 = 0 ORDER BY n DESC, id LIMIT 50 OFFSET 15")
+def unknown_relation_list(spark, d):
+    rows = table(spark, d, "events").selectExpr("concat(event_type, ':', user_id) AS id").groupBy("id").agg(F.count("*").alias("count")).withColumn("resolved", F.length("id") % 2 == 1)
+    return listing.unknown_relations(rows, False, 50, 15).select("id", "count", "has_more")
+
+
+@query(
+    """WITH c AS (SELECT count(*) FILTER (event_type = 'view') AS parse_failures, count(*) FILTER (event_type = 'purchase') AS api_failures, count(*) FILTER (value < 0) AS ambiguous FROM events)
+    SELECT parse_failures, api_failures, ambiguous, array_to_string(list_filter([CASE WHEN parse_failures >= 3 THEN 'parse_failures' END, CASE WHEN api_failures >= 1000000000 THEN 'api_failures' END, CASE WHEN ambiguous >= 0 THEN 'ambiguous' END], lambda x: x IS NOT NULL), ',') AS alerts FROM c"""
+)
+def ingest_alerts(spark, d):
+    is_ = lambda kind: F.count_if(F.col("event_type") == kind)
+    counters = table(spark, d, "events").agg(is_("view").alias("parse_failures"), is_("purchase").alias("api_failures"), F.count_if(F.col("value") < 0).alias("ambiguous"))
+    return aggregates.diagnostic_alerts(counters, {"parse_failures": 3, "api_failures": 1_000_000_000, "ambiguous": 0}).withColumn("alerts", F.array_join("alerts", ","))
+
+
+_FOUND_SQL = "e AS (SELECT DISTINCT user_id AS doc, event_type || event_id % 5 AS name FROM events WHERE event_id % 3 <> 0), f AS (SELECT DISTINCT user_id AS doc, event_type || event_id % 5 AS name FROM events WHERE event_id % 4 <> 0)"
+
+
+@query(
+    f"""WITH {_FOUND_SQL}, b AS (SELECT coalesce(e.doc, f.doc) AS doc, count(e.name) AS n_expected, count(f.name) AS n_found, count(e.name || f.name) AS n_hit FROM e FULL JOIN f ON e.doc = f.doc AND e.name = f.name GROUP BY 1)
+    SELECT doc, n_expected, n_found, n_hit, round(coalesce(n_hit / nullif(n_found, 0)::DOUBLE, 0), 6) AS precision, round(coalesce(n_hit / nullif(n_expected, 0)::DOUBLE, 0), 6) AS recall, round(coalesce(2.0 * n_hit / nullif(n_found + n_expected, 0), 0), 6) AS f1 FROM b"""
+)
+def extraction_benchmark(spark, d):
+    """Names that each user's events should have given and did give."""
+    rows = table(spark, d, "events").selectExpr("user_id AS doc", "concat(event_type, event_id % 5) AS name", "event_id")
+    got = aggregates.extraction_scores(rows.where("event_id % 3 <> 0"), rows.where("event_id % 4 <> 0"), ["name"])
+    return got.select("doc", "n_expected", "n_found", "n_hit", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
