@@ -21,11 +21,14 @@ def duck():
     return c
 
 
+ROUND = "document_compaction edge_orientation property_merge postings_search intent_shaping service_rerank failure_ledger import_graph row_violations change_feed relationship_writes ingest_report entity_resolution canonical_properties".split()
+
+
 def rows(frame):
     return sorted(repr([round(float(v), 6) if isinstance(v, float) else str(v) for v in r]) for r in frame[sorted(frame.columns)].itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", ["hybrid_search", "list_nodes", "node_by_label", "fact_beliefs", "duplicate_pairs", "traverse", "recent_episodes", "evaluation_report", "change_buffer"])
+@pytest.mark.parametrize("name", ["hybrid_search", "list_nodes", "node_by_label", "fact_beliefs", "duplicate_pairs", "traverse", "recent_episodes", "evaluation_report", "change_buffer", *ROUND])
 def test_against_sql(spark, duck, name):
     assert rows(registry.QUERIES[name](spark, SF).toPandas()) == rows(duck.sql(registry.ORACLE_SQL[name]).df())
 
