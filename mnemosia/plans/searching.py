@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemosia.functions.text import STEM_SUFFIXES, intent_of, normalize_alias
-from mnemosia.operators import aggregates, listing, postings, resolve, shaping
+from mnemosia.operators import aggregates, listing, postings, rank, resolve, session, shaping
 from mnemosia.operators.search import top
 
 from .graph import ALIASES_SQL, NODES_SQL, SCORED_SQL, aliases, table
@@ -201,3 +201,36 @@ def extraction_benchmark(spark, d):
     rows = table(spark, d, "events").selectExpr("user_id AS doc", "concat(event_type, event_id % 5) AS name", "event_id")
     got = aggregates.extraction_scores(rows.where("event_id % 3 <> 0"), rows.where("event_id % 4 <> 0"), ["name"])
     return got.select("doc", "n_expected", "n_found", "n_hit", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(
+    f"""WITH m AS (SELECT conv_id, turn, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '^$', '') AS line FROM conversations),
+    q AS (SELECT conv_id, arg_min(text, turn) AS text, [CASE WHEN conv_id % 3 = 0 THEN 'Task  ' || conv_id END] AS work, CASE WHEN conv_id % 2 = 0 THEN ['Nora', 'nora ', 'Quill ' || conv_id] ELSE [] END AS ent FROM conversations GROUP BY 1),
+    p AS (SELECT q.conv_id, q.text, left(line, {session.ITEM_CHARS}) AS msg FROM q LEFT JOIN (SELECT conv_id, arg_max(line, turn) AS line FROM m WHERE line <> '' GROUP BY 1) l USING (conv_id)),
+    c AS (SELECT conv_id, lower(p.text) AS low, p.text, CASE WHEN conv_id % 3 = 0 THEN 'Task ' || conv_id END AS work, CASE WHEN conv_id % 2 = 0 THEN 'Nora Quill ' || conv_id END AS ent, msg FROM p),
+    v AS (SELECT *, list_filter(list_transform([text, text || ' ' || ent, text || ' ' || work, text || ' ' || msg], lambda x: left(trim(regexp_replace(x, '\\s+', ' ', 'g')), {session.FORM_CHARS})), lambda x: x IS NOT NULL AND x <> '') AS f,
+      regexp_matches(low, '{session.FILE_WORDS}') OR work IS NOT NULL AS files, regexp_matches(low, '{session.GRAPH_WORDS}') OR ent IS NOT NULL AS graph FROM c)
+    SELECT conv_id AS query_id, CASE WHEN files AND NOT graph THEN 'file' WHEN graph AND NOT files THEN 'graph' ELSE 'both' END AS source, array_to_string(list_filter(f, lambda x, i: len(list_filter(f[1:i - 1], lambda y: lower(y) = lower(x))) = 0), '|') AS forms FROM v"""
+)
+def session_contexts(spark, d):
+    """Each conversation's first turn as a question, with its last turn, a task and names as context."""
+    c = table(spark, d, "conversations")
+    rows = c.groupBy(F.col("conv_id").alias("query_id")).agg(F.min_by("text", "turn").alias("text"), F.array_sort(F.collect_list(F.struct((-F.col("turn")).alias("t"), "text"))).alias("m"))
+    task = F.when(F.col("query_id") % 3 == 0, F.array(F.concat(F.lit("Task  "), F.col("query_id").cast("string"))))
+    names = F.when(F.col("query_id") % 2 == 0, F.array(F.lit("Nora"), F.lit("nora "), F.concat(F.lit("Quill "), F.col("query_id").cast("string"))))
+    found = session.retrieval_context(rows.select("query_id", "text", names.alias("entities"), F.col("m.text").alias("messages"), task.alias("work")))
+    return found.select("query_id", "source", F.array_join("forms", "|").alias("forms"))
+
+
+@query(
+    """WITH h AS (SELECT user_id AS query_id, CASE event_type WHEN 'view' THEN 'file' ELSE 'graph' END AS source, (event_id % 97)::VARCHAR AS key, max(value) AS score FROM events GROUP BY 1, 2, 3),
+    b AS (SELECT query_id, key, max({'score': score * CASE source WHEN 'file' THEN 0.8 ELSE 1.0 END, 'source': source}) AS b FROM h GROUP BY 1, 2),
+    r AS (SELECT query_id, key, b.source AS source, round(b.score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(b.score, 9) DESC, key) AS rank FROM b WHERE round(b.score, 9) >= 20)
+    SELECT *, CASE source WHEN 'file' THEN 'file-memory match' ELSE 'knowledge-graph match' END AS why FROM r WHERE rank <= 5"""
+)
+def unified_results(spark, d):
+    """Hits of files and of the graph over several forms of each question, as one list."""
+    hits = table(spark, d, "events").selectExpr("user_id AS query_id", "event_id AS form", "CASE event_type WHEN 'view' THEN 'file' ELSE 'graph' END AS source", "CAST(event_id % 97 AS string) AS key", "value AS score")
+    merged = rank.merge_results(session.best_of_forms(hits).withColumn("intent", F.lit("general")), {"file": 0.8}, {}, limit=1000)
+    found = session.unified(merged, 20.0, 5)
+    return found.select("query_id", "key", "source", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), "why")
