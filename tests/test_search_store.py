@@ -8,7 +8,7 @@ from statistics import median
 import pytest
 from pyspark.sql import functions as F
 
-from mnemosia.operators import aggregates, duplicates, postings, shaping
+from mnemosia.operators import aggregates, duplicates, postings, session, shaping
 from mnemosia.sources import sink
 from mnemosia.streaming import feed
 
@@ -186,3 +186,16 @@ def test_running_medians(spark):
             m = median(before) if before else None
             assert got[run, seq] == (pytest.approx(m) if before else None, bool(len(before) >= 3 and rate is not None and rate <= 0.3 * m))
             before += [rate] if rate is not None and rate > 0 else []
+
+
+def test_contexts_of_a_session(spark):
+    rows = [
+        (1, "fix the parser", None, [" last  words ", "LAST words", "older"], ["  branch x "]), (2, "who is Nora", ["Nora", "nora", "", None, "a", "b", "c", "d", "e", "f"], None, None),
+        (3, "plain words", [], [], []), (4, "plain words", [], ["Plain  words plain words"], ["x" * 300]), (5, "", None, None, None),
+    ]
+    got = {r.query_id: r for r in session.retrieval_context(spark.createDataFrame(rows, "query_id int, text string, entities array<string>, messages array<string>, work array<string>")).collect()}
+    assert got[1].source == "file" and got[1].forms == ["fix the parser", "fix the parser branch x", "fix the parser last words"] and got[1].messages == ["last words", "older"]
+    assert got[2].source == "graph" and got[2].entities == ["Nora", "a", "b", "c", "d", "e"] and got[2].forms == ["who is Nora", "who is Nora Nora a b"]
+    assert got[3].source == "both" and got[3].forms == ["plain words"] and len(got[4].work[0]) == 240 and got[5].forms == []
+    hits = spark.createDataFrame([(1, "x", "file", 3.0), (1, "y", "graph", 2.0), (1, "z", "file", 0.5)], "query_id int, key string, source string, score double")
+    assert [(r.key, r.rank, r.why) for r in session.unified(hits, 1.0, 5).orderBy("rank").collect()] == [("x", 1, "file-memory match"), ("y", 2, "knowledge-graph match")]
