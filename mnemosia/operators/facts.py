@@ -35,13 +35,13 @@ def claims(evidence: DataFrame, current: DataFrame) -> DataFrame:
     now = current.select("node_id", "property", F.col("value").alias("current"))
     met = grouped.join(now, ["node_id", "property"], "left").withColumn("has_current", F.col("current").isNotNull()).withColumn("is_current", F.coalesce(F.col("value") == F.col("current"), F.lit(False)))
     own = Window.partitionBy("node_id", "property")
-    # rounded, since the last digits of a mean follow the order of its terms
+    # rounded, as is the gap below, since the last digits of a mean follow the order of its terms
     order = own.orderBy(F.desc(F.round("confidence", 12)), F.desc("evidence_count"), F.desc("is_current"), F.desc("last_observed"), F.asc("value"))
     placed = met.withColumn("n", F.row_number().over(order)).withColumn("swap", F.max(F.when(F.col("is_current"), F.col("n"))).over(own))
     placed = placed.withColumn("place", F.when(F.col("swap").isNull() | ~F.col("n").isin(1) & (F.col("n") != F.col("swap")), F.col("n")).when(F.col("n") == F.col("swap"), 1).otherwise(F.col("swap")))
     first = F.max(F.when(F.col("place") == 1, F.col("confidence"))).over(own)
     second = F.max(F.when(F.col("place") == 2, F.col("confidence"))).over(own)
-    state = F.when(F.col("has_current") & second.isNotNull() & (first - second < CONTESTED_DELTA), "contested").when(~F.col("has_current"), "superseded").otherwise("supported")
+    state = F.when(F.col("has_current") & second.isNotNull() & (F.round(first - second, 12) < CONTESTED_DELTA), "contested").when(~F.col("has_current"), "superseded").otherwise("supported")
     out = placed.withColumn("belief_status", state)
     status = F.when((F.col("place") == 1) & F.col("has_current"), F.col("belief_status")).when((F.col("belief_status") == "contested") & (F.col("place") <= 2), "contested").otherwise("superseded")
     return out.withColumn("status", status).withColumn("preferred", F.col("place") == 1).drop("n", "swap", "current")
