@@ -73,7 +73,9 @@ def _shaping_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame,
     queries = asked.select(F.col("c_custkey").alias("query_id"), "c_nationkey", F.get(forms, F.col("k")).alias("text"))
     nodes = _scored(spark, d).where("type = 'customer'").withColumn("search_text", F.concat("properties", F.lit(" since 199"), F.substring("id", -1, 1)))
     near = nodes.withColumn("nation", F.get_json_object("properties", "$.nation_id").try_cast("long"))
-    candidates = top(queries.join(near, F.col("nation") == F.col("c_nationkey")), 30, F.desc("salience_score"), F.asc("id")).select("query_id", "id", "rank")
+    # the queries of a nation have the same candidates, so a nation is ordered once, whatever their number
+    first = top(near.withColumn("query_id", F.col("nation")), 30, F.desc("salience_score"), F.asc("id")).select("nation", "id", "rank")
+    candidates = queries.join(first, F.col("nation") == F.col("c_nationkey")).select("query_id", "id", "rank")
     beliefs = nodes.selectExpr("id", "CASE WHEN user_boosted THEN 'supported' ELSE 'contested' END AS status", "access_count AS evidence_count", "0.5D AS preferred_confidence", "access_count % 2 = 0 AS matches_current", "updated_at AS last_observed")
     return queries, candidates, nodes, beliefs
 
