@@ -199,3 +199,28 @@ def test_contexts_of_a_session(spark):
     assert got[3].source == "both" and got[3].forms == ["plain words"] and len(got[4].work[0]) == 240 and got[5].forms == []
     hits = spark.createDataFrame([(1, "x", "file", 3.0), (1, "y", "graph", 2.0), (1, "z", "file", 0.5)], "query_id int, key string, source string, score double")
     assert [(r.key, r.rank, r.why) for r in session.unified(hits, 1.0, 5).orderBy("rank").collect()] == [("x", 1, "file-memory match"), ("y", 2, "knowledge-graph match")]
+
+
+def rows_of(plan, name="Join"):
+    """The most rows that a node of the executed plan with this word in its name made."""
+    kind, out = plan.nodeName(), 0
+    if kind == "AdaptiveSparkPlan":
+        return rows_of(plan.executedPlan(), name)
+    if "QueryStage" in kind:
+        return rows_of(plan.plan(), name)
+    if name in kind and plan.metrics().contains("numOutputRows"):
+        out = plan.metrics().apply("numOutputRows").value()
+    children = plan.children()
+    return max([out, *(rows_of(children.apply(i), name) for i in range(children.size()))])
+
+
+def test_queries_of_a_nation_do_not_meet_all_its_customers(spark, tmp_path):
+    from mnemosia.plans import searching
+
+    spark.range(1, 3001).selectExpr("id AS c_custkey", "concat('Customer#', id) AS c_name", "3L AS c_nationkey", "'A' AS c_mktsegment", "CAST(id % 100 * 100 AS double) AS c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    for name in ("region", "nation", "supplier", "part", "orders", "lineitem"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    _, candidates, _, _ = searching._shaping_inputs(spark, str(tmp_path))
+    assert candidates.groupBy().count().first()[0] == 100 * 30
+    candidates.collect()
+    assert rows_of(candidates._jdf.queryExecution().executedPlan()) <= 100 * 30
