@@ -8,14 +8,19 @@ whatever the number of queries.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mnemosia.functions.text import lexemes, normalize_alias
 
 RRF_K = 60
-#: Query vectors that are broadcast, and blocks that more are dealt to.
-QUERY_ROWS, QUERY_BLOCKS = 10_000, 64
+#: Vectors and query vectors of a block, queries that meet a block at once, pairs that are scored again at once.
+VECTOR_ROWS, QUERY_ROWS, QUERY_CHUNK, PAIRS = 8_192, 4_096, 256, 65_536
+#: How far a score may be behind the last of the first ones before rounding to six digits.
+MARGIN = 2e-6
 
 
 def text_hits(nodes: DataFrame, queries: DataFrame, stemmed: bool = True) -> DataFrame:
@@ -66,21 +71,86 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
+def _sequential(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of columns, added up as `dot` does, so that scores are the same to the last digit."""
+    total = np.zeros(a.shape[1])
+    for x, y in zip(a, b):
+        total += x * y
+    return total
+
+
+def _matrix(rows: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors as columns, their norms)."""
+    flat = rows[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    columns = np.ascontiguousarray(flat.reshape(rows.num_rows, -1).T)
+    return columns, np.sqrt(_sequential(columns, columns))
+
+
+def _nearest(limit: int):
+    """A function of (vectors, queries) of one block each: the pairs that can be among the first `limit` of a query, with their scores."""
+
+    def near(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        vectors = vectors.sort_by("id")
+        v, norm = _matrix(vectors, "v")
+        # of equal vectors only those with the least ids can be among the first
+        _, same = np.unique(v.T.copy().view(np.dtype((np.void, v.shape[0] * 8))).ravel(), return_inverse=True)
+        order = np.argsort(same, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(same[order]) > 0])
+        place = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+        rows = np.sort(order[place < limit])
+        v, norm = np.ascontiguousarray(v[:, rows]), norm[rows]
+        q, q_norm = _matrix(queries, "q")
+        plain = lambda n: (n > 1e-100) & (n < 1e100)
+        unit = np.where(plain(norm), v / np.where(plain(norm), norm, 1.0), 0.0)
+        found = [], [], []
+        for at in range(0, q.shape[1], QUERY_CHUNK):
+            part, n = q[:, at : at + QUERY_CHUNK], q_norm[at : at + QUERY_CHUNK]
+            score = np.where(plain(n), part / np.where(plain(n), n, 1.0), 0.0).T @ unit
+            known = plain(n)[:, None] & plain(norm)[None, :]
+            score[~known] = -np.inf
+            # scores are rounded to six digits later; what is this far behind the last of the first ones stays behind
+            least = np.partition(score, -limit, axis=1)[:, -limit] - MARGIN if score.shape[1] > limit else np.full(score.shape[0], -np.inf)
+            k, i = np.nonzero((score >= least[:, None]) | ~known)
+            for cut in range(0, len(i), PAIRS):
+                a, b = i[cut : cut + PAIRS], k[cut : cut + PAIRS]
+                below = norm[a] * n[b]
+                own = below != 0
+                a, b = a[own], b[own]
+                found[0].append(rows[a])
+                found[1].append(b + at)
+                found[2].append(_sequential(v[:, a], part[:, b]) / below[own])
+        i, k, score = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in found)
+        return pa.table({"query_id": queries["query"].take(pa.array(k)), "id": vectors["id"].take(pa.array(i)), "score": pa.array(score.astype(np.float64))})
+
+    return near
+
+
 def semantic(vectors: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """query_id, id, score, rank: cosine similarity, exact. queries (query_id, embedding) is a stated
-    query set; up to QUERY_ROWS of them are broadcast, more meet the vectors in blocks of a shuffle. Null and zero
-    vectors and vectors of other length are left out."""
-    unit = lambda df, name: df.where(F.col("embedding").isNotNull()).select(name, F.col("embedding"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
-    q = unit(queries, "query_id").select("query_id", F.col("embedding").alias("q"), F.col("norm").alias("qn"))
-    v = unit(vectors, "id")
-    if queries.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS:
-        both = v.join(F.broadcast(q), F.size("embedding") == F.size("q"))
-    else:
-        # every vector goes to each block of queries once
-        q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(QUERY_BLOCKS)))
-        both = v.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(QUERY_BLOCKS - 1).cast("long")))).join(q, "block").where(F.size("embedding") == F.size("q"))
-    scored = both.select("query_id", "id", F.round(F.try_divide(dot(F.col("embedding"), F.col("q")), F.col("norm") * F.col("qn")), 6).alias("score")).where("score IS NOT NULL")
-    return top(scored, limit, F.desc("score"), F.asc("id"))
+    """query_id, id, score, rank: cosine similarity, exact. Null and zero vectors, vectors with a null and vectors of other
+    length than the query's are left out.
+
+    Every query (query_id, embedding) meets every vector, so the work grows with their product: blocks of VECTOR_ROWS
+    vectors meet blocks of QUERY_ROWS queries, each pair of blocks in one group, by a product of two matrices. What may
+    be among the first ones of a query is scored again as `dot` does, and leaves the group with its score."""
+    usable = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull())
+    v = vectors.where(usable).select("id", F.col("embedding").alias("v"), F.size("embedding").alias("dim"))
+    q = queries.where(usable).select(F.col("query_id").alias("query"), F.col("embedding").alias("q"), F.size("embedding").alias("q_dim"))
+    blocks = lambda df, most: max(1, -(-df.count() // most))
+    n_v, n_q = blocks(vectors, VECTOR_ROWS), blocks(queries, QUERY_ROWS)
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = v.withColumn("v_block", dealt("id", n_v)).withColumn("q_block", every(n_q))
+    q = q.withColumn("met", every(n_v)).withColumn("own", dealt("query", n_q))
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", vectors.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    nearest = _nearest(limit)
+
+    def near(vs: pa.Table, qs: pa.Table) -> pa.Table:
+        if vs.num_rows and qs.num_rows:
+            return nearest(vs, qs)
+        return pa.table({"query_id": qs["query"].slice(0, 0), "id": vs["id"].slice(0, 0), "score": pa.array([], pa.float64())})
+
+    met = v.groupBy("dim", "v_block", "q_block").cogroup(q.groupBy("q_dim", "met", "own")).applyInArrow(near, schema)
+    return top(met.withColumn("score", F.round("score", 6)), limit, F.desc("score"), F.asc("id")).select("query_id", "id", "score", "rank")
 
 
 def hybrid(text: DataFrame, near: DataFrame, nodes: DataFrame, limit: int = 10, k: int = RRF_K) -> DataFrame:

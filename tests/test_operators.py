@@ -174,6 +174,34 @@ def test_a_gap_of_the_least_margin_is_not_contested(spark):
     assert facts.beliefs(ev, spark.createDataFrame([("n", "p", "a")], "node_id string, property string, value string")).first().status == "supported"
 
 
+def test_nearest_vectors_by_blocks(spark, monkeypatch):
+    """Copies, ties, other lengths, zeros, nulls and huge values, over several blocks of both sides, against every pair."""
+    import random
+
+    from mnemosia.operators import search
+
+    for name in ("VECTOR_ROWS", "QUERY_ROWS", "QUERY_CHUNK", "PAIRS"):
+        monkeypatch.setattr(search, name, 7)
+    rng = random.Random(3)
+    rows = [(f"v{k:03}", [rng.choice([0.0, 1.0, -2.0, rng.random()]) for _ in range(3)]) for k in range(60)] + [(f"w{k:02}", [1.0, 2.0, 3.0]) for k in range(20)]
+    rows += [("x1", [1e200, 1.0, 1.0]), ("x2", [1.0, 2.0]), ("x3", [0.0, 0.0, 0.0]), ("x4", [None, 1.0, 1.0]), ("x5", None), ("x6", [])]
+    v = spark.createDataFrame(rows, "id string, embedding array<double>")
+    q = spark.createDataFrame([(k, rows[n][1]) for k, n in enumerate([0, 3, 5, 8, 13, 21, 34, 55, 60, 61, 81, 84])], "query_id int, embedding array<double>")
+    expected = set()
+    for query in q.collect():
+        scored = []
+        for id_, e in rows:
+            if not e or not query.embedding or len(e) != len(query.embedding) or None in e or not any(e) or not any(query.embedding):
+                continue
+            dot = lambda a, b: sum((x * y for x, y in zip(a, b)), 0.0)
+            below = dot(e, e) ** 0.5 * dot(query.embedding, query.embedding) ** 0.5
+            scored.append((-round(dot(e, query.embedding) / below, 6), id_))
+        expected |= {(query.query_id, id_, -score, n + 1) for n, (score, id_) in enumerate(sorted(scored)[:4])}
+    got = search.semantic(v, q, 4)
+    assert {(r.query_id, r.id, r.score + 0.0, r["rank"]) for r in got.collect()} == expected
+    assert "Nested" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_common_first_word_loses_no_candidate(spark):
     n = spark.createDataFrame([(f"p{i}", "company", f"Acme number {i} of many") for i in range(1500)], "id string, type string, label string")
     names = spark.createDataFrame([(1, "acme number 700 of manny", "company")], "name_id int, name string, kind string")
