@@ -65,6 +65,15 @@ def test_search_text(spark):
     assert "Atlas is owned by Ann" in r and "tags: a, b" in r and not any("no" == x for x in r)
 
 
+def test_a_text_parses_its_properties_once(spark):
+    rows = spark.createDataFrame([("Atlas", "project", '{"owner":"Ann"}'), ("Bare", "project", None), ("Odd", "project", "not json")], "label string, type string, properties string")
+    out = rows.select("label", text.search_text(F.col("label"), F.col("type"), F.col("properties")).alias("t"), text.fact_text(F.col("label"), F.col("properties")).alias("f"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("from_json(MapType") == 2
+    got = {r.label: (r.t, r.f) for r in out.collect()}
+    assert got["Atlas"] == ("Atlas\nproject\nAnn\nowner: Ann\nAtlas is owned by Ann", "owner: Ann\nAtlas is owned by Ann")
+    assert got["Bare"] == ("Bare\nproject", "") and got["Odd"] == ("Odd\nproject", "")
+
+
 def test_names(spark):
     rows = spark.createDataFrame([("Acme, Inc.", "acme", 1.0), ("Acme Group Solutions", "Acme", 1.0), ("Beta", "Alphabeta", 0.8), ("x", "y", 0.0)], "a string, b string, s double")
     for r in rows.select(resolve.fuzzy_match(F.col("a"), F.col("b")).alias("g"), "s").collect():
