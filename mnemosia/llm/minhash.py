@@ -159,18 +159,45 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int = SHINGLE) -> DataFrame
 def components(edges: DataFrame) -> DataFrame:
     """node, comp: the least node reachable over the undirected edges (a, b), for every node in them.
 
-    Labels go to neighbours and then jump to the label's own label, until nothing changes."""
-    edges = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = stored(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "labels")
-    while True:
-        seen = edges.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near")).withColumnRenamed("a", "node")
-        step = labels.join(seen, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        # the label's label: labels are nodes, and their own labels are at most as large
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        new = stored(step.join(jump, "comp").select("node", "old", F.least("comp", "far").alias("comp")), "labels")
-        labels = new.select("node", "comp")
-        if new.where("old <> comp").isEmpty():
-            return labels
+    In a round every node points to its least neighbour, or to itself if it is less; pointers are followed twice more,
+    and the edges between what they lead to are the next round's. So edges within a component are not read again: the
+    nodes that are left are at most half as many after two rounds."""
+    edges = _pairs(edges)
+    hooks = []
+    while not edges.isEmpty():
+        both = edges.union(edges.select("b", "a"))
+        to = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")).withColumnRenamed("a", "node"), "hooks")
+        twice = to.alias("x").join(to.alias("y"), F.col("x.to") == F.col("y.node")).select("x.node", "y.to")
+        hooks.append(stored(twice.alias("x").join(to.alias("y"), F.col("x.to") == F.col("y.node")).select("x.node", "y.to"), "hooks"))
+        edges = _pairs(_led(edges, hooks[-1]))
+    if not hooks:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    labels = hooks[0].select("node", F.col("to").alias("comp"))
+    for to in hooks[1:]:
+        labels = labels.join(small(to.select(F.col("node").alias("comp"), "to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    return stored(labels, "labels")
+
+
+def _pairs(edges: DataFrame) -> DataFrame:
+    """Each edge between two nodes once, with a < b."""
+    return stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+
+
+def _led(edges: DataFrame, to: DataFrame) -> DataFrame:
+    """edges between the nodes to which `to` (node, to) leads their ends; an end that it lacks stays."""
+    to = small(to)
+    end = lambda c: to.select(F.col("node").alias(c), F.col("to").alias(f"_{c}"))
+    return edges.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+
+
+def extended(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels (node, comp) after further links (a, b): only these are followed, between the components they join."""
+    if labels is None:
+        return components(links)
+    more = components(_led(links, labels.select("node", F.col("comp").alias("to"))))
+    known = labels.select("node", "comp").unionByName(more.select("node", F.col("node").alias("comp")).join(small(labels.select("node")), "node", "left_anti"))
+    out = known.join(small(more.select(F.col("node").alias("comp"), F.col("comp").alias("to"))), "comp", "left")
+    return stored(out.select("node", F.coalesce("to", "comp").alias("comp")), "labels")
 
 
 def _relabel(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -255,7 +282,7 @@ def near_duplicates(docs: DataFrame, k: int = K, t: int = T, n: int = SHINGLE) -
     repeated = stored(repeated.where("rows > 1").select("doc_id", (F.col("lo") != F.col("hi")).alias("several")), "repeated")
     several = repeated.where("several").select("doc_id")
     any_repeated, any_several = not repeated.isEmpty(), not several.isEmpty()
-    links = labels = None
+    labels = None
     if any_several:
         # the classes of one doc_id's texts are linked
         met = full.join(small(several), "doc_id").select("doc_id", *key).distinct().join(classes.select("node", *key), key).select("doc_id", "node")
@@ -283,12 +310,9 @@ def near_duplicates(docs: DataFrame, k: int = K, t: int = T, n: int = SHINGLE) -
                     dry = turn > 0
                     continue
                 break
+            labels = extended(labels, new)
             if dry:
-                links, labels = links.unionByName(new) if links is not None else new, None
-                labels = components(links)
                 break
-            links = new if links is None else links.unionByName(new)
-            labels = components(links)
     named = classes.select("node", "doc", *key)
     if labels is not None:
         marked = named.join(small(labels), "node", "left").withColumn("comp", F.coalesce("comp", "node"))

@@ -111,3 +111,21 @@ def test_templates_a_little_below_the_threshold_do_not_meet(spark):
     assert M._rest(postings, texts, M.SHINGLE).count() == 0
     got = M.near_duplicates(texts.withColumnRenamed("node", "doc_id")).collect()
     assert all(r.component_id == r.doc_id for r in got) and len(got) == 400
+
+
+def test_components_read_an_edge_only_until_it_lies_within_one(spark, monkeypatch):
+    rng = random.Random(3)
+    chain = rng.sample(range(2000), 2000)
+    edges = list(zip(chain, chain[1:])) + [(5000, 5001), (5001, 5002), (7000, 7000)]
+    rows, store = [], M.stored
+    monkeypatch.setattr(M, "stored", lambda df, name="t": (out := store(df, name), rows.append(out.count()))[0])
+    got = {r.node: r.comp for r in M.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 0 for k in chain} | {k: 5000 for k in (5000, 5001, 5002)}
+    assert sum(rows) <= 6 * len(edges)
+
+
+def test_further_links_join_components_and_new_nodes(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    labels = M.components(frame([(1, 2), (3, 4), (8, 9)]))
+    got = M.extended(labels, frame([(4, 2), (5, 4), (11, 10), (9, 8)]))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (8, 8), (9, 8), (10, 10), (11, 10)]
