@@ -13,12 +13,16 @@ as many tasks as it has hours.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 BUFFER, MAX_AGE_S, MAX_PAYLOAD = 1000, 3600, 4096
+#: Held changes that are one value of the state.
+BLOCK = 64
+EPOCH = datetime(1970, 1, 1)
 SCHEMA = "change_id long, tenant string, type string, ts timestamp_ntz, payload string"
 NUMBERED = "tenant string, seq long, change_id long, type string, ts timestamp_ntz, payload string"
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -58,42 +62,58 @@ def replay(buffer: DataFrame, tenant: str, since: int) -> tuple[DataFrame, bool]
 
 
 class Numbering(StatefulProcessor):
-    """By tenant: the last number given, the oldest one held, and the held changes by number.
+    """By tenant: the last number given, the oldest one held, and the held changes in blocks, by a block's first number.
 
     A held change leaves when `size` later ones have come or the tenant's newest change is max_age_s later; with
-    `expire` also max_age_s after it arrived, by the state's own time to live, so that silent tenants hold nothing."""
+    `expire` also max_age_s after it arrived, by the state's own time to live, so that silent tenants hold nothing.
+    Each call on the state is a message to the JVM, so what a batch brings is put there in blocks of BLOCK rows. A block
+    is never written again: until all of it has left, `oldest` says what has."""
 
     def __init__(self, size: int = BUFFER, max_age_s: int = MAX_AGE_S, expire: bool = False):
         self.size, self.max_age_s, self.expire = size, max_age_s, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "seq long, oldest long, newest timestamp_ntz")
-        self.held = handle.getMapState("held", "seq long", "change_id long, type string, ts timestamp_ntz, payload string", ttlDurationMs=self.max_age_s * 1000 if self.expire else None)
+        self.last = handle.getValueState("last", "seq long, oldest long, newest timestamp_ntz, first long")
+        self.held = handle.getMapState("held", "first long", "change_id array<long>, type array<string>, micros array<long>, payload array<string>", ttlDurationMs=self.max_age_s * 1000 if self.expire else None)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        from datetime import datetime, timedelta
-
-        seq, oldest, newest = self.last.get() if self.last.exists() else (0, 1, None)
         none = datetime.min
+        seq, oldest, newest, first = self.last.get() if self.last.exists() else (0, 1, None, 1)
         new = sorted(rows, key=lambda r: (r.ts or none, -1 if r.change_id is None else r.change_id))
         newest = max([newest or none, *(r.ts or none for r in new)])
         cutoff = newest - timedelta(seconds=self.max_age_s) if newest > none else none
         least = seq + len(new) - self.size  # what has this number or less is pushed out by number
+        if first <= seq <= least:
+            self.held.clear()
+            first = oldest = seq + 1
         # numbers are in the order of time within a batch, so what is too old leaves from the front
-        while oldest <= seq:
-            known = self.held.getValue((oldest,)) if oldest > least and self.held.containsKey((oldest,)) else None
-            if known and (known[2] or none) >= cutoff:
+        while first <= seq:
+            block = self.held.getValue((first,)) if self.held.containsKey((first,)) else None
+            if block is None:  # its time to live has passed
+                first += 1
+                oldest = max(oldest, first)
+                continue
+            times = [none if t is None else EPOCH + timedelta(microseconds=t) for t in block[2]]
+            while oldest < first + len(times) and (oldest <= least or times[oldest - first] < cutoff):
+                oldest += 1
+            if oldest < first + len(times):
                 break
-            self.held.removeKey((oldest,))
-            oldest += 1
+            self.held.removeKey((first,))
+            first += len(times)
+        empty, keep = first > seq, []
         for r in new:
             seq += 1
             if oldest == seq and (seq <= least or (r.ts or none) < cutoff):
                 oldest += 1
             else:
-                self.held.updateValue((seq,), (r.change_id, r.type, r.ts, r.payload))
+                keep.append(r)
             yield Row(tenant=key[0], seq=seq, change_id=r.change_id, type=r.type, ts=r.ts, payload=r.payload)
-        self.last.update((seq, oldest, newest))
+        start = seq - len(keep) + 1
+        for at in range(0, len(keep), BLOCK):
+            own = keep[at : at + BLOCK]
+            micros = [None if r.ts is None else (r.ts - EPOCH) // timedelta(microseconds=1) for r in own]
+            self.held.updateValue((start + at,), ([r.change_id for r in own], [r.type for r in own], micros, [r.payload for r in own]))
+        self.last.update((seq, oldest, newest, start if empty else first))
 
     def close(self) -> None:
         pass
@@ -133,9 +153,14 @@ def run_numbering(spark: SparkSession, path: str, checkpoint: str, sink: str, si
 
 def held(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The replay buffer (NUMBERED) as the last batch left it in the state: at most `size` rows of each tenant, whatever the history."""
-    rows = spark.read.format("statestore").option("stateVarName", "held").load(checkpoint)
+    state = lambda name: spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+    rows = state("held")
     value = "user_map_value.value" if "value" in rows.schema["user_map_value"].dataType.names else "user_map_value"
-    return rows.select(F.col("key.tenant").alias("tenant"), F.col("user_map_key.seq").alias("seq"), *[F.col(f"{value}.{c}").alias(c) for c in ("change_id", "type", "ts", "payload")])
+    blocks = rows.select(F.col("key.tenant").alias("tenant"), F.col("user_map_key.first").alias("first"), F.posexplode(F.arrays_zip(*[F.col(f"{value}.{c}").alias(c) for c in ("change_id", "type", "micros", "payload")])).alias("at", "c"))
+    oldest = state("last").select(F.col("key.tenant").alias("tenant"), F.col("value.oldest").alias("oldest"))
+    ts = F.expr("timestamp_ntz'1970-01-01 00:00:00' + c.micros * INTERVAL '0.000001' SECOND").alias("ts")
+    met = blocks.join(oldest, "tenant").where(F.col("first") + F.col("at") >= F.col("oldest"))
+    return met.select("tenant", (F.col("first") + F.col("at")).alias("seq"), "c.change_id", "c.type", ts, "c.payload")
 
 
 def windowed_counts(changes: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:

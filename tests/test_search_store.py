@@ -3,9 +3,11 @@
 import itertools
 import math
 import random
+from datetime import datetime, timedelta
 from statistics import median
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from mnemosia.operators import aggregates, duplicates, postings, session, shaping
@@ -106,6 +108,61 @@ def changes(spark, rows):
     return spark.createDataFrame(rows, "change_id long, tenant string, type string, ts string, payload string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+class StateOf:
+    """Stands for both kinds of state of one tenant, and counts the calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.map = 0, None, {}
+
+    def getValueState(self, *_, **__):
+        return self
+
+    getMapState = getValueState
+
+    def __getattribute__(self, name):
+        own = object.__getattribute__(self, "__dict__")
+        if name in ("exists", "get", "update", "containsKey", "getValue", "updateValue", "removeKey", "clear"):
+            own["calls"] += 1
+        return object.__getattribute__(self, name)
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def containsKey(self, key):
+        return key in self.map
+
+    def getValue(self, key):
+        return self.map.get(key)
+
+    def updateValue(self, key, value):
+        self.map[key] = value
+
+    def removeKey(self, key):
+        self.map.pop(key, None)
+
+    def clear(self):
+        self.map.clear()
+
+
+def test_a_batch_calls_the_state_by_blocks_and_not_by_rows():
+    state, numbering, at = StateOf(), feed.Numbering(100, 10**6), 0
+    numbering.init(state)
+    for n in (150, 30, 150, 1, 1):
+        rows = [Row(change_id=at + k, type="x", ts=datetime(2024, 1, 1) + timedelta(seconds=at + k), payload="{}") for k in range(n)]
+        assert [r.seq for r in numbering.handleInputRows(("t",), iter(rows), None)] == list(range(at + 1, at + n + 1))
+        at += n
+        oldest = state.value[1]
+        held = sorted(first[0] + k for first, block in state.map.items() for k in range(len(block[0])))
+        assert [seq for seq in held if seq >= oldest] == list(range(at - 99, at + 1)) and len(held) < 100 + feed.BLOCK
+    assert state.calls <= 8 * 5
+
+
 def test_the_stream_gives_the_batch_numbers_over_restarts(spark, tmp_path):
     rng = random.Random(3)
     rows = [(i, rng.choice("ttttuv"), "x", f"2024-01-{1 + i // 40:02d} {i // 4 % 24:02d}:{i % 60:02d}:00", "{}") for i in range(400)]
