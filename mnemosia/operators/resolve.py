@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemosia.functions.text import bound
+
 from .graph import kept
 from .listing import node_by_label
 from .postings import Postings, build, matches
@@ -23,11 +25,18 @@ COMPANY_SUFFIXES = [
 ]
 
 
+#: Whether any ending is there; most labels have none and are left after this one look.
+_ANY_SUFFIX = "(?:" + "|".join(re.escape(s) for s in COMPANY_SUFFIXES) + ")$"
+
+
 def normalize_label(c: Column) -> Column:
-    out = F.lower(F.trim(c))
-    for suffix in COMPANY_SUFFIXES:
-        out = F.regexp_replace(out, re.escape(suffix) + "$", "")
-    return F.trim(out)
+    def short(x: Column) -> Column:
+        out = x
+        for suffix in COMPANY_SUFFIXES:
+            out = F.regexp_replace(out, re.escape(suffix) + "$", "")
+        return F.when(x.rlike(_ANY_SUFFIX), out).otherwise(x)
+
+    return F.trim(bound(F.lower(F.trim(c)), short))
 
 
 def fuzzy_match(a: Column, b: Column) -> Column:
@@ -44,15 +53,17 @@ def trigrams(c: Column) -> Column:
 
 def trigram_similarity(a: Column, b: Column) -> Column:
     """Dice coefficient of the trigram multisets; 0 if either is empty, 1 if equal."""
-    ga, gb = trigrams(a), trigrams(b)
     count = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
-    shared = F.aggregate(F.array_distinct(ga), F.lit(0), lambda s, g: s + F.least(count(ga, g), count(gb, g)))
-    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(shared * 2.0 / (F.size(ga) + F.size(gb)))
+    shared = lambda ga, gb: F.aggregate(F.array_intersect(ga, gb), F.lit(0), lambda s, g: s + F.least(count(ga, g), count(gb, g)))
+    dice = bound(trigrams(a), lambda ga: bound(trigrams(b), lambda gb: shared(ga, gb) * 2.0 / (F.size(ga) + F.size(gb))))
+    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(dice)
 
 
-def candidate_score(query: Column, kind: Column, id_: Column, label: Column, node_type: Column) -> Column:
-    """Confidence of a candidate node for a name, from 0 to 1; a type that differs costs, an equal one adds."""
-    q, n = normalize_label(query), normalize_label(label)
+def candidate_score(query: Column, kind: Column, id_: Column, label: Column, node_type: Column, q: Column | None = None, n: Column | None = None) -> Column:
+    """Confidence of a candidate node for a name, from 0 to 1; a type that differs costs, an equal one adds.
+
+    q and n are the normalised name and label where the rows have them; the score names both several times."""
+    q, n = normalize_label(query) if q is None else q, normalize_label(label) if n is None else n
     base = (
         F.when(query == id_, 1.0).when(F.lower(F.trim(query)) == F.lower(F.trim(label)), 0.99).when((q != "") & (q == n), 0.97)
         .when(q.contains(n) | n.contains(q), 0.88).otherwise(trigram_similarity(q, n) * 0.84)
@@ -99,11 +110,19 @@ def decided(scored: DataFrame) -> DataFrame:
     return top.select("name_id", F.when(clear, "match").when(F.col("all") > 1, "ambiguous").otherwise("no_match").alias("status"), "id", "confidence")
 
 
+def _met(found: DataFrame, asked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """found (name_id, id) with name, kind, label, type, and `score`, an array of the one score; names and labels are normalised once each, before they meet."""
+    named = asked.select("name_id", "name", "kind", normalize_label(F.col("name")).alias("_q"))
+    own = nodes.select("id", "type", "label", normalize_label(F.col("label")).alias("_n"))
+    met = found.join(named, "name_id").join(own, "id")
+    return met.withColumn("score", F.array(candidate_score(F.col("name"), F.col("kind"), F.col("id"), F.col("label"), F.col("type"), F.col("_q"), F.col("_n"))))
+
+
 def scored_candidates(found: DataFrame, asked: DataFrame, nodes: DataFrame) -> DataFrame:
     """name_id, id, confidence of pairs (name_id, id), those of 0.5 or more."""
-    met = found.join(asked, "name_id").join(nodes.select("id", "type", "label"), "id")
-    confidence = F.round(candidate_score(F.col("name"), F.col("kind"), F.col("id"), F.col("label"), F.col("type")), 9)
-    return met.select("name_id", "id", confidence.alias("confidence")).where(F.col("confidence") >= KEEP)
+    # a filter on the score itself would compute it a second time
+    kept_ones = F.filter(F.transform("score", lambda c: F.round(c, 9)), lambda c: c >= KEEP)
+    return _met(found, asked, nodes).select("name_id", "id", F.explode(kept_ones).alias("confidence"))
 
 
 def resolve(names: DataFrame, nodes: DataFrame, aliases: DataFrame, postings: Postings | None = None, lookup: bool = False) -> DataFrame:
@@ -119,11 +138,9 @@ def resolve(names: DataFrame, nodes: DataFrame, aliases: DataFrame, postings: Po
     settled = None
     if lookup:
         one = kept(by_id.select("name_id", "id", F.lit(0).alias("tier")).unionByName(by_label.select("name_id", "id", F.lit(1).alias("tier"))).groupBy("name_id").agg(F.min(F.struct("tier", "id")).alias("b")).select("name_id", "b.id", "b.tier"))
-        met = one.join(asked, "name_id").join(nodes.select("id", "type", "label"), "id")
-        own = candidate_score(F.col("name"), F.col("kind"), F.col("id"), F.col("label"), F.col("type"))
         alias = F.lower(F.trim("label")) != F.lower("name")
-        confidence = F.when(F.col("tier") == 0, 1.0).when(alias, F.greatest(own, F.lit(0.96))).otherwise(own)
-        settled = met.select("name_id", F.lit("match").alias("status"), "id", F.round(confidence, 9).alias("confidence"))
+        confidence = F.transform("score", lambda own: F.when(F.col("tier") == 0, 1.0).when(alias, F.greatest(own, F.lit(0.96))).otherwise(own))
+        settled = _met(one, asked, nodes).select("name_id", F.lit("match").alias("status"), "id", F.round(F.get(confidence, F.lit(0)), 9).alias("confidence"))
         asked = kept(asked.join(one.select("name_id"), "name_id", "left_anti"))
     normal = nodes.select("id", normalize_label(F.col("label")).alias("norm"))
     found = search_candidates(asked, nodes, aliases, postings=postings)

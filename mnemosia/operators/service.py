@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemosia.functions.text import intent_of, query_variants, title_words
+from mnemosia.functions.text import bound, intent_of, query_variants, title_words
 
 from . import postings as stored_postings, rank, search, shaping
-from .graph import kept
+from .graph import dealt, kept
 from .listing import node_by_label
 
 #: Least salience by intent where none is asked for, most labels that are rescued, seeds and edges of the expansion (fixed values).
@@ -23,10 +23,11 @@ RESCUED, SEEDS, SEED_EDGES = 3, 5, 3
 
 
 def variant_rows(queries: DataFrame) -> DataFrame:
-    """query_id, variant (from 0, longest first), text; a query without variants is tried as it is."""
-    forms = query_variants(F.col("text"))
-    forms = F.when(F.size(forms) == 0, F.array("text")).otherwise(forms)
-    return queries.select("query_id", F.posexplode(forms).alias("variant", "text"))
+    """query_id, variant (from 0, longest first), text; a query without variants is tried as it is.
+
+    Making them costs far more than reading a query, so queries are dealt over all tasks first, however few bytes they have."""
+    forms = bound(query_variants(F.col("text")), lambda made: F.when(F.size(made) == 0, F.array("text")).otherwise(made))
+    return dealt(queries.select("query_id", "text"), "query_id").select("query_id", F.posexplode(forms).alias("variant", "text"))
 
 
 def least_salience(queries: DataFrame, asked: float = 0.0) -> DataFrame:

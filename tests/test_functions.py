@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemosia.functions import edtf, text
-from mnemosia.operators import ingest, resolve
+from mnemosia.operators import ingest, resolve, service
 
 
 @pytest.mark.parametrize(
@@ -97,3 +97,16 @@ def test_chunks():
     assert [c["start_line"] for c in found][0] == 1 and found[-1]["end_line"] == len(body.split("\n"))
     assert all(b["start_line"] == a["end_line"] + 1 for a, b in zip(found, found[1:]))
     assert ingest._chunks("short", 300) == [{"index": 0, "start_line": 1, "end_line": 1, "text": "short"}] and ingest._chunks(None, 3) == []
+
+
+def test_forms_of_a_query_and_scores_of_a_pair_are_made_from_values_computed_once(spark):
+    """What stands several times in an expression is bound; written out it was computed hundreds of times a row."""
+    queries = spark.createDataFrame([(1, "Who is Ada Quill?")], "query_id long, text string")
+    plan = service.variant_rows(queries)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") <= 3
+    names = spark.createDataFrame([("a", "Ada Quill Inc.", "person"), ("b", "", None), ("c", None, "person")], "name_id string, name string, kind string")
+    nodes = spark.createDataFrame([("n1", "person", "ada quill"), ("n2", "place", "Ada Quilt co."), ("n3", "person", None)], "id string, type string, label string")
+    pairs = names.crossJoin(nodes).select("name_id", "id")
+    scored = resolve.scored_candidates(pairs, names, nodes)
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("incorporated") <= 10
+    assert {tuple(r) for r in scored.collect()} == {("a", "n1", 1.0), ("a", "n2", 0.530909091), ("b", "n1", 0.88), ("b", "n2", 0.88)}
