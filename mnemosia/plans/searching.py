@@ -57,7 +57,7 @@ def postings_search(spark, d):
     """Stemmed words, nearness and aliases, over stored postings."""
     rows = table(spark, d, "documents").selectExpr("lpad(CAST(doc_id AS string), 12, '0') AS id", "'document' AS type", "coalesce(text, '') AS search_text", "CAST(1 + doc_id % 50 AS double) AS salience_score", "1 AS updated_at")
     own = _aliases(spark, d)
-    found = postings.search(postings.build(rows, own, buckets=8), rows, own, _asked(spark, d), limit=10)
+    found = postings.search(postings.build(rows, own), rows, own, _asked(spark, d), limit=10)
     return found.select("query_id", F.col("id").cast("long").alias("doc_id"), F.round("match", 6).alias("match"), F.col("rank").cast("long").alias("rank"))
 
 

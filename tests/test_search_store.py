@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from mnemosia.functions.text import stem, stemmed_word
 from mnemosia.operators import aggregates, duplicates, postings, session, shaping
 from mnemosia.sources import sink
 from mnemosia.streaming import feed
@@ -281,3 +282,33 @@ def test_queries_of_a_nation_do_not_meet_all_its_customers(spark, tmp_path):
     assert candidates.groupBy().count().first()[0] == 100 * 30
     candidates.collect()
     assert rows_of(candidates._jdf.queryExecution().executedPlan()) <= 100 * 30
+
+
+def test_stored_postings_are_not_shuffled_by_a_search(spark):
+    nodes = spark.createDataFrame([(f"n{i}", f"alpha beta word{i % 7}") for i in range(40)], "id string, search_text string")
+    built = postings.build(nodes, buckets=3)
+    found = postings.hits(built, spark.createDataFrame([(1, "alpha beta"), (2, "word3 beta"), (3, "alpha")], "query_id int, text string"))
+    assert found.count() == 40 + 6 + 40
+    # of the stored rows only those of asked lexemes leave their buckets: no exchange right above the scan
+    lines = found._jdf.queryExecution().executedPlan().toString().split("\n")
+    scans = [k for k, line in enumerate(lines) if "FileScan parquet" in line and "postings_" in line]
+    above = [next(x for x in reversed(lines[:k]) if any(w in x for w in ("Join", "Exchange"))) for k in scans]
+    assert scans and all("ShuffledHashJoin" in x for x in above)
+
+
+def test_places_of_long_texts_and_of_texts_of_one_id(spark):
+    texts = [("a", "Running runs, the runner ran; été 東京 x"), ("b", " ".join(["loop"] * 300 + ["end"])), ("c", None), ("d", "..."), ("e", "one two"), ("e", "two one two")]
+    nodes = spark.createDataFrame(texts, "id string, search_text string")
+    for own in (nodes, nodes.where("id <> 'e'")):
+        built = postings.build(own, buckets=2)
+        got = {(r.lexeme, t.id): list(postings._unpacked(bytes(t.places))) for r in built.rows.collect() for t in r.texts}
+        assert got["run", "a"] == [2] and got["runn", "a"] == [1] and got["été", "a"] == [6] and got["loop", "b"] == list(range(1, 256)) and got["end", "b"] == [301]
+        assert {i for _, i in got} == ({"a", "b", "e"} if own is nodes else {"a", "b"})
+        assert own is not nodes or got["two", "e"] == [1, 2, 3] and got["one", "e"] == [1, 2]
+        assert {r.lexeme: r.texts for r in built.counts.collect()}["loop"] == 1
+
+
+def test_a_word_is_stemmed_as_in_a_column(spark):
+    words = ["running", "ties", "tied", "abced", "stations", "e", "ly", "quickly", "bye", "été", "𝒳𝒳𝒳es", "2000s", "ingly", "meetingly", "aaai", "yyyy", "İngs"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", stem(F.col("w")).alias("s")).collect()
+    assert {r.w: r.s for r in rows} == {w: stemmed_word(w) for w in words}
