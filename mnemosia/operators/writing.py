@@ -68,7 +68,8 @@ def write_entities(nodes: DataFrame, aliases: DataFrame, entities: DataFrame, so
     nodes: id, type, label, properties (map<string,string>) and what else they have. A second run of the same entities
     over the result changes nothing: every name is then known, and equal values are no conflict."""
     own = entities.where(F.trim("name") != "").select(F.col("seq").cast("long").alias("seq"), F.trim("name").alias("name"), "type", "properties")
-    names = own.select("name", "type").distinct().select(F.concat_ws("\x01", "name", "type").alias("name_id"), "name", F.col("type").alias("kind"))
+    # kept, since the resolution reads them several times and there are far fewer of them than entities
+    names = kept(own.select("name", "type").distinct().select(F.concat_ws("\x01", "name", "type").alias("name_id"), "name", F.col("type").alias("kind")))
     known = kept(resolve(names, nodes, aliases, postings, lookup=True).where("status = 'match'").select("name_id", "node_id"))
     met = own.withColumn("name_id", F.concat_ws("\x01", "name", "type")).join(known, "name_id", "left")
     new = met.where("node_id IS NULL").select("seq", "name", "type", "properties")

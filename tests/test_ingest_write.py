@@ -123,3 +123,20 @@ def test_tables_without_rows(spark):
     nodes = spark.createDataFrame([], "id string, type string, label string, properties map<string,string>")
     got = writing.write_entities(nodes, spark.createDataFrame([], NO_ALIASES), spark.createDataFrame([], "seq int, name string, type string, properties map<string,string>"), "s", "t")
     assert [got[k].count() for k in ("nodes", "actions", "history")] == [0, 0, 0]
+
+
+def test_the_names_of_a_batch_are_made_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(name):
+        seen.add(1)
+        return name
+
+    counted = F.udf(count, "string").asNondeterministic()
+    nodes = spark.createDataFrame([("n1", "person", "Ann Lee", {"a": "1"})], "id string, type string, label string, properties map<string,string>")
+    none = spark.createDataFrame([], "node_id string, alias string, normalized_alias string")
+    entities = spark.createDataFrame([(1, "ANN LEE", "person", {"a": "2"}), (2, "Bob Ray", "person", {"a": "3"})], "seq long, name string, type string, properties map<string,string>")
+    got = writing.write_entities(nodes, none, entities.select("seq", counted("name").alias("name"), "type", "properties"), "s", "t")
+    assert {(r.seq, r.action) for r in got["actions"].collect()} == {(1, "updated"), (2, "created")}
+    # two rows, read seven times; eleven times while every reading of the names made them anew
+    assert seen.value <= 2 * 7
